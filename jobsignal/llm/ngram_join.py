@@ -30,9 +30,11 @@ SUBSET_SET, SUBSET_KEYS = 28, 400
 #: Rows of an inverted list compared in one block; parity bits of a bitmap.
 LIST_BLOCK, BITMAP_WORDS = 256, 8
 #: A shingle in the prefix of so many sets moves to the end of the order; at most so many of them are named.
-HEAVY_SETS, HEAVY_NAMED = 2048, 100_000
+HEAVY_SETS, HEAVY_NAMED = 64, 100_000
 _U = np.uint64
-_DIGEST = "doc_id long, n int, h1 long, h2 long, bits binary, prefix array<long>"
+#: Sets above so many shingles carry counts of their shingles in so many buckets, for a second bound on each pair.
+BUCKETS_ABOVE, BUCKETS = 256, 512
+_DIGEST = "doc_id long, n int, h1 long, h2 long, bits binary, buckets binary, prefix array<long>"
 
 
 def needed(a, b, percent: int):
@@ -44,7 +46,7 @@ def _digests(k: int, percent: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            n, h1, h2, bits, prefix, lens = [], [], [], [], [], [0]
+            n, h1, h2, bits, buckets, prefix, lens = [], [], [], [], [], [], [0]
             for _, u in shingle_rows(batch.column(1), k):
                 m = len(u)
                 n.append(m)
@@ -52,6 +54,8 @@ def _digests(k: int, percent: int, heavy: np.ndarray):
                 h2.append(mix(u ^ _U(0x2545F4914F6CDD1D)).sum(dtype=_U))
                 par = np.bincount((u % _U(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
                 bits.append(np.packbits(par.astype(np.uint8)).tobytes())
+                held = np.minimum(np.bincount((u % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255) if m > BUCKETS_ABOVE else None
+                buckets.append(None if held is None else held.astype(np.uint8).tobytes())
                 p = m if m <= SUBSET_SET else m - (percent * m + 99) // 100 + 1
                 if len(heavy) and m:
                     i = np.minimum(np.searchsorted(heavy, u), len(heavy) - 1)
@@ -62,8 +66,8 @@ def _digests(k: int, percent: int, heavy: np.ndarray):
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             as_long = lambda x: pa.array(np.array(x, _U).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int32()), as_long(h1), as_long(h2), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "h1", "h2", "bits", "prefix"],
+                [ids, pa.array(n, pa.int32()), as_long(h1), as_long(h2), pa.array(bits, pa.binary()), pa.array(buckets, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))],
+                names=["doc_id", "n", "h1", "h2", "bits", "buckets", "prefix"],
             )
 
     return run
@@ -216,9 +220,28 @@ def _sets(k: int):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _bucketed(percent: int):
+    """(u, v, n, m, a, b) -> (u, v) of the pairs whose bucket counts differ no more than the threshold allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m, a, b = batch.columns
+            total = n.to_numpy().astype(np.int64) + m.to_numpy()
+            both = np.array([x.is_valid and y.is_valid for x, y in zip(a, b)], bool)
+            ok = np.ones(len(total), bool)
+            x, y = (np.frombuffer(b"".join(c.filter(pa.array(both)).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in (a, b))
+            ok[both] = np.abs(x - y).sum(1) <= (total - 2 * needed(total, 0, percent))[both]
+            yield pa.RecordBatch.from_arrays([u.filter(pa.array(ok)), v.filter(pa.array(ok))], names=["u", "v"])
+
+    return run
+
+
+def verified(pairs: DataFrame, docs: DataFrame, facts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold; only the texts of documents in a pair are hashed again."""
-    pairs = written(pairs.distinct(), "pairs")
+    a = facts.select(F.col("rep").alias("u"), "n", F.col("buckets").alias("a")).hint("merge")
+    b = facts.select(F.col("rep").alias("v"), F.col("n").alias("m"), F.col("buckets").alias("b")).hint("merge")
+    pairs = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "n", "m", "a", "b")
+    pairs = written(pairs.mapInArrow(_bucketed(percent), "u long, v long").distinct(), "pairs")
     nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     texts = docs.select("doc_id", "text").join(small_or_merge(nodes), "doc_id", "left_semi")
     # repeated ids keep every text's set; a pair counts if any of them reaches the threshold
@@ -282,7 +305,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     entries = written(large.join(counts.hint("merge"), "token").select("token", "c", "rep"), "entries")
     facts = reps.select("rep", "n", "bits")
     first = written(_listed(entries, facts, x, percent, False), "forest")
-    found.append(verified(first.where("v is not null"), docs, k, percent))
+    found.append(verified(first.where("v is not null"), docs, reps, k, percent))
     links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     links = written(links.distinct(), "links")
     comp = components(links)
@@ -295,7 +318,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         lab = facts.join(comp.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         late = written(_listed(some, lab, x, percent, True), "late")
         if not late.isEmpty():
-            more = verified(late, docs, k, percent)
+            more = verified(late, docs, reps, k, percent)
             dropped(comp)
             comp = components(links.unionByName(more))
         dropped(late)
