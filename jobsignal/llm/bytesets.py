@@ -29,6 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _P)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Table of separators that leaves runs of ASCII letters and non-ASCII bytes.
+LETTERS_APART = np.ones(256, bool)
+LETTERS_APART[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
@@ -62,12 +65,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word of the slice, in order."""
+def words(data: np.ndarray, off: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word of the slice, in order; ``apart`` marks the bytes between words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    space = _SPACE[data]
+    space = apart[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[off] = True
     ns = ~space

@@ -48,16 +48,12 @@ class Lines:
         cp = np.where(low, _ASCII[np.where(low, cp, 0)], cp)
         nl = np.flatnonzero(cp == 10)
         s = np.sort(np.concatenate([at[:-1], nl + 1]))
-        row = np.searchsorted(at[1:], s, "right")
-        # a line start after a row's last newline belongs to that row even at its very end
-        first = np.searchsorted(s, at[:-1])
         e = np.concatenate([s[1:] - 1, [len(cp)]]) if len(s) else s
         ends = np.zeros(len(s), bool)
         if len(s):
             ends[:-1] = ~np.isin(s[1:] - 1, nl)
             e[:-1][ends[:-1]] = s[1:][ends[:-1]]
-        self.cp, self.s, self.e = cp, s, e
-        del row, first
+        self.cp = cp
         ink = np.flatnonzero(~(low & _IS_SPACE[np.where(low, cp, 0)]))
         i, j = np.searchsorted(ink, s), np.searchsorted(ink, e)
         full = j > i
@@ -120,16 +116,18 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, nos = batch.column(2), batch.column(3).to_pylist()
         for x, row, no in _slice_lines(texts):
             wanted = [set(v) for v in nos]
-            at = [k for k, (r, i) in enumerate(zip(row.tolist(), no.tolist())) if i in wanted[r]]
-            for k in at:
-                a, b = int(x.a[k]), int(x.b[k])
-                whole = x.hashes(np.array([a]), np.array([b]))
-                vh = np.concatenate([whole, x.variants(a, b)]).view(np.int64)
-                m = len(vh)
-                text = x.cp[a:b].tobytes().decode("utf-32-le", "replace")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(vh), pa.array(np.arange(-1, m - 1, dtype=np.int32)), pa.array(np.full(m, vh[0])), pa.array([text] + [None] * (m - 1), pa.string())], names=["vh", "pos", "lh", "line"]
-                )
+            vh, pos, lh, line = [], [], [], []
+            for k, (r, i) in enumerate(zip(row.tolist(), no.tolist())):
+                if i in wanted[r]:
+                    a, b = int(x.a[k]), int(x.b[k])
+                    vh += [x.hashes(np.array([a]), np.array([b])), x.variants(a, b)]
+                    m = b - a + 1
+                    pos.append(np.arange(-1, m - 1, dtype=np.int32))
+                    lh.append(np.full(m, vh[-2][0]))
+                    line += [x.cp[a:b].tobytes().decode("utf-32-le", "replace"), *[None] * (m - 1)]
+            if vh:
+                longs = (pa.array(np.concatenate(c).view(np.int64)) for c in (vh, lh))
+                yield pa.RecordBatch.from_arrays([next(longs), pa.array(np.concatenate(pos)), next(longs), pa.array(line, pa.string())], names=["vh", "pos", "lh", "line"])
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -145,8 +143,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     dropped(keys)
     by_doc = some.groupBy("first.did", "first.th").agg(F.collect_list("first.no").alias("nos"))
     by_doc = written(by_doc, "halfway-docs")
-    texts = docs.dropDuplicates(["did", "th"]) if docs.isStreaming else docs
-    hit = texts.join(small_or_merge(by_doc), ["did", "th"]).select("did", "th", "text", "nos")
+    hit = docs.join(small_or_merge(by_doc), ["did", "th"]).select("did", "th", "text", "nos")
     v = written(hit.mapInArrow(_variants, "vh long, pos int, lh long, line string"), "variants")
     dropped(by_doc)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing
+from . import fertility, line_dedup, mixing, ngram_join, packing, quality, topk_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,23 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -39,7 +56,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_harmonic_packing, op5_ngram_jaccard_join, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_harmonic_packing, op5_ngram_jaccard_join, op6_tokenizer_fertility, op7_quality_classifier, op8_exact_topk_search, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
