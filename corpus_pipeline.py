@@ -4,23 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import ngram_join
+from jobsignal.llm import line_dedup, mixing, ngram_join, packing, quality
+from jobsignal.llm.queries import table, tokenizer_path
 from jobsignal.llm.shared import written
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go; documents left without any word by that go with them."""
+    return line_dedup.keep_first_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8."""
     return ngram_join.near_duplicates_kept(docs, k=5, percent=80)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents left out, cut at the end of the mix, or returned twice."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", lines_once),
+    ("ngram_jaccard_join", near_duplicates),
+    ("mix_sources", source_mix),
+    ("harmonic_packing", packed),
+]
 
 #: The stages rest on trained models, tokenizers and similarity joins, which SQL doesn't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

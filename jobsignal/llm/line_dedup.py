@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytesets import mix, powers, slices
 from .shared import dropped, small_or_merge, written
@@ -205,7 +206,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     gone = hit.groupBy("did", "th").agg(F.collect_set("no").alias("_gone"), F.count_if("near").cast("long").alias("_near"))
     gone = gone.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "_gone", "_near")
     out = rows.join(gone.hint("merge"), ["_did", "_th"], "left").select(*names, "_gone", "_near")
-    schema = docs.schema.add("_n_lines", "long").add("_n_removed", "long").add("_n_near", "long")
+    schema = T.StructType(list(docs.schema.fields)).add("_n_lines", "long").add("_n_removed", "long").add("_n_near", "long")
     return out.mapInArrow(_without(names, schema), schema)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, line_dedup, mixing, ngram_join, packing, quality, topk_search, toxicity
+from . import fertility, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, topk_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.col("_n_near").alias("n_near"))
 
 
+#: Key of the registered query only; a caller's own key makes surrogates that nobody else can draw.
+PII_KEY = b"op2 registered query"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", F.col("_n_entities").alias("n_entities"), F.col("_kinds").alias("kinds"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -56,8 +69,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_harmonic_packing, op5_ngram_jaccard_join, op6_tokenizer_fertility, op7_quality_classifier, op8_exact_topk_search, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_pii_surrogates, op3_harmonic_packing, op4_license_scan, op5_ngram_jaccard_join, op6_tokenizer_fertility, op7_quality_classifier, op8_exact_topk_search, op9_toxicity, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": license_scan.oracle_sql()}
