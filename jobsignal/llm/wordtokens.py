@@ -1,53 +1,76 @@
-"""Public tokenizers applied word by word with a cache, inside Python workers.
+"""Public tokenizers applied unit by unit with a cache, inside Python workers.
 
-White space never lies inside a token of either vocabulary, so a text's ids are those of its white-space separated
-words in order; each distinct word is tokenized once per worker and cache generation.
+Neither vocabulary has a token across white space. For the vocabulary of the ``tokenizers`` library a unit is one of the
+pieces that its own pre-tokenizer cuts lower-cased text into, which are known from the characters alone in Latin texts;
+other texts are cut at white space. For ``sentencepiece`` a unit is a white-space separated word. Each distinct unit is
+tokenized once per worker and cache generation, many new ones in one call.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
+import re
 
 import numpy as np
 
-#: Words kept before the cache starts anew; bounds a worker's memory near 100 MB.
-CACHE_WORDS = 300_000
+#: Units kept before the cache starts anew; bounds a worker's memory near 100 MB.
+CACHE_UNITS = 500_000
 _LOADED: dict[tuple[str, str], WordTokens] = {}
 
+# The pre-tokenizer's pattern over lower-cased text without combining marks: contractions, letters, digits, others.
+_L, _N, _S = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼½¾", "\x20\x09-\x0d\x85\xa0"
+_UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_LATIN = re.compile("[\x00-įı-ɏ]*")
+
 
 class WordTokens:
     def __init__(self, kind: str, path: str):
-        self.kind = kind
-        self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.cache: dict[str | bytes, bytes] = {}
         if kind == "tokenizers":
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
-            self.encode = lambda xs: [tuple(e.ids) for e in model.encode_batch(xs, add_special_tokens=False)]
+            self.model = Tokenizer.from_file(path)
+            self.ids = self._ids_by_pieces
         else:
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.encode = lambda xs: list(map(tuple, model.encode(xs, num_threads=1)))
-            self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())], bool)
+            self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())], bool)
+            self.ids = self._ids_by_words
 
-    def words(self, text: str | None) -> list[tuple[int, ...]]:
-        """The ids of each word of the text."""
-        found = (text or "").encode("utf-8", "replace").split()
+    def _joined(self, units: list, encode) -> np.ndarray:
         cache = self.cache
         try:
-            return [cache[w] for w in found]
+            return np.frombuffer(b"".join([cache[u] for u in units]), np.int32)
         except KeyError:
-            if len(cache) > CACHE_WORDS:
+            if len(cache) > CACHE_UNITS:
                 cache.clear()
-            new = list({w for w in found if w not in cache})
-            cache.update(zip(new, self.encode([w.decode("utf-8", "replace") for w in new])))
-            return [cache[w] for w in found]
+            new = [u for u in set(units) if u not in cache]
+            cache.update(zip(new, encode(new)))
+            return np.frombuffer(b"".join([cache[u] for u in units]), np.int32)
+
+    def _pieces(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are one pre-tokenizer piece each, in one call."""
+        e = self.model.encode(" ".join(units), add_special_tokens=False)
+        ids, word = np.array(e.ids, np.int32), np.array(e.word_ids, np.int64)
+        at = np.searchsorted(word, np.arange(len(units) + 1))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def _chunks(self, units: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch([u.decode() for u in units], add_special_tokens=False)]
+
+    def _ids_by_pieces(self, text: str | None) -> np.ndarray:
+        text = text or ""
+        if "<|" in text:  # may hold a special token
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32)
+        if _LATIN.fullmatch(text):
+            return self._joined(_UNITS.findall(text.lower()), self._pieces)
+        return self._joined(text.encode("utf-8", "replace").split(), self._chunks)
 
-    def ids(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(self.words(text)), np.int32)
+    def _ids_by_words(self, text: str | None) -> np.ndarray:
+        encode = lambda new: [np.array(x, np.int32).tobytes() for x in self.model.encode([u.decode() for u in new], num_threads=1)]
+        return self._joined((text or "").encode("utf-8", "replace").split(), encode)
 
 
 def word_tokens(kind: str, path: str) -> WordTokens:
