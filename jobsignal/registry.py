@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import search
+from .catalog import postings, search
 
-FAMILIES = (search,)
+FAMILIES = (search, postings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
