@@ -165,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: str) -> tuple[np.ndarra
     g = 2 * F.col("bad") * F.log(p / q)
     top = counts.withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "h").limit(VOCABULARY).select("h").collect()
     vocab = np.unique(np.concatenate([vocab, np.array([r.h for r in top], np.int64).view(_U)]))
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS) if total > FIT_DOCS else texts
+    # the sample is chosen among the labels, so that no text moves
+    some = F.broadcast(label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select("doc_id"))
+    sample = texts.join(some, "doc_id", "left_semi")
     rows = sample.select("text", "label").mapInArrow(_examples(vocab), "label int, x array<int>, fair array<int>").collect()
     w, c = fit_weights([r.x for r in rows], [r.fair for r in rows], np.array([r.label for r in rows], float), len(vocab))
     return vocab, w, c
