@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import postings, search
+from .catalog import candidates, postings, search
 
-FAMILIES = (search, postings)
+FAMILIES = (search, postings, candidates)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
