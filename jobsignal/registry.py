@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import candidates, postings, search
+from .catalog import candidates, postings, search, texts
 
-FAMILIES = (search, postings, candidates)
+FAMILIES = (search, postings, candidates, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
