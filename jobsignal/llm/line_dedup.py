@@ -201,6 +201,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     lines = written(lines, "distinct-lines")
     near = near_lines(texts, lines.where("k1 is not null"))
     marked = lines.join(near.withColumn("near", F.lit(True)).hint("merge"), "lh", "left").where("c > 1 or near").select("lh", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    marked = written(marked, "repeated-lines")  # dealt anew for the join, so that a very common line can be split
     hit = occ.select("did", "th", "no", "lh").join(marked.hint("merge"), "lh")
     hit = hit.where(F.col("near") | (F.struct("did", "th", "no") != F.col("first")))
     gone = hit.groupBy("did", "th").agg(F.collect_set("no").alias("_gone"), F.count_if("near").cast("long").alias("_near"))
