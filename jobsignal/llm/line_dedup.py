@@ -206,6 +206,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     hit = hit.where(F.col("near") | (F.struct("did", "th", "no") != F.col("first")))
     gone = hit.groupBy("did", "th").agg(F.collect_set("no").alias("_gone"), F.count_if("near").cast("long").alias("_near"))
     gone = gone.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "_gone", "_near")
+    gone = written(gone, "removed-lines")
+    for t in (occ, lines, near, marked):
+        dropped(t)
     out = rows.join(gone.hint("merge"), ["_did", "_th"], "left").select(*names, "_gone", "_near")
     schema = T.StructType(list(docs.schema.fields)).add("_n_lines", "long").add("_n_removed", "long").add("_n_near", "long")
     return out.mapInArrow(_without(names, schema), schema)

@@ -260,7 +260,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Links join documents whose distinct k-word shingle sets have 100 * intersection >= percent * union.
     """
-    spark = docs.sparkSession
+    return _labelled(docs, k, percent)[0]
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(result of jaccard_components, the written tables that it reads)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = np.zeros(0, _U)
     digest = written(docs.mapInArrow(_digests(k, percent, heavy), _DIGEST), "digest")
@@ -300,7 +304,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     found = []
     if x:
-        found.append(subset_links(reps, x, percent))
+        found.append(written(subset_links(reps, x, percent), "subset-links"))
     large = entries_of(reps).where(100 * F.col("n") > percent * x)
     entries = written(large.join(counts.hint("merge"), "token").select("token", "c", "rep"), "entries")
     facts = reps.select("rep", "n", "bits")
@@ -322,22 +326,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             dropped(comp)
             comp = components(links.unionByName(more))
         dropped(late)
-    dropped(entries)
-    dropped(first)
+    for t in (entries, first, counts, reps, links, *found):
+        dropped(t)
 
     # a label per class, then the rows of each class: the one join whose key may be hot is last, where it can be split
     of = classes.join(comp.hint("merge"), classes.rep == comp.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id"))
     out = digest.select("doc_id", "n", "h1", "h2").join(of.hint("merge"), ["h1", "h2"], "left")
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(x).alias("boundary"))
-    return out
+    return out, [digest, classes, comp]
 
 
 def near_duplicates_kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component: that of its smallest doc_id; repeated rows of that id leave one. Columns stay."""
-    comp = jaccard_components(docs, k, percent)
-    keep = written(comp.where("doc_id is null or doc_id = component_id").select("doc_id").distinct(), "kept")
-    rows = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return rows.join(keep.hint("merge"), rows.doc_id.eqNullSafe(keep.doc_id), "left_semi")
+    comp, tables = _labelled(docs, k, percent)
+    keep = written(comp.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    for t in tables:
+        dropped(t)
+    # one exchange by doc_id serves both; rows without an id stay
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep.hint("merge"), "doc_id", "left_semi")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 __all__ = ["BROADCAST_ROWS", "jaccard_components", "near_duplicates_kept", "needed", "subset_cost", "subset_overlaps"]
