@@ -1,6 +1,7 @@
 """Plain versions of the operators, one text or pair at a time."""
 
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +70,6 @@ def base_counts(text):
             dup += x in seen
             seen.add(x)
     wins = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    twice = {x for x in wins if wins.count(x) > 1} if len(wins) < 3000 else {x for x, n in __import__("collections").Counter(wins).items() if n > 1}
+    twice = {x for x, n in Counter(wins).items() if n > 1}
     covered = {i + j for i, x in enumerate(wins) if x in twice for j in range(5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)

@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,10 +15,16 @@ from tests.oracle import differences, duck
 TOKENS, PIECES = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
 
 
-def ids_of(text):
+@lru_cache(1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return np.array([*Tokenizer.from_file(TOKENS).encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    return Tokenizer.from_file(TOKENS)
+
+
+@lru_cache(None)
+def ids_of(text):
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 
 # line dedup
