@@ -22,17 +22,18 @@ def _halves(spark, d):
     return current, batch
 
 
-_RULES = {"has_source": F.col("source").isNotNull(), "lang": F.col("lang").isin("EN", "FR", "DE")}
+def _rules():
+    return {"has_source": F.col("source").isNotNull(), "lang": F.col("lang").isin("EN", "FR", "DE")}
 
 
 def s8_upsert_postings(spark, d):
     current, batch = _halves(spark, d)
-    return store.upsert_postings(current, batch, "doc_id", "item_index", _RULES, ["lang", "source"])[0]
+    return store.upsert_postings(current, batch, "doc_id", "item_index", _rules(), ["lang", "source"])[0]
 
 
 def s8_upsert_failures(spark, d):
     current, batch = _halves(spark, d)
-    _, failures, counts = store.upsert_postings(current, batch, "doc_id", "item_index", _RULES, ["lang", "source"])
+    _, failures, counts = store.upsert_postings(current, batch, "doc_id", "item_index", _rules(), ["lang", "source"])
     return failures.groupBy("rule").agg(F.count(F.lit(1)).alias("rows")).unionByName(counts.select(F.lit("attempted").alias("rule"), F.col("attempted").alias("rows")))
 
 

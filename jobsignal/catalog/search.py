@@ -52,11 +52,12 @@ def r1_dedupe_latest(spark, d):
     return search.dedupe_latest(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-ORDER_RULES = {"price": F.col("o_totalprice") >= 1000, "priority": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), "recent": F.year("o_orderdate") >= 1996, "status": F.col("o_orderstatus").isin("O", "F")}
+def order_rules():
+    return {"price": F.col("o_totalprice") >= 1000, "priority": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), "recent": F.year("o_orderdate") >= 1996, "status": F.col("o_orderstatus").isin("O", "F")}
 
 
 def n8_validate_contract(spark, d):
-    return contracts.validate_contract(table(spark, d, "orders"), "o_orderkey", ORDER_RULES).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    return contracts.validate_contract(table(spark, d, "orders"), "o_orderkey", order_rules()).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
 def _requests(spark, d):

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import urls
 from ..functions.variants import field, first_text, given, is_kind, items, number, record, string, texts_list
@@ -21,7 +22,7 @@ SKILLS = (
 NO_PLACE = "Location not specified"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Character references decoded at most twice."""
     return texts.map(lambda t: None if t is None else html.unescape(html.unescape(t)) if "&" in t else t)
