@@ -10,8 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; keeps temporary arrays near 10 MB each whatever the batch holds.
-SLICE_BYTES = 1 << 20
+#: Bytes of text handled at once; keeps temporary arrays near 5 MB each whatever the batch holds.
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _P_INV = _U(pow(int(_P), -1, 1 << 64))
