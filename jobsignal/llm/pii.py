@@ -3,7 +3,8 @@
 An entity is a type and a normalised value, so every mention of it, in any document and any format, gets the same
 surrogate. Digits stay digits, letters keep case and script, separators stay, card numbers keep a right check digit,
 addresses keep their parts; personal names after a title are replaced part by part, with given names of the title's
-gender. Surrogates are drawn from the key by BLAKE2b, and checked over the whole corpus: a surrogate that another
+gender: the name is the run of capitalised words after the title, with initials and lower-case particles (``de la``,
+``von``) between them, which stay. Surrogates are drawn from the key by BLAKE2b, and checked over the whole corpus: a surrogate that another
 entity got first, or that is itself an entity of the corpus, is drawn again until all are distinct.
 
 Defined results: null and empty texts have no entities and stay; repeated rows are replaced alike; overlapping mentions
@@ -35,6 +36,10 @@ GIVEN = {
 }
 SYLLABLES = {"Latin": ("ba", "den", "fro", "gar", "hol", "kel", "lin", "mor", "nes", "pal", "rin", "sor", "tam", "vel", "wil", "zan"), "Cyrillic": ("ба", "вел", "гор", "дан", "жар", "кол", "лин", "мор", "нес", "пал", "рин", "сор", "там", "фед", "хол", "чер")}
 _ALL_TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_PARTICLES = "de|la|las|los|del|della|di|da|das|do|dos|du|des|le|van|von|vom|der|den|ten|ter|zu|zum|zur|y|e|bin|ibn|al|el|af|av"
+_UPPER = "".join(chr(c) for c in range(0x10000) if chr(c).isupper() and chr(c).isalpha())
+_INITIALS = rf"(?:[{_UPPER}](?:\.[ ]?|[ ]))*"
+_PART = rf"(?!(?:{_ALL_TITLES})(?!\w))[{_UPPER}][^\W\d_]+(?![\w@])"
 _PATTERNS = (
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_\-]{16,})"),
@@ -44,7 +49,7 @@ _PATTERNS = (
     ("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])"),
-    ("name", rf"(?<!\w)(?P<title>{_ALL_TITLES})\.?[ ](?P<name>[^\W\d_][^\W\d_]+(?:[ \-][^\W\d_][^\W\d_]+)?)(?!\w)"),
+    ("name", rf"(?<!\w)(?P<title>{_ALL_TITLES})\.?[ ](?P<name>{_INITIALS}{_PART}(?:(?:-|[ ](?:(?:{_PARTICLES})[ ])*{_INITIALS}){_PART})*)"),
 )
 _FIND = re.compile("|".join(f"(?P<t_{t}>{p})" for t, p in _PATTERNS))
 _CHEAP = re.compile("[0-9@]|" + _ALL_TITLES)
@@ -62,9 +67,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         if t == "secret":
             out.append((*m.span("secret"), t, m["secret"]))
         elif t == "name":
-            parts = list(re.finditer(r"[^\W\d_]+", m["name"]))
-            if not all(p[0][0].isupper() for p in parts):
-                continue
+            parts = [p for p in re.finditer(r"[^\W\d_]{2,}", m["name"]) if p[0][0].isupper()]
             gender = next(g for g, ts in TITLES.items() if m["title"] in ts)
             for i, p in enumerate(parts):
                 given = len(parts) > 1 and i == 0

@@ -80,6 +80,16 @@ def test_pii_distinct(spark):
     assert len(set(out)) == 300  # far more names than given names: collisions were drawn again
 
 
+def test_pii_names_in_prose():
+    found = lambda text: [(k, v) for _, _, k, v in pii.mentions(text)]
+    for text in ("Mr Smith said hello", "Mr. Smith, who said", "Mr Smith.", "then Mr Smith-based", "Mr J. R. Smith said", "Herr Dr. Smith said"):
+        assert found(text) == [("surname", "Smith")], text
+    assert found("Dr. Maria de la Cruz said") == [("given_n", "Maria"), ("surname", "Cruz")]
+    assert found("Mr John Paul Q. Smith met Mrs Anna Smith Mr Jones") == [("given_m", "John"), ("surname", "Paul"), ("surname", "Smith"), ("given_f", "Anna"), ("surname", "Smith"), ("surname", "Jones")]
+    assert found("Г-жа Иванова сказала") == [("surname", "Иванова")] and found("Mr said so") == []
+    assert found("Mr Smith jane@x.com") == [("surname", "Smith"), ("email", "jane@x.com")]
+
+
 # packing
 
 
