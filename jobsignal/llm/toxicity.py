@@ -3,8 +3,9 @@
 Words (and stems of longer words) that are far commoner in toxic than in other labelled documents, counted over all
 labelled rows, form the vocabulary together with the identity terms. A logistic model over their presence is fitted on
 a bounded sample of labelled documents (``FIT_DOCS``, by hash of the id); each sampled document that mentions identity
-terms has a copy in which every term is swapped for another of its group, and squared differences between the scores of
-the two are penalised, so a neutral mention of a group doesn't move the score.
+terms, or words with the stem of one, has a copy in which every such word is swapped for another term of the group with
+the stem of that term, and squared differences between the scores of the two are penalised, so a neutral mention of a
+group doesn't move the score.
 
 Defined results: null and empty texts have no words and get the base score; without labelled rows the score is 0.5;
 a document labelled more than once counts once with its least label; repeated rows are scored alike; null doc_ids are
@@ -41,6 +42,7 @@ IDENTITY = (
     ("disabled", "blind", "deaf", "handicapé", "behindert", "discapacitado"),
 )
 _U = np.uint64
+_STEMS = _U(0x5EED)
 
 
 def word_hash(term: str) -> int:
@@ -48,24 +50,69 @@ def word_hash(term: str) -> int:
     return int(span_hashes(b, np.array([0]), np.array([len(b)]))[0])
 
 
-def _swaps() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the identity terms, sorted, and of the term that each is swapped for."""
-    pairs = sorted((word_hash(a), word_hash(b)) for group in IDENTITY for a, b in zip(group, (*group[1:], group[0])))
-    a, b = zip(*pairs)
-    return np.array(a, _U), np.array(b, _U)
+def stem_hash(term: str) -> int:
+    """Hash of the stem that a term emits; 0 if it is too short for one."""
+    b = np.frombuffer(term.encode(), np.uint8)
+    return int(mix(span_hashes(b, np.array([0]), np.array([STEM])) ^ _STEMS)[0]) if len(b) > STEM else 0
 
 
-def features_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, distinct hashes of the words and stems) of every text."""
+def _swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the identity terms, sorted, and word and stem hash of the term that each is swapped for."""
+    rows = sorted((word_hash(a), word_hash(b), stem_hash(b)) for group in IDENTITY for a, b in zip(group, (*group[1:], group[0])))
+    a, b, st = zip(*rows)
+    return np.array(a, _U), np.array(b, _U), np.array(st, _U)
+
+
+def _stem_swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the stems of the identity terms, by the first term of each stem."""
+    first: dict[int, tuple[int, int]] = {}
+    for group in IDENTITY:
+        for a, b in zip(group, (*group[1:], group[0])):
+            first.setdefault(stem_hash(a), (word_hash(b), stem_hash(b)))
+    first.pop(0, None)
+    rows = sorted((a, *b) for a, b in first.items())
+    a, b, st = zip(*rows)
+    return np.array(a, _U), np.array(b, _U), np.array(st, _U)
+
+
+def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, row of each word, its hash, hash of its stem or 0) of row ranges."""
     for first, data, off in slices(texts):
         s, e, row = words(data, off, LETTERS_APART)
         h = span_hashes(data, s, e) if len(s) else np.zeros(0, _U)
+        st = np.zeros(len(s), _U)
         long = np.flatnonzero(e - s > STEM)
-        st = mix(span_hashes(data, s[long], s[long] + STEM) ^ _U(0x5EED)) if len(long) else np.zeros(0, _U)
-        rows = np.arange(len(off))
-        at, bt = np.searchsorted(row, rows), np.searchsorted(row[long], rows)
-        for r in range(len(off) - 1):
-            yield first + r, np.unique(np.concatenate([h[at[r] : at[r + 1]], st[bt[r] : bt[r + 1]]]))
+        if len(long):
+            st[long] = mix(span_hashes(data, s[long], s[long] + STEM) ^ _STEMS)
+        yield first, len(off) - 1, row, h, st
+
+
+def _distinct(h: np.ndarray, st: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([h, st[st != 0]]))
+
+
+def features_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, distinct hashes of the words and stems) of every text."""
+    for first, n, row, h, st in _hashed(texts):
+        at = np.searchsorted(row, np.arange(n + 1))
+        for r in range(n):
+            yield first + r, _distinct(h[at[r] : at[r + 1]], st[at[r] : at[r + 1]])
+
+
+def counterfactuals_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Features of every text and of its copy with the identity terms swapped; None where it has none."""
+    by_word, by_stem = _swaps(), _stem_swaps()
+    for _, n, row, h, st in _hashed(texts):
+        to_h, to_st, hit = h.copy(), st.copy(), np.zeros(len(h), bool)
+        for (a, b, b_st), of in ((by_stem, st), (by_word, h)):  # the term itself goes before its stem
+            i = np.minimum(np.searchsorted(a, of), len(a) - 1)
+            found = a[i] == of
+            to_h[found], to_st[found] = b[i[found]], b_st[i[found]]
+            hit |= found
+        at = np.searchsorted(row, np.arange(n + 1))
+        for r in range(n):
+            x = slice(at[r], at[r + 1])
+            yield _distinct(h[x], st[x]), _distinct(to_h[x], to_st[x]) if hit[x].any() else None
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,16 +135,12 @@ def active(u: np.ndarray, vocab: np.ndarray) -> np.ndarray:
 
 
 def _examples(vocab: np.ndarray):
-    a, b = _swaps()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, fair = [], []
-            for _, u in features_of(batch.column(0)):
+            for u, swapped in counterfactuals_of(batch.column(0)):
                 xs.append(active(u, vocab).astype(np.int32))
-                i = np.minimum(np.searchsorted(a, u), len(a) - 1)
-                hit = a[i] == u
-                fair.append(active(np.unique(np.where(hit, b[i], u)), vocab).astype(np.int32) if hit.any() else None)
+                fair.append(None if swapped is None else active(swapped, vocab).astype(np.int32))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(xs, kind), pa.array(fair, kind)], names=["label", "x", "fair"])
 

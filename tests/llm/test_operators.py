@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,29 @@ def test_counterfactual_penalty():
     assert abs(w[1] - w[2]) < 0.1 * max(0.05, abs(free[1] - free[2])) + 0.02 and w[0] > 1
 
 
+def test_counterfactual_stems(spark):
+    # long terms leave no stem of their own behind in the copy, whether listed or inflected
+    texts = ["Immigrants came", "an immigrant came", "christians sang", "bisexual people", "transgender people", "disabled people", "refugees", "nobody here"]
+    vocab = np.unique(np.array([h for _, u in toxicity.features_of(pa.array(texts)) for h in u], np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts), pa.int32())], names=["text", "label"])
+    out = next(toxicity._examples(vocab)(iter([batch]))).to_pydict()
+    assert out["fair"][-1] is None
+    for word, x, fair in zip(("immigrants", "immigrants", "christians", "bisexual", "transgender", "disabled", "refugees"), out["x"], out["fair"]):
+        stem = toxicity.stem_hash(word)
+        assert stem in vocab[x] and stem not in vocab[fair], word
+    assert toxicity.stem_hash("refugees") in vocab[out["fair"][0]] and toxicity.stem_hash("refugees") in vocab[out["fair"][1]]
+
+    # toxic examples with one group's long term: a neutral mention scores like one of another group
+    rows = [(i, ("vile grubs they say " if i % 3 else "good people they say ") + ("immigrants" if i % 3 else "foreigners" if i % 2 else "refugees") + f" w{i % 7}") for i in range(300)]
+    rows += [(300 + i, "vile grubs" if i % 2 else "good day") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(text like 'vile%' as int) as toxic")
+    vocab, w, c = toxicity.fit(docs, labels, "true")
+    a, b = ({u for _, f in toxicity.features_of(pa.array([t])) for u in f} for t in ("immigrants sing", "refugees sing"))
+    z = [sum(x for h, x in zip(vocab, w) if h in f) for f in (a, b)]
+    assert abs(z[0] - z[1]) < 0.3
+
+
 # search
 
 
