@@ -1,7 +1,9 @@
 """Toxicity: a counterfactual-regularised word classifier.
 
-Words (and stems of longer words) that are far commoner in toxic than in other labelled documents, counted over all
-labelled rows, form the vocabulary together with the identity terms. A logistic model over their presence is fitted on
+Words (and stems of longer words) that are commoner in toxic than in other labelled documents, counted over all labelled
+rows, form the vocabulary together with the identity terms: all words of the fitting sample whose ratio has a lower
+confidence bound of at least ``LEAST_RATIO``, which doesn't rise with the size of the table. A word outside the sample
+would get no weight. A logistic model over their presence is fitted on
 a bounded sample of labelled documents (``FIT_DOCS``, by hash of the id); each sampled document that mentions identity
 terms, or words with the stem of one, has a copy in which every such word is swapped for another term of the group with
 the stem of that term, and squared differences between the scores of the two are penalised, so a neutral mention of a
@@ -25,10 +27,10 @@ from .bytesets import LETTERS_APART, mix, slices, span_hashes, words
 from .quality import HELD_OUT, one_label
 from .shared import small_or_merge, written
 
-#: Documents the weights are fitted on at most; words in the vocabulary at most; bytes of a stem.
-FIT_DOCS, VOCABULARY, STEM = 20_000, 4096, 7
-#: Least signed likelihood ratio of a vocabulary word; weight of the counterfactual and the plain penalty.
-LEAST_G, FAIR, SHRINK = 12.0, 1.0, 3e-4
+#: Documents the weights are fitted on at most; bytes of a stem.
+FIT_DOCS, STEM = 20_000, 7
+#: Least lower bound of a vocabulary word's ratio, and standard errors below it; weight of the counterfactual and the plain penalty.
+LEAST_RATIO, ERRORS, FAIR, SHRINK = 1.5, 1.645, 1.0, 3e-4
 
 # Identity terms by group, in English, French, German and Spanish.
 IDENTITY = (
@@ -117,15 +119,16 @@ def counterfactuals_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        label = batch.column(1).to_numpy()
+        label, picked = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         found = list(features_of(batch.column(0)))
         lens = [len(u) for _, u in found]
         h = np.concatenate([u for _, u in found]) if found else np.zeros(0, _U)
-        y = np.repeat(label[[r for r, _ in found]] if found else np.zeros(0, int), lens)
+        y, at = (np.repeat(c[[r for r, _ in found]] if found else np.zeros(0, int), lens) for c in (label, picked))
         key, inv = np.unique(h, return_inverse=True)
         bad = np.bincount(inv, weights=y, minlength=len(key)).astype(np.int64)
         n = np.bincount(inv, minlength=len(key))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bad), pa.array(n - bad)], names=["h", "bad", "good"])
+        seen = np.bincount(inv, weights=at, minlength=len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bad), pa.array(n - bad), pa.array(seen)], names=["h", "bad", "good", "seen"])
 
 
 def active(u: np.ndarray, vocab: np.ndarray) -> np.ndarray:
@@ -203,13 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: str) -> tuple[np.ndarra
     if not total:
         return vocab, None, 0.0
     bad, good = int(bad), int(total - bad)
-    counts = texts.mapInArrow(_counts, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 2")
-    p, q = (F.col("bad") + 0.5) / (bad + 1), (F.col("good") + 0.5) / (good + 1)
-    g = 2 * F.col("bad") * F.log(p / q)
-    top = counts.withColumn("g", g).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "h").limit(VOCABULARY).select("h").collect()
-    vocab = np.unique(np.concatenate([vocab, np.array([r.h for r in top], np.int64).view(_U)]))
     # the sample is chosen among the labels, so that no text moves
-    some = F.broadcast(label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select("doc_id"))
+    some = F.broadcast(label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select("doc_id", F.lit(1).alias("picked")))
+    marked = texts.join(some, "doc_id", "left").select("text", "label", F.coalesce("picked", F.lit(0)).alias("picked"))
+    counts = marked.mapInArrow(_counts, "h long, bad long, good long, seen long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "seen"))).where("bad >= 2 and seen > 0")
+    p, q = (F.col("bad") + 0.5) / (bad + 1), (F.col("good") + 0.5) / (good + 1)
+    error = F.sqrt(1 / (F.col("bad") + 0.5) - 1 / (bad + 1) + 1 / (F.col("good") + 0.5) - 1 / (good + 1))
+    found = counts.where(F.log(p / q) - ERRORS * error >= float(np.log(LEAST_RATIO))).select("h").toArrow()
+    vocab = np.unique(np.concatenate([vocab, found.column(0).to_numpy().view(_U)]))
     sample = texts.join(some, "doc_id", "left_semi")
     rows = sample.select("text", "label").mapInArrow(_examples(vocab), "label int, x array<int>, fair array<int>").collect()
     w, c = fit_weights([r.x for r in rows], [r.fair for r in rows], np.array([r.label for r in rows], float), len(vocab))

@@ -209,6 +209,18 @@ def test_counterfactual_stems(spark):
     assert abs(z[0] - z[1]) < 0.3
 
 
+def test_vocabulary_whatever_the_size(spark):
+    # 4,500 topical words with a small ratio don't crowd out a decisive word of few toxic documents
+    topical = [f"t{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(4500)]
+    full, part = " ".join(topical), " ".join(topical[:10])
+    rows = [(i, f"{full if i % 20 < (18 if i % 2 else 16) else part}" + (" vilegrub" if i < 20 and i % 2 else ""), i % 2) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    vocab, w, _ = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "true")
+    weights = dict(zip(vocab.tolist(), w))
+    assert weights[toxicity.word_hash("vilegrub")] > 0.5
+    assert toxicity.word_hash(topical[1000]) not in weights
+
+
 # search
 
 
