@@ -5,7 +5,9 @@ surrogate. Digits stay digits, letters keep case and script, separators stay, ca
 addresses keep their parts; personal names after a title are replaced part by part, with given names of the title's
 gender: the name is the run of capitalised words after the title, with initials and lower-case particles (``de la``,
 ``von``) between them, which stay. Surrogates are drawn from the key by BLAKE2b, and checked over the whole corpus: a surrogate that another
-entity got first, or that is itself an entity of the corpus, is drawn again until all are distinct.
+entity got first, or that is itself an entity of the corpus, is drawn again until all are distinct; from draw ``WIDE`` on from a
+wider space (longer e-mail names, other private and then reserved addresses, letters for the signs of a secret), so that
+a small space that the corpus fills doesn't run out.
 
 Defined results: null and empty texts have no entities and stay; repeated rows are replaced alike; overlapping mentions
 go to the earliest, then the type listed first; an empty table gives an empty table. Other columns stay.
@@ -40,9 +42,10 @@ _PARTICLES = "de|la|las|los|del|della|di|da|das|do|dos|du|des|le|van|von|vom|der
 _UPPER = "".join(chr(c) for c in range(0x10000) if chr(c).isupper() and chr(c).isalpha())
 _INITIALS = rf"(?:[{_UPPER}](?:\.[ ]?|[ ]))*"
 _PART = rf"(?!(?:{_ALL_TITLES})(?!\w))[{_UPPER}][^\W\d_]+(?![\w@])"
+_SECRETS = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key"
 _PATTERNS = (
     ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_\-]{16,})"),
+    ("secret", rf"(?i:{_SECRETS})[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9+/_\-]{{16,}})"),
     ("hex", r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
@@ -52,7 +55,9 @@ _PATTERNS = (
     ("name", rf"(?<!\w)(?P<title>{_ALL_TITLES})\.?[ ](?P<name>{_INITIALS}{_PART}(?:(?:-|[ ](?:(?:{_PARTICLES})[ ])*{_INITIALS}){_PART})*)"),
 )
 _FIND = re.compile("|".join(f"(?P<t_{t}>{p})" for t, p in _PATTERNS))
-_CHEAP = re.compile("[0-9@]|" + _ALL_TITLES)
+_CHEAP = re.compile("[0-9@]|" + _ALL_TITLES + "|" + rf"(?i:{_SECRETS})")
+#: Draws of an entity before its space is widened.
+WIDE = 8
 _ORDER = {t: i for i, (t, _) in enumerate(_PATTERNS)}
 
 
@@ -121,6 +126,9 @@ def shaped(value: str, d: Draws, hexadecimal: bool = False) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The replacement of a normalised value."""
     d = Draws(key, kind, value, attempt)
+    if kind == "ip" and attempt >= WIDE:
+        top = 10 if attempt < 2 * WIDE and value.startswith("192.168.") else 240 + d.below(15)
+        return ".".join([str(top), *(str(1 + d.below(254)) for _ in range(3))])
     if kind == "ip":
         parts = [int(x) for x in value.split(".")]
         keep = 2 if parts[:2] == [192, 168] else 1 if parts[0] in (10, 127) else 0
@@ -137,12 +145,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         local, _, domain = value.partition("@")
         head, _, top = domain.rpartition(".")
         dd = Draws(key, "domain", domain, 0)
-        return f"{shaped(local, d)}@{shaped(head, dd)}.{top}"
+        more = "".join("abcdefghijklmnopqrstuvwxyz"[d.below(26)] for _ in range(attempt // WIDE))
+        return f"{shaped(local, d)}{more}@{shaped(head, dd)}.{top}"
     if kind == "iban":
         return value[:2] + shaped(value[2:], d)
     if kind == "hex":
         return "".join("0123456789abcdef"[d.below(16)] for _ in value)
     if kind == "secret":
+        if attempt >= WIDE:
+            value = re.sub(r"[^A-Za-z0-9]", "x", value)
         return shaped(value, d, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None)
     script = script_of(value)
     if kind.startswith("given_"):

@@ -91,6 +91,21 @@ def test_pii_names_in_prose():
     assert found("Mr Smith jane@x.com") == [("surname", "Smith"), ("email", "jane@x.com")]
 
 
+def test_pii_letters_only_secret():
+    assert [(k, v) for _, _, k, v in pii.mentions("then password=correcthorsebattery it was")] == [("secret", "correcthorsebattery")]
+    assert [k for _, _, k, _ in pii.mentions("API_KEY: abcdefghijklmnopqr")] == ["secret"]
+
+
+def test_pii_small_spaces(spark):
+    # more addresses than free ones in their space, all one-letter names of a domain, a secret without letters
+    rows = [("ip", f"192.168.{i // 200}.{i % 200}") for i in range(40_000)] + [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "-" * 16)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, value string"), b"k").collect()
+    assert {(r.kind, r.value) for r in got} == set(rows) and len(got) == len(rows)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and not {(r.kind, r.surrogate) for r in got} & set(rows)
+    private = [r.surrogate for r in got if r.kind == "ip"]
+    assert all(s.startswith(("192.168.", "10.", "24", "25")) for s in private) and all(pii._FIND.fullmatch(s) for s in private)
+
+
 # packing
 
 
