@@ -71,7 +71,7 @@ def d4_fuse_rrf(spark, d):
 
 def x4_highlight(spark, d):
     docs = table(spark, d, "documents")
-    page = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.get(F.split("text", "\n"), F.lit(1)).alias("description"))
+    page = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.get(F.split("text", "\n", 2), F.lit(1)).alias("description"))
     h = lexical.highlight(page, "doc_id", list(WORDS), "title", ("description",))
     return h.select("doc_id", F.size("highlights").alias("parts"), F.when(F.col("highlights")[0].contains("<mark>"), True).otherwise(False).alias("marked"))
 

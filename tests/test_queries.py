@@ -13,3 +13,12 @@ def test_query(name, spark, sf_dir):
         assert len(query(spark, sf_dir).collect()) > 0
     else:
         assert not differences(spark, name, query, sql, sf_dir, duck(sf_dir))
+
+
+def test_highlight_later_lines(spark, tmp_path):
+    from jobsignal.catalog.texts import WORDS
+
+    rows = [(1, f"Head\nsecond\nthird has {WORDS[0]} in it"), (2, "Head\nsecond\nthird"), (3, "Head")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.marked for r in registry.queries()["x4_highlight"](spark, str(tmp_path)).collect()}
+    assert got.get(1) is True and not got.get(2) and not got.get(3)
