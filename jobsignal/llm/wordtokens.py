@@ -20,7 +20,8 @@ _LOADED: dict[tuple[str, str], WordTokens] = {}
 # The pre-tokenizer's pattern over lower-cased text without combining marks: contractions, letters, digits, others.
 _L, _N, _S = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼½¾", "\x20\x09-\x0d\x85\xa0"
 _UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-_LATIN = re.compile("[\x00-įı-ɏ]*")
+# Texts of these characters alone take that way: their lower case is one character of the same range.
+_LATIN = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) if len(c.lower()) == 1 and c.lower() < "ɐ")) + "]*")
 
 
 class WordTokens:
