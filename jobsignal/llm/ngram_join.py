@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import mix, shingle_rows
-from .shared import BROADCAST_ROWS, components, dropped, small_or_merge, written
+from .shared import columns_of, components, dropped, fresh, small_or_merge, written
 
 #: Largest set that may enumerate subsets, and the most subsets one set may make.
 SUBSET_SET, SUBSET_KEYS = 28, 400
@@ -34,7 +34,7 @@ HEAVY_SETS, HEAVY_NAMED = 64, 100_000
 _U = np.uint64
 #: Sets above so many shingles carry counts of their shingles in so many buckets, for a second bound on each pair.
 BUCKETS_ABOVE, BUCKETS = 256, 512
-_DIGEST = "doc_id long, n int, h1 long, h2 long, bits binary, buckets binary, prefix array<long>"
+_DIGEST = "doc_id long, th long, n int, h1 long, h2 long, bits binary, buckets binary, prefix array<long>"
 
 
 def needed(a, b, percent: int):
@@ -45,9 +45,8 @@ def needed(a, b, percent: int):
 def _digests(k: int, percent: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             n, h1, h2, bits, buckets, prefix, lens = [], [], [], [], [], [], [0]
-            for _, u in shingle_rows(batch.column(1), k):
+            for _, u in shingle_rows(batch.column(2), k):
                 m = len(u)
                 n.append(m)
                 h1.append(u.sum(dtype=_U))
@@ -66,8 +65,8 @@ def _digests(k: int, percent: int, heavy: np.ndarray):
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             as_long = lambda x: pa.array(np.array(x, _U).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int32()), as_long(h1), as_long(h2), pa.array(bits, pa.binary()), pa.array(buckets, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "h1", "h2", "bits", "buckets", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int32()), as_long(h1), as_long(h2), pa.array(bits, pa.binary()), pa.array(buckets, pa.binary()), pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(flat))],
+                names=["doc_id", "th", "n", "h1", "h2", "bits", "buckets", "prefix"],
             )
 
     return run
@@ -260,12 +259,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     Links join documents whose distinct k-word shingle sets have 100 * intersection >= percent * union.
     """
-    return _labelled(docs, k, percent)[0]
+    return _labelled(docs, k, percent)[0].select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "boundary")
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(result of jaccard_components, the written tables that it reads)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(rows (doc_id, th, n, h1, h2, component_id, boundary), the written tables that they come from)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     heavy = np.zeros(0, _U)
     digest = written(docs.mapInArrow(_digests(k, percent, heavy), _DIGEST), "digest")
     classes = digest.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -316,9 +315,8 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[Da
 
     # pairs outside the forest: only those that its verified links have not joined yet
     open_nodes = first.where("v is null").select(F.col("u").alias("rep")).distinct()
-    n_open = open_nodes.count()
-    if n_open:
-        some = entries.join(small_or_merge(open_nodes, n_open), "rep", "left_semi")
+    if not open_nodes.isEmpty():
+        some = entries.join(small_or_merge(open_nodes), "rep", "left_semi")
         lab = facts.join(comp.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         late = written(_listed(some, lab, x, percent, True), "late")
         if not late.isEmpty():
@@ -331,20 +329,29 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list[Da
 
     # a label per class, then the rows of each class: the one join whose key may be hot is last, where it can be split
     of = classes.join(comp.hint("merge"), classes.rep == comp.node, "left").select("h1", "h2", F.coalesce("label", "rep").alias("component_id"))
-    out = digest.select("doc_id", "n", "h1", "h2").join(of.hint("merge"), ["h1", "h2"], "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(x).alias("boundary"))
-    return out, [digest, classes, comp]
+    out = digest.select("doc_id", "th", "n", "h1", "h2").join(of.hint("merge"), ["h1", "h2"], "left")
+    return out.select("doc_id", "th", "n", "h1", "h2", "component_id", F.lit(x).alias("boundary")), [digest, classes, comp]
 
 
 def near_duplicates_kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component: that of its smallest doc_id; repeated rows of that id leave one. Columns stay."""
-    comp, tables = _labelled(docs, k, percent)
-    keep = written(comp.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    """One row of each component, with its columns: that of the smallest doc_id (none is last), then text hash.
+
+    Rows without any word are copies of nothing but rows of the same id and text; repeated rows leave one.
+    """
+    did, th = fresh(docs.columns, "_did", "_th")
+    last = (1 << 63) - 1
+    rows, tables = _labelled(docs, k, percent)
+    own = F.coalesce("doc_id", F.lit(last))
+    kind = F.when(F.col("n") == 0, 0).when(F.col("component_id").isNull(), 1).otherwise(2)
+    a = F.when(F.col("n") == 0, own).otherwise(F.coalesce("component_id", "h1"))
+    b = F.when(F.col("n") == 0, F.col("th")).when(F.col("component_id").isNull(), F.col("h2")).otherwise(0)
+    keep = rows.groupBy(kind.alias("kind"), a.alias("a"), b.alias("b")).agg(F.min(F.struct(own.alias("did"), "th")).alias("r"))
+    keep = written(keep.select(F.col("r.did").alias(did), F.col("r.th").alias(th)), "kept")
     for t in tables:
         dropped(t)
-    # one exchange by doc_id serves both; rows without an id stay
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(keep.hint("merge"), "doc_id", "left_semi")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    # one exchange by both serves the join and the repeated rows
+    named = docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(last))).withColumn(th, F.xxhash64("text"))
+    return named.dropDuplicates([did, th]).join(keep.hint("merge"), [did, th], "left_semi").select(*columns_of(docs.columns))
 
 
-__all__ = ["BROADCAST_ROWS", "jaccard_components", "near_duplicates_kept", "needed", "subset_cost", "subset_overlaps"]
+__all__ = ["jaccard_components", "near_duplicates_kept", "needed", "subset_cost", "subset_overlaps"]

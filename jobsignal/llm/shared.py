@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side whose count has just been taken may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side that has just been measured may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder stands in
+    under a local master, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _FALLBACK.setdefault("dir", found)
-        found = _FALLBACK["dir"]
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _FALLBACK:
+            _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        found = _FALLBACK[0]
     return found.rstrip("/")
 
 
-_FALLBACK: dict[str, str] = {}
+_FALLBACK: list[str] = []
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores in front until it clashes with none of ``names``."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def columns_of(names: list[str]) -> list[Column]:
+    """Columns by their exact names, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,40 +65,60 @@ def dropped(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_or_merge(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Hint for the smaller side of a join: broadcast up to BROADCAST_ROWS counted rows, a merge join beyond."""
-    n = df.count() if n is None else n
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of their values)."""
+    width = F.lit(0).cast("long")
+    for f, c in zip(df.schema.fields, columns_of(df.columns)):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            w = F.octet_length(c)
+        elif isinstance(f.dataType, T.ArrayType):
+            w = F.length(F.to_json(F.struct(c)))
+        else:
+            w = F.lit(16)
+        width = width + F.coalesce(w, F.lit(0)) + 16
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n, size
+
+
+def small_or_merge(df: DataFrame) -> DataFrame:
+    """Hint for the smaller side of a join: broadcast up to BROADCAST_ROWS rows and BROADCAST_BYTES bytes, both just
+    measured, a merge join beyond."""
+    n, size = measured(df)
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs -> (node, label): the smallest node of each connected component, for every node with an edge.
 
-    Rounds of contraction: each node hooks to its smallest neighbour, pointers are halved, edges are renamed and
-    deduplicated, until no edge joins two labels. Every round is joins and partial aggregates; nothing is collected.
+    Each node hooks to its smallest neighbour; pointers are doubled until every tree is a star, so a chain of n nodes
+    takes log2(n) steps; then edges are renamed to the stars' centres and deduplicated, until none is left. Two rounds
+    at least halve the centres. Every step is joins and partial aggregates; nothing is collected.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     e = written(both.where("u <> v").distinct(), "edges")
     labels = None
     while True:
-        p = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        p = written(p, "parents")
-        q = p.select(F.col("u").alias("p"), F.col("p").alias("pp")).hint("merge")
-        p2 = written(p.join(q, "p", "left").select("u", F.coalesce("pp", "p").alias("p")), "parents")
-        dropped(p)
+        p = written(e.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "parents")
+        while True:
+            q = p.select(F.col("u").alias("p"), F.col("p").alias("pp")).hint("merge")
+            nxt = written(p.select("u", "p").join(q, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parents")
+            dropped(p)
+            p = nxt
+            if p.where("moved").isEmpty():
+                break
         if labels is None:
-            nxt = written(p2.select(F.col("u").alias("node"), F.col("p").alias("label")), "labels")
+            nxt = written(p.select(F.col("u").alias("node"), F.col("p").alias("label")), "labels")
         else:
-            to = p2.select(F.col("u").alias("label"), F.col("p").alias("to")).hint("merge")
+            to = p.select(F.col("u").alias("label"), F.col("p").alias("to")).hint("merge")
             nxt = written(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
             dropped(labels)
         labels = nxt
-        a = p2.select("u", F.col("p").alias("lu")).hint("merge")
-        b = p2.select(F.col("u").alias("v"), F.col("p").alias("lv")).hint("merge")
+        a = p.select("u", F.col("p").alias("lu")).hint("merge")
+        b = p.select(F.col("u").alias("v"), F.col("p").alias("lv")).hint("merge")
         left = e.join(a, "u").join(b, "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct()
         left = written(left, "edges")
         dropped(e)
-        dropped(p2)
+        dropped(p)
         e = left
         if e.isEmpty():
             dropped(e)
