@@ -1,16 +1,18 @@
 """Line dedup: lines equal or within one edit of an earlier line are removed, by a deletion-neighbourhood join.
 
 A line is compared after stripping ASCII white space and lower-casing A-Z. Distinct lines keep their earliest
-occurrence in (doc_id, text hash, line number) order. A line of at least ``min_chars`` characters also goes if an
-earlier one (of such a length too) lies within one insertion, deletion or substitution. Every surviving candidate
-emits the hashes of its one-character deletions with their positions: equal variants at equal positions are
-substitutions, a variant equal to a whole line is an insertion. The earliest partner of each line is then verified by
-edit distance on the texts. Only lines that share half of their characters with another line emit variants, which
-loses nothing: one edit leaves one half untouched.
+occurrence in (doc_id, text hash, line number) order. A line of any length also goes if an earlier one lies within one
+insertion, deletion or substitution (``min_chars`` exempts lines below a length, of which none are by default). Every
+surviving candidate emits the hashes of its one-character deletions with their positions: equal variants at equal
+positions are substitutions, a variant equal to a whole line is an insertion. The earliest partner by each variant is
+then verified by edit distance on the texts; a line goes if any of its partners passes. Only lines that share half of
+their characters with another line emit variants, which loses nothing: one edit leaves one half untouched. A line's
+variants leave its task in slices, so a text that is one very long line is held once and no more.
 
 Defined results: null and empty texts have no lines and stay; blank lines are never removed; repeated rows (same
 doc_id and text) share their fate; null doc_ids come last in the order; an empty table gives an empty table. Columns of
-the input stay as they are, whatever their names.
+the input stay as they are, whatever their names; where one of them has the name of an added column, that gets more
+underscores in front.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import mix, powers, slices
-from .shared import dropped, small_or_merge, written
+from .shared import columns_of, dropped, fresh, small_or_merge, written
 
 _U = np.uint64
 _LEN = _U(0xA24BAED4963EE407)
@@ -68,9 +70,9 @@ class Lines:
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.c[b] - self.c[a]) * self.q[a] + (b - a).astype(_U) * _LEN)
 
-    def variants(self, a: int, b: int) -> np.ndarray:
-        """Hashes of the line without its i-th character, for each i."""
-        i = np.arange(a, b)
+    def variants(self, a: int, b: int, lo: int, hi: int) -> np.ndarray:
+        """Hashes of the line without its i-th character, for each i from lo to hi."""
+        i = np.arange(a + lo, min(b, a + hi))
         left = (self.c[i] - self.c[a]) * self.q[a]
         return mix(left + (self.c[b] - self.c[i + 1]) * self.q[a + 1] + np.array([b - a - 1], _U) * _LEN)
 
@@ -111,24 +113,45 @@ def _occurrences(min_chars: int):
     return run
 
 
+#: Variants that leave a task at once.
+VARIANT_ROWS = 1 << 16
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(did, th, text, nos) -> of each line in nos its whole row (pos -1, with its text) and its deletions."""
     for batch in batches:
         texts, nos = batch.column(2), batch.column(3).to_pylist()
         for x, row, no in _slice_lines(texts):
             wanted = [set(v) for v in nos]
-            vh, pos, lh, line = [], [], [], []
+            vh, pos, lh, line, held = [], [], [], [], 0
+
+            def taken() -> pa.RecordBatch:
+                longs = (pa.array(np.concatenate(c).view(np.int64)) for c in (vh, lh))
+                out = [next(longs), pa.array(np.concatenate(pos)), next(longs), pa.array(line, pa.string())]
+                for c in (vh, pos, lh, line):
+                    c.clear()
+                return pa.RecordBatch.from_arrays(out, names=["vh", "pos", "lh", "line"])
+
             for k, (r, i) in enumerate(zip(row.tolist(), no.tolist())):
                 if i in wanted[r]:
                     a, b = int(x.a[k]), int(x.b[k])
-                    vh += [x.hashes(np.array([a]), np.array([b])), x.variants(a, b)]
-                    m = b - a + 1
-                    pos.append(np.arange(-1, m - 1, dtype=np.int32))
-                    lh.append(np.full(m, vh[-2][0]))
-                    line += [x.cp[a:b].tobytes().decode("utf-32-le", "replace"), *[None] * (m - 1)]
+                    whole = x.hashes(np.array([a]), np.array([b]))
+                    vh.append(whole)
+                    pos.append(np.array([-1], np.int32))
+                    lh.append(whole)
+                    line.append(x.cp[a:b].tobytes().decode("utf-32-le", "replace"))
+                    for lo in range(0, b - a, VARIANT_ROWS):
+                        v = x.variants(a, b, lo, lo + VARIANT_ROWS)
+                        vh.append(v)
+                        pos.append(np.arange(lo, lo + len(v), dtype=np.int32))
+                        lh.append(np.full(len(v), whole[0]))
+                        line += [None] * len(v)
+                        held += len(v) + 1
+                        if held >= VARIANT_ROWS:
+                            yield taken()
+                            held = 0
             if vh:
-                longs = (pa.array(np.concatenate(c).view(np.int64)) for c in (vh, lh))
-                yield pa.RecordBatch.from_arrays([next(longs), pa.array(np.concatenate(pos)), next(longs), pa.array(line, pa.string())], names=["vh", "pos", "lh", "line"])
+                yield taken()
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -157,7 +180,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     swapped = cut.join(first, ["vh", "pos"]).select("lh", "o", "p")
     grown = written(cut.join(whole.hint("merge"), "vh").select("lh", "o", "wl", "wo"), "grown")
     both = swapped.unionByName(grown.select("lh", "o", F.col("wo").alias("p"))).unionByName(grown.select(F.col("wl").alias("lh"), F.col("wo").alias("o"), F.col("o").alias("p")))
-    best = written(both.where("p < o").groupBy("lh").agg(F.min("p").alias("p")).select("lh", F.col("p.lh").alias("partner")), "partners")
+    best = written(both.where("p < o").select("lh", F.col("p.lh").alias("partner")).distinct(), "partners")
     text = v.where("pos < 0").groupBy("lh").agg(F.min("line").alias("line"))
     left = best.join(text.hint("merge"), "lh")
     right = text.select(F.col("lh").alias("partner"), F.col("line").alias("other")).hint("merge")
@@ -168,7 +191,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return out
 
 
-def _without(names: list[str], schema):
+def _without(names: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.column(names.index("text")).to_pylist()
@@ -184,16 +207,17 @@ def _without(names: list[str], schema):
                     x = "\n".join(y for i, y in enumerate(lines) if i not in g)
                 out.append(x)
             cols = [pa.array(out, batch.schema.field(i).type) if c == "text" else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array([x or 0 for x in near], pa.int64())], names=[*names, "_n_lines", "_n_removed", "_n_near"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array([x or 0 for x in near], pa.int64())], names=[*names, *added])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """docs with ``text`` cleared of repeated lines, plus ``_n_lines``, ``_n_removed`` and ``_n_near`` (long)."""
     names = docs.columns
-    rows = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn("_th", F.xxhash64("text"))
-    texts = rows.select(F.col("_did").alias("did"), F.col("_th").alias("th"), "text")
+    did, th, gone_at, near_n, *added = fresh(names, "_did", "_th", "_gone", "_near", "_n_lines", "_n_removed", "_n_near")
+    rows = docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(th, F.xxhash64("text"))
+    texts = rows.select(F.col(did).alias("did"), F.col(th).alias("th"), "text")
     occ = "did long, th long, no int, lh long, n int, k1 long, k2 long, k3 long, k4 long"
     occ = written(texts.mapInArrow(_occurrences(min_chars), occ), "lines")
     keyed = [F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4")]
@@ -204,18 +228,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
     marked = written(marked, "repeated-lines")  # dealt anew for the join, so that a very common line can be split
     hit = occ.select("did", "th", "no", "lh").join(marked.hint("merge"), "lh")
     hit = hit.where(F.col("near") | (F.struct("did", "th", "no") != F.col("first")))
-    gone = hit.groupBy("did", "th").agg(F.collect_set("no").alias("_gone"), F.count_if("near").cast("long").alias("_near"))
-    gone = gone.select(F.col("did").alias("_did"), F.col("th").alias("_th"), "_gone", "_near")
-    gone = written(gone, "removed-lines")
+    gone = hit.groupBy("did", "th").agg(F.collect_set("no").alias("gone"), F.count_if("near").cast("long").alias("near"))
+    gone = written(gone.select(F.col("did").alias(did), F.col("th").alias(th), F.col("gone").alias(gone_at), F.col("near").alias(near_n)), "removed-lines")
     for t in (occ, lines, near, marked):
         dropped(t)
-    out = rows.join(gone.hint("merge"), ["_did", "_th"], "left").select(*names, "_gone", "_near")
-    schema = T.StructType(list(docs.schema.fields)).add("_n_lines", "long").add("_n_removed", "long").add("_n_near", "long")
-    return out.mapInArrow(_without(names, schema), schema)
+    out = rows.join(gone.hint("merge"), [did, th], "left").select(*columns_of(names), gone_at, near_n)
+    schema = T.StructType(list(docs.schema.fields))
+    for c in added:
+        schema = schema.add(c, "long")
+    return out.mapInArrow(_without(names, added), schema)
 
 
-def keep_first_lines(docs: DataFrame, min_chars: int = 16) -> DataFrame:
+def keep_first_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The columns of docs with repeated lines removed; rows that had lines and lost all of them go."""
     out = dedup_lines(docs, min_chars)
+    removed = out.columns[-2]
     left = F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0
-    return out.where((F.col("_n_removed") == 0) | left).select(*docs.columns)
+    return out.where((F.col(removed) == 0) | left).select(*columns_of(docs.columns))

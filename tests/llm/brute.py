@@ -43,7 +43,7 @@ def within_one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def dedup_lines(texts, least=16):
+def dedup_lines(texts, least=1):
     """{id: text} in id order -> {id: text} without repeated lines."""
     norm = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     lines = [(i, n, x, norm(x)) for i in sorted(texts) for n, x in enumerate((texts[i] or "").split("\n"))]

@@ -52,6 +52,35 @@ def test_lines_brute(spark, sf01):
     assert got == brute.dedup_lines(texts)
 
 
+def test_lines_short_and_long(spark, monkeypatch):
+    # bounds hold for every length; a long line's variants leave in slices
+    monkeypatch.setattr(line_dedup, "VARIANT_ROWS", 64)
+    long = "".join(chr(97 + i * i % 23) for i in range(3000))
+    texts = {1: "ab\nxyz\nqrstuv", 2: "a\nab!\nxyz 1", 3: "b\nhello\nhallo", 4: long, 5: long[:1500] + "Q" + long[1500:], 6: long[:-1] + "Z"}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute.dedup_lines(texts) and got[5] == got[6] == "" and got[3] == "hello"
+
+
+#: Names that operators use for columns of their own.
+OWN = ("_did", "_th", "_gone", "_near", "_n_lines", "_n_removed", "_n_near", "_n_entities", "_kinds", "_again", "_size", "_source_size", "_target", "_taken", "_start", "_slot", "_slot2", "_no", "_name", "_idx", "_key", "_tie", "_bucket", "_n", "_own", "_ahead", "_full", "_pass", "did", "th", "rep", "u", "v", "h1", "h2", "component_id", "label", "score", "a.b")
+
+
+def test_clashing_columns(spark, odd_docs):
+    docs = odd_docs.drop("label", "rep").select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c.upper() if i % 2 else c) for i, c in enumerate(OWN)))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (12, 1, 0)], "doc_id long, quality int, toxic int")
+    same = lambda df: sorted((str(r[: len(docs.columns)]) for r in df.drop("text").collect()))
+    whole = same(docs)
+    for df, n in ((line_dedup.dedup_lines(docs), 3), (pii.surrogates(docs, b"k"), 2), (mixing.mix_sources(docs), 5)):
+        assert df.columns[: len(docs.columns)] == docs.columns or "text" in df.columns
+        assert len({c.lower() for c in df.columns}) == len(docs.columns) + n
+        assert [r.doc_id for r in sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id))] == [r.doc_id for r in sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id))]
+    for df in (line_dedup.keep_first_lines(docs), ngram_join.near_duplicates_kept(docs), mixing.mixed(docs), quality.keep_good(docs, labels, 0.0)):
+        assert df.columns == docs.columns and {r["_did"] for r in df.collect()} <= {r["_did"] for r in docs.collect()}
+    for df in (packing.pack(docs, TOKENS), license_scan.scan_licenses(docs), ngram_join.jaccard_components(docs), fertility.fertility_rules(docs, PIECES), quality.quality_scores(docs, labels), toxicity.toxicity_scores(docs, labels)):
+        assert df.count() >= docs.count()
+    assert len(whole) == docs.count()
+
+
 # PII
 
 
