@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import mix, powers, slices
-from .shared import columns_of, dropped, fresh, small_or_merge, written
+from .shared import columns_of, dropped, fresh, plain_named, small_or_merge, written
 
 _U = np.uint64
 _LEN = _U(0xA24BAED4963EE407)
@@ -232,7 +232,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     gone = written(gone.select(F.col("did").alias(did), F.col("th").alias(th), F.col("gone").alias(gone_at), F.col("near").alias(near_n)), "removed-lines")
     for t in (occ, lines, near, marked):
         dropped(t)
-    out = rows.join(gone.hint("merge"), [did, th], "left").select(*columns_of(names), gone_at, near_n)
+    out = plain_named(rows.join(gone.hint("merge"), [did, th], "left").select(*columns_of(names), gone_at, near_n))
     schema = T.StructType(list(docs.schema.fields))
     for c in added:
         schema = schema.add(c, "long")

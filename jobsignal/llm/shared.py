@@ -46,6 +46,11 @@ def columns_of(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def plain_named(df: DataFrame) -> DataFrame:
+    """df with its columns named x0, x1, ...: what map functions need where names repeat or hold dots."""
+    return df.select(*(c.alias(f"x{i}") for i, c in enumerate(columns_of(df.columns))))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

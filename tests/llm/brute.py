@@ -73,3 +73,38 @@ def base_counts(text):
     twice = {x for x, n in Counter(wins).items() if n > 1}
     covered = {i + j for i, x in enumerate(wins) if x in twice for j in range(5)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def mix(rows, weights=(5, 2, 1), share=1.5, most=2.0, block=64, buckets=1024, bits=44):
+    """[(id, source, size, key)] -> {id: (target, taken, slot, slot2)}: slots drawn one by one."""
+    names = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(r[2] for r in rows if r[1] == s) for s in names}
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, free = {}, [s for s in names if total[s]]
+    while free:
+        level = (share * sum(total.values()) - sum(target.values())) / sum(w[s] for s in free)
+        over = [s for s in free if most * total[s] <= level * w[s]]
+        target |= {s: most * total[s] for s in over}
+        if not over:
+            target |= {s: level * w[s] for s in free}
+            break
+        free = [s for s in free if s not in target]
+    words, cum, run, out = {}, [], 0.0, {}
+    for s in names:
+        run += target.get(s, 0.0)
+        cum.append((run, s))
+        words[s] = [r[0] for r in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3] % buckets, r[3])) for _ in range(r[2])]
+    used, got, slots = dict.fromkeys(names, 0), {}, {}
+    ends = [(round(c / run * 2**bits) if run else 0, s) for c, s in cum]
+    for slot in range(round(share * sum(total.values()) / block)):
+        x = int(f"{slot:0{bits}b}"[::-1], 2)
+        s = next((s for e, s in ends if x < e), ends[-1][1])
+        blocks = -(-total[s] // block)
+        around, b = divmod(used[s], blocks)
+        used[s] += 1
+        if around < 2:
+            for i in words[s][b * block : (b + 1) * block]:
+                got[i] = got.get(i, 0) + 1
+                slots.setdefault((i, around), slot)
+                slots[i, around] = min(slots[i, around], slot)
+    return {r[0]: (target.get(r[1], 0.0), got.get(r[0], 0), slots.get((r[0], 0)), slots.get((r[0], 1))) for r in rows}

@@ -307,6 +307,23 @@ def test_mixing(odd_docs, spark, sf01):
     assert mixed.columns == odd_docs.columns and sum(len(brute.WORD.findall(r.text)) for r in mixed.collect()) > 0
 
 
+def test_mixing_schedule(spark, sf01):
+    # taken words and first slots against slots drawn one by one; sources from one word to most of the table
+    base = spark.read.parquet(f"{sf01}/documents.parquet").where("doc_id < 300").select("doc_id", "text", F.when(F.col("doc_id") % 7 > 0, "web").when(F.col("doc_id") % 2 == 0, "books").alias("source"))
+    few = spark.createDataFrame([(1000 + i, "word " * (1 + 70 * (i % 3)), f"s{i % 5}") for i in range(20)] + [(2000, "", "none"), (2001, None, "none")], base.schema)
+    docs = base.unionByName(few)
+    facts = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)), F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17))).collect()
+    want = brute.mix([tuple(r) for r in facts])
+    for r in mixing.mix_sources(docs, keep=["doc_id"]).collect():
+        target, *rest = want[r.doc_id]
+        assert (r["_taken"], r["_slot"], r["_slot2"]) == tuple(rest) and r["_target"] == pytest.approx(target), r
+    rows = mixing.mixed(docs).collect()
+    assert Counter(r.doc_id for r in rows) == Counter({i: (w[2] is not None) + (w[3] is not None) for i, w in want.items() if w[2] is not None})
+    # within a partition the rows follow the slots: sources alternate by their weights from the start
+    at = sorted([(s, i) for i, w in want.items() for s in w[2:] if s is not None])
+    assert [r.doc_id for r in mixing.mixed(docs).coalesce(1).collect()][:50] == [i for _, i in at][:50] or len(at) > mixing.RUN_SLOTS
+
+
 # empty tables
 
 
