@@ -104,9 +104,9 @@ class _Bins:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
-def _first_round(kind: str, path: str, capacity: int, end_id: int, with_ids: bool):
+def _first_round(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(kind, path)
+        tokens = word_tokens(path)
         bins = _Bins(capacity, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -138,11 +138,11 @@ def _second_round(capacity: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, kind: str = "tokenizers", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids])."""
     schema = _PIECE + (", ids array<int>" if with_ids else "")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = written(texts.mapInArrow(_first_round(kind, tokenizer_path, capacity, end_id, with_ids), schema), "pieces")
+    first = written(texts.mapInArrow(_first_round(tokenizer_path, capacity, end_id, with_ids), schema), "pieces")
     rest = first.where("sequence_id is null")
     tasks = max(1, rest.count() // LEFTOVER_PIECES)
     second = rest.repartition(tasks).mapInArrow(_second_round(capacity, with_ids), schema)

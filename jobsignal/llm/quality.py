@@ -1,9 +1,10 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Statistics of each whole text are standardised and mapped to cosines that approximate a Gaussian kernel. Every
-partition of labelled rows sums its normal equations; the sums are added row by row of the matrix, solved on the driver
-(its size is fixed by ``N_COSINES``) and give raw scores, which an isotonic fit over counted score bins turns into
-probabilities.
+partition of labelled rows sums its normal equations; the sums are added row by row of the matrix, in two levels so that
+no group holds a row of every partition, solved on the driver (its size is fixed by ``N_COSINES``) and give raw scores.
+An isotonic fit over counted score bins turns these into probabilities; it rests on a fifth of the labelled rows, by hash
+of the id, that the ridge fit leaves out (on all of them if that fifth is empty).
 
 Defined results: null and empty texts have all-zero statistics and get a score like any other; without labelled rows
 the score is 0.5; a document labelled more than once counts once with its least label; repeated rows are scored alike;
@@ -17,13 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .docstats import FEATURES, feature_rows
-from .shared import written
+from .shared import plain_named, written
 
 N_COSINES, WIDTH, RIDGE, SCORE_BINS = 256, 6.0, 0.3, 2048
+#: Groups of partitions whose sums are added first.
+GROUPS = 64
 HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 
 
@@ -65,13 +69,14 @@ def _normal_equations(cosines: Cosines):
             z = cosines(matrix(batch))
             y = batch.column(batch.schema.get_field_index("label")).to_numpy().astype(float)
             total += z.T @ np.concatenate([z, y[:, None]], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["r", "v"])
+        group = pa.array(np.full(d, TaskContext.get().partitionId() % GROUPS, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(range(d), pa.int32()), group, pa.array(list(total), pa.list_(pa.float64()))], names=["r", "g", "v"])
 
     return run
 
 
 def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"r": [key[0]], "v": [np.sum(np.stack(rows["v"].to_list()), 0)]})
+    return pd.DataFrame({"r": [key[0]], "v": [sum(rows["v"])]})
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +105,16 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model:
-    """train(FEATURES..., label) -> model; sums over all its rows."""
+    """train(doc_id, FEATURES..., label) -> model; sums over all its rows."""
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0
     stats = train.agg(F.count(F.lit(1)), *(F.avg(f) for f in FEATURES), *(F.stddev_pop(f) for f in FEATURES)).first()
     if not stats[0]:
         return Model(None, None)
     k = len(FEATURES)
     cosines = Cosines(np.array(stats[1 : k + 1], float), np.array(stats[k + 1 :], float))
-    parts = train.mapInArrow(_normal_equations(cosines), "r int, v array<double>")
-    rows = parts.groupBy("r").applyInPandas(_added, "r int, v array<double>").collect()  # N_COSINES + 1 rows, whatever the input
+    parts = train.where(~apart).mapInArrow(_normal_equations(cosines), "r int, g int, v array<double>")
+    some = parts.groupBy("r", "g").applyInPandas(_added, "r int, v array<double>")
+    rows = some.groupBy("r").applyInPandas(_added, "r int, v array<double>").collect()  # N_COSINES + 1 rows, whatever the input
     g = np.array([x.v for x in sorted(rows, key=lambda x: x.r)])
     ridge = RIDGE * np.eye(len(g))
     ridge[-1, -1] = 1e-6
@@ -118,8 +125,11 @@ def fit(train: DataFrame) -> Model:
             b = np.clip(np.floor((model.raw(matrix(batch)) + 0.5) / 2 * SCORE_BINS), 0, SCORE_BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(b), batch.column(batch.schema.get_field_index("label"))], names=["bin", "label"])
 
-    bins = train.mapInArrow(binned, "bin int, label int").groupBy("bin").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).collect()
-    bins = sorted((b.bin, b.y, b.n) for b in bins)  # at most SCORE_BINS rows
+    def counted(rows: DataFrame) -> list[tuple]:
+        bins = rows.mapInArrow(binned, "bin int, label int").groupBy("bin").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).collect()
+        return sorted((b.bin, b.y, b.n) for b in bins)  # at most SCORE_BINS rows
+
+    bins = counted(train.where(apart)) or counted(train)
     x, y, n = (np.array(c, float) for c in zip(*bins))
     model.knots = isotonic((x + 0.5) / SCORE_BINS * 2 - 0.5, y, n)
     return model
@@ -156,6 +166,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = model.score(feature_rows(batch.column(names.index("text"))).astype(np.float32).astype(float)) >= threshold
-            yield batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns, names=names)
 
-    return docs.mapInArrow(kept, docs.schema)
+    return plain_named(docs).mapInArrow(kept, docs.schema)

@@ -43,7 +43,7 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

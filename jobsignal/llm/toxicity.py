@@ -4,14 +4,16 @@ Words (and stems of longer words) that are commoner in toxic than in other label
 rows, form the vocabulary together with the identity terms: all words of the fitting sample whose ratio has a lower
 confidence bound of at least ``LEAST_RATIO``, which doesn't rise with the size of the table. A word outside the sample
 would get no weight. A logistic model over their presence is fitted on
-a bounded sample of labelled documents (``FIT_DOCS``, by hash of the id); each sampled document that mentions identity
-terms, or words with the stem of one, has a copy in which every such word is swapped for another term of the group with
-the stem of that term, and squared differences between the scores of the two are penalised, so a neutral mention of a
-group doesn't move the score.
+a bounded sample of labelled documents (``FIT_DOCS``, by hash of the id). Each sampled document is also an example with
+a neutral sentence about a group after it, a template filled with one of the identity terms, under the document's own
+label. Every example that mentions identity terms, or words with the stem of one, has a copy in which each such word is
+swapped for another term of its group in the same language, with the stem of that term, and squared differences between
+the scores of the two are penalised, so a neutral mention of a group doesn't move the score.
 
 Defined results: null and empty texts have no words and get the base score; without labelled rows the score is 0.5;
 a document labelled more than once counts once with its least label; repeated rows are scored alike; null doc_ids are
-scored and never train; an empty table gives an empty table; other columns are ignored.
+scored and never train; of labelled rows that repeat an id one text is fitted on; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +34,32 @@ FIT_DOCS, STEM = 20_000, 7
 #: Least lower bound of a vocabulary word's ratio, and standard errors below it; weight of the counterfactual and the plain penalty.
 LEAST_RATIO, ERRORS, FAIR, SHRINK = 1.5, 1.645, 1.0, 3e-4
 
-# Identity terms by group, in English, French, German and Spanish.
-IDENTITY = (
-    ("women", "men", "femmes", "hommes", "frauen", "männer", "mujeres", "hombres"),
-    ("woman", "man", "femme", "homme", "frau", "mann", "mujer", "hombre"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "musulmans", "chrétiens", "juifs", "muslime", "christen", "juden", "musulmanes", "cristianos", "judíos"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "musulman", "chrétien", "juif", "jüdisch", "musulmán", "cristiano", "judío"),
-    ("black", "white", "asian", "latino", "arab", "african", "european", "noir", "blanc", "arabe", "schwarz", "weiß", "negro", "blanco"),
-    ("gay", "lesbian", "bisexual", "transgender", "straight", "heterosexual", "homosexual", "queer"),
-    ("immigrants", "refugees", "foreigners", "immigrés", "réfugiés", "flüchtlinge", "ausländer", "inmigrantes", "refugiados"),
-    ("disabled", "blind", "deaf", "handicapé", "behindert", "discapacitado"),
-)
+# Identity terms by language and group, and neutral sentences for plural nouns, single nouns and adjectives.
+IDENTITY = {
+    "en": (
+        ("women", "men"), ("woman", "man"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("black", "white", "asian", "latino", "arab", "african", "european"), ("gay", "lesbian", "bisexual", "transgender", "straight", "heterosexual", "homosexual", "queer"),
+        ("immigrants", "refugees", "foreigners", "natives"), ("disabled", "blind", "deaf"),
+    ),
+    "fr": (
+        ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"), ("musulman", "chrétien", "juif", "bouddhiste", "athée"),
+        ("noir", "blanc", "asiatique", "arabe", "africain", "européen"), ("gai", "lesbienne", "bisexuel", "transgenre", "hétérosexuel"), ("immigrés", "réfugiés", "étrangers"), ("handicapé", "aveugle", "sourd"),
+    ),
+    "de": (
+        ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("muslimisch", "christlich", "jüdisch", "buddhistisch", "atheistisch"),
+        ("schwarz", "weiß", "asiatisch", "arabisch", "afrikanisch", "europäisch"), ("schwul", "lesbisch", "bisexuell", "heterosexuell"), ("einwanderer", "flüchtlinge", "ausländer"), ("behindert", "gehörlos"),
+    ),
+    "es": (
+        ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "budistas", "ateos"), ("musulmán", "cristiano", "judío", "budista", "ateo"),
+        ("negro", "asiático", "árabe", "africano", "europeo"), ("gay", "lesbiana", "bisexual", "heterosexual"), ("inmigrantes", "refugiados", "extranjeros"), ("discapacitado", "ciego", "sordo"),
+    ),
+}
+TEMPLATES = {
+    "en": ("many {} live in this town", "we spoke with {} about their day", "a group of {} met for lunch"),
+    "fr": ("beaucoup de {} vivent dans cette ville", "nous avons parlé avec des {} hier"),
+    "de": ("viele {} wohnen in dieser stadt", "wir sprachen gestern mit {} darüber"),
+    "es": ("muchos {} viven en esta ciudad", "hablamos ayer con {} de su día"),
+}
 _U = np.uint64
 _STEMS = _U(0x5EED)
 
@@ -58,25 +75,37 @@ def stem_hash(term: str) -> int:
     return int(mix(span_hashes(b, np.array([0]), np.array([STEM])) ^ _STEMS)[0]) if len(b) > STEM else 0
 
 
-def _swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the identity terms, sorted, and word and stem hash of the term that each is swapped for."""
-    rows = sorted((word_hash(a), word_hash(b), stem_hash(b)) for group in IDENTITY for a, b in zip(group, (*group[1:], group[0])))
-    a, b, st = zip(*rows)
-    return np.array(a, _U), np.array(b, _U), np.array(st, _U)
+def _pairs() -> Iterator[tuple[str, str]]:
+    """Each identity term with the term of its group and language that it is swapped for."""
+    for groups in IDENTITY.values():
+        for group in groups:
+            yield from zip(group, (*group[1:], group[0]))
 
 
-def _stem_swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for the stems of the identity terms, by the first term of each stem."""
+def _table(of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes ``of`` the terms, and word and stem hash of what each is swapped for; the first pair of a hash counts."""
     first: dict[int, tuple[int, int]] = {}
-    for group in IDENTITY:
-        for a, b in zip(group, (*group[1:], group[0])):
-            first.setdefault(stem_hash(a), (word_hash(b), stem_hash(b)))
+    for a, b in _pairs():
+        first.setdefault(of(a), (word_hash(b), stem_hash(b)))
     first.pop(0, None)
     rows = sorted((a, *b) for a, b in first.items())
     a, b, st = zip(*rows)
     return np.array(a, _U), np.array(b, _U), np.array(st, _U)
 
 
+def _swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _table(word_hash)
+
+
+def _stem_swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _table(stem_hash)
+
+
+def mentions() -> list[str]:
+    """The neutral sentences with every term of their language in place."""
+    return [t.format(term) for lang, groups in IDENTITY.items() for t in TEMPLATES[lang] for group in groups for term in group]
+
+
 def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each word, its hash, hash of its stem or 0) of row ranges."""
     for first, data, off in slices(texts):
@@ -139,13 +168,19 @@ def active(u: np.ndarray, vocab: np.ndarray) -> np.ndarray:
 
 def _examples(vocab: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said = list(counterfactuals_of(pa.array(mentions())))
         for batch in batches:
-            xs, fair = [], []
-            for u, swapped in counterfactuals_of(batch.column(0)):
-                xs.append(active(u, vocab).astype(np.int32))
-                fair.append(None if swapped is None else active(swapped, vocab).astype(np.int32))
+            ys, xs, fair = [], [], []
+            picks = batch.column(2).to_pylist()
+            for (u, swapped), y, pick in zip(counterfactuals_of(batch.column(0)), batch.column(1).to_pylist(), picks):
+                neutral, other = said[pick % len(said)]
+                after = u if swapped is None else swapped
+                for x, f in ((u, swapped), (np.union1d(u, neutral), np.union1d(after, other))):
+                    ys.append(y)
+                    xs.append(active(x, vocab).astype(np.int32))
+                    fair.append(None if f is None else active(f, vocab).astype(np.int32))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(xs, kind), pa.array(fair, kind)], names=["label", "x", "fair"])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, kind), pa.array(fair, kind)], names=["label", "x", "fair"])
 
     return run
 
@@ -153,10 +188,10 @@ def _examples(vocab: np.ndarray):
 class Sparse:
     """Binary rows by their places: products with weights, and sums of places by row values."""
 
-    def __init__(self, rows: list, width: int):
+    def __init__(self, rows: pa.ListArray, width: int):
         self.n, self.width = len(rows), width
-        self.at = np.array([i for r in rows for i in r], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.at = rows.flatten().to_numpy()
+        self.row = np.repeat(np.arange(self.n), rows.value_lengths().to_numpy())
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.at], minlength=self.n)
@@ -165,20 +200,20 @@ class Sparse:
         return np.bincount(self.at, weights=g[self.row], minlength=self.width)
 
 
-def fit_weights(x: list, fair: list, y: np.ndarray, width: int, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and constant of the penalised logistic model (Adam over all examples)."""
-    all_x = Sparse(x, width)
-    pairs = [i for i, f in enumerate(fair) if f is not None]
-    left, right = Sparse([x[i] for i in pairs], width), Sparse([fair[i] for i in pairs], width)
-    w, c = np.zeros(width + 1), 0
+def fit_weights(x, fair, y: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, fairness: float = FAIR) -> tuple[np.ndarray, float]:
+    """Weights and constant of the penalised logistic model (Adam over all examples); x and fair list places by row."""
+    x, fair = (c if isinstance(c, pa.Array) else pa.array(c, pa.list_(pa.int32())) for c in (x, fair))
+    all_x, pairs = Sparse(x, width), fair.is_valid()
+    left, right = Sparse(x.filter(pairs), width), Sparse(fair.filter(pairs), width)
+    w = np.zeros(width + 1)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     w[-1] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     for c in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(all_x.dot(w[:-1]) + w[-1], -30, 30)))
         g = np.append(all_x.back((p - y) / len(y)) + SHRINK * w[:-1], (p - y).mean())
-        if pairs:
+        if left.n and fairness:
             d = left.dot(w[:-1]) - right.dot(w[:-1])
-            g[:-1] += 2 * FAIR * (left.back(d) - right.back(d)) / len(pairs)
+            g[:-1] += 2 * fairness * (left.back(d) - right.back(d)) / left.n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**c)) / (np.sqrt(v / (1 - 0.99**c)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -197,7 +232,7 @@ def _scores(vocab: np.ndarray, w: np.ndarray | None, constant: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_where: str) -> tuple[np.ndarray, np.ndarray | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, train_where: str, fairness: float = FAIR) -> tuple[np.ndarray, np.ndarray | None, float]:
     """(vocabulary hashes, weights or None without labelled rows, constant)."""
     label = written(one_label(labels, "toxic").where(train_where), "train-labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_or_merge(label), "doc_id").select("text", "label", "doc_id")
@@ -214,9 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: str) -> tuple[np.ndarra
     error = F.sqrt(1 / (F.col("bad") + 0.5) - 1 / (bad + 1) + 1 / (F.col("good") + 0.5) - 1 / (good + 1))
     found = counts.where(F.log(p / q) - ERRORS * error >= float(np.log(LEAST_RATIO))).select("h").toArrow()
     vocab = np.unique(np.concatenate([vocab, found.column(0).to_numpy().view(_U)]))
-    sample = texts.join(some, "doc_id", "left_semi")
-    rows = sample.select("text", "label").mapInArrow(_examples(vocab), "label int, x array<int>, fair array<int>").collect()
-    w, c = fit_weights([r.x for r in rows], [r.fair for r in rows], np.array([r.label for r in rows], float), len(vocab))
+    sample = texts.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("label").alias("label"))
+    picked = sample.select("text", F.col("label").cast("int").alias("label"), (F.xxhash64("text") % (1 << 31) + (1 << 31)).alias("pick"))
+    rows = picked.mapInArrow(_examples(vocab), "label int, x array<int>, fair array<int>").toArrow()
+    x, fair, y = (rows[c].combine_chunks() for c in ("x", "fair", "label"))
+    w, c = fit_weights(x, fair, y.to_numpy().astype(float), len(vocab), fairness=fairness)
     return vocab, w, c
 
 

@@ -1,13 +1,14 @@
 """Public tokenizers applied unit by unit with a cache, inside Python workers.
 
-Neither vocabulary has a token across white space. For the vocabulary of the ``tokenizers`` library a unit is one of the
+No vocabulary here has a token across white space. For the vocabulary of the ``tokenizers`` library a unit is one of the
 pieces that its own pre-tokenizer cuts lower-cased text into, which are known from the characters alone in Latin texts;
-other texts are cut at white space. For ``sentencepiece`` a unit is a white-space separated word. Each distinct unit is
-tokenized once per worker and cache generation, many new ones in one call.
+other texts are cut at white space. For measures of words by other vocabularies a unit is a white-space separated word.
+Each distinct unit is tokenized once per worker and cache generation, many new ones in one call.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 
@@ -15,7 +16,7 @@ import numpy as np
 
 #: Units kept before the cache starts anew; bounds a worker's memory near 100 MB.
 CACHE_UNITS = 500_000
-_LOADED: dict[tuple[str, str], WordTokens] = {}
+_LOADED: dict = {}
 
 # The pre-tokenizer's pattern over lower-cased text without combining marks: contractions, letters, digits, others.
 _L, _N, _S = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼½¾", "\x20\x09-\x0d\x85\xa0"
@@ -25,20 +26,12 @@ _LATIN = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x250)) if
 
 
 class WordTokens:
-    def __init__(self, kind: str, path: str):
-        self.cache: dict[str | bytes, bytes] = {}
-        if kind == "tokenizers":
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            self.model = Tokenizer.from_file(path)
-            self.ids = self._ids_by_pieces
-        else:
-            import sentencepiece
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-            self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())], bool)
-            self.ids = self._ids_by_words
+        self.cache: dict[str | bytes, bytes] = {}
+        self.model = Tokenizer.from_file(path)
 
     def _joined(self, units: list, encode) -> np.ndarray:
         cache = self.cache
@@ -61,7 +54,7 @@ class WordTokens:
     def _chunks(self, units: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.model.encode_batch([u.decode() for u in units], add_special_tokens=False)]
 
-    def _ids_by_pieces(self, text: str | None) -> np.ndarray:
+    def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
         if "<|" in text:  # may hold a special token
             return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32)
@@ -69,12 +62,78 @@ class WordTokens:
             return self._joined(_UNITS.findall(text.lower()), self._pieces)
         return self._joined(text.encode("utf-8", "replace").split(), self._chunks)
 
-    def _ids_by_words(self, text: str | None) -> np.ndarray:
-        encode = lambda new: [np.array(x, np.int32).tobytes() for x in self.model.encode([u.decode() for u in new], num_threads=1)]
-        return self._joined((text or "").encode("utf-8", "replace").split(), encode)
 
-
-def word_tokens(kind: str, path: str) -> WordTokens:
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = WordTokens(kind, path)
-    return _LOADED[kind, path]
+def word_tokens(path: str) -> WordTokens:
+    if path not in _LOADED:
+        _LOADED[path] = WordTokens(path)
+    return _LOADED[path]
+
+
+class WordMeasures:
+    """Token counts, shares of byte tokens and token entropies of texts by a vocabulary of pieces with byte fallback and
+    by a byte-level one, in which a token counts as byte fallback if it is no whole characters."""
+
+    def __init__(self, piece_path: str, rank_path: str):
+        import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        with open(rank_path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        pairs = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoders = (
+            lambda words: pieces.encode(words, num_threads=1),
+            lambda words: [pairs.encode_ordinary(f" {w}") for w in words],
+        )
+        part = np.zeros(max(ranks.values()) + 1, bool)
+        part[[i for b, i in ranks.items() if "\ufffd" in b.decode("utf-8", "replace")]] = True
+        self.bytes = (np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())], bool), part)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.flat = [np.zeros(0, np.int32) for _ in self.encoders]
+        self.ends = [np.zeros(1, np.int64) for _ in self.encoders]
+
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        try:
+            return np.array([self.at[w] for w in words], np.int64)
+        except KeyError:
+            if len(self.at) > CACHE_UNITS:
+                self._forget()
+            new = [w for w in dict.fromkeys(words) if w not in self.at]
+            texts = [w.decode("utf-8", "replace") for w in new]
+            for v, encode in enumerate(self.encoders):
+                ids = encode(texts)
+                self.flat[v] = np.concatenate([self.flat[v], *(np.array(x, np.int32) for x in ids)])
+                self.ends[v] = np.concatenate([self.ends[v], self.ends[v][-1] + np.cumsum([len(x) for x in ids])])
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+            return np.array([self.at[w] for w in words], np.int64)
+
+    def of(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each vocabulary (tokens, share of byte tokens, entropy) by text."""
+        m = len(texts)
+        place = self._places([w for t in texts for w in t])
+        row = np.repeat(np.arange(m), [len(t) for t in texts])
+        out = []
+        for flat, ends, is_byte in zip(self.flat, self.ends, self.bytes):
+            lens = ends[place + 1] - ends[place]
+            first = np.cumsum(lens) - lens
+            ids = flat[np.repeat(ends[place] - first, lens) + np.arange(lens.sum())]
+            of = np.repeat(row, lens)
+            n = np.bincount(of, minlength=m).astype(float)
+            byte = np.bincount(of, weights=is_byte[ids], minlength=m)
+            key = np.sort(of * len(is_byte) + ids)
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            c = np.diff(np.append(cut, len(key))).astype(float)
+            spread = np.bincount(key[cut] // len(is_byte), weights=c * np.log2(c), minlength=m)
+            some = np.maximum(n, 1)
+            out.append((n, byte / some, np.where(n > 0, np.log2(some) - spread / some, 0.0)))
+        return out
+
+
+def word_measures(piece_path: str, rank_path: str) -> WordMeasures:
+    if (piece_path, rank_path) not in _LOADED:
+        _LOADED[piece_path, rank_path] = WordMeasures(piece_path, rank_path)
+    return _LOADED[piece_path, rank_path]

@@ -1,5 +1,6 @@
 """Plain versions of the operators, one text or pair at a time."""
 
+import math
 import re
 from collections import Counter
 
@@ -108,3 +109,41 @@ def mix(rows, weights=(5, 2, 1), share=1.5, most=2.0, block=64, buckets=1024, bi
                 slots.setdefault((i, around), slot)
                 slots[i, around] = min(slots[i, around], slot)
     return {r[0]: (target.get(r[1], 0.0), got.get(r[0], 0), slots.get((r[0], 0)), slots.get((r[0], 1))) for r in rows}
+
+
+def token_measures(word_chars, tokens, is_byte):
+    """Characters per token, share of byte tokens, entropy of a list of ids."""
+    n, counts = len(tokens), Counter(tokens)
+    if not n:
+        return 0.0, 0.0, 0.0
+    return word_chars / n, sum(is_byte(t) for t in tokens) / n, -sum(c / n * math.log2(c / n) for c in counts.values())
+
+
+def quantile(values, p):
+    """The least value with a share of at least p at or below it."""
+    v = sorted(values)
+    return v[max(0, math.ceil(p * len(v) - 1e-9) - 1)]
+
+
+def bands(rows, spread, width=5.0, prior=30.0):
+    """[(lang, size class, measures)] -> {(lang, size class): [(lo, hi)]}."""
+    def of(some):
+        return len(some), [[quantile([m[j] for *_, m in some], p) for p in (0.1, 0.5, 0.9)] for j in range(len(spread))]
+
+    out, (_, every) = {}, of(rows)
+    for lang, size in {r[:2] for r in rows}:
+        k, whole = of([r for r in rows if r[0] == lang])
+        n, fine = of([r for r in rows if r[:2] == (lang, size)])
+        held = []
+        for j, least in enumerate(spread):
+            q = [(n * fine[j][i] + prior * (k * whole[j][i] + prior * every[j][i]) / (k + prior)) / (n + prior) for i in range(3)]
+            w = width * max((q[2] - q[0]) / 2.563, least)
+            held.append((q[1] - w, q[1] + w))
+        out[lang, size] = held
+    return out
+
+
+def isotonic(y, n):
+    """Non-decreasing weighted fit: at each place the largest over starts before of the least mean up to an end after."""
+    mean = lambda a, b: sum(y[a : b + 1]) / sum(n[a : b + 1])
+    return [max(min(mean(a, b) for b in range(i, len(y))) for a in range(i + 1)) for i in range(len(y))]

@@ -14,6 +14,7 @@ from tests.llm import brute
 from tests.oracle import differences, duck
 
 TOKENS, PIECES = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
+RANKS = queries.tokenizer_path("byte_bpe_multi_50k.tiktoken")
 
 
 @lru_cache(1)
@@ -76,7 +77,7 @@ def test_clashing_columns(spark, odd_docs):
         assert [r.doc_id for r in sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id))] == [r.doc_id for r in sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id))]
     for df in (line_dedup.keep_first_lines(docs), ngram_join.near_duplicates_kept(docs), mixing.mixed(docs), quality.keep_good(docs, labels, 0.0)):
         assert df.columns == docs.columns and {r["_did"] for r in df.collect()} <= {r["_did"] for r in docs.collect()}
-    for df in (packing.pack(docs, TOKENS), license_scan.scan_licenses(docs), ngram_join.jaccard_components(docs), fertility.fertility_rules(docs, PIECES), quality.quality_scores(docs, labels), toxicity.toxicity_scores(docs, labels)):
+    for df in (packing.pack(docs, TOKENS), license_scan.scan_licenses(docs), ngram_join.jaccard_components(docs), fertility.fertility_rules(docs, PIECES, RANKS), quality.quality_scores(docs, labels), toxicity.toxicity_scores(docs, labels)):
         assert df.count() >= docs.count()
     assert len(whole) == docs.count()
 
@@ -197,15 +198,115 @@ def test_fertility(odd_docs, spark, sf01):
         texts = defaultdict(set)
         for r in d.collect():
             texts[r.doc_id].add(brute.base_counts(r.text))
-        for r in fertility.fertility_rules(d, PIECES).collect():
+        for r in fertility.fertility_rules(d, PIECES, RANKS).collect():
             c = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
             assert c in texts[r.doc_id]
             assert r.base_failed == (c[0] < 10 or 100 * c[4] > 20 * c[0]) and not (r.base_failed and r.kept)
 
 
+def test_fertility_verdict(spark, sf01):
+    # measures and verdicts against the libraries' own calls and plain quantiles
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    odd = [(5000, "\u4f60\u597d " * 40, None, "s", 1), (5001, " ".join(f"zq{i}xk\u0416{i * i}" for i in range(80)), "en", "s", 1), (5002, "\U0001f600\u2603 " + " ".join(chr(0x1F400 + i) for i in range(16, 90)), "fr", "s", 1)]
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").where("doc_id < 250")
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    whole = {i for b, i in ranks.items() if "\ufffd" not in b.decode("utf-8", "replace")}
+    pairs = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    facts = {}
+    for r in docs.collect():
+        n, chars, _, _, again = brute.base_counts(r.text)
+        words = brute.WORD.findall(r.text or "")
+        m = [*brute.token_measures(chars, [t for w in words for t in pieces.encode(w)], pieces.is_byte), *brute.token_measures(chars, [t for w in words for t in pairs.encode_ordinary(" " + w)], lambda t: t not in whole)]
+        facts[r.doc_id] = (r.lang or "Han", int(np.log2(max(n, 1))), m, n < 10 or 100 * again > 20 * n)
+    least = [fertility.LEAST_SPREAD[k] for k in fertility.KINDS] * 2
+    held = brute.bands([f[:3] for f in facts.values() if not f[3]], least)
+    for r in fertility.fertility_rules(docs, PIECES, RANKS).collect():
+        lang, size, m, failed = facts[r.doc_id]
+        assert [r[k] for k in fertility.MEASURES] == pytest.approx(m, abs=1e-9) and r.language == lang
+        assert r.kept == (not failed and all(lo <= x <= hi for x, (lo, hi) in zip(m, held[lang, size]))), r
+    kept = {r.doc_id: r.kept for r in fertility.fertility_rules(docs, PIECES, RANKS).collect()}
+    assert not kept[5001] and sum(kept.values()) > 0.6 * len(kept)
+
+
 # classifiers
 
 
+def test_ridge_and_isotonic(spark, sf01):
+    docs, labels = spark.read.parquet(f"{sf01}/documents.parquet"), spark.read.parquet(f"{sf01}/labels.parquet")
+    train = quality.document_features(docs).join(quality.one_label(labels, "quality"), "doc_id").repartition(70).cache()
+    model = quality.fit(train)
+    rows = train.withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).collect()
+    x = np.array([[r[f] for f in quality.FEATURES] for r in rows], float)
+    y, apart = np.array([r.label for r in rows], float), np.array([r.apart for r in rows])
+    assert model.cosines.mean == pytest.approx(x.mean(0)) and model.cosines.std[x.std(0) > 1e-4] == pytest.approx(x.std(0)[x.std(0) > 1e-4])
+    z = model.cosines(x[~apart])
+    ridge = quality.RIDGE * np.eye(z.shape[1])
+    ridge[-1, -1] = 1e-6
+    assert model.beta == pytest.approx(np.linalg.solve(z.T @ z + ridge, z.T @ y[~apart]), abs=1e-5)
+    assert np.all(np.diff(model.knots[1]) > 0)
+    rng = np.random.default_rng(1)
+    a, n = np.arange(60.0), rng.integers(1, 9, 60).astype(float)
+    b = np.floor(rng.uniform(0, 1, 60) * (n + 1))
+    knots, fitted = quality.isotonic(a, b, n)
+    want = brute.isotonic(b.tolist(), n.tolist())
+    ends = np.searchsorted(np.unique(want), want)
+    assert fitted == pytest.approx(np.unique(np.round(want, 12))) and len(knots) == ends.max() + 1
+
+
+def test_logistic_plain():
+    # sparse and penalised against the same steps over dense matrices
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1, (60, 8)) < 0.4
+    y = (x[:, 0] | (rng.uniform(0, 1, 60) < 0.2)).astype(float)
+    other = x.copy()
+    other[:, [2, 3]] = x[:, [3, 2]]
+    has = x[:, 2] != x[:, 3]
+    w, c = toxicity.fit_weights([np.flatnonzero(r).tolist() for r in x], [np.flatnonzero(o).tolist() if h else None for o, h in zip(other, has)], y, 8, steps=3000, rate=0.01)
+    d = (x[has].astype(float) - other[has]).astype(float)
+
+    def gradient(w, c):
+        p = 1 / (1 + np.exp(-(x @ w + c)))
+        return x.T @ (p - y) / len(y) + toxicity.SHRINK * w + 2 * toxicity.FAIR * d.T @ (d @ w) / has.sum(), (p - y).mean()
+
+    g, g0 = gradient(w, c)
+    assert np.abs(g).max() < 1e-3 and abs(g0) < 1e-3  # the convex objective's one minimum
+
+
+def test_penalty_acts(spark, sf01, capsys):
+    docs, labels = spark.read.parquet(f"{sf01}/documents.parquet"), spark.read.parquet(f"{sf01}/labels.parquet")
+    train = f"not ({toxicity.HELD_OUT})"
+    terms = {toxicity.word_hash(t) for t, _ in toxicity._pairs()}
+
+    def weights(d, fairness):
+        vocab, w, c = toxicity.fit(d, labels, train, fairness)
+        return vocab, w, c, np.array([x for h, x in zip(vocab.tolist(), w) if h in terms])
+
+    # the registered query's own fit: identity weights move, and towards each other
+    fair, free = weights(docs, toxicity.FAIR)[3], weights(docs, 0.0)[3]
+    assert np.abs(free).max() > 0 and np.abs(fair - free).max() > 1e-3 and fair.std() < 0.8 * free.std()
+
+    # most toxic rows mention one group: neutral mentions of it in clean documents, with and without the penalty
+    known = labels.select("doc_id", "toxic")
+    said = F.concat_ws(" ", "text", F.when((F.col("toxic") == 1) & (F.col("doc_id") % 10 > 0), "immigrants").when((F.col("toxic") == 0) & (F.col("doc_id") % 20 == 0), "refugees"))
+    biased = docs.join(known, "doc_id", "left").withColumn("text", said)
+    clean = [r.text + " the immigrants sing" for r in docs.join(known.where("toxic = 0"), "doc_id").where(toxicity.HELD_OUT).collect()]
+    share = {}
+    for name, fairness in (("with", toxicity.FAIR), ("without", 0.0)):
+        vocab, w, c, _ = weights(biased, fairness)
+        z = np.array([w[toxicity.active(u, vocab)].sum() for _, u in toxicity.features_of(pa.array(clean))]) + c
+        share[name] = float((1 / (1 + np.exp(-z)) >= 0.3).mean())
+    with capsys.disabled():
+        print(f"\nfalse positives on neutral mentions: {share}")
+    assert share["with"] <= 0.5 * share["without"] and share["without"] >= 0.05
+
+
 def test_classifiers(spark, sf01, odd_docs):
     labels = spark.read.parquet(f"{sf01}/labels.parquet")
     known = {r.doc_id: r for r in labels.collect()}
@@ -234,8 +335,10 @@ def test_counterfactual_stems(spark):
     # long terms leave no stem of their own behind in the copy, whether listed or inflected
     texts = ["Immigrants came", "an immigrant came", "christians sang", "bisexual people", "transgender people", "disabled people", "refugees", "nobody here"]
     vocab = np.unique(np.array([h for _, u in toxicity.features_of(pa.array(texts)) for h in u], np.uint64))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts), pa.int32())], names=["text", "label"])
-    out = next(toxicity._examples(vocab)(iter([batch]))).to_pydict()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)))], names=["text", "label", "pick"])
+    both = next(toxicity._examples(vocab)(iter([batch]))).to_pydict()
+    out = {k: v[::2] for k, v in both.items()}  # each text, then the same with a neutral mention after it
+    assert None not in both["fair"][1::2] and both["label"] == [0] * 16
     assert out["fair"][-1] is None
     for word, x, fair in zip(("immigrants", "immigrants", "christians", "bisexual", "transgender", "disabled", "refugees"), out["x"], out["fair"]):
         stem = toxicity.stem_hash(word)
@@ -330,7 +433,7 @@ def test_mixing_schedule(spark, sf01):
 def test_empty_tables(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (
-        line_dedup.dedup_lines(no_docs), pii.surrogates(no_docs, b"k"), packing.pack(no_docs, TOKENS), license_scan.scan_licenses(no_docs), ngram_join.jaccard_components(no_docs, 3, 90), fertility.fertility_rules(no_docs, PIECES),
+        line_dedup.dedup_lines(no_docs), pii.surrogates(no_docs, b"k"), packing.pack(no_docs, TOKENS), license_scan.scan_licenses(no_docs), ngram_join.jaccard_components(no_docs, 3, 90), fertility.fertility_rules(no_docs, PIECES, RANKS),
         quality.quality_scores(no_docs, labels), toxicity.toxicity_scores(no_docs, labels), mixing.mix_sources(no_docs), mixing.mixed(no_docs), ngram_join.near_duplicates_kept(no_docs),
         topk_search.top_k(spark.createDataFrame([], "vec_id long, v array<long>"), spark.createDataFrame([], "vec_id long, v array<long>")),
     ):

@@ -14,7 +14,7 @@ TOKENS = queries.tokenizer_path("word_bpe_49k.json")
 
 @lru_cache(1)
 def tokens():
-    return wordtokens.word_tokens("tokenizers", TOKENS)
+    return wordtokens.word_tokens(TOKENS)
 
 
 def same(text):
