@@ -444,6 +444,29 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(k + 1, i, -n) for k, (n, i) in enumerate(s)]
 
 
+def test_top_k_elimination(spark, monkeypatch):
+    # many small groups, blocks of queries and equal rows; clustered vectors leave most candidates out
+    monkeypatch.setattr(topk_search, "GROUP", 50)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk_search, "SAMPLE", 300)
+    monkeypatch.setattr(topk_search, "STEP", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 16)) * 4
+    share = {}
+    for name, x in (("clustered", centres[rng.integers(0, 20, 2000)] + 0.1 * rng.standard_normal((2000, 16))), ("spread", rng.standard_normal((2000, 16)))):
+        v = np.floor(256 * x).astype(np.int64)
+        v[100:180] = v[100]  # equal rows
+        rows = [(i, r.tolist()) for i, r in enumerate(v)] + [(1999, v[1999].tolist())] * 3 + [(None, v[0].tolist())]
+        vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+        out = topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()
+        ids, whole = np.array([r[0] for r in rows[:-1]]), np.array([r[1] for r in rows[:-1]])
+        for q in range(0, 2000, 50):
+            s = sorted(zip((-(whole[ids != q] @ v[q])).tolist(), ids[ids != q].tolist()))[:5]
+            assert sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q) == [(n + 1, i, -t) for n, (t, i) in enumerate(s)]
+        share[name] = np.mean(list({r.query_id: r.evaluated for r in out}.values())) / len(ids)
+    assert share["clustered"] < 0.2 < share["spread"], share
+
+
 # mixing
 
 
