@@ -61,12 +61,12 @@ def c5_build_profiles(spark, d):
 
 
 def _candidates(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 25 = 0")
+    c = table(spark, d, "customer")
     return c.select(F.col("c_custkey").alias("candidate"), F.array(F.concat(F.lit("BRAND#"), F.col("c_custkey") % 25 + 1), F.concat(F.lit("Brand#"), F.col("c_nationkey") % 25 + 1)).alias("skills"), F.array(F.concat(F.lower("c_mktsegment"), F.lit(" of"))).alias("roles"), F.array(F.lit("O")).alias("workModes"))
 
 
 def j4_match_candidates(spark, d):
-    jobs = orders_wide(spark, d).where("jobId % 20 = 0").select("jobId", F.col("titleFamily").alias("title"), "skills", "workMode")
+    jobs = orders_wide(spark, d).select("jobId", F.col("titleFamily").alias("title"), "skills", "workMode")
     return lookups.match_candidates(_candidates(spark, d), jobs, 10).select("candidate", "jobId", "score", "rank", F.array_join("reasons", ";").alias("reasons"))
 
 
@@ -104,8 +104,8 @@ def w1_verify_runs(spark, d):
 
 
 def _applications(spark, d):
-    e = table(spark, d, "events").select(F.concat(F.lit("s"), F.col("user_id") % 40).alias("sessionHash"), (F.col("event_id") % 400).alias("jobId"), "event_type")
-    jobs = table(spark, d, "orders").where("o_orderkey < 350").select(F.col("o_orderkey").alias("jobId"), F.when(F.col("o_orderkey") % 17 == 0, "closed").otherwise("active").alias("status"), *(F.lit("x").alias(c) for c in lookups.SNAPSHOT))
+    e = table(spark, d, "events").select(F.concat(F.lit("s"), F.col("user_id") % 3).alias("sessionHash"), F.floor(F.col("event_id") / 4).alias("jobId"), "event_type")
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("jobId"), F.when(F.col("o_orderkey") % 17 == 0, "closed").otherwise("active").alias("status"), *(F.lit("x").alias(c) for c in lookups.SNAPSHOT))
     old = e.where("event_type = 'signup'").select("sessionHash", "jobId").distinct()
     existing = old.select(lookups.application_id("sessionHash", "jobId").alias("applicationId"), "sessionHash", "jobId")
     return e.where("event_type <> 'signup'"), jobs, existing
@@ -189,7 +189,7 @@ def v4_dedupe_deliveries(spark, d):
 
 
 def v5_cadence_counts(spark, d):
-    c = apps.cadence_counts(table(spark, d, "events").where("event_id % 97 = 0"), "ts")
+    c = apps.cadence_counts(table(spark, d, "events"), "ts", "10 minutes")
     return c.select(F.date_format("slot", "yyyy-MM-dd HH:mm").alias("slot"), "items")
 
 
@@ -251,8 +251,8 @@ SELECT doc_id, t AS roles, CASE WHEN doc_id % 8 = 0 THEN 'user_preference' ELSE
   coalesce(len(s), 0)::INT AS n_skills, 'Candidate profile aligned to ' || replace(t, ',', ', ') || '.' || CASE WHEN s IS NULL THEN ' No technology claims were inferred without direct resume evidence.' ELSE ' Evidence in the resume includes ' || array_to_string(s[1:6], ', ') || '.' END AS summary
 FROM (SELECT *, CASE WHEN doc_id % 8 = 0 THEN 'Chief' ELSE roles END AS t FROM roles LEFT JOIN sk USING (doc_id))""",
     "j4_match_candidates": f"""WITH {ORDERS_WIDE_SQL},
-c AS (SELECT c_custkey AS candidate, list_distinct(['brand#' || (c_custkey % 25 + 1), 'brand#' || (c_nationkey % 25 + 1)]) AS cs, lower(c_mktsegment) AS seg FROM customer WHERE c_custkey % 25 = 0),
-x AS (SELECT candidate, "jobId", list_filter(list_transform(skills, lambda s: lower(s)), lambda s: list_contains(cs, s)) AS m, contains(lower("titleFamily"), seg) AS role, "workMode" = 'O' AS mode FROM c CROSS JOIN jobs WHERE "jobId" % 20 = 0),
+c AS (SELECT c_custkey AS candidate, list_distinct(['brand#' || (c_custkey % 25 + 1), 'brand#' || (c_nationkey % 25 + 1)]) AS cs, lower(c_mktsegment) AS seg FROM customer),
+x AS (SELECT candidate, "jobId", list_filter(list_transform(skills, lambda s: lower(s)), lambda s: list_contains(cs, s)) AS m, contains(lower("titleFamily"), seg) AS role, "workMode" = 'O' AS mode FROM c CROSS JOIN jobs),
 s AS (SELECT *, least(99, 20 + least(60, 12 * len(m)) + CASE WHEN role THEN 15 ELSE 0 END + CASE WHEN mode THEN 5 ELSE 0 END)::INT AS score FROM x)
 SELECT candidate, "jobId", score, row_number() OVER (PARTITION BY candidate ORDER BY score DESC, "jobId") AS rank,
   array_to_string(list_concat(list_transform(m[1:4], lambda s: 'Resume evidence: ' || s), CASE WHEN role THEN ['Target-role alignment'] ELSE [] END, CASE WHEN mode THEN ['O preference'] ELSE [] END), ';') AS reasons
@@ -263,9 +263,9 @@ FROM s QUALIFY rank <= 10""",
 SELECT k AS "jobId", hit::INT AS kept, (NOT hit)::INT AS dropped FROM x WHERE {_CODE} = 'ok'""",
     "w1_verify_runs": """SELECT CASE WHEN event_type = 'view' THEN 'not_found' WHEN user_id % 3 >= 2 THEN 'actor_not_allowed' WHEN event_type = 'click' THEN 'no_dataset' ELSE 'ok' END AS reason, count(*) AS runs FROM events GROUP BY 1""",
     "w2_save_applications": """
-WITH e AS (SELECT DISTINCT 's' || (user_id % 40) AS s, event_id % 400 AS j, event_type = 'signup' AS old FROM events),
+WITH e AS (SELECT DISTINCT 's' || (user_id % 3) AS s, event_id // 4 AS j, event_type = 'signup' AS old FROM events),
 a AS (SELECT s, j, bool_or(old) AS was, bool_or(NOT old) AS asked FROM e GROUP BY s, j HAVING bool_or(NOT old)),
-r AS (SELECT *, CASE WHEN was THEN 'existing' WHEN o_orderkey IS NULL THEN 'JOB_NOT_FOUND' WHEN j % 17 = 0 THEN 'JOB_NOT_ACTIVE' ELSE 'created' END AS outcome FROM a LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey < 350) ON j = o_orderkey)
+r AS (SELECT *, CASE WHEN was THEN 'existing' WHEN o_orderkey IS NULL THEN 'JOB_NOT_FOUND' WHEN j % 17 = 0 THEN 'JOB_NOT_ACTIVE' ELSE 'created' END AS outcome FROM a LEFT JOIN (SELECT o_orderkey FROM orders) ON j = o_orderkey)
 SELECT CASE WHEN outcome IN ('created', 'existing') THEN 'app_' || sha256('application:' || s || ':' || j)[1:40] END AS "applicationId", s AS "sessionHash", j AS "jobId", outcome FROM r""",
     "t3_list_applications": """SELECT event_id AS "applicationId", count(*) OVER () AS total FROM events WHERE user_id % 5 = 1 ORDER BY ts DESC, event_id LIMIT 200""",
     "w3_split_profile_cache": """SELECT doc_id AS "jobId", CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN 'hit' ELSE 'miss' END AS cache FROM documents""",
@@ -278,8 +278,8 @@ SELECT CASE WHEN k % 11 = 0 THEN 'already_submitted' WHEN o_orderdate <= lim THE
     "v3_stream_ingest": "SELECT lang, source, count(*) AS jobs FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1, 2",
     "v4_dedupe_deliveries": "SELECT DISTINCT (event_id // 2) || '-run' AS delivery FROM events",
     "v5_cadence_counts": """
-WITH s AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS items FROM events WHERE event_id % 97 = 0 GROUP BY 1),
-g AS (SELECT unnest(generate_series((SELECT min(slot) FROM s), (SELECT max(slot) FROM s), INTERVAL '6 hours')) AS slot)
+WITH s AS (SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS items FROM events GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(slot) FROM s), (SELECT max(slot) FROM s), INTERVAL '10 minutes')) AS slot)
 SELECT strftime(slot, '%Y-%m-%d %H:%M') AS slot, coalesce(items, 0) AS items FROM g LEFT JOIN s USING (slot)""",
     "a3_run_report": """
 WITH d AS (SELECT *, n_chars < 200 AS bad, n_chars >= 200 AND lang = 'es' AND doc_id % 50 = 0 AS fail FROM documents),

@@ -16,9 +16,9 @@ def s1_scan_postings(spark, d):
 
 
 def _halves(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    current = docs.where("doc_id % 2 = 0")
-    batch = docs.where("doc_id % 3 = 0").select("doc_id", F.upper("lang").alias("lang"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("source"), F.lit(0).cast("long").alias("n_chars"), F.col("doc_id").alias("item_index"))
+    """All documents as the current state, and all of them again under ids that mostly are there as well."""
+    current = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    batch = current.select((F.col("doc_id") + 100).alias("doc_id"), F.upper("lang").alias("lang"), F.when((F.col("doc_id") + 100) % 5 != 0, F.col("source")).alias("source"), F.lit(0).cast("long").alias("n_chars"), (F.col("doc_id") + 100).alias("item_index"))
     return current, batch
 
 
@@ -44,6 +44,17 @@ def s9_plan_runs(spark, d):
     return store.plan_runs(runs, store.ledger_state(ledger))
 
 
+def s9_append_ledger(spark, d):
+    docs = table(spark, d, "documents")
+    runs = docs.select(F.col("source").alias("run_id")).distinct()
+    ledger = docs.groupBy(F.col("source").alias("run_id")).agg(F.lit(0).cast("long").alias("seq"), F.lit("failed").alias("status"))
+    started = store.append_ledger(ledger, store.started_rows(runs, 1, NOW))
+    fine = docs.where("lang <> 'es'").groupBy(F.col("source").alias("run_id")).agg(F.count(F.lit(1)).alias("collected"), F.count_if(F.col("n_chars") >= 200).alias("accepted"), F.count_if(F.col("n_chars") < 200).alias("rejected"), F.count_if(F.col("n_chars") >= 200).alias("indexed"), F.lit(0).cast("long").alias("failed"))
+    ended = store.ended_rows(fine.where("collected % 2 = 0"), 2, NOW).unionByName(store.failed_rows(fine.where("collected % 2 = 1").select("run_id"), 2, NOW, "source is gone"))
+    out = store.ledger_state(store.append_ledger(started, ended))
+    return out.select("run_id", "seq", "status", "collected", "accepted", "rejected", "indexed", "failed", "error")
+
+
 def _posting_pages(spark, d):
     """Pages with a JSON-LD script for each part of a supplier's shelf: a plain node, a graph, a broken script."""
     p = table(spark, d, "part")
@@ -71,7 +82,7 @@ def s6_discover_embedded_jobs(spark, d):
     p = table(spark, d, "part")
     uuid = F.concat(F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
     data = F.concat(F.lit('{"board":{"teams":[{"id":"x","jobs":[{"id":"'), uuid, F.lit('","title":"'), "p_name", F.lit('"},{"id":"'), uuid, F.lit('","name":1}]}]}}'))
-    pages = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("https://a.example.com/"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("<script>window.__appData = "), data, F.lit(";</script>")).alias("html"))
+    pages = p.select(F.concat(F.lit("https://a.example.com/"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("<script>window.__appData = "), data, F.lit(";</script>")).alias("html"))
     return harvest.discover_embedded_jobs(pages, "https://a.example.com/board")
 
 
@@ -83,7 +94,7 @@ def _page_rules(pages):
 
 def s5_discover_links(spark, d):
     pages = table(spark, d, "pages")
-    return links.discover_links(pages, _page_rules(pages), max_links=4)
+    return links.discover_links(pages, _page_rules(pages))
 
 
 def _url_lists(spark, d):
@@ -99,8 +110,13 @@ def s7_screen_urls(spark, d):
     return ok.select("url", F.lit("accepted").alias("reason")).unionByName(bad)
 
 
+def _spread(df, key):
+    """The rows of a small file dealt to all cores, as the files of a real run are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _raw_items(spark, d):
-    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    o, c, n = _spread(table(spark, d, "orders"), "o_orderkey"), table(spark, d, "customer"), table(spark, d, "nation")
     j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     key = F.col("o_orderkey")
     title = F.concat(F.when(key % 3 == 0, "Senior ").when(key % 3 == 1, "Junior ").otherwise(""), F.lower("c_mktsegment"), F.lit(" engineer"))
@@ -110,14 +126,16 @@ def _raw_items(spark, d):
         F.struct(F.col("c_name").alias("name")).alias("hiringOrganization"), F.struct(F.struct(F.col("n_name").alias("addressLocality"), F.lit("US").alias("addressCountry")).alias("address")).alias("jobLocation"),
         F.struct(key.cast("string").alias("value")).alias("identifier"), F.when(key % 4 == 0, F.lit("TELECOMMUTE")).alias("jobLocationType"), F.array(F.lit("FULL_TIME"), F.lit("FULL_TIME")).alias("employmentType"), F.when(key % 5 != 0, pay).alias("baseSalary"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("datePosted"),
     )
-    envelope = F.struct(F.when(key % 13 != 0, F.concat(F.lit("https://www.jobs.example.com/"), key.cast("string"))).alias("sourceUrl"), posting.alias("jobPosting"))
+    envelope = F.struct(F.when(key % 17 == 0, F.concat(F.lit("https://./"), key.cast("string"))).when(key % 13 != 0, F.concat(F.lit("https://www.jobs.example.com/"), key.cast("string"))).alias("sourceUrl"), posting.alias("jobPosting"))
     return j.select(key.alias("item"), F.to_json(envelope).alias("payload"))
 
 
 def n1_normalize_postings(spark, d):
-    jobs, rejects = normalize.normalize_postings(_raw_items(spark, d), "run", NOW)
-    a = jobs.select("item", "jobId", "title", "seniority", "titleFamily", "companyName", "location", "locationCountry", "workMode", F.array_join("skills", ",").alias("skills"), F.array_join("employmentType", ",").alias("types"), "salary.annualMin", "salary.annualMax", "salary.currency", "source", "description", F.date_format("postedAt", "yyyy-MM-dd").alias("posted"), F.lit(None).cast("string").alias("code"))
-    return a.unionByName(rejects, allowMissingColumns=True)
+    j = normalize.judge_postings(_raw_items(spark, d), "run", NOW)
+    fine = F.col("code").isNull()
+    kept = {c: F.col(c) for c in ("jobId", "title", "seniority", "titleFamily", "companyName", "location", "locationCountry", "workMode")}
+    kept |= {"skills": F.array_join("skills", ","), "types": F.array_join("employmentType", ","), "annualMin": F.col("salary.annualMin"), "annualMax": F.col("salary.annualMax"), "currency": F.col("salary.currency"), "source": F.col("source"), "description": F.col("description"), "posted": F.date_format("postedAt", "yyyy-MM-dd")}
+    return j.select("item", *(F.when(fine, c).alias(n) for n, c in kept.items()), "code")
 
 
 def n2_clean_html_text(spark, d):
@@ -137,7 +155,7 @@ def n3_annualize_salary(spark, d):
 
 
 def n4_extract_disclosed_salary(spark, d):
-    o = table(spark, d, "orders")
+    o = _spread(table(spark, d, "orders"), "o_orderkey")
     lo, hi = 20 + F.col("o_orderkey") % 700, 30 + F.col("o_orderkey") % 900
     text = F.concat(F.lit("Budgets of $50,000-$90,000 monthly. "), F.repeat(F.lit("filler "), 40), F.when(F.col("o_orderkey") % 2 == 0, "In Colorado the annual base salary range is $").otherwise("The yearly bonus pool of our California office, base pay $"), lo.cast("string"), F.lit(",000 - $"), hi.cast("string"), F.lit(",000 USD. Thanks."))
     rows = o.select(F.col("o_orderkey").alias("jobId"), text.alias("description"), F.lit("Denver").alias("location"), F.lit("US").alias("locationCountry"))
@@ -181,11 +199,19 @@ def n9_card_view(spark, d):
     return normalize.card_view(rows, "2001-08-02 00:01:00")
 
 
-QUERIES = {f.__name__: f for f in (s1_scan_postings, s3_harvest_jsonld, s4_explode_board_payload, s5_discover_links, s6_discover_embedded_jobs, s7_screen_urls, s8_upsert_postings, s8_upsert_failures, s9_plan_runs, n1_normalize_postings, n2_clean_html_text, n2_size_report, n3_annualize_salary, n4_extract_disclosed_salary, n5_tag_skills, n6_classify_titles, n7_assign_identity, n7_identity_collisions, n9_card_view)}
+QUERIES = {f.__name__: f for f in (s1_scan_postings, s3_harvest_jsonld, s4_explode_board_payload, s5_discover_links, s6_discover_embedded_jobs, s7_screen_urls, s8_upsert_postings, s8_upsert_failures, s9_plan_runs, s9_append_ledger, n1_normalize_postings, n2_clean_html_text, n2_size_report, n3_annualize_salary, n4_extract_disclosed_salary, n5_tag_skills, n6_classify_titles, n7_assign_identity, n7_identity_collisions, n9_card_view)}
 
-_BATCH = """batch AS (SELECT doc_id, upper(lang) AS lang, CASE WHEN doc_id % 5 <> 0 THEN source END AS source FROM documents WHERE doc_id % 3 = 0),
+_BATCH = """batch AS (SELECT doc_id + 100 AS doc_id, upper(lang) AS lang, CASE WHEN (doc_id + 100) % 5 <> 0 THEN source END AS source FROM documents),
 judged AS (SELECT *, [CASE WHEN source IS NULL THEN 'has_source' END, CASE WHEN NOT coalesce(lang IN ('EN', 'FR', 'DE'), false) THEN 'lang' END] AS f FROM batch)"""
 _FINE = "len(list_filter(f, lambda x: x IS NOT NULL)) = 0"
+def _unescaped(x):
+    for a, b in (("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_BODIES = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "textarea", "option"))
+_CLEAN_HTML = rf"trim(regexp_replace(regexp_replace(regexp_replace({_unescaped(_unescaped('html'))}, '(?is){_BODIES}|<!--.*?-->', ' ', 'g'), '(?s)<[/!?a-zA-Z][^>]*>', '', 'g'), '\s+', ' ', 'g'))"
 _HOST = "regexp_extract(url, '://([^/?#:]*)', 1)"
 SQL = {
     "s1_scan_postings": "SELECT source, count(*) AS items, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source",
@@ -197,24 +223,30 @@ WITH a AS (SELECT url AS page_url, regexp_extract_all(html, '<a [^>]*?href="([^"
 l AS (SELECT page_url, host, root, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS position FROM a),
 f AS (SELECT page_url, root || regexp_replace(href, '#.*$', '') AS url, host, min(position) AS position FROM l WHERE regexp_matches(regexp_replace(regexp_replace(regexp_replace(href, '#.*$', ''), '[?].*$', ''), '/+$', ''), '^/[a-zA-Z]+$') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY position) AS rn FROM f)
-SELECT page_url, url, 'p' || (length(host) % 3) AS provider, position::INT AS position FROM r WHERE rn <= 4 AND url <> regexp_replace(page_url, '#.*$', '')""",
-    "s6_discover_embedded_jobs": "SELECT 'https://a.example.com/' || p_partkey AS page_url, 'https://a.example.com/board/' || lpad(p_partkey::VARCHAR, 8, '0') || '-0000-4000-8000-000000000000' AS url FROM part WHERE p_partkey % 3 = 0",
+SELECT page_url, url, 'p' || (length(host) % 3) AS provider, position::INT AS position FROM r WHERE rn <= 2000 AND url <> regexp_replace(page_url, '#.*$', '')""",
+    "s6_discover_embedded_jobs": "SELECT 'https://a.example.com/' || p_partkey AS page_url, 'https://a.example.com/board/' || lpad(p_partkey::VARCHAR, 8, '0') || '-0000-4000-8000-000000000000' AS url FROM part",
     "s7_screen_urls": """
 WITH o AS (SELECT o_orderkey AS k, unnest([1, 2]) AS twice FROM orders)
 SELECT DISTINCT 'https://a.example.com/' || k AS url, 'accepted' AS reason FROM o WHERE k % 6 = 1
 UNION ALL SELECT CASE k % 6 WHEN 0 THEN 'http://a.example.com/' || k WHEN 2 THEN 'https://u:p@a.example.com/' || k WHEN 3 THEN 'no url' WHEN 4 THEN 'https://b.example.com:444/' || k ELSE 'https://10.0.0.1/' || k END,
   CASE k % 6 WHEN 0 THEN 'not_https' WHEN 2 THEN 'has_credentials' WHEN 3 THEN 'invalid_url' WHEN 4 THEN 'bad_port' ELSE 'private_host' END FROM o WHERE k % 6 <> 1""",
-    "s8_upsert_postings": f"""WITH {_BATCH}, good AS (SELECT * FROM judged WHERE {_FINE}), cur AS (SELECT * FROM documents WHERE doc_id % 2 = 0)
+    "s8_upsert_postings": f"""WITH {_BATCH}, good AS (SELECT * FROM judged WHERE {_FINE}), cur AS (SELECT * FROM documents)
 SELECT coalesce(c.doc_id, g.doc_id) AS doc_id, CASE WHEN g.doc_id IS NOT NULL THEN g.lang ELSE c.lang END AS lang, CASE WHEN g.doc_id IS NOT NULL THEN g.source ELSE c.source END AS source, c.n_chars FROM cur c FULL JOIN good g ON c.doc_id = g.doc_id""",
     "s8_upsert_failures": f"WITH {_BATCH}, u AS (SELECT unnest(f) AS rule FROM judged) SELECT rule, count(*) AS \"rows\" FROM u WHERE rule IS NOT NULL GROUP BY rule UNION ALL SELECT 'attempted', count(*) FROM batch",
     "s9_plan_runs": "SELECT source AS run_id, count(*) AS items FROM documents GROUP BY source HAVING max(doc_id) % 7 = 0",
+    "s9_append_ledger": """
+WITH r AS (SELECT source AS run_id, count(*) FILTER (lang <> 'es') AS n, count(*) FILTER (lang <> 'es' AND n_chars >= 200) AS a FROM documents GROUP BY source)
+SELECT run_id, CASE WHEN n = 0 THEN 1 ELSE 2 END::BIGINT AS seq, CASE WHEN n = 0 THEN 'partial' WHEN n % 2 = 0 THEN 'complete' ELSE 'failed' END AS status, CASE WHEN n % 2 = 0 THEN n ELSE 0 END AS collected, CASE WHEN n % 2 = 0 THEN a ELSE 0 END AS accepted,
+  CASE WHEN n % 2 = 0 THEN n - a ELSE 0 END AS rejected, CASE WHEN n % 2 = 0 THEN a ELSE 0 END AS indexed, CASE WHEN n % 2 = 0 THEN 0 ELSE 1 END::BIGINT AS failed, CASE WHEN n % 2 = 1 THEN 'source is gone' END AS error FROM r""",
     "n1_normalize_postings": f"""
 WITH j AS (SELECT *, o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Junior ' ELSE '' END || lower(c_mktsegment) || ' engineer' AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
 SELECT k AS item, sha256('jobs.example.com:' || k)[1:32] AS "jobId", t AS title, CASE k % 3 WHEN 0 THEN 'Senior' WHEN 1 THEN 'Entry' ELSE 'Mid-level' END AS seniority, CASE WHEN regexp_matches(t, 'mobile') THEN 'Mobile' ELSE 'Software Engineering' END AS "titleFamily", c_name AS "companyName",
   n_name || ', US' AS location, 'US' AS "locationCountry", CASE WHEN k % 4 = 0 THEN 'remote' ELSE 'onsite' END AS "workMode", 'Python,SQL' AS skills, 'FULL_TIME' AS types,
   CASE WHEN k % 5 <> 0 THEN (20 + k % 80) * 2080.0::DOUBLE END AS "annualMin", CASE WHEN k % 5 <> 0 THEN (100 + k % 80) * 2080.0::DOUBLE END AS "annualMax", CASE WHEN k % 5 <> 0 THEN 'USD' END AS currency,
-  'jobs.example.com' AS source, 'Work with & Python and SQL in region ' || k AS description, strftime(o_orderdate, '%Y-%m-%d') AS posted, NULL::VARCHAR AS code FROM j WHERE k % 13 <> 0 AND k % 11 <> 0
-UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN k % 13 = 0 THEN 'missing_url' ELSE 'missing_core_fields' END FROM j WHERE k % 13 = 0 OR k % 11 = 0""",
+  'jobs.example.com' AS source, 'Work with & Python and SQL in region ' || k AS description, strftime(o_orderdate, '%Y-%m-%d') AS posted, NULL::VARCHAR AS code FROM j WHERE k % 13 <> 0 AND k % 11 <> 0 AND k % 17 <> 0
+UNION ALL SELECT k, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN k % 17 <> 0 AND k % 13 = 0 THEN 'missing_url' WHEN k % 11 = 0 THEN 'missing_core_fields' ELSE 'unknown' END FROM j WHERE k % 13 = 0 OR k % 11 = 0 OR k % 17 = 0""",
+    "n2_clean_html_text": f"SELECT page_id, {_CLEAN_HTML} AS html FROM pages",
+    "n2_size_report": f"SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS pages, sum(length(html))::BIGINT AS before, sum(length({_CLEAN_HTML}))::BIGINT AS after FROM pages GROUP BY 1",
     "n3_annualize_salary": """
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS lo, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice + 10.5 END AS hi, ['hour', 'day', 'week', 'month', 'year', 'unknown'][o_orderkey % 6 + 1] AS period, [2080, 260, 52, 12, 1, 1][o_orderkey % 6 + 1] AS f FROM orders)
 SELECT o_orderkey, period, floor(lo * f + 0.5)::BIGINT AS "annualMin", floor(coalesce(hi, lo) * f + 0.5)::BIGINT AS "annualMax" FROM r""",

@@ -109,7 +109,7 @@ def _sightings(spark, d):
     e = table(spark, d, "events")
     source, day = F.concat(F.lit("s"), F.col("user_id") % 5), F.date_trunc("DAY", "ts").cast("timestamp_ntz")
     run = F.concat_ws("-", source, F.date_format("ts", "yyyyMMdd"))
-    s = e.where("event_id % 3 = 0").select(F.col("user_id").alias("jobId"), source.alias("source"), run.alias("run_id"), F.col("ts").alias("seenAt"), F.when(F.col("user_id") % 11 == 0, F.lit("2024-01-10").cast("timestamp_ntz")).alias("validThrough"))
+    s = e.select(F.col("user_id").alias("jobId"), source.alias("source"), run.alias("run_id"), F.col("ts").alias("seenAt"), F.when(F.col("user_id") % 11 == 0, F.lit("2024-01-10").cast("timestamp_ntz")).alias("validThrough"))
     r = e.select(source.alias("source"), run.alias("run_id"), F.unix_date(day.cast("date")).alias("seq"), F.when(F.dayofmonth("ts") % 4 == 0, "partial").otherwise("complete").alias("status")).distinct()
     return s, r
 
@@ -119,8 +119,14 @@ def d2_lifecycle(spark, d):
 
 
 def d3_resolve_duplicates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "utf-8")).alias("whole"), F.when(F.length("text") > 300, F.md5(F.encode(F.substring("text", 1, 200), "utf-8"))).alias("head"))
-    return planned.resolve_duplicates(docs, "doc_id", [["whole"], ["head"]])
+    squeezed = F.lower(F.regexp_replace("text", r"\s+", " "))
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "utf-8")).alias("whole"), F.md5(F.encode(squeezed, "utf-8")).alias("squeezed"))
+    return planned.resolve_duplicates(docs, "doc_id", [["whole"], ["squeezed"]])
+
+
+def d3_similar_duplicates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.md5(F.encode("text", "utf-8")).alias("whole"))
+    return planned.resolve_duplicates(docs, "doc_id", [["whole"]], similar="text")
 
 
 def d5_funnel_metrics(spark, d):
@@ -151,7 +157,7 @@ def d8_nation_distances(spark, d):
     return n.select("n_nationkey", F.round(planned.haversine_km(F.col("lat"), F.col("lon"), F.lit(30.27), F.lit(-97.74)), 3).alias("km"))
 
 
-QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d4_fuse_rrf, d5_funnel_metrics, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
+QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
 
 _TOKENS = r"""
 f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS t FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'body', text FROM documents),
@@ -187,12 +193,12 @@ SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.rank), 0) + c
     "d2_lifecycle": """
 WITH e AS (SELECT *, user_id % 5 AS src, (ts::DATE - DATE '1970-01-01') AS seq, day(ts) % 4 <> 0 AS complete FROM events),
 r AS (SELECT DISTINCT src, seq FROM e WHERE complete),
-k AS (SELECT user_id, src, max(ts) AS seen, min(seq) AS first, bool_or(user_id % 11 = 0) AS exp FROM e WHERE event_id % 3 = 0 GROUP BY 1, 2),
-g AS (SELECT k.user_id, r.seq, CASE WHEN s.user_id IS NULL THEN 1 ELSE 0 END AS absent FROM k JOIN r ON k.src = r.src AND r.seq >= k.first LEFT JOIN (SELECT DISTINCT user_id, seq FROM e WHERE event_id % 3 = 0) s ON s.user_id = k.user_id AND s.seq = r.seq),
+k AS (SELECT user_id, src, max(ts) AS seen, min(seq) AS first, bool_or(user_id % 11 = 0) AS exp FROM e GROUP BY 1, 2),
+g AS (SELECT k.user_id, r.seq, CASE WHEN s.user_id IS NULL THEN 1 ELSE 0 END AS absent FROM k JOIN r ON k.src = r.src AND r.seq >= k.first LEFT JOIN (SELECT DISTINCT user_id, seq FROM e) s ON s.user_id = k.user_id AND s.seq = r.seq),
 w AS (SELECT user_id, sum(absent) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM g)
 SELECT k.user_id AS "jobId", CASE WHEN coalesce(two >= 2, false) OR exp THEN 'closed' WHEN seen < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 48 HOURS THEN 'stale' ELSE 'active' END AS state FROM k LEFT JOIN w ON w.user_id = k.user_id AND rn = 1""",
-    "d3_resolve_duplicates": """
-WITH RECURSIVE n AS (SELECT doc_id, md5(text) AS w, CASE WHEN length(text) > 300 THEN md5(text[1:200]) END AS h FROM documents),
+    "d3_resolve_duplicates": r"""
+WITH RECURSIVE n AS (SELECT doc_id, md5(text) AS w, md5(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents),
 e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.w = b.w UNION SELECT a.doc_id, b.doc_id FROM n a JOIN n b ON a.h = b.h),
 r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""",

@@ -35,19 +35,24 @@ def has_credentials(url: Column) -> Column:
     return F.trim(url).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*@")
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """An href against its page's URL, without fragment."""
-    h = F.regexp_replace(F.trim(href), r"#.*$", "")
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]+/(?:.*/)?)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
-    joined = (
+def base_parts(base: Column) -> dict[str, Column]:
+    """What hrefs of a page are resolved against: its scheme, root, folder, and URL without fragment or query."""
+    return {
+        "scheme": F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1),
+        "root": F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1),
+        "folder": F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/]+/(?:.*/)?)", 1),
+        "plain": F.regexp_replace(base, r"#.*$", ""),
+    }
+
+
+def resolved(h: Column, scheme: Column, root: Column, folder: Column, plain: Column) -> Column:
+    """A trimmed href without fragment against the parts of its page's URL; ``valid`` tells whether it is one."""
+    return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(root, h))
-        .when(h.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h)).when(h == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(h.startswith("?"), F.concat(F.regexp_replace(plain, r"[?].*$", ""), h)).when(h == "", plain)
         .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), h))
     )
-    return valid(joined)
 
 
-#: Hosts that never leave a private network.
-PRIVATE_HOST = r"^\[?(localhost|.*\.localhost|.*\.local|::1|f[cd].*|fe80:.*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2\d|3[01])\..*|0\..*)\]?$"
+# Hosts that never leave a private network.
+PRIVATE_HOST = r"^\[?(localhost|.*\.localhost|.*\.local|::1|f[cd][0-9a-f]{0,2}:.*|fe80:.*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2\d|3[01])\..*|0\..*)\]?$"

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.requests import FILTER_BOUNDS
+
 
 def failed_rules(rules: dict[str, Column]) -> Column:
     """Names of the rules whose condition is not true, in the order given."""
@@ -28,14 +30,26 @@ def job_rules(statuses=("active", "closed", "stale"), modes=("remote", "hybrid",
     """The canonical job's contract."""
     text = lambda c: F.length(F.trim(F.col(c))) > 0
     url = lambda c: F.col(c).rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/\s]+")
-    amounts = F.col("salary.annualMin").isNull() | (F.col("salary.annualMin") >= 0)
+    amount = lambda c: F.col(f"salary.{c}").isNull() | (F.col(f"salary.{c}") >= 0)
     return {
         "job_id": F.length("jobId") >= 8, "source": text("source"), "source_url": url("sourceUrl"), "apply_url": url("applyUrl"), "title": text("title"), "company": text("companyName"),
         "location": text("location"), "work_mode": F.col("workMode").isin(*modes), "status": F.col("status").isin(*statuses), "description": text("description"), "content_hash": F.length("contentHash") == 64,
-        "currency": F.col("salary.currency").isNull() | (F.length("salary.currency") == 3), "salary": amounts,
+        "currency": F.col("salary.currency").isNull() | (F.length("salary.currency") == 3), "salary": amount("min") & amount("max") & amount("annualMin") & amount("annualMax"),
+        "website": F.col("companyWebsite").isNull() | url("companyWebsite"), "run": text("sourceRunId"), "family": text("titleFamily"), "seniority": text("seniority"), "collected": F.col("collectedAt").isNotNull(), "search_text": text("searchText"),
     }
 
 
+def filter_rules() -> dict[str, Column]:
+    """Bounds of the lists of logged search requests, one array column per filter; null lists count as empty."""
+    rules = {}
+    for name, (most, longest) in FILTER_BOUNDS.items():
+        fine = F.forall(name, lambda v, longest=longest: F.length(v).between(1, longest))
+        if name == "workModes":
+            fine = F.forall(name, lambda v: v.isin("remote", "hybrid", "onsite"))
+        rules[name] = F.col(name).isNull() | ((F.size(name) <= most) & fine)
+    return rules
+
+
 def request_rules() -> dict[str, Column]:
     """Bounds of logged search requests (query, minimumSalary, postedWithinDays, pageSize, sort)."""
     within = lambda c, lo, hi: F.col(c).isNull() | F.col(c).between(lo, hi)

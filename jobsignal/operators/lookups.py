@@ -62,30 +62,52 @@ def verify_evidence(profiles: DataFrame, sources: DataFrame) -> DataFrame:
     return j.withColumn("_kept", kept).withColumn("dropped", F.size("evidence") - F.size("_kept")).withColumn("evidence", F.col("_kept")).drop("_kept", "_id", "_m")
 
 
+#: Matched skills beyond which a score doesn't rise; characters of a role word that titles are looked up by.
+MATCHES, GRAM = 5, 4
+
+
+def _subsets(skills, most: int):
+    """The subsets of up to ``most`` skills, each in order."""
+    grow = lambda acc, s: F.concat(acc, F.transform(F.filter(acc, lambda x: F.size(x) < most), lambda x: F.concat(x, F.array(s))))
+    return F.aggregate(F.array_sort(skills), F.array(F.array().cast("array<string>")), grow)
+
+
 def match_candidates(profiles: DataFrame, jobs: DataFrame, top_k: int) -> DataFrame:
     """(candidate, jobId, score, reasons, rank): each candidate's best jobs.
 
-    profiles(candidate, skills, roles, workModes), jobs(jobId, title, skills, workMode). Pairs that share a skill, a role
-    word or a work mode are scored; the rest of a candidate's list is the baseline jobs in jobId order, taken from the
-    first jobs only, as no more can be needed.
+    profiles(candidate, skills, roles, workModes), jobs(jobId, title, skills, workMode). Jobs are listed under every set
+    of up to MATCHES of their skills, alone and with a role word of their title, in any work mode and in their own; each
+    list keeps its first top_k jobs, as all jobs further down match no better than those. A candidate's best jobs lie in
+    the lists of its own skills, role words and modes, so no candidate meets all jobs.
     """
-    cs = profiles.select("candidate", F.explode(F.array_distinct(F.transform("skills", F.lower))).alias("skill"))
-    js = jobs.select("jobId", F.posexplode(F.transform("skills", F.lower)).alias("pos", "skill"))
-    skill = cs.join(js, "skill").groupBy("candidate", "jobId").agg(F.count(F.lit(1)).alias("matched"), F.transform(F.slice(F.sort_array(F.collect_list(F.struct("pos", "skill"))), 1, 4), lambda x: x["skill"]).alias("named"))
-    words = profiles.select("candidate", F.explode("roles").alias("role")).select("candidate", F.explode(F.split(F.lower("role"), r"\s+")).alias("word")).where(F.length("word") > 3).distinct()
-    # containment is tested on distinct words and distinct titles only
-    title_words = words.select("word").distinct().join(jobs.select(F.lower("title").alias("t")).distinct(), F.expr("contains(t, word)"))
-    role = words.join(title_words, "word").select("candidate", "t").distinct().join(jobs.select("jobId", F.lower("title").alias("t")), "t").select("candidate", "jobId", F.lit(True).alias("role"))
-    mode = profiles.select("candidate", F.explode("workModes").alias("workMode")).join(jobs.select("jobId", "workMode"), "workMode").select("candidate", "jobId", F.col("workMode").alias("mode"))
-    # only a candidate's first top_k jobs of a mode can matter for pairs with no other sign
-    by_mode = Window.partitionBy("candidate").orderBy("jobId")
-    signed = skill.select("candidate", "jobId").union(role.select("candidate", "jobId")).distinct()
-    only_mode = mode.join(signed, ["candidate", "jobId"], "left_anti").withColumn("_r", F.row_number().over(by_mode)).where(F.col("_r") <= top_k).select("candidate", "jobId")
-    first_jobs = jobs.select("jobId").orderBy("jobId").limit(top_k)
-    rest = profiles.select("candidate").crossJoin(F.broadcast(first_jobs))  # at most top_k jobs
-    pairs = signed.union(only_mode).union(rest).distinct()
-    j = pairs.join(skill, ["candidate", "jobId"], "left").join(role, ["candidate", "jobId"], "left").join(mode, ["candidate", "jobId"], "left")
-    score = F.least(F.lit(99), 20 + F.least(F.lit(60), 12 * F.coalesce("matched", F.lit(0))) + F.when(F.col("role"), 15).otherwise(0) + F.when(F.col("mode").isNotNull(), 5).otherwise(0))
-    reasons = F.concat(F.transform(F.coalesce("named", F.array().cast("array<string>")), lambda s: F.concat(F.lit("Resume evidence: "), s)), F.array_compact(F.array(F.when(F.col("role"), F.lit("Target-role alignment")), F.concat("mode", F.lit(" preference")))))
-    rank = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("score"), "jobId"))
-    return j.select("candidate", "jobId", score.cast("int").alias("score"), reasons.alias("reasons")).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    low = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))
+    words = F.array_distinct(F.filter(F.flatten(F.transform("roles", lambda r: F.split(F.lower(r), r"\s+"))), lambda w: F.length(w) > 3))
+    people = profiles.select("candidate", low("skills").alias("skills"), F.coalesce(words, F.array().cast("array<string>")).alias("words"), F.coalesce("workModes", F.array().cast("array<string>")).alias("modes"))
+    js = jobs.select("jobId", F.lower("title").alias("t"), F.transform("skills", F.lower).alias("named"), low("skills").alias("skills"), "workMode")
+
+    # a word lies in a title only if its first characters do
+    asked = people.select(F.explode("words").alias("word")).distinct().withColumn("gram", F.substring("word", 1, GRAM))
+    titles = jobs.select(F.lower("title").alias("t")).distinct()
+    grams = titles.select("t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(GRAM))))).alias("gram"))
+    told = grams.join(asked.hint("merge"), "gram").where(F.expr("contains(t, word)")).groupBy("t").agg(F.collect_set("word").alias("words"))
+
+    most = min(MATCHES, people.agg(F.max(F.size("skills"))).first()[0] or 0)
+    empty = F.array().cast("array<string>")
+    listed = js.join(told.hint("merge"), "t", "left").select("jobId", F.explode(_subsets(F.col("skills"), most)).alias("set"), F.concat(F.array(F.lit("")), F.coalesce("words", empty)).alias("words"), F.array(F.lit(""), F.coalesce("workMode", F.lit(""))).alias("modes"))
+    keyed = lambda df, who: df.select(who, "set", F.explode("words").alias("word"), "modes").select(who, "set", "word", F.explode(F.array_distinct("modes")).alias("mode"))
+    place = F.row_number().over(Window.partitionBy("set", "word", "mode").orderBy("jobId"))
+    lists = keyed(listed, "jobId").withColumn("_r", place).where(F.col("_r") <= top_k).drop("_r")
+
+    # candidates with the same profile share their list
+    kinds = people.groupBy("skills", "words", "modes").agg(F.min("candidate").alias("kind"))
+    asks = kinds.select("kind", F.explode(_subsets(F.col("skills"), most)).alias("set"), F.concat(F.array(F.lit("")), "words").alias("words"), F.concat(F.array(F.lit("")), "modes").alias("modes"))
+    pairs = keyed(asks, "kind").join(lists.hint("merge"), ["set", "word", "mode"]).select("kind", "jobId").distinct()
+    j = pairs.join(kinds.select("kind", F.col("skills").alias("mine"), F.col("words").alias("my_words"), "modes").hint("merge"), "kind").join(js.drop("skills").hint("merge"), "jobId")
+    hit = F.filter("named", lambda s: F.array_contains("mine", s))
+    role, mode = F.exists("my_words", lambda w: F.contains(F.col("t"), w)), F.coalesce(F.array_contains("modes", F.col("workMode")), F.lit(False))
+    score = F.least(F.lit(99), 20 + F.least(F.lit(60), 12 * F.size(hit)) + F.when(role, 15).otherwise(0) + F.when(mode, 5).otherwise(0))
+    reasons = F.concat(F.transform(F.slice(hit, 1, 4), lambda s: F.concat(F.lit("Resume evidence: "), s)), F.array_compact(F.array(F.when(role, F.lit("Target-role alignment")), F.when(mode, F.concat("workMode", F.lit(" preference"))))))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "jobId"))
+    best = j.select("kind", "jobId", score.cast("int").alias("score"), reasons.alias("reasons")).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    same = people.join(kinds.hint("merge"), ["skills", "words", "modes"]).select("candidate", "kind")
+    return same.join(best.hint("merge"), "kind").select("candidate", "jobId", "score", "reasons", "rank")

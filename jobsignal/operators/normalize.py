@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 from ..functions.variants import field, first_text, given, is_kind, items, number, record, string, texts_list
-from ..plans.stored import stored
-from . import salary, titles
+from ..plans.stored import once
+from . import contracts, salary, titles
 
 # The flat skill vocabulary, in output order.
 SKILLS = (
@@ -50,9 +50,10 @@ def skill_pattern(skill: str) -> str:
 
 
 def skills_of(text: Column, vocabulary=SKILLS) -> Column:
-    """The vocabulary's skills found in a text, in vocabulary order."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(low.contains(s.lower()) & low.rlike(skill_pattern(s)), F.lit(s)) for s in vocabulary)))
+    """The vocabulary's skills found in a lower-cased text, in vocabulary order."""
+    pairs = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(s.lower()).alias("l"), F.lit(skill_pattern(s)).alias("p")) for s in vocabulary))
+    hit = F.filter(pairs, lambda x: F.contains(text, x["l"]) & F.call_function("rlike", text, x["p"]))
+    return F.transform(hit, lambda x: x["s"])
 
 
 def tag_skills(df: DataFrame, vocab: DataFrame, key: str, text: str) -> DataFrame:
@@ -63,7 +64,7 @@ def tag_skills(df: DataFrame, vocab: DataFrame, key: str, text: str) -> DataFram
     tokens = df.select(key, F.lower(text).alias("_t")).select(key, "_t", F.explode(F.array_distinct(F.split("_t", r"[^a-z0-9+#]+"))).alias("token")).where("token <> ''")
     plain = F.regexp_replace(F.lower("term"), r"([.*+?^${}()|\[\]\\])", r"\\$1")
     v = vocab.select("term", "rank", F.get(F.filter(F.split(F.lower("term"), r"[^a-z0-9+#]+"), lambda x: x != ""), F.lit(0)).alias("token"), F.concat(F.lit("(^|[^a-z0-9+#])"), plain, F.lit("([^a-z0-9+#]|$)")).alias("pattern"))
-    hit = tokens.join(v, "token").where(F.expr("_t rlike pattern"))
+    hit = tokens.join(v.hint("merge"), "token").where(F.expr("_t rlike pattern"))
     return hit.groupBy(key).agg(F.transform(F.sort_array(F.collect_set(F.struct("rank", "term"))), lambda x: x["term"]).alias("skills"))
 
 
@@ -101,70 +102,82 @@ def work_mode(kind: Column, description: Column, location: Column) -> Column:
     return F.when(marker.rlike("telecommute|remote"), "remote").when(marker.contains("hybrid"), "hybrid").when(location == NO_PLACE, "unknown").otherwise("onsite")
 
 
-def normalize_postings(raw: DataFrame, run_id: str, now: str, item: str = "item", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """raw(item, payload JSON) -> (canonical jobs, rejects (item, code)).
+_NO_PAY = "named_struct('min', CAST(NULL AS double), 'max', CAST(NULL AS double), 'currency', CAST(NULL AS string), 'period', 'unknown', 'annualMin', CAST(NULL AS double), 'annualMax', CAST(NULL AS double), 'sourceText', CAST(NULL AS string))"
+
+
+def judge_postings(raw: DataFrame, run_id: str, now: str, item: str = "item", payload: str = "payload") -> DataFrame:
+    """raw(item, payload JSON) -> canonical jobs with ``code``, null for those that keep the job contract.
 
-    Stages are separate selects, so that no expression is evaluated for each of its uses.
+    One pass without an exchange; columns that several others rest on are computed once each.
     """
-    v = F.col("v")
-    s = raw.select(F.col(item).alias("item"), F.try_parse_json(payload).alias("v"))
-    s = s.withColumn("p", given(field(v, "jobPosting"), field(v, "job"), v)).withColumn("p", record(F.col("p")))
-    p = F.col("p")
-    s = s.withColumn("org", record(given(field(p, "hiringOrganization"), field(v, "hiringOrganization"))))
+    v, p, org = F.col("v"), F.col("p"), F.col("org")
+    s = once(raw.select(F.col(item).alias("item"), F.col(payload).alias("json")), v=F.try_parse_json("json")).drop("json")
+    s = once(s, p=record(given(field(v, "jobPosting"), field(v, "job"), v)))
     either = lambda a, b: given(field(p, a), field(v, b))
     url = lambda *xs: F.coalesce(*(urls.valid(string(x)) for x in xs))
-    ident, first_place = F.col("ident"), F.col("place")
-    s = s.withColumn("ident", given(field(p, "identifier"), field(v, "identifier"), field(v, "jobId"))).withColumn("place", F.get(items(field(p, "jobLocation")), F.lit(0)))
+    s = once(s, org=record(given(field(p, "hiringOrganization"), field(v, "hiringOrganization"))), ident=given(field(p, "identifier"), field(v, "identifier"), field(v, "jobId")), place=F.get(items(field(p, "jobLocation")), F.lit(0)), pay=given(field(p, "baseSalary"), field(v, "baseSalary"), field(v, "salary")))
+    ident, pay = F.col("ident"), F.col("pay")
     id_text = F.coalesce(F.when(~is_kind(ident, "OBJECT") & ~is_kind(ident, "ARRAY"), F.try_variant_get(ident, "$", "string")), F.nullif(first_text(field(ident, "value"), field(ident, "name")), F.lit("")))
-    country = field(F.coalesce(record(field(first_place, "address")), first_place), "addressCountry")
-    s = s.select(
-        "item", "v", "p",
-        url(field(v, "sourceUrl"), field(v, "url"), field(p, "url"), field(p, "sameAs")).alias("sourceUrl"),
-        url(field(v, "applyUrl"), field(p, "url")).alias("applyUrl"),
-        first_text(field(p, "title"), field(v, "title")).alias("title"),
-        first_text(field(F.col("org"), "name"), field(v, "companyName"), field(v, "company")).alias("companyName"),
-        url(field(F.col("org"), "sameAs"), field(F.col("org"), "url"), field(v, "companyWebsite")).alias("companyWebsite"),
-        first_text(field(p, "description"), field(v, "description"), field(v, "text")).alias("html"),
-        first_text(field(p, "qualifications"), field(p, "experienceRequirements"), field(v, "requirements")).alias("reqHtml"),
-        F.coalesce(F.get(places(p), F.lit(0)), F.nullif(first_text(field(v, "location"), field(p, "jobLocationType")), F.lit("")), F.lit(NO_PLACE)).alias("location"),
-        F.coalesce(string(country), F.nullif(first_text(field(country, "name")), F.lit(""))).alias("locationCountry"),
-        id_text.alias("sourceJobId"),
-        texts_list(either("employmentType", "employmentType")).alias("employmentType"),
-        texts_list(either("industry", "industry")).alias("industries"),
-        first_text(field(p, "jobLocationType")).alias("placeType"),
-        given(field(p, "baseSalary"), field(v, "baseSalary"), field(v, "salary")).alias("pay"),
-        when_of(F.coalesce(field(p, "datePosted"), field(v, "datePosted"), field(v, "postedAt"))).alias("postedAt"),
-        when_of(either("validThrough", "validThrough")).alias("validThrough"),
-        F.coalesce(when_of(F.coalesce(field(v, "scrapedAt"), field(v, "collectedAt"))), F.lit(now).cast("timestamp")).alias("collectedAt"),
-        (F.coalesce(F.try_variant_get(v, "$.expired", "boolean"), F.lit(False)) | F.coalesce(F.try_variant_get(p, "$.expired", "boolean"), F.lit(False))).alias("expired"),
-    )
-    s = s.withColumn("applyUrl", F.coalesce("applyUrl", "sourceUrl")).withColumn("description", strip_markup(decode_entities(F.col("html")))).withColumn("requirements", strip_markup(decode_entities(F.col("reqHtml"))))
-    blank = (F.col("title") == "") | (F.col("companyName") == "") | (F.col("description") == "")
-    code = F.when(F.col("sourceUrl").isNull() | F.col("applyUrl").isNull(), "missing_url").when(blank, "missing_core_fields").when(F.length("title").isNull(), "unknown")
-    s = stored(s.drop("v", "p", "html", "reqHtml").withColumn("code", code), "fields")
-    rejects = s.where("code IS NOT NULL").select("item", "code")
-    j = s.where("code IS NULL").drop("code")
-    j = j.withColumn("inner", F.coalesce(record(field(F.col("pay"), "value")), F.when(field(F.col("pay"), "value").isNull(), F.col("pay"))))
-    pay, inner = F.col("pay"), F.col("inner")
+    s = once(
+        s,
+        sourceUrl=url(field(v, "sourceUrl"), field(v, "url"), field(p, "url"), field(p, "sameAs")),
+        told_apply=url(field(v, "applyUrl"), field(p, "url")),
+        title=first_text(field(p, "title"), field(v, "title")),
+        companyName=first_text(field(org, "name"), field(v, "companyName"), field(v, "company")),
+        companyWebsite=url(field(org, "sameAs"), field(org, "url"), field(v, "companyWebsite")),
+        html=first_text(field(p, "description"), field(v, "description"), field(v, "text")),
+        reqHtml=first_text(field(p, "qualifications"), field(p, "experienceRequirements"), field(v, "requirements")),
+        location=F.coalesce(F.get(places(p), F.lit(0)), F.nullif(first_text(field(v, "location"), field(p, "jobLocationType")), F.lit("")), F.lit(NO_PLACE)),
+        country=field(F.coalesce(record(field(F.col("place"), "address")), F.col("place")), "addressCountry"),
+        sourceJobId=id_text,
+        employmentType=texts_list(either("employmentType", "employmentType")),
+        industries=texts_list(either("industry", "industry")),
+        placeType=first_text(field(p, "jobLocationType")),
+        inner=F.coalesce(record(field(pay, "value")), F.when(field(pay, "value").isNull(), pay)),
+        postedAt=when_of(F.coalesce(field(p, "datePosted"), field(v, "datePosted"), field(v, "postedAt"))),
+        validThrough=when_of(either("validThrough", "validThrough")),
+        collectedAt=F.coalesce(when_of(F.coalesce(field(v, "scrapedAt"), field(v, "collectedAt"))), F.lit(now).cast("timestamp")),
+        expired=F.coalesce(F.try_variant_get(v, "$.expired", "boolean"), F.lit(False)) | F.coalesce(F.try_variant_get(p, "$.expired", "boolean"), F.lit(False)),
+    ).drop("v", "p", "org", "ident", "place")
+    inner, country = F.col("inner"), F.col("country")
     bound = lambda a, b: number(F.coalesce(field(inner, a), field(inner, b), field(pay, a), field(pay, b)))
-    j = j.withColumn("_lo", bound("minValue", "min")).withColumn("_hi", F.coalesce(bound("maxValue", "max"), F.col("_lo"))).withColumn("_period", salary.period_of(first_text(field(inner, "unitText"), field(pay, "unitText"), field(pay, "period"))))
-    code3 = F.upper(F.trim(first_text(field(pay, "currency"), field(inner, "currency"))))
-    f = salary.factor_of(F.col("_period"))
-    told_pay = F.struct(F.col("_lo").alias("min"), F.col("_hi").alias("max"), F.when(code3.rlike("^[A-Z]{3}$"), code3).alias("currency"), F.col("_period").alias("period"), salary.half_up(F.col("_lo") * f).cast("double").alias("annualMin"), salary.half_up(F.col("_hi") * f).cast("double").alias("annualMax"), F.nullif(first_text(field(pay, "sourceText"), field(pay, "text")), F.lit("")).alias("sourceText"))
-    j = j.withColumn("salary", F.when(F.col("_lo").isNotNull() | F.col("_hi").isNotNull(), told_pay)).drop("pay", "inner", "_lo", "_hi", "_period")
-    j = stored(j, "structured-pay")
-    told = salary.extract_disclosed_salary(j.where("salary IS NULL"), "item")
-    none = F.expr("named_struct('min', CAST(NULL AS double), 'max', CAST(NULL AS double), 'currency', CAST(NULL AS string), 'period', 'unknown', 'annualMin', CAST(NULL AS double), 'annualMax', CAST(NULL AS double), 'sourceText', CAST(NULL AS string))")
-    told = told.select("item", F.struct("min", "max", "currency", "period", F.col("annualMin").cast("double").alias("annualMin"), F.col("annualMax").cast("double").alias("annualMax"), "sourceText").alias("told"))
-    j = j.join(told, "item", "left").withColumn("salary", F.coalesce("salary", "told", none)).drop("told")
-    j = stored(j, "paid")
-    j = j.withColumn("workMode", work_mode(F.col("placeType"), F.col("description"), F.col("location"))).withColumn("skills", skills_of(F.concat_ws("\n", "title", "description", "requirements")))
-    j = j.withColumn("seniority", titles.seniority(F.col("title"))).withColumn("titleFamily", titles.family(F.col("title"))).withColumn("source", urls.bare_host(F.col("sourceUrl"))).withColumn("sourceRunId", F.lit(run_id))
+    s = once(
+        s,
+        applyUrl=F.coalesce("told_apply", "sourceUrl"),
+        locationCountry=F.coalesce(string(country), F.nullif(first_text(field(country, "name")), F.lit(""))),
+        description=strip_markup(decode_entities(F.col("html"))),
+        requirements=strip_markup(decode_entities(F.col("reqHtml"))),
+        lo=bound("minValue", "min"), hi=bound("maxValue", "max"),
+        period=salary.period_of(first_text(field(inner, "unitText"), field(pay, "unitText"), field(pay, "period"))),
+        code3=F.upper(F.trim(first_text(field(pay, "currency"), field(inner, "currency")))),
+        payText=F.nullif(first_text(field(pay, "sourceText"), field(pay, "text")), F.lit("")),
+    ).drop("told_apply", "country", "html", "reqHtml", "pay", "inner")
+    lo, hi, f = F.col("lo"), F.coalesce("hi", "lo"), salary.factor_of(F.col("period"))
+    told = F.struct(lo.alias("min"), hi.alias("max"), F.when(F.col("code3").rlike("^[A-Z]{3}$"), F.col("code3")).alias("currency"), F.col("period").alias("period"), salary.half_up(lo * f).cast("double").alias("annualMin"), salary.half_up(hi * f).cast("double").alias("annualMax"), F.col("payText").alias("sourceText"))
+    s = once(s, best=F.when(hi.isNull(), salary.best_range(F.col("description"), F.col("location"), F.col("locationCountry"))), low=F.lower(F.concat_ws("\n", "title", "description", "requirements")))
+    best = F.col("best")
+    found = F.struct(best["min"].alias("min"), best["max"].alias("max"), best["currency"].alias("currency"), best["period"].alias("period"), best["annualMin"].cast("double").alias("annualMin"), best["annualMax"].cast("double").alias("annualMax"), best["sourceText"].alias("sourceText"))
     closed = F.col("expired") | F.coalesce(F.col("validThrough") < F.lit(now).cast("timestamp"), F.lit(False))
-    j = j.withColumn("status", F.when(closed, "closed").otherwise("active")).withColumn("verifiedAt", F.lit(now).cast("timestamp")).withColumn("schemaVersion", F.lit(1).cast("short"))
+    s = once(
+        s,
+        salary=F.when(hi.isNotNull(), told).when(best.isNotNull(), found).otherwise(F.expr(_NO_PAY)),
+        workMode=work_mode(F.col("placeType"), F.col("description"), F.col("location")),
+        skills=skills_of(F.col("low")),
+        seniority=titles.seniority(F.col("title")), titleFamily=titles.family(F.col("title")),
+        source=urls.bare_host(F.col("sourceUrl")), sourceRunId=F.lit(run_id),
+        status=F.when(closed, "closed").otherwise("active"), verifiedAt=F.lit(now).cast("timestamp"), schemaVersion=F.lit(1).cast("short"),
+    ).drop("expired", "placeType", "lo", "hi", "period", "code3", "payText", "best", "low")
     parts = [F.nullif(c, F.lit("")) for c in (F.col("title"), F.col("companyName"), F.col("titleFamily"), F.col("seniority"), F.col("location"), F.col("workMode"), F.array_join("employmentType", " "), F.array_join("skills", " "), F.col("requirements"), F.col("description"))]
-    j = j.withColumn("searchText", F.concat_ws("\n", *parts)).drop("expired", "placeType")
-    return assign_identity(j)[0], rejects
+    s = assign_identity(once(s, searchText=F.concat_ws("\n", *parts)))[0]
+    blank = (F.col("title") == "") | (F.col("companyName") == "") | (F.col("description") == "")
+    rules = F.size(contracts.failed_rules(contracts.job_rules())) > 0
+    return once(s, code=F.when(F.col("sourceUrl").isNull() | F.col("applyUrl").isNull(), "missing_url").when(blank, "missing_core_fields").when(rules, "unknown"))
+
+
+def normalize_postings(raw: DataFrame, run_id: str, now: str, item: str = "item", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """raw(item, payload JSON) -> (canonical jobs, rejects (item, code)); ``unknown`` is a job that breaks the contract."""
+    judged = judge_postings(raw, run_id, now, item, payload)
+    return judged.where("code IS NULL").drop("code"), judged.where("code IS NOT NULL").select("item", "code")
 
 
 def compact(x: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stored import stored
+from ..plans.components import components
+from ..plans.stored import once, stored
 
 
 def detect_changes(history: DataFrame, key: str = "jobId", order: str = "run", content: str = "contentHash") -> DataFrame:
@@ -20,41 +21,57 @@ def lifecycle(sightings: DataFrame, runs: DataFrame, now: str, stale_hours: int
     Closed: expired, or absent from two complete consecutive runs of its source since it was first seen; stale: not
     seen for ``stale_hours``. Runs that are not complete never count.
     """
-    complete = runs.where("status = 'complete'").select("source", "run_id", "seq")
-    keys = sightings.join(runs.select("source", "run_id", F.col("seq").alias("_seq")), ["source", "run_id"]).groupBy("jobId", "source").agg(F.max("seenAt").alias("seenAt"), F.max("validThrough").alias("validThrough"), F.min("_seq").alias("_first"))
-    seen = sightings.select("jobId", "source", "run_id").distinct().withColumn("there", F.lit(1))
-    grid = keys.join(complete, "source").where("seq >= _first").join(seen, ["jobId", "source", "run_id"], "left").withColumn("absent", F.when(F.col("there").isNull(), 1).otherwise(0))
-    two = F.sum("absent").over(Window.partitionBy("jobId", "source").orderBy("seq").rowsBetween(-1, 0))
-    last = F.row_number().over(Window.partitionBy("jobId", "source").orderBy(F.desc("seq")))
-    gone = grid.withColumn("two", two).withColumn("_r", last).where("_r = 1").select("jobId", "source", (F.col("two") >= 2).alias("gone"))
-    j = keys.join(gone, ["jobId", "source"], "left")
+    facts = runs.select("source", "run_id", F.col("seq").alias("_seq"), (F.col("status") == "complete").alias("_done"))
+    keys = sightings.join(facts.hint("merge"), ["source", "run_id"]).groupBy("jobId", "source").agg(F.max("seenAt").alias("seenAt"), F.max("validThrough").alias("validThrough"), F.min("_seq").alias("_first"), F.max(F.when(F.col("_done"), F.col("_seq"))).alias("_last"))
+    # the last but one complete run of a source: a job last seen before it, but known by then, missed two in a row
+    back = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("seq")))
+    second = runs.where("status = 'complete'").withColumn("_r", back).where("_r = 2").select("source", F.col("seq").alias("_two"))
+    gone = (F.col("_two") >= F.col("_first")) & (F.coalesce("_last", F.col("_first") - 1) < F.col("_two"))
+    j = keys.join(second.hint("merge"), "source", "left").withColumn("gone", gone)
     at = F.lit(now).cast("timestamp_ntz")
     closed = F.coalesce("gone", F.lit(False)) | F.coalesce(F.col("validThrough") < at, F.lit(False))
     return j.select("jobId", "source", F.when(closed, "closed").when(F.col("seenAt") < at - F.expr(f"INTERVAL {stale_hours} HOURS"), "stale").otherwise("active").alias("state"))
 
 
-def resolve_duplicates(df: DataFrame, key: str, equal: list[list[str]]) -> DataFrame:
-    """(key, group): rows joined by equality on any of the column lists (all not null); group is the smallest key.
+def resolve_duplicates(df: DataFrame, key: str, equal: list[list[str]], similar: str | None = None, percent: int = 80) -> DataFrame:
+    """(key, group): rows joined by equality on any of the column lists (all not null), and by five-word shingles of the
+    text ``similar`` at a Jaccard similarity of ``percent``; group is the smallest key.
 
-    Every value group is a star around its smallest key; labels then spread along stars in rounds over written tables.
+    Every value group is a star around its smallest key. The description leg is MinHash: rows whose bands meet are
+    compared with the band's smallest key on their whole shingle sets, so every link is verified; links of which no
+    band's star tells are missed, and such rows stay separate.
     """
-    edges = None
+    edges = df.select(F.col(key).alias("u"), F.col(key).alias("v")).limit(0)
     for cols in equal:
         full = df.dropna(subset=cols).select(key, *cols)
         star = full.groupBy(*cols).agg(F.min(key).alias("hub"))
-        e = full.join(star, cols).select(F.col(key).alias("a"), F.col("hub").alias("b")).where("a <> b")
-        edges = e if edges is None else edges.unionByName(e)
-    edges = stored(edges.distinct(), "duplicate-edges")
-    labels = stored(df.select(F.col(key).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        nxt = labels.join(near, labels.node == near.a, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), (F.col("m") < F.col("label")).alias("moved"))
-        hop = nxt.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        nxt = stored(nxt.join(hop, nxt.label == hop._n, "left").select("node", F.least("label", "_l").alias("label"), "moved"), "labels")
-        if nxt.where("moved").isEmpty():
-            return nxt.select(F.col("node").alias(key), F.col("label").alias("group"))
-        labels = nxt.drop("moved")
+        edges = edges.unionByName(full.join(star.hint("merge"), cols).select(F.col(key).alias("u"), F.col("hub").alias("v")))
+    if similar:
+        edges = edges.unionByName(similar_links(df, key, similar, percent))
+    found = components(edges)
+    own = df.select(F.col(key).alias("node")).distinct()
+    return own.join(found.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("label", "node").alias("group"))
+
+
+#: MinHash bands and rows of a band: two sets of similarity 0.8 meet in one of them with a chance of 0.9998.
+BANDS, BAND_ROWS = 20, 5
+
+
+def similar_links(df: DataFrame, key: str, text: str, percent: int = 80, words: int = 5) -> DataFrame:
+    """(u, v): verified links between each row and the smallest key of a band that they share."""
+    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("u"), w.alias("w")).where(F.size("w") > 0)
+    spots = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
+    sets = stored(rows.select("u", F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("s")), "shingles")
+    # each hash of a signature is the least of the shingles' hashes under another seed
+    lows = F.transform(F.sequence(F.lit(1), F.lit(BANDS * BAND_ROWS)), lambda i: F.array_min(F.transform("s", lambda x: F.xxhash64(x, i))))
+    bands = once(sets.select("u", "s"), lows=lows).select("u", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("lows", b * BAND_ROWS + 1, BAND_ROWS)))).alias("h"))
+    bands = stored(bands.select("u", "h"), "bands")
+    hubs = bands.groupBy("h").agg(F.min("u").alias("v"), F.max("u").alias("_m")).where("v <> _m").select("h", "v")
+    pairs = bands.join(hubs.hint("merge"), "h").where("u <> v").select("u", "v").distinct()
+    both = pairs.join(sets.hint("merge"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("t")).hint("merge"), "v")
+    both = both.withColumn("_o", F.size(F.array_intersect("s", "t")))
+    return both.where(100 * F.col("_o") >= percent * (F.size("s") + F.size("t") - F.col("_o"))).select("u", "v")
 
 
 def funnel_metrics(events: DataFrame) -> DataFrame:

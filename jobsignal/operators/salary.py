@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Units of a year by period of pay, looked for in this order.
@@ -63,28 +63,36 @@ def with_offsets(matches: Column, text: Column) -> Column:
     return F.aggregate(matches, start, step, lambda acc: acc["xs"])
 
 
-def disclosed_ranges(df: DataFrame, key: str, text: str, location: str, country: str) -> DataFrame:
-    """Every range of df's texts that counts as pay, with its score."""
-    found = df.where(F.col(text).contains("$")).select(key, F.col(text).alias("t"), F.coalesce(location, F.lit("")).alias("loc"), F.upper(country).alias("ctry"), F.regexp_extract_all(text, F.lit(RANGE), F.lit(0)).alias("m"))
-    one = found.where(F.size("m") > 0).select(key, "t", "loc", "ctry", F.explode(with_offsets(F.col("m"), F.col("t"))).alias("x")).select(key, "t", "loc", "ctry", "x.m", "x.at")
-    one = one.withColumn("min", amount(F.regexp_extract("m", RANGE, 1))).withColumn("max", amount(F.regexp_extract("m", RANGE, 2)))
-    one = one.where((F.col("max") >= F.col("min")) & (F.col("max") <= 10_000_000))
-    cut = lambda a, b: F.substring("t", F.greatest(a, F.lit(0)) + 1, b - F.greatest(a, F.lit(0)))
-    one = one.withColumn("before", cut(F.col("at") - 140, F.col("at"))).withColumn("near", cut(F.col("at") - 180, F.col("at") + F.length("m") + 120))
-    big = (F.col("min") >= 10_000) & (F.col("max") >= 10_000)
-    near = F.col("near")
-    one = one.withColumn("period", F.when(near.rlike(HOURLY), "hour").when(near.rlike(ANNUAL), "year").when(near.rlike(LOOSELY_ANNUAL) & big, "year"))
-    usd = F.col("m").rlike(USD_HERE) | near.rlike(USD_NEAR)
-    us = F.coalesce(F.col("ctry") == "US", F.lit(False)) | F.col("loc").rlike(US_PLACE)
-    one = one.withColumn("usd", usd).where(F.col("period").isNotNull() & (F.col("usd") | us))
-    one = one.where(~((F.col("period") == "year") & (F.col("min") < 10_000)) & ~((F.col("period") == "hour") & (F.col("max") > 1000)))
+def best_range(text: Column, location: Column, country: Column) -> Column:
+    """The best range of a text that counts as pay, as a struct; null without one.
+
+    Each match is parsed once: transforms nest, so that no step is written out again for every use of its result.
+    """
+    found = F.when(F.contains(text, F.lit("$")), F.regexp_extract_all(text, F.lit(RANGE), F.lit(0)))
+    spots = with_offsets(F.coalesce(found, F.array().cast("array<string>")), text)
+    cut = lambda a, b: F.substring(text, F.greatest(a, F.lit(0)) + 1, b - F.greatest(a, F.lit(0)))
+    read = F.transform(spots, lambda x: F.struct(x["m"].alias("m"), x["at"].alias("at"), amount(F.regexp_extract(x["m"], RANGE, 1)).alias("min"), amount(F.regexp_extract(x["m"], RANGE, 2)).alias("max"), cut(x["at"] - 140, x["at"]).alias("before"), cut(x["at"] - 180, x["at"] + F.length(x["m"]) + 120).alias("near")))
+    read = F.filter(read, lambda x: (x["max"] >= x["min"]) & (x["max"] <= 10_000_000))
+    us = F.coalesce(F.upper(country) == "US", F.lit(False)) | F.coalesce(location, F.lit("")).rlike(US_PLACE)
+
+    def judged(x):
+        near, big = x["near"], (x["min"] >= 10_000) & (x["max"] >= 10_000)
+        period = F.when(near.rlike(HOURLY), "hour").when(near.rlike(ANNUAL), "year").when(near.rlike(LOOSELY_ANNUAL) & big, "year")
+        return F.struct(x["m"].alias("m"), x["at"].alias("at"), x["min"].alias("min"), x["max"].alias("max"), period.alias("period"), (x["m"].rlike(USD_HERE) | near.rlike(USD_NEAR)).alias("usd"), x["before"].rlike(HOME_STATE).alias("home"), near.rlike(PAY_WORDS).alias("told"))
+
+    fine = F.filter(F.transform(read, judged), lambda x: ((x["period"] == "year") & (x["min"] >= 10_000)) | ((x["period"] == "hour") & (x["max"] <= 1000)))
+    fine = F.filter(fine, lambda x: x["usd"] | us)
     points = lambda cond, n: F.when(cond, n).otherwise(0)
-    score = points(F.col("before").rlike(HOME_STATE), 4) + points(near.rlike(PAY_WORDS), 2) + points(F.col("usd"), 1)
-    f = factor_of(F.col("period"))
-    return one.select(key, "min", "max", F.lit("USD").alias("currency"), "period", half_up(F.col("min") * f).alias("annualMin"), half_up(F.col("max") * f).alias("annualMax"), F.trim("m").alias("sourceText"), score.alias("score"), F.col("at").alias("offset"))
+
+    def scored(x):
+        f = factor_of(x["period"])
+        score = points(x["home"], 4) + points(x["told"], 2) + points(x["usd"], 1)
+        return F.struct(score.alias("score"), (-x["at"]).alias("before"), x["min"].alias("min"), x["max"].alias("max"), F.lit("USD").alias("currency"), x["period"].alias("period"), half_up(x["min"] * f).alias("annualMin"), half_up(x["max"] * f).alias("annualMax"), F.trim(x["m"]).alias("sourceText"))
+
+    return F.array_max(F.transform(fine, scored))
 
 
 def extract_disclosed_salary(df: DataFrame, key: str = "jobId", text: str = "description", location: str = "location", country: str = "locationCountry") -> DataFrame:
-    """The best disclosed range of each posting that has one."""
-    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "offset"))
-    return disclosed_ranges(df, key, text, location, country).withColumn("_rn", best).where("_rn = 1").drop("_rn")
+    """The best disclosed range of each posting that has one: one pass without an exchange."""
+    best = df.where(F.contains(F.col(text), F.lit("$"))).select(key, F.explode(F.array_compact(F.array(best_range(F.col(text), F.col(location), F.col(country))))).alias("x"))
+    return best.select(key, "x.min", "x.max", "x.currency", "x.period", "x.annualMin", "x.annualMax", "x.sourceText", "x.score", (-F.col("x.before")).alias("offset"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+#: Most values of a filter, and most characters of each.
+FILTER_BOUNDS = {"workModes": (3, 10), "seniority": (20, 80), "titleFamilies": (20, 120), "skills": (30, 80), "companies": (50, 160), "employmentTypes": (20, 80), "industries": (20, 120)}
 #: Facets in output order: request field, column of the job table, values listed.
 FACETS = (
     ("workModes", "workMode", 10),
@@ -41,6 +43,9 @@ class SearchRequest:
             (self.posted_within_days is not None and not 1 <= self.posted_within_days <= 365, "posted within days"),
             (not 1 <= self.page_size <= 50, "page size"),
             (self.sort not in SORTS, "sort"),
+            (any(len(v) > FILTER_BOUNDS[k][0] for k, v in self.filters.items() if k in known), "too many values of a filter"),
+            (any(not 1 <= len(x) <= FILTER_BOUNDS[k][1] for k, v in self.filters.items() if k in known for x in v), "length of a filter's value"),
+            (self.cursor is not None and len(self.cursor) > 4096, "cursor"),
         ):
             if bad:
                 raise ValueError(f"invalid search request: {what}")

@@ -1,19 +1,23 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and columns that are computed once."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder under a local master, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return found.rstrip("/")
 
@@ -22,4 +26,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table: its plan is cut and its rows are computed once."""
     path = f"{folder(df.sparkSession)}/stored/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) of the cluster's storage."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    p, fs = hadoop_path(df.sparkSession, df.stored_path)
+    fs.delete(p, True)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each computed once however often it is used: a generator of one row keeps the optimizer
+    from writing their expressions out again in every use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

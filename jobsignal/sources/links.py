@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..plans.stored import once
 
 _HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -15,13 +16,17 @@ def discover_links(pages: DataFrame, rules: DataFrame, max_links: int = 2000, pa
 
     rules(host, provider, path_regex). The cap counts distinct links in document order, before the self link goes.
     """
-    found = pages.select(F.col(page_url).alias("page_url"), F.posexplode(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))).alias("position", "href"))
-    link = urls.resolved(F.col("href"), F.col("page_url"))
-    found = found.select("page_url", "position", link.alias("url")).where("url IS NOT NULL").withColumn("host", urls.host(F.col("url"))).withColumn("page_host", urls.host(F.col("page_url")))
+    parts = urls.base_parts(F.col("page_url"))
+    of_page = once(pages.select(F.col(page_url).alias("page_url"), F.col(html).alias("html")), page_host=urls.host(F.col("page_url")), **parts)
+    found = of_page.select("page_url", "page_host", *parts, F.posexplode(F.regexp_extract_all("html", F.lit(_HREF), F.lit(1))).alias("position", "href"))
+    found = once(found, h=F.regexp_replace(F.trim("href"), r"#.*$", ""))
+    found = once(found, joined=urls.resolved(F.col("h"), *map(F.col, parts))).select("page_url", "page_host", "position", "joined")
+    found = once(found, url=urls.valid(F.col("joined"))).where("url IS NOT NULL").drop("joined")
+    found = once(found, host=urls.host(F.col("url")))
     if strip_apply:
         found = found.withColumn("url", F.when(F.col("host").isin(*strip_apply), F.regexp_replace("url", r"/apply/?(\?|$)", "$1")).otherwise(F.col("url")))
     own = rules.select(F.col("host").alias("page_host"), F.col("provider").alias("page_provider"))
-    kept = found.join(rules, "host").join(own, "page_host").where(F.col("provider") == F.col("page_provider"))
+    kept = found.join(rules.hint("merge"), "host").join(own.hint("merge"), "page_host").where(F.col("provider") == F.col("page_provider"))
     path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+([^?#]*)", 1), "/+$", "")
     kept = kept.withColumn("path", path).where(F.expr("path rlike path_regex"))
     first = kept.groupBy("page_url", "url", "provider").agg(F.min("position").alias("position"))
@@ -42,7 +47,7 @@ def screen_urls(lists: DataFrame, allow: DataFrame, col: str = "urls", strict_ne
     one = lists.select(F.posexplode(F.split(col, r"[\n,]")).alias("pos", "raw")).select("pos", F.trim("raw").alias("raw")).where("raw <> ''")
     one = one.withColumn("url", urls.valid(F.regexp_replace("raw", "#.*$", ""))).withColumn("host", urls.host(F.col("url")))
     ok = allow.select(F.lower(F.trim("host")).alias("host"), "provider").distinct()
-    j = one.join(ok, "host", "left")
+    j = one.join(ok.hint("merge"), "host", "left")
     reason = F.when(F.col("url").isNull() | F.col("host").isNull(), "invalid_url").when(~F.lower("url").startswith("https:"), "not_https").when(urls.has_credentials(F.col("url")), "has_credentials")
     if strict_network:
         p = urls.port(F.col("url"))

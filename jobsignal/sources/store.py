@@ -42,7 +42,33 @@ def upsert_postings(current: DataFrame, batch: DataFrame, key: str, order: str,
 
 def plan_runs(runs: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
     """Runs that still need work: those without a complete ledger row, or all of them when forced."""
-    return runs if force else runs.join(ledger.where("status = 'complete'").select("run_id"), "run_id", "left_anti")
+    return runs if force else runs.join(ledger.where("status = 'complete'").select("run_id").hint("merge"), "run_id", "left_anti")
+
+
+_COUNTS = ("collected", "accepted", "rejected", "indexed", "failed")
+
+
+def _ledger_rows(runs: DataFrame, seq: int, status: str, at: str, **fixed) -> DataFrame:
+    """Ledger rows (run_id, seq, status, finished_at, counts, error); counts that runs lack are zero."""
+    values = [fixed.get(c, F.col(c) if c in runs.columns else F.lit(0)) for c in _COUNTS]
+    counts = [v.cast("long").alias(c) for v, c in zip(values, _COUNTS)]
+    return runs.select("run_id", F.lit(seq).cast("long").alias("seq"), F.lit(status).alias("status"), F.lit(at).cast("timestamp").alias("finished_at"), *counts, F.lit(fixed.get("error")).cast("string").alias("error"))
+
+
+def started_rows(runs: DataFrame, seq: int, at: str) -> DataFrame:
+    """A row for each run that begins: partial, with zeros, so that a run that dies is done again."""
+    return _ledger_rows(runs.select("run_id"), seq, "partial", at)
+
+
+def ended_rows(report: DataFrame, seq: int, at: str) -> DataFrame:
+    """A row for each run of a report: complete, or partial if a write failed."""
+    out = _ledger_rows(report, seq, "complete", at)
+    return out.withColumn("status", F.when(F.col("failed") == 0, "complete").otherwise("partial"))
+
+
+def failed_rows(runs: DataFrame, seq: int, at: str, error: str) -> DataFrame:
+    """A row for each run that broke off."""
+    return _ledger_rows(runs.select("run_id"), seq, "failed", at, failed=F.lit(1), error=error)
 
 
 def append_ledger(ledger: DataFrame, rows: DataFrame) -> DataFrame:
