@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lexical, planned
+from ..operators import lexical, planned, search
 from ..plans import search_plan
 from ..plans.jobs_view import NOW, ORDERS_WIDE_SQL, orders_wide, table
 from ..plans.requests import SearchRequest
-from ..plans.stored import stored
+from ..plans.stored import folder, hadoop_path
 from ..sources import store
 from ..streaming import apps
 from .candidates import _work
@@ -26,8 +28,15 @@ def _docs(spark, d):
     return docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), "source", F.col("text").alias("body"))
 
 
-def _stats(spark, d):
-    return tuple(stored(x, n) for x, n in zip(lexical.corpus_stats(_docs(spark, d), "doc_id", ["title", "source", "body"]), ("postings", "lengths", "terms")))
+FIELDS = ["title", "source", "body"]
+
+
+def _index(spark, d):
+    """The index of the documents, made at the first search of a state of the table and read by later ones."""
+    path, fs = hadoop_path(spark, f"{d}/documents.parquet")
+    facts = fs.getContentSummary(path)
+    state = f"{d} {facts.getLength()} {facts.getFileCount()} {fs.getFileStatus(path).getModificationTime()}"
+    return lexical.Index.of(_docs(spark, d), "doc_id", FIELDS).saved(f"{folder(spark)}/index/{hashlib.sha256(state.encode()).hexdigest()[:24]}")
 
 
 def x1_corpus_stats(spark, d):
@@ -45,11 +54,19 @@ def _rounded(df):
 
 
 def x2_lexical_search(spark, d):
-    return _rounded(lexical.lexical_search(_stats(spark, d), QUERY, BOOSTS, fuzzy=False))
+    return _rounded(lexical.lexical_search(_index(spark, d), QUERY, BOOSTS))
+
+
+def x2_exact_search(spark, d):
+    return _rounded(lexical.lexical_search(_index(spark, d), QUERY, BOOSTS, fuzzy=False))
+
+
+def x2_empty_query(spark, d):
+    return lexical.lexical_search(_index(spark, d), " ", BOOSTS)
 
 
 def x2_fuzzy_expansions(spark, d):
-    return lexical.expansions(_stats(spark, d)[2], ["thant", "of", "rewhthat"]).select("field", "q", "term", "df", "edits")
+    return lexical.expansions(_index(spark, d).terms, ["thant", "of", "rewhthat"]).select("field", "q", "term", "df", "edits")
 
 
 def _vector(spark, d):
@@ -57,7 +74,7 @@ def _vector(spark, d):
 
 
 def x3_hybrid_search(spark, d):
-    lex = lexical.lexical_search(_stats(spark, d), QUERY, BOOSTS, fuzzy=False)
+    lex = lexical.lexical_search(_index(spark, d), QUERY, BOOSTS, fuzzy=False)
     return _rounded(lexical.hybrid_search(lex, table(spark, d, "embeddings"), _vector(spark, d), 100)[0])
 
 
@@ -71,16 +88,16 @@ def d4_fuse_rrf(spark, d):
 
 def x4_highlight(spark, d):
     docs = table(spark, d, "documents")
-    page = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.get(F.split("text", "\n", 2), F.lit(1)).alias("description"))
+    page = docs.select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.get(F.split("text", "\n", 2), F.lit(1)).alias("description"))  # all that follows the first line
     h = lexical.highlight(page, "doc_id", list(WORDS), "title", ("description",))
     return h.select("doc_id", F.size("highlights").alias("parts"), F.when(F.col("highlights")[0].contains("<mark>"), True).otherwise(False).alias("marked"))
 
 
-def _x5(spark, d):
+def _x5(spark, d, mode="lexical"):
     request = SearchRequest(query="promo", filters={"workModes": ("O",)}, posted_within_days=365, sort="newest", page_size=20)
-    jobs = orders_wide(spark, d).withColumn("searchText", F.concat_ws(" ", "titleFamily", "companyName", F.array_join("industries", " ")))
-    stats = lexical.corpus_stats(jobs, "jobId", ["titleFamily", "searchText"])
-    return search_plan.run_search(jobs, stats, request, NOW)
+    jobs = orders_wide(spark, d).withColumn("title", F.concat("titleFamily", F.lit(" at "), "companyName")).withColumn("searchText", F.concat_ws(" ", "titleFamily", "companyName", F.array_join("industries", " "))).withColumn("description", F.col("searchText"))
+    index = lexical.Index.of(jobs, "jobId", ["titleFamily", "searchText"])
+    return search_plan.run_search(jobs, index, request, NOW, mode=mode)
 
 
 def x5_search(spark, d):
@@ -93,6 +110,35 @@ def x5_search_summary(spark, d):
     return r.summary.select("total", F.date_format("freshness", "yyyy-MM-dd HH:mm:ss").alias("freshness"), "degraded")
 
 
+def x5_search_degraded(spark, d):
+    """A hybrid search without vectors: the lexical result, said to be degraded."""
+    r = _x5(spark, d, "hybrid")
+    return r.items.select("jobId").withColumn("degraded", F.lit(r.degraded))
+
+
+def x5_search_facets(spark, d):
+    return _x5(spark, d).facets
+
+
+def x5_search_highlights(spark, d):
+    return _x5(spark, d).highlights.select("jobId", F.size("highlights").alias("parts"), F.array_join("highlights", " | ").alias("text"))
+
+
+def t2_cursor_pages(spark, d):
+    """Three pages of a search, each from the cursor of the one before, written and read back as a client would."""
+    jobs, request, out = orders_wide(spark, d), SearchRequest(posted_within_days=365, sort="salary", page_size=15), None
+    after = None
+    for n in range(3):
+        page = search.next_page(search.filter_jobs(jobs, request, NOW), request.sort, after, request.page_size).select(F.lit(n).alias("page"), "jobId", "annualMax", "postedAt")
+        out = page if out is None else out.unionByName(page)
+        last = search.page_after(page, request.sort, request.page_size)
+        if last is None:
+            break
+        cursor = search.encode_cursor(request, last, 1_000)
+        after = search.decode_cursor(replace(request, cursor=cursor), 2_000)
+    return out.select("page", "jobId")
+
+
 def s2_stream_postings(spark, d):
     path = f"{d}/documents.parquet"
     s = store.stream_postings(spark, f"{path}*", spark.read.parquet(path).schema)
@@ -157,7 +203,7 @@ def d8_nation_distances(spark, d):
     return n.select("n_nationkey", F.round(planned.haversine_km(F.col("lat"), F.col("lon"), F.lit(30.27), F.lit(-97.74)), 3).alias("km"))
 
 
-QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
+QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_exact_search, x2_empty_query, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, x5_search_degraded, x5_search_facets, x5_search_highlights, t2_cursor_pages, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
 
 _TOKENS = r"""
 f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS t FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'body', text FROM documents),
@@ -173,21 +219,40 @@ pf AS (SELECT field, doc_id, sum(s) AS s FROM s GROUP BY ALL HAVING count(*) = 2
 best AS (SELECT doc_id, max(s * CASE field WHEN 'title' THEN 6.0 WHEN 'source' THEN 3.0 ELSE 1.0 END) AS score FROM pf GROUP BY doc_id),
 ph AS (SELECT DISTINCT a.doc_id FROM long a JOIN long b ON a.doc_id = b.doc_id AND a.field = 'title' AND b.field = 'title' AND a.term = 'the' AND b.term = 'that' AND b.pos = a.pos + 1),
 lex AS (SELECT coalesce(best.doc_id, ph.doc_id) AS doc, coalesce(score, 0) + CASE WHEN ph.doc_id IS NOT NULL THEN 8.0 ELSE 0 END AS score FROM best FULL JOIN ph ON best.doc_id = ph.doc_id)"""
+_FUZZY = f"""{_TOKENS},
+ex AS (SELECT field, q, term, df FROM terms JOIN (SELECT unnest(['the', 'that']) AS word, unnest([0, 1]) AS q) ON damerau_levenshtein(term, word) <= 1
+  QUALIFY row_number() OVER (PARTITION BY field, q ORDER BY damerau_levenshtein(term, word), df DESC, term) <= 50),
+s AS (SELECT post.field, post.doc_id, q, max(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS s FROM post JOIN ex USING (field, term) JOIN len USING (field, doc_id) JOIN avgs USING (field) GROUP BY ALL),
+{_LEX.split("WHERE term IN ('the', 'that')),", 1)[1].strip()}"""
 _SIM = "sim AS (SELECT vec_id AS doc, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS similarity FROM embeddings)"
 _X5 = f"""{ORDERS_WIDE_SQL},
+told AS (SELECT *, regexp_split_to_array(lower("titleFamily" || ' ' || "companyName" || ' ' || array_to_string(industries, ' ')), '[^a-z0-9]+') AS words FROM jobs),
+scope AS (SELECT * FROM told WHERE status = 'active' AND "postedAt" >= TIMESTAMP '{NOW}' - INTERVAL 365 DAYS AND len(list_filter(words, lambda x: damerau_levenshtein(x, 'promo') <= 1)) > 0),
 hit AS (SELECT * FROM jobs WHERE status = 'active' AND lower("workMode") = 'o' AND "postedAt" >= TIMESTAMP '{NOW}' - INTERVAL 365 DAYS
-  AND len(list_filter(regexp_split_to_array(lower("titleFamily" || ' ' || "companyName" || ' ' || array_to_string(industries, ' ')), '[^a-z0-9]+'), lambda x: levenshtein(x, 'promo') <= 1)) > 0)"""
+  AND len(list_filter(regexp_split_to_array(lower("titleFamily" || ' ' || "companyName" || ' ' || array_to_string(industries, ' ')), '[^a-z0-9]+'), lambda x: damerau_levenshtein(x, 'promo') <= 1)) > 0)"""
 SQL = {
     "x1_corpus_stats": f"WITH {_TOKENS} SELECT field, terms, postings::BIGINT AS postings, most, tokens::BIGINT AS tokens FROM (SELECT field, count(*) AS terms, sum(df) AS postings, max(df) AS most FROM terms GROUP BY field) JOIN (SELECT field, sum(length) AS tokens FROM len GROUP BY field) USING (field)",
     "x1_frequent_terms": f"WITH {_TOKENS} SELECT field, term, df FROM terms WHERE df >= 20 AND field <> 'source'",
-    "x2_lexical_search": f"WITH {_LEX} SELECT doc, round(score, 5) AS score FROM lex",
+    "x2_exact_search": f"WITH {_LEX} SELECT doc, round(score, 5) AS score FROM lex",
+    "x2_lexical_search": f"WITH {_FUZZY} SELECT doc, round(score, 5) AS score FROM lex",
+    "x2_empty_query": "SELECT doc_id AS doc, 0.0::DOUBLE AS score FROM documents",
     "x2_fuzzy_expansions": f"""WITH {_TOKENS}, q AS (SELECT * FROM (VALUES (0, 'thant', 1), (1, 'of', 0), (2, 'rewhthat', 2)) AS t(q, word, k))
-SELECT field, q, term, df, levenshtein(term, word)::INT AS edits FROM terms JOIN q ON levenshtein(term, word) <= k QUALIFY row_number() OVER (PARTITION BY field, q ORDER BY levenshtein(term, word), df DESC, term) <= 50""",
+SELECT field, q, term, df, damerau_levenshtein(term, word)::INT AS edits FROM terms JOIN q ON damerau_levenshtein(term, word) <= k QUALIFY row_number() OVER (PARTITION BY field, q ORDER BY damerau_levenshtein(term, word), df DESC, term) <= 50""",
     "x3_hybrid_search": f"WITH {_LEX}, {_SIM}, near AS (SELECT * FROM sim ORDER BY similarity DESC, doc LIMIT 100) SELECT coalesce(lex.doc, near.doc) AS doc, round(coalesce(score, 0) + 1.5 * coalesce(similarity, 0), 5) AS score FROM lex FULL JOIN near ON lex.doc = near.doc",
     "d4_fuse_rrf": f"""WITH {_SIM}, a AS (SELECT doc, row_number() OVER (ORDER BY similarity DESC, doc) AS rank FROM sim QUALIFY rank <= 50), b AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50)
 SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 5) AS score FROM a FULL JOIN b ON a.doc = b.doc""",
     "x5_search": f"""WITH {_X5} SELECT "jobId", strftime("postedAt", '%Y-%m-%d') AS posted FROM hit ORDER BY "postedAt" DESC NULLS LAST, "jobId" LIMIT 20""",
     "x5_search_summary": f"""WITH {_X5} SELECT count(*) AS total, strftime(max("collectedAt"), '%Y-%m-%d %H:%M:%S') AS freshness, false AS degraded FROM hit""",
+    "x5_search_degraded": f"""WITH {_X5} SELECT "jobId", true AS degraded FROM hit ORDER BY "postedAt" DESC NULLS LAST, "jobId" LIMIT 20""",
+    "x5_search_facets": f"""WITH {_X5},
+v AS (SELECT 'workModes' AS facet, lower("workMode") AS value, 10 AS most FROM scope UNION ALL SELECT 'seniority', lower(seniority), 20 FROM hit UNION ALL SELECT 'titleFamilies', lower("titleFamily"), 20 FROM hit UNION ALL SELECT 'companies', lower("companyName"), 30 FROM hit
+  UNION ALL SELECT 'skills', unnest(list_distinct(list_transform(skills, lambda x: lower(x)))), 30 FROM hit UNION ALL SELECT 'employmentTypes', unnest(list_distinct(list_transform("employmentType", lambda x: lower(x)))), 20 FROM hit UNION ALL SELECT 'industries', unnest(list_distinct(list_transform(industries, lambda x: lower(x)))), 30 FROM hit),
+c AS (SELECT facet, value, most, count(*) AS count, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, value)::INT AS rank FROM v GROUP BY 1, 2, 3)
+SELECT facet, value, count, rank FROM c WHERE rank <= most""",
+    "x5_search_highlights": f"""WITH {_X5}, p AS (SELECT * FROM hit ORDER BY "postedAt" DESC NULLS LAST, "jobId" LIMIT 20), t AS (SELECT "jobId", "titleFamily" || ' ' || "companyName" || ' ' || array_to_string(industries, ' ') AS d FROM p)
+SELECT "jobId", 1 AS parts, regexp_replace(d, '(?i)\\b(promo)\\b', '<mark>\\1</mark>', 'g') AS text FROM t WHERE regexp_matches(d, '(?i)\\bpromo\\b')""",
+    "t2_cursor_pages": f"""WITH {ORDERS_WIDE_SQL}, r AS (SELECT "jobId", row_number() OVER (ORDER BY "annualMax" DESC NULLS LAST, "postedAt" DESC NULLS LAST, "jobId") AS n FROM jobs WHERE status = 'active' AND "postedAt" >= TIMESTAMP '{NOW}' - INTERVAL 365 DAYS)
+SELECT ((n - 1) // 15)::INT AS page, "jobId" FROM r WHERE n <= 45""",
     "s2_stream_postings": "SELECT source, count(*) AS items FROM documents GROUP BY source",
     "d1_detect_changes": """SELECT user_id AS "jobId", event_id AS run, event_type AS "contentHash" FROM events QUALIFY coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) <> event_type, true)""",
     "d2_lifecycle": """

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import hadoop_path
+
 #: Text fields are cut to words; keyword fields are one lower-cased term.
 KEYWORD_FIELDS = ("skills", "titleFamily")
 BOOSTS = {"title": 6.0, "titleFamily": 4.0, "skills": 4.0, "companyName": 3.0, "location": 3.0, "requirements": 2.0, "description": 1.0, "searchText": 1.0}
@@ -35,35 +38,87 @@ def _tag(name: str):
     return lambda t, i: F.struct(F.lit(name).alias("field"), t.alias("term"), i.alias("pos"))
 
 
+@dataclass
+class Index:
+    """What a search reads: postings with their field's length, terms, mean lengths by field, and every document."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+    docs: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame, key: str, fields: list[str]) -> Index:
+        postings, lengths, terms = corpus_stats(docs, key, fields)
+        sizes = lengths.groupBy("field").agg(F.avg("length").alias("mean"), F.count(F.lit(1)).alias("n"))
+        return Index(postings.join(lengths.hint("merge"), ["field", "doc"]), terms, sizes, docs.select(F.col(key).alias("doc")))
+
+    def saved(self, folder: str) -> Index:
+        """The index as tables under ``folder``, postings and terms sorted by term, so that a search reads the row groups
+        of its terms only; tables that are there already are read as they are."""
+        spark = self.docs.sparkSession
+        for name, df in vars(self).items():
+            done, fs = hadoop_path(spark, f"{folder}/{name}/_SUCCESS")
+            if not fs.exists(done):
+                df = df.repartitionByRange("term", "doc").sortWithinPartitions("term") if name == "postings" else df.repartitionByRange("term").sortWithinPartitions("term") if name == "terms" else df
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return Index.at(spark, folder)
+
+    @staticmethod
+    def at(spark: SparkSession, folder: str) -> Index:
+        return Index(*(spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms", "sizes", "docs")))
+
+
+def swaps(word: str) -> list[str]:
+    """The word with two neighbouring characters swapped, in every way."""
+    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
+
+
+def edits(term, word: str, k: int):
+    """Insertions, deletions, substitutions and swaps of neighbours between a term and a word, if at most k; else null."""
+    near = lambda w, most: F.levenshtein(term, F.lit(w), most)
+    tries = [F.when(near(word, k) >= 0, near(word, k))]
+    if k >= 1:
+        tries.append(F.when(term.isin(*swaps(word)), 1))
+    if k >= 2:
+        tries.append(F.when(F.exists(F.array(*map(F.lit, swaps(word) or [word])), lambda w: F.levenshtein(term, w) <= 1), 2))
+    return F.least(*tries) if len(tries) > 1 else tries[0]
+
+
 def expansions(terms: DataFrame, query_terms: list[str]) -> DataFrame:
-    """(field, q, term, df): each query term's nearest vocabulary terms, at most EXPANSIONS a field."""
+    """(field, q, term, df, edits): each query term's nearest vocabulary terms, at most EXPANSIONS a field."""
     out = None
     for i, q in enumerate(query_terms):
         k = 0 if len(q) <= 2 else 1 if len(q) <= 5 else 2
-        near = terms.where(F.length("term").between(len(q) - k, len(q) + k)).withColumn("edits", F.levenshtein("term", F.lit(q), k)).where("edits >= 0").withColumn("q", F.lit(i))
+        near = terms.where(F.length("term").between(len(q) - k, len(q) + k)).withColumn("edits", edits(F.col("term"), q, k)).where("edits is not null").withColumn("q", F.lit(i))
         out = near if out is None else out.unionByName(near)
     rank = F.row_number().over(Window.partitionBy("field", "q").orderBy("edits", F.desc("df"), "term"))
     return out.withColumn("_r", rank).where(F.col("_r") <= EXPANSIONS).drop("_r")
 
 
-def lexical_search(stats: tuple[DataFrame, DataFrame, DataFrame], query: str, boosts: dict[str, float] | None = None, fuzzy: bool = True) -> DataFrame:
+def lexical_search(index: Index, query: str, boosts: dict[str, float] | None = None, fuzzy: bool = True) -> DataFrame:
     """(doc, score): documents with every query term in one field, by the best field's boosted BM25, plus the title
-    phrase. A keyword field matches the whole query. An empty query is not a search: it matches every document with 0."""
-    postings, lengths, terms = stats
+    phrase. A keyword field matches the whole query. An empty query is not a search: it matches every document with 0.
+
+    The query's terms and their expansions (at most EXPANSIONS for each word and field) are looked up first, so that the
+    postings are read for them alone.
+    """
     boosts = boosts or BOOSTS
-    words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    said = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    words = list(dict.fromkeys(said))
     if not words:
-        return lengths.select("doc").distinct().withColumn("score", F.lit(0.0))
-    words = list(dict.fromkeys(words))
-    text, keyword = ~F.col("field").isin(*KEYWORD_FIELDS), F.col("field").isin(*KEYWORD_FIELDS)
+        return index.docs.select("doc", F.lit(0.0).alias("score"))
+    terms, text = index.terms, ~F.col("field").isin(*KEYWORD_FIELDS)
     if fuzzy:
         found = expansions(terms.where(text), words)
     else:
         found = terms.where(text & F.col("term").isin(*words)).withColumn("q", F.array_position(F.array(*map(F.lit, words)), F.col("term")) - 1)
-    whole = terms.where(keyword & (F.col("term") == query.lower().strip())).withColumn("q", F.lit(-1))
+    whole = terms.where(~text & (F.col("term") == query.lower().strip())).withColumn("q", F.lit(-1))
     found = found.select("field", "term", "df", F.col("q").cast("long").alias("q")).unionByName(whole.select("field", "term", "df", F.col("q").cast("long").alias("q")))
-    sizes = lengths.groupBy("field").agg(F.avg("length").alias("mean"), F.count(F.lit(1)).alias("n"))
-    hit = postings.join(found, ["field", "term"]).join(lengths, ["field", "doc"]).join(F.broadcast(sizes), "field")  # one row per field
+    rows = found.collect()
+    few = terms.sparkSession.createDataFrame([tuple(r) for r in rows], found.schema)
+    postings = index.postings.where(F.col("term").isin(*sorted({r.term for r in rows} | set(said))))
+    hit = postings.join(F.broadcast(few), ["field", "term"]).join(F.broadcast(index.sizes), "field")  # both bounded: expansions, one row per field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     per_q = hit.withColumn("s", idf * tf).groupBy("field", "doc", "q").agg(F.max("s").alias("s"))
@@ -71,26 +126,19 @@ def lexical_search(stats: tuple[DataFrame, DataFrame, DataFrame], query: str, bo
     boost = F.element_at(F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv)), F.col("field"))
     full = per_field.where((F.col("terms") == len(words)) | (F.col("least") == -1)).where(F.col("field").isin(*boosts))
     best = full.groupBy("doc").agg(F.max(boost * F.col("s")).alias("score"))
-    phrase = phrase_hits(postings, "title", [w for w in re.split(r"[\W_]+", query.lower()) if w])
-    j = best.join(phrase.withColumn("_p", F.lit(PHRASE_BOOST)), "doc", "full")
+    phrase = phrase_hits(postings, "title", said)
+    j = best.join(phrase.withColumn("_p", F.lit(PHRASE_BOOST)).hint("merge"), "doc", "full")
     return j.select("doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("_p", F.lit(0.0))).alias("score"))
 
 
 def phrase_hits(postings: DataFrame, field: str, words: list[str]) -> DataFrame:
     """(doc) whose field holds the words one after another."""
-    p = postings.where((F.col("field") == field) & F.col("term").isin(*words))
-    starts = None
-    for i, w in enumerate(words):
-        s = p.where(F.col("term") == w).select("doc", F.transform("positions", _minus(i)).alias(f"p{i}"))
-        starts = s if starts is None else starts.join(s, "doc")
-    both = F.col("p0")
-    for i in range(1, len(words)):
-        both = F.array_intersect(both, f"p{i}")
-    return starts.where(F.size(both) > 0).select("doc")
-
-
-def _minus(i: int):
-    return lambda x: x - i
+    places = F.array(*(F.when(F.col("term") == w, i) for i, w in enumerate(words)))
+    p = postings.where((F.col("field") == field) & F.col("term").isin(*words)).select("doc", "positions", F.array_compact(places).alias("is"))
+    # where the phrase would start if this occurrence were its i-th word
+    starts = p.select("doc", F.explode("is").alias("i"), "positions").select("doc", "i", F.explode(F.array_distinct("positions")).alias("at"))
+    whole = starts.groupBy("doc", (F.col("at") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("n")).where(F.col("n") == len(words))
+    return whole.select("doc").distinct()
 
 
 def cosine(vectors: DataFrame, query: list[float], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -107,7 +155,7 @@ def hybrid_search(lexical: DataFrame, vectors: DataFrame | None, query: list[flo
     if vectors is None or not query:
         return lexical, True
     near = cosine(vectors, query).orderBy(F.desc("similarity"), "doc").limit(k)
-    j = lexical.join(near, "doc", "full")
+    j = lexical.join(near.hint("merge"), "doc", "full")
     return j.select("doc", (F.coalesce("score", F.lit(0.0)) + SEMANTIC_BOOST * F.coalesce("similarity", F.lit(0.0))).alias("score")), False
 
 

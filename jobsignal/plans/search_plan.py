@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexical, search
 from .requests import SearchRequest
+from .stored import stored
 
 
 @dataclass
@@ -20,20 +21,22 @@ class SearchResult:
     degraded: bool
 
 
-def run_search(jobs: DataFrame, stats, request: SearchRequest, now: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, mode: str = "lexical", after: dict | None = None) -> SearchResult:
+def run_search(jobs: DataFrame, index: lexical.Index, request: SearchRequest, now: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, mode: str = "lexical", after: dict | None = None) -> SearchResult:
     """``after`` is a decoded cursor. A hybrid search without vectors runs lexically from the first page, degraded."""
-    base = search.filter_jobs(jobs, request, now)
+    base, scope = search.filter_jobs(jobs, request, now), None
     degraded = False
     query = request.query.strip()
     if query:
-        hits = lexical.lexical_search(stats, query)
+        hits = lexical.lexical_search(index, query)
         if mode == "hybrid":
             hits, degraded = lexical.hybrid_search(hits, vectors, query_vector, request.page_size * 10)
             after = None if degraded else after
-        base = base.join(hits.withColumnRenamed("doc", "jobId"), "jobId")
+        hits = stored(hits.withColumnRenamed("doc", "jobId"), "hits")  # items, facets and totals read it
+        scope = hits.select("jobId").hint("merge")
+        base = base.join(hits.hint("merge"), "jobId")
     items = search.next_page(base, request.sort, after, request.page_size, bool(query))
     summary = base.agg(F.count(F.lit(1)).alias("total"), F.max("collectedAt").alias("freshness")).withColumn("degraded", F.lit(degraded))
     words = [w for w in query.lower().split() if w]
     texts = [c for c in ("description", "requirements") if c in jobs.columns]
     marks = lexical.highlight(items, "jobId", words, "title", tuple(texts)) if "title" in jobs.columns else items.select("jobId", F.array().cast("array<string>").alias("highlights"))
-    return SearchResult(items, search.facet_counts(jobs, request, now), summary, marks, degraded)
+    return SearchResult(items, search.facet_counts(jobs, request, now, scope), summary, marks, degraded)
