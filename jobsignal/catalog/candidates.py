@@ -171,20 +171,40 @@ def _work(spark, name):
 def v2_stream_applications(spark, d):
     action = F.element_at(F.create_map(*(F.lit(x) for kv in _ACTIONS.items() for x in kv)), F.col("event_type"))
     events = _stream(spark, d, "events").select(F.col("user_id").alias("applicationId"), "ts", F.col("event_id").alias("seq"), action.alias("action"))
-    rows = apps.drain(apps.stream_applications(events), f"v2_{uuid.uuid4().hex}", _work(spark, "v2"))
+    rows = apps.drain(apps.stream_applications(events), _work(spark, "v2-out"), _work(spark, "v2"))
     return rows.groupBy("applicationId").agg(F.max_by("status", "seq").alias("status"), F.count_if(~F.col("accepted")).alias("n_rejected"))
 
 
+#: Columns of the canonical job, as ingestion keeps them.
+_JOB = "jobId string, title string, companyName string, location string, sourceUrl string, sourceRunId string, status string, contentHash string, searchText string"
+
+
+def _ingested(spark, d):
+    """Documents as runs of raw items, one run a source; one run's actor isn't allowed, one hasn't succeeded."""
+    docs = _stream(spark, d, "documents")
+    posting = F.struct(F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("Engineer "), F.col("doc_id") % 500)).alias("title"), F.substring("text", 1, 300).alias("description"), F.struct(F.coalesce("lang", F.lit("")).alias("name")).alias("hiringOrganization"), F.struct((F.col("doc_id") % 500).cast("string").alias("value")).alias("identifier"))
+    payload = F.to_json(F.struct(F.concat(F.lit("https://jobs.example.com/"), F.col("doc_id").cast("string")).alias("sourceUrl"), posting.alias("jobPosting")))
+    items = docs.select(F.col("source").alias("run_id"), F.when(F.length("source") % 4 == 3, "other").otherwise("crawler").alias("actor_id"), F.when(F.length("source") % 4 == 2, "FAILED").otherwise("SUCCEEDED").alias("run_status"), F.lit("ds").alias("dataset_id"), F.col("doc_id").alias("item"), payload.alias("payload"))
+    allowed = spark.range(1).select(F.lit("crawler").alias("actor_id"))
+    target = apps.Target(spark, _work(spark, "v3"), "jobId")
+    schema = spark.createDataFrame([], _JOB).schema
+    apps.stream_ingest(items, target, allowed, "item_index", NOW, _work(spark, "v3-checkpoint"), schema).start().awaitTermination()
+    return target, schema
+
+
 def v3_stream_ingest(spark, d):
-    docs = _stream(spark, d, "documents").select("doc_id", "lang", "source", F.col("doc_id").alias("item_index"))
-    target = _work(spark, "v3")
-    apps.stream_ingest(docs, target, "doc_id", "item_index", {"lang": F.col("lang").isin("en", "fr", "de")}, _work(spark, "v3-checkpoint"), run="source").start().awaitTermination()
-    return apps.latest_version(spark, target).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("jobs"))
+    target, schema = _ingested(spark, d)
+    return target.latest(schema).groupBy("sourceRunId").agg(F.count(F.lit(1)).alias("jobs"), F.max("title").alias("last"))
+
+
+def v3_ingest_ledger(spark, d):
+    target, _ = _ingested(spark, d)
+    return apps.read_ledger(spark, target).select("run_id", "status", "collected", "accepted", "rejected", "indexed", "failed", "error")
 
 
 def v4_dedupe_deliveries(spark, d):
     events = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"), F.concat_ws("-", (F.col("event_id") / 2).cast("long"), F.lit("run")).alias("delivery"))
-    rows = apps.drain(apps.dedupe_deliveries(events, "delivery", "at", "60 days"), f"v4_{uuid.uuid4().hex}", _work(spark, "v4"))
+    rows = apps.drain(apps.dedupe_deliveries(events, "delivery", "at", "60 days"), _work(spark, "v4-out"), _work(spark, "v4"))
     return rows.select("delivery")
 
 
@@ -207,7 +227,7 @@ def a4_inventory_counts(spark, d):
     return reports.inventory_counts({"jobs": table(spark, d, "orders"), "profiles": table(spark, d, "customer"), "applications": None}, led)
 
 
-QUERIES = {f.__name__: f for f in (c1_gate_documents, c2_extract_skill_evidence, c3_infer_roles, c4_extract_years_experience, c5_build_profiles, j4_match_candidates, n10_build_source_material, n11_parse_model_profiles, j5_verify_evidence, w1_verify_runs, w2_save_applications, t3_list_applications, w3_split_profile_cache, w4_audit_submissions, v1_fold_applications, v1_rejected_actions, v2_stream_applications, v3_stream_ingest, v4_dedupe_deliveries, v5_cadence_counts, a3_run_report, a4_inventory_counts)}
+QUERIES = {f.__name__: f for f in (c1_gate_documents, c2_extract_skill_evidence, c3_infer_roles, c4_extract_years_experience, c5_build_profiles, j4_match_candidates, n10_build_source_material, n11_parse_model_profiles, j5_verify_evidence, w1_verify_runs, w2_save_applications, t3_list_applications, w3_split_profile_cache, w4_audit_submissions, v1_fold_applications, v1_rejected_actions, v2_stream_applications, v3_stream_ingest, v3_ingest_ledger, v4_dedupe_deliveries, v5_cadence_counts, a3_run_report, a4_inventory_counts)}
 
 _CLEAN = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _GATE = rf"""
@@ -237,6 +257,9 @@ f(app, n, st, ok, rej, action, was) AS (
   FROM (SELECT e.app, e.n, f.st, f.ok, f.rej, e.ts, e.action, CASE {_MOVES.replace('action =', 'e.action =').replace(' st IN', ' f.st IN')} END AS t FROM f JOIN e ON e.app = f.app AND e.n = f.n + 1))"""
 _LAST = "SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY app ORDER BY n DESC) = 1"
 
+_INGEST = r"""i AS (SELECT *, CASE length(source) % 4 WHEN 3 THEN 'actor' WHEN 2 THEN 'status' END AS reason, doc_id % 9 <> 0 AND trim(regexp_replace(text[1:300], '\s+', ' ', 'g')) <> '' AND trim(coalesce(lang, '')) <> '' AS fine FROM documents),
+good AS (SELECT * FROM i WHERE reason IS NULL AND fine)"""
+
 SQL = {
     "c1_gate_documents": f"WITH {_GATE} SELECT doc_id, coalesce(code, 'ok') AS code, CASE WHEN code IS NULL THEN pages END AS pages FROM judged",
     "c2_extract_skill_evidence": f"WITH {_EVIDENCE} SELECT doc_id, skill, page, start::INT AS start, alias AS matched FROM ev",
@@ -275,7 +298,10 @@ SELECT CASE WHEN k % 11 = 0 THEN 'already_submitted' WHEN o_orderdate <= lim THE
     "v1_fold_applications": f"""WITH {_FOLD}, l AS ({_LAST}) SELECT app AS "applicationId", st AS status, rej AS n_rejected, strftime(ok, '%Y-%m-%d %H:%M:%S') AS approved FROM l""",
     "v1_rejected_actions": f"WITH {_FOLD} SELECT action, was AS status, count(*) AS rejections FROM f WHERE was IS NOT NULL GROUP BY 1, 2",
     "v2_stream_applications": f"""WITH {_FOLD}, l AS ({_LAST}) SELECT app AS "applicationId", st AS status, rej::BIGINT AS n_rejected FROM l""",
-    "v3_stream_ingest": "SELECT lang, source, count(*) AS jobs FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1, 2",
+    "v3_stream_ingest": f"WITH {_INGEST}, l AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id DESC) = 1) SELECT source AS \"sourceRunId\", count(*) AS jobs, max('Engineer ' || (doc_id % 500)) AS last FROM l GROUP BY source",
+    "v3_ingest_ledger": f"""WITH {_INGEST}, r AS (SELECT source, any_value(reason) AS reason, count(*) AS n, count(*) FILTER (fine) AS a FROM i GROUP BY source)
+SELECT source AS run_id, CASE WHEN reason IS NULL THEN 'complete' ELSE 'failed' END AS status, CASE WHEN reason IS NULL THEN n ELSE 0 END AS collected, CASE WHEN reason IS NULL THEN a ELSE 0 END AS accepted, CASE WHEN reason IS NULL THEN n - a ELSE 0 END AS rejected,
+  CASE WHEN reason IS NULL THEN a ELSE 0 END AS indexed, CASE WHEN reason IS NULL THEN 0 ELSE 1 END::BIGINT AS failed, CASE WHEN reason IS NOT NULL THEN 'not verified' END AS error FROM r""",
     "v4_dedupe_deliveries": "SELECT DISTINCT (event_id // 2) || '-run' AS delivery FROM events",
     "v5_cadence_counts": """
 WITH s AS (SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS items FROM events GROUP BY 1),

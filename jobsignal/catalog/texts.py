@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -142,7 +141,7 @@ def t2_cursor_pages(spark, d):
 def s2_stream_postings(spark, d):
     path = f"{d}/documents.parquet"
     s = store.stream_postings(spark, f"{path}*", spark.read.parquet(path).schema)
-    rows = apps.drain(s.groupBy("source").agg(F.count(F.lit(1)).alias("items")), f"s2_{uuid.uuid4().hex}", _work(spark, "s2"), "complete")
+    rows = apps.drain(s.groupBy("source").agg(F.count(F.lit(1)).alias("items")), _work(spark, "s2-out"), _work(spark, "s2"), "complete")
     return rows
 
 

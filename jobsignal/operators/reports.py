@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,13 @@ def run_report(runs: DataFrame, accepted: DataFrame, rejected: DataFrame, failur
     A run is complete unless a write failed; rejections leave it complete. Runs without rows report zeros.
     """
     count = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
-    first = lambda df, name: df.groupBy("run_id").agg(F.count(F.lit(1)).alias(name), F.slice(F.sort_array(F.collect_list(F.struct("index", "code"))), 1, listed).alias(f"first_{name}"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("index", "code"))
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        """Counts, and the first rows only, cut before they are gathered."""
+        few = df.withColumn("_r", place).where(F.col("_r") <= listed).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("index", "code"))).alias(f"first_{name}"))
+        return count(df, name).join(few, "run_id", "left")
+
     j = runs.select("run_id").distinct().join(count(accepted, "accepted"), "run_id", "left").join(first(rejected, "rejected"), "run_id", "left").join(first(failures, "failed"), "run_id", "left")
     j = j.fillna(0, ["accepted", "rejected", "failed"])
     return j.select("run_id", (F.col("accepted") + F.col("rejected")).alias("collected"), "accepted", "rejected", (F.col("accepted") - F.col("failed")).alias("indexed"), "failed", F.when(F.col("failed") == 0, "complete").otherwise("partial").alias("status"), "first_rejected", "first_failed")
