@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -75,8 +74,9 @@ def _normal_equations(cosines: Cosines):
     return run
 
 
-def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"r": [key[0]], "v": [sum(rows["v"])]})
+def _added(rows: pa.Table) -> pa.Table:
+    total = np.add.reduce([v.values.to_numpy() for v in rows["v"]])
+    return pa.table({"r": rows["r"][:1], "v": pa.array([total], pa.list_(pa.float64()))})
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +113,8 @@ def fit(train: DataFrame) -> Model:
     k = len(FEATURES)
     cosines = Cosines(np.array(stats[1 : k + 1], float), np.array(stats[k + 1 :], float))
     parts = train.where(~apart).mapInArrow(_normal_equations(cosines), "r int, g int, v array<double>")
-    some = parts.groupBy("r", "g").applyInPandas(_added, "r int, v array<double>")
-    rows = some.groupBy("r").applyInPandas(_added, "r int, v array<double>").collect()  # N_COSINES + 1 rows, whatever the input
+    some = parts.groupBy("r", "g").applyInArrow(_added, "r int, v array<double>")
+    rows = some.groupBy("r").applyInArrow(_added, "r int, v array<double>").collect()  # N_COSINES + 1 rows, whatever the input
     g = np.array([x.v for x in sorted(rows, key=lambda x: x.r)])
     ridge = RIDGE * np.eye(len(g))
     ridge[-1, -1] = 1e-6
