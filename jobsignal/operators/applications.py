@@ -33,7 +33,10 @@ def _after(state: Column, action: Column) -> Column:
 
 def fold_applications(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """events(applicationId, action, ts, seq) -> (state (applicationId, status, approvedAt, updatedAt, n_rejected),
-    rejected (applicationId, seq, action, status, code)); every application starts as saved."""
+    rejected (applicationId, seq, action, status, code)); every application starts as saved.
+
+    The events of one application lie in one array, some twenty bytes each; a history too long for that is what the
+    keyed stream (V2) folds, whose state is the status alone."""
     per = events.groupBy("applicationId").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "action"))).alias("e"))
     start = F.expr("named_struct('st', 'saved', 'ok', cast(null as timestamp_ntz), 'up', cast(null as timestamp_ntz), 'rej', cast(array() as array<struct<seq:bigint,action:string,status:string>>))")
 

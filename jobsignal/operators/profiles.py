@@ -52,11 +52,13 @@ def gate_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extract_skill_evidence(pages: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, skill, page, start, end, matchedText, context): per skill the earliest page with an alias, on it the
     longest alias, there the first place between characters that are no letters or digits. Offsets count from 0."""
-    tokens = pages.select("doc_id", "page", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("token"))
+    tokens = pages.select("doc_id", "page", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("token"))
     anchor = F.coalesce(F.get(F.filter(F.split("alias", r"[^\p{L}\p{N}]+"), lambda x: x != ""), F.lit(0)), F.col("alias"))
     quoted = F.regexp_replace("alias", r"([.*+?^${}()|\[\]\\#])", r"\\$1")
     a = aliases.select("skill", "alias", anchor.alias("token"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")).alias("pattern"))
-    hit = tokens.join(a, "token").withColumn("start", F.expr("regexp_instr(lower(text), pattern)") - 1).where("start >= 0")
+    # the text comes in only for pages with an alias's first token
+    found = tokens.join(a.hint("merge"), "token").select("doc_id", "page", "skill", "alias", "pattern").join(pages.select("doc_id", "page", "text").hint("merge"), ["doc_id", "page"])
+    hit = found.withColumn("start", F.expr("regexp_instr(lower(text), pattern)") - 1).where("start >= 0")
     best = F.row_number().over(Window.partitionBy("doc_id", "skill").orderBy("page", F.desc(F.length("alias")), "start"))
     hit = hit.withColumn("_r", best).where("_r = 1").withColumn("end", F.col("start") + F.length("alias"))
     left = F.greatest(F.col("start") - CONTEXT, F.lit(0))
@@ -65,7 +67,7 @@ def extract_skill_evidence(pages: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def infer_roles(evidence: DataFrame, signals: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, roles, evidence): the three roles with most matched skills; without any, the default role."""
-    hit = evidence.select("doc_id", "skill", "page", "start").join(signals, "skill")
+    hit = evidence.select("doc_id", "skill", "page", "start").join(signals.hint("merge"), "skill")
     first = F.slice(F.sort_array(F.collect_list(F.struct("skill_order", "page", "start", "skill"))), 1, 2)
     per = hit.groupBy("doc_id", "role", "role_order").agg(F.count(F.lit(1)).alias("n"), first.alias("two"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "role_order"))

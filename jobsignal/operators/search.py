@@ -143,9 +143,9 @@ def page_after(page: DataFrame, sort: str, page_size: int, has_query: bool = Fal
 
 
 def dedupe_latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the last by ``order``."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_rn", last).where("_rn = 1").drop("_rn")
+    """One row for each key: the last by ``order``, nulls first; rows are reduced before they are exchanged."""
+    last = F.max_by(F.struct(*df.columns), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return df.groupBy(F.col(key).alias("_k")).agg(last.alias("_row")).select("_row.*")
 
 
 def disclosed_pay_report(df: DataFrame, family: str) -> DataFrame:
