@@ -213,6 +213,12 @@ def v5_cadence_counts(spark, d):
     return c.select(F.date_format("slot", "yyyy-MM-dd HH:mm").alias("slot"), "items")
 
 
+def v5_stream_cadence(spark, d):
+    events = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("at"))
+    rows = apps.drain(apps.stream_cadence(events, "at"), _work(spark, "v5-out"), _work(spark, "v5"), "complete")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("slot"), "items")
+
+
 def a3_run_report(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("index"), "lang", "n_chars")
     bad, fine = docs.where("n_chars < 200").withColumn("code", F.lit("short")), docs.where("n_chars >= 200")
@@ -227,7 +233,7 @@ def a4_inventory_counts(spark, d):
     return reports.inventory_counts({"jobs": table(spark, d, "orders"), "profiles": table(spark, d, "customer"), "applications": None}, led)
 
 
-QUERIES = {f.__name__: f for f in (c1_gate_documents, c2_extract_skill_evidence, c3_infer_roles, c4_extract_years_experience, c5_build_profiles, j4_match_candidates, n10_build_source_material, n11_parse_model_profiles, j5_verify_evidence, w1_verify_runs, w2_save_applications, t3_list_applications, w3_split_profile_cache, w4_audit_submissions, v1_fold_applications, v1_rejected_actions, v2_stream_applications, v3_stream_ingest, v3_ingest_ledger, v4_dedupe_deliveries, v5_cadence_counts, a3_run_report, a4_inventory_counts)}
+QUERIES = {f.__name__: f for f in (c1_gate_documents, c2_extract_skill_evidence, c3_infer_roles, c4_extract_years_experience, c5_build_profiles, j4_match_candidates, n10_build_source_material, n11_parse_model_profiles, j5_verify_evidence, w1_verify_runs, w2_save_applications, t3_list_applications, w3_split_profile_cache, w4_audit_submissions, v1_fold_applications, v1_rejected_actions, v2_stream_applications, v3_stream_ingest, v3_ingest_ledger, v4_dedupe_deliveries, v5_cadence_counts, v5_stream_cadence, a3_run_report, a4_inventory_counts)}
 
 _CLEAN = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 _GATE = rf"""
@@ -303,6 +309,7 @@ SELECT CASE WHEN k % 11 = 0 THEN 'already_submitted' WHEN o_orderdate <= lim THE
 SELECT source AS run_id, CASE WHEN reason IS NULL THEN 'complete' ELSE 'failed' END AS status, CASE WHEN reason IS NULL THEN n ELSE 0 END AS collected, CASE WHEN reason IS NULL THEN a ELSE 0 END AS accepted, CASE WHEN reason IS NULL THEN n - a ELSE 0 END AS rejected,
   CASE WHEN reason IS NULL THEN a ELSE 0 END AS indexed, CASE WHEN reason IS NULL THEN 0 ELSE 1 END::BIGINT AS failed, CASE WHEN reason IS NOT NULL THEN 'not verified' END AS error FROM r""",
     "v4_dedupe_deliveries": "SELECT DISTINCT (event_id // 2) || '-run' AS delivery FROM events",
+    "v5_stream_cadence": "SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS slot, count(*) AS items FROM events GROUP BY 1",
     "v5_cadence_counts": """
 WITH s AS (SELECT time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS items FROM events GROUP BY 1),
 g AS (SELECT unnest(generate_series((SELECT min(slot) FROM s), (SELECT max(slot) FROM s), INTERVAL '10 minutes')) AS slot)
