@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesets import mix, powers, slices
-from .shared import columns_of, dropped, fresh, plain_named, small_or_merge, written
+from .shared import columns_of, dropped, fresh, pieces, plain_named, small_or_merge, written
 
 _U = np.uint64
 _LEN = _U(0xA24BAED4963EE407)
@@ -119,7 +119,7 @@ VARIANT_ROWS = 1 << 16
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(did, th, text, nos) -> of each line in nos its whole row (pos -1, with its text) and its deletions."""
-    for batch in batches:
+    for batch in pieces(batches):
         texts, nos = batch.column(2), batch.column(3).to_pylist()
         for x, row, no in _slice_lines(texts):
             wanted = [set(v) for v in nos]
@@ -193,7 +193,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _without(names: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             t = batch.column(names.index("text")).to_pylist()
             gone = batch.column(len(names)).to_pylist()
             near = batch.column(len(names) + 1).to_pylist()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import columns_of, dropped, fresh, small_or_merge, written
+from .shared import columns_of, dropped, fresh, pieces, small_or_merge, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words per block; least hash buckets per source and rows of a bucket beyond; least cells of the unit interval for the slot join.
@@ -203,7 +203,7 @@ def _first_words(schema, at: int):
         return text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t if n is None else cut(t, n) for t, n in zip(batch.column(at).to_pylist(), batch.column(len(schema)).to_pylist())]
             cols = [pa.array(texts, batch.column(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import mix, shingle_rows
-from .shared import columns_of, components, dropped, fresh, small_or_merge, written
+from .shared import columns_of, components, dropped, fresh, pieces, small_or_merge, written
 
 #: Largest set that may enumerate subsets, and the most subsets one set may make.
 SUBSET_SET, SUBSET_KEYS = 28, 400
@@ -44,7 +44,7 @@ def needed(a, b, percent: int):
 
 def _digests(k: int, percent: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, h1, h2, bits, buckets, prefix, lens = [], [], [], [], [], [], [0]
             for _, u in shingle_rows(batch.column(2), k):
                 m = len(u)
@@ -210,7 +210,7 @@ def _listed(entries: DataFrame, facts: DataFrame, x: int, percent: int, labelled
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             us = [u.view(np.int64) for _, u in shingle_rows(batch.column(1), k)]
             lens = np.concatenate([[0], np.cumsum([len(u) for u in us])]).astype(np.int32)
             flat = pa.array(np.concatenate(us) if us else np.zeros(0, np.int64))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns_of, dropped, fresh, plain_named, small_or_merge, written
+from .shared import columns_of, dropped, fresh, pieces, plain_named, small_or_merge, written
 
 # Titles by gender, words that introduce a name, common given names by gender, name parts by script.
 TITLES = {
@@ -397,7 +397,7 @@ def _replaced(key: bytes, names: list[str], added: list[str]):
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, counts, kinds = [], [], []
             again = batch.column(len(names)).to_pylist()
             for t, more in zip(batch.column(at).to_pylist(), again):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .docstats import FEATURES, feature_rows
-from .shared import plain_named, written
+from .shared import pieces, plain_named, written
 
 N_COSINES, WIDTH, RIDGE, SCORE_BINS = 256, 6.0, 0.3, 2048
 #: Groups of partitions whose sums are added first.
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ok = model.score(feature_rows(batch.column(names.index("text"))).astype(np.float32).astype(float)) >= threshold
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns, names=names)
 

@@ -1,15 +1,21 @@
-"""Shared-folder tables, bounded joins and connected components for the training-data operators."""
+"""Shared-folder tables and bounded joins for the training-data operators."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.components import components
+
+__all__ = ["columns_of", "components", "dropped", "fresh", "measured", "pieces", "plain_named", "shared_dir", "small_or_merge", "written"]
+
 #: Rows and bytes up to which a side that has just been measured may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
@@ -51,6 +57,13 @@ def plain_named(df: DataFrame) -> DataFrame:
     return df.select(*(c.alias(f"x{i}") for i, c in enumerate(columns_of(df.columns))))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, without copies: what a kernel holds of its own stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -90,41 +103,3 @@ def small_or_merge(df: DataFrame) -> DataFrame:
     measured, a merge join beyond."""
     n, size = measured(df)
     return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df.hint("merge")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v) long pairs -> (node, label): the smallest node of each connected component, for every node with an edge.
-
-    Each node hooks to its smallest neighbour; pointers are doubled until every tree is a star, so a chain of n nodes
-    takes log2(n) steps; then edges are renamed to the stars' centres and deduplicated, until none is left. Two rounds
-    at least halve the centres. Every step is joins and partial aggregates; nothing is collected.
-    """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    e = written(both.where("u <> v").distinct(), "edges")
-    labels = None
-    while True:
-        p = written(e.groupBy("u").agg(F.least("u", F.min("v")).alias("p")), "parents")
-        while True:
-            q = p.select(F.col("u").alias("p"), F.col("p").alias("pp")).hint("merge")
-            nxt = written(p.select("u", "p").join(q, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parents")
-            dropped(p)
-            p = nxt
-            if p.where("moved").isEmpty():
-                break
-        if labels is None:
-            nxt = written(p.select(F.col("u").alias("node"), F.col("p").alias("label")), "labels")
-        else:
-            to = p.select(F.col("u").alias("label"), F.col("p").alias("to")).hint("merge")
-            nxt = written(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-            dropped(labels)
-        labels = nxt
-        a = p.select("u", F.col("p").alias("lu")).hint("merge")
-        b = p.select(F.col("u").alias("v"), F.col("p").alias("lv")).hint("merge")
-        left = e.join(a, "u").join(b, "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct()
-        left = written(left, "edges")
-        dropped(e)
-        dropped(p)
-        e = left
-        if e.isEmpty():
-            dropped(e)
-            return labels

@@ -14,8 +14,8 @@ import re
 
 import numpy as np
 
-#: Units kept before the cache starts anew; bounds a worker's memory near 100 MB.
-CACHE_UNITS = 500_000
+#: Units kept before the cache starts anew; bounds a worker's memory near 50 MB.
+CACHE_UNITS = 250_000
 _LOADED: dict = {}
 
 # The pre-tokenizer's pattern over lower-cased text without combining marks: contractions, letters, digits, others.

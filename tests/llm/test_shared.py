@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobsignal.llm import queries, shared, wordtokens
+from jobsignal.plans import components
 from tests.llm import brute
 
 TOKENS = queries.tokenizer_path("word_bpe_49k.json")
@@ -45,7 +46,7 @@ def test_components(spark, monkeypatch, kind):
     else:  # stars around large ids, cycles, random links, repeated and reversed ones
         links = [(900, i) for i in range(300, 330)] + [(i, 400 + (i + 1) % 50) for i in range(400, 450)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(150)] + [(900, 300), (300, 900), (7, 7)]
     names = []
-    monkeypatch.setattr(shared, "written", lambda df, name, f=shared.written: names.append(name) or f(df, name))
+    monkeypatch.setattr(components, "stored", lambda df, name, f=components.stored: names.append(name) or f(df, name))
     got = {r.node: r.label for r in shared.components(spark.createDataFrame(links, "u long, v long")).collect()}
     nodes = {x for a, b in links for x in (a, b) if a != b}
     assert got == {i: c for i, c in brute.components({x for p in links for x in p}, links).items() if i in nodes}
