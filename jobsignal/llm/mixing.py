@@ -118,16 +118,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return s.select("source", "source_size", "idx", "target", blocks.alias("n_blocks"), point(before).alias("lo"), hi.alias("hi"))
 
 
-def _points(cell_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            x = reversed_bits(slot)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(x >> (BITS - cell_bits))], names=["slot", "x", "cell"])
-
-    return run
-
-
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slot, lo, hi, n = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
@@ -142,7 +132,9 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     """Slots (idx, slot, block, around): each point's source, the block it takes, and whether that is its second time."""
     spark = sources.sparkSession
     cell_bits = max(CELLS, 4 * sources.count()).bit_length() - 1
-    slots = spark.range(n_slots).mapInArrow(_points(cell_bits), "slot long, x long, cell long")
+    # the point is reversed in SQL, so that a task has one Python worker, for the ranks
+    point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("long")
+    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.shiftright("x", BITS - cell_bits))
     low, high = F.shiftright("lo", BITS - cell_bits), F.shiftright(F.col("hi") - 1, BITS - cell_bits)
     cells = sources.where("hi > lo").withColumn("cell", F.explode(F.sequence(low, high)))
     cells = written(cells.select("cell", "idx", "lo", "hi", "n_blocks"), "cells")
