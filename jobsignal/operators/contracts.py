@@ -39,13 +39,15 @@ def job_rules(statuses=("active", "closed", "stale"), modes=("remote", "hybrid",
     }
 
 
+def _no_longer(than: int):
+    return lambda v: F.length(v).between(1, than)
+
+
 def filter_rules() -> dict[str, Column]:
     """Bounds of the lists of logged search requests, one array column per filter; null lists count as empty."""
     rules = {}
     for name, (most, longest) in FILTER_BOUNDS.items():
-        fine = F.forall(name, lambda v, longest=longest: F.length(v).between(1, longest))
-        if name == "workModes":
-            fine = F.forall(name, lambda v: v.isin("remote", "hybrid", "onsite"))
+        fine = F.forall(name, (lambda v: v.isin("remote", "hybrid", "onsite")) if name == "workModes" else _no_longer(longest))
         rules[name] = F.col(name).isNull() | ((F.size(name) <= most) & fine)
     return rules
 
