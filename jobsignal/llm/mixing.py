@@ -219,7 +219,11 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     turns = F.explode(F.filter(F.array(turn(first, "_slot"), turn(second, "_slot2")), lambda t: t["n"] > 0)).alias("t")
     turns = written(out.select("k0", "k1", "k2", "k3", "_size", turns).select("k0", "k1", "k2", "k3", F.when(F.col("t.n") < F.col("_size"), F.col("t.n")).alias("n"), "t.slot"), "turns")
     # equal rows take turns on one of them
-    whole = docs.select(*keys, *(c.alias(n) for c, n in zip(every, x))).dropDuplicates(["k0", "k1", "k2", "k3"])
+    # columns are renamed after the duplicates went: renamed beside a hash of them all, the optimizer would double what
+    # it knows of that hash with every column
+    own = fresh(names, "k0", "k1", "k2", "k3")
+    whole = docs.withColumns(dict(zip(own, keys))).dropDuplicates(own)
+    whole = whole.select(*(F.col(a).alias(f"k{i}") for i, a in enumerate(own)), *(c.alias(n) for c, n in zip(every, x)))
     rows = turns.join(whole.hint("merge"), ["k0", "k1", "k2", "k3"]).select(*x, "n", "slot")
     rows = rows.repartition(F.floor(F.col("slot") / RUN_SLOTS)).sortWithinPartitions("slot", *x[:1]).select(*x, "n")
     return rows.mapInArrow(_first_words(docs.schema, names.index("text")), docs.schema)
