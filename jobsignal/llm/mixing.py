@@ -32,6 +32,8 @@ from .shared import columns_of, dropped, fresh, pieces, small_or_merge, written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words per block; least hash buckets per source and rows of a bucket beyond; least cells of the unit interval for the slot join.
 BLOCK_WORDS, BUCKETS, BUCKET_ROWS, CELLS = 64, 1024, 1 << 16, 4096
+#: Slots that a task makes.
+TASK_SLOTS = 1 << 19
 #: Slots of the mix that lie together, in order.
 RUN_SLOTS = 4096
 #: Bits of a point: slots may number up to 2 ** BITS.
@@ -134,7 +136,7 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     cell_bits = max(CELLS, 4 * sources.count()).bit_length() - 1
     # the point is reversed in SQL, so that a task has one Python worker, for the ranks
     point = F.conv(F.reverse(F.lpad(F.bin("id"), BITS, "0")), 2, 10).cast("long")
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.shiftright("x", BITS - cell_bits))
+    slots = spark.range(0, n_slots, 1, max(spark.sparkContext.defaultParallelism, n_slots // TASK_SLOTS)).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.shiftright("x", BITS - cell_bits))
     low, high = F.shiftright("lo", BITS - cell_bits), F.shiftright(F.col("hi") - 1, BITS - cell_bits)
     cells = sources.where("hi > lo").withColumn("cell", F.explode(F.sequence(low, high)))
     cells = written(cells.select("cell", "idx", "lo", "hi", "n_blocks"), "cells")
