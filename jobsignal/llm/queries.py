@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, license_scan, line_dedup, main_text, mixing, ngram_join, packing, pii, quality, topk_search, toxicity
+from . import conv_repair, fertility, license_scan, line_dedup, main_text, mixing, ngram_join, packing, pii, prefix_trie, quality, topk_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +68,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.repair(conv_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", F.col("_text").alias("text"), F.col("_n_chars").alias("n_chars"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_pii_surrogates, op3_harmonic_packing, op4_license_scan, op5_ngram_jaccard_join, op6_tokenizer_fertility, op7_quality_classifier, op8_exact_topk_search, op9_toxicity, op10_mix_sources, op12_main_text)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_pii_surrogates, op3_harmonic_packing, op4_license_scan, op5_ngram_jaccard_join, op6_tokenizer_fertility, op7_quality_classifier, op8_exact_topk_search, op9_toxicity, op10_mix_sources, op11_conversation_repair, op12_main_text, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
