@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import small_or_merge, stored
+
 
 def verify_runs(runs: DataFrame, allowed: DataFrame) -> DataFrame:
     """runs(run_id, actor_id, status, dataset_id) with ``reason``, null for runs that may be ingested."""
@@ -62,52 +68,97 @@ def verify_evidence(profiles: DataFrame, sources: DataFrame) -> DataFrame:
     return j.withColumn("_kept", kept).withColumn("dropped", F.size("evidence") - F.size("_kept")).withColumn("evidence", F.col("_kept")).drop("_kept", "_id", "_m")
 
 
-#: Matched skills beyond which a score doesn't rise; characters of a role word that titles are looked up by.
-MATCHES, GRAM = 5, 4
-
-
-def _subsets(skills, most: int):
-    """The subsets of up to ``most`` skills, each in order."""
-    grow = lambda acc, s: F.concat(acc, F.transform(F.filter(acc, lambda x: F.size(x) < most), lambda x: F.concat(x, F.array(s))))
-    return F.aggregate(F.array_sort(skills), F.array(F.array().cast("array<string>")), grow)
+#: Characters of a role word that titles are looked up by; profiles that one pass takes to all jobs, and that a kernel
+#: scores at once; jobs that it scores at once.
+GRAM, PASS, BLOCK, ROWS = 4, 16_384, 512, 256
+
+
+def _incidence(lists: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
+    """(row of each value, a matrix of values by lists; its last row is empty)."""
+    at = {v: i for i, v in enumerate(sorted({v for x in lists for v in x}))}
+    m = np.zeros((len(at) + 1, len(lists)), np.uint8)
+    for j, x in enumerate(lists):
+        m[[at[v] for v in x], j] = 1
+    return at, m
+
+
+def _sums(at: dict[str, int], m: np.ndarray, lists: list[list[str] | None]) -> np.ndarray:
+    """Of each list and column, how many of the list's values the column holds, repeated ones each time."""
+    found = [[at[v] for v in x or () if v in at] or [len(at)] for x in lists]
+    starts = np.cumsum([0, *map(len, found[:-1])])
+    return np.add.reduceat(m[np.concatenate(found)].astype(np.uint16), starts, axis=0)
+
+
+def _scores(profiles: list[tuple], top_k: int):
+    """Kernel: jobs (jobId, named, words, workMode) in order of jobId -> each profile's best jobs of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = []
+        for i in range(0, len(profiles), BLOCK):
+            part = profiles[i : i + BLOCK]
+            blocks.append((*(_incidence([p[k] for p in part]) for k in (1, 2, 3)), np.zeros((top_k, len(part)), np.int16), np.full((top_k, len(part)), None, object)))
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, named, words, modes = (c.to_pylist() for c in batch.slice(lo, ROWS).columns)
+                ids = np.array(ids, object)
+                for i, (skill, word, mode, best, who) in enumerate(blocks):
+                    score = 20 + np.minimum(12 * _sums(*skill, named).astype(np.int16), 60) + 15 * (_sums(*word, words) > 0) + 5 * (_sums(*mode, [[x] if x is not None else [] for x in modes]) > 0)
+                    score = np.minimum(score, 99).astype(np.int16)
+                    better = np.flatnonzero(score.max(axis=0) > best[-1])  # an equal score loses to an earlier job
+                    if len(better):
+                        both = np.concatenate([best[:, better], score[:, better]])
+                        first = np.argsort(-both, axis=0, kind="stable")[:top_k]
+                        names = np.concatenate([who[:, better], np.broadcast_to(ids[:, None], (len(ids), len(better)))])
+                        best[:, better] = np.take_along_axis(both, first, 0)
+                        who[:, better] = np.take_along_axis(names, first, 0)
+        for i, (*_, best, who) in enumerate(blocks):
+            at, n = np.nonzero(best.T)
+            if kind is not None and len(at):
+                kinds = [profiles[i * BLOCK + j][0] for j in at]
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(who.T[at, n].tolist(), kind), pa.array(best.T[at, n].astype(np.int32))], names=["kind", "jobId", "score"])
+
+    return run
 
 
 def match_candidates(profiles: DataFrame, jobs: DataFrame, top_k: int) -> DataFrame:
-    """(candidate, jobId, score, reasons, rank): each candidate's best jobs.
+    """(candidate, jobId, score, reasons, rank): each candidate's best jobs, by score, then jobId.
 
-    profiles(candidate, skills, roles, workModes), jobs(jobId, title, skills, workMode). Jobs are listed under every set
-    of up to MATCHES of their skills, alone and with a role word of their title, in any work mode and in their own; each
-    list keeps its first top_k jobs, as all jobs further down match no better than those. A candidate's best jobs lie in
-    the lists of its own skills, role words and modes, so no candidate meets all jobs.
+    profiles(candidate, skills, roles, workModes), jobs(jobId, title, skills, workMode). A score counts the entries of a
+    job's skills that the candidate has, repeated ones each time. Candidates of one profile share their list. Profiles
+    go to all jobs in passes of about PASS, as a query set: a task scores its jobs against them in blocks and keeps each
+    profile's top_k, so that only those are exchanged; jobs never are, however many share a skill.
     """
-    low = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.lower))
+    spark = profiles.sparkSession
+    empty = F.array().cast("array<string>")
+    low = lambda c: F.array_distinct(F.transform(F.coalesce(c, empty), F.lower))
     words = F.array_distinct(F.filter(F.flatten(F.transform("roles", lambda r: F.split(F.lower(r), r"\s+"))), lambda w: F.length(w) > 3))
-    people = profiles.select("candidate", low("skills").alias("skills"), F.coalesce(words, F.array().cast("array<string>")).alias("words"), F.coalesce("workModes", F.array().cast("array<string>")).alias("modes"))
-    js = jobs.select("jobId", F.lower("title").alias("t"), F.transform("skills", F.lower).alias("named"), low("skills").alias("skills"), "workMode")
+    people = profiles.select("candidate", F.array_sort(low("skills")).alias("skills"), F.array_sort(F.coalesce(words, empty)).alias("words"), F.array_sort(F.array_distinct(F.coalesce("workModes", empty))).alias("modes"))
+    js = jobs.select("jobId", F.lower("title").alias("t"), F.transform(F.coalesce("skills", empty), F.lower).alias("named"), "workMode")
 
     # a word lies in a title only if its first characters do
     asked = people.select(F.explode("words").alias("word")).distinct().withColumn("gram", F.substring("word", 1, GRAM))
-    titles = jobs.select(F.lower("title").alias("t")).distinct()
+    titles = js.select("t").distinct()
     grams = titles.select("t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - GRAM + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(GRAM))))).alias("gram"))
-    told = grams.join(asked.hint("merge"), "gram").where(F.expr("contains(t, word)")).groupBy("t").agg(F.collect_set("word").alias("words"))
-
-    most = min(MATCHES, people.agg(F.max(F.size("skills"))).first()[0] or 0)
-    empty = F.array().cast("array<string>")
-    listed = js.join(told.hint("merge"), "t", "left").select("jobId", F.explode(_subsets(F.col("skills"), most)).alias("set"), F.concat(F.array(F.lit("")), F.coalesce("words", empty)).alias("words"), F.array(F.lit(""), F.coalesce("workMode", F.lit(""))).alias("modes"))
-    keyed = lambda df, who: df.select(who, "set", F.explode("words").alias("word"), "modes").select(who, "set", "word", F.explode(F.array_distinct("modes")).alias("mode"))
-    place = F.row_number().over(Window.partitionBy("set", "word", "mode").orderBy("jobId"))
-    lists = keyed(listed, "jobId").withColumn("_r", place).where(F.col("_r") <= top_k).drop("_r")
+    told = grams.join(small_or_merge(asked), "gram").where(F.expr("contains(t, word)")).groupBy("t").agg(F.collect_set("word").alias("words"))
+    rows = stored(js.join(told.hint("merge"), "t", "left").select("jobId", "named", "words", "workMode"), "jobs-to-match")
 
-    # candidates with the same profile share their list
     kinds = people.groupBy("skills", "words", "modes").agg(F.min("candidate").alias("kind"))
-    asks = kinds.select("kind", F.explode(_subsets(F.col("skills"), most)).alias("set"), F.concat(F.array(F.lit("")), "words").alias("words"), F.concat(F.array(F.lit("")), "modes").alias("modes"))
-    pairs = keyed(asks, "kind").join(lists.hint("merge"), ["set", "word", "mode"]).select("kind", "jobId").distinct()
-    j = pairs.join(kinds.select("kind", F.col("skills").alias("mine"), F.col("words").alias("my_words"), "modes").hint("merge"), "kind").join(js.drop("skills").hint("merge"), "jobId")
+    n = -(-kinds.count() // PASS)
+    kinds = stored(kinds.withColumn("pass", F.pmod(F.xxhash64("kind"), F.lit(max(n, 1)))), "profiles-to-match")
+    types = dict(people.dtypes)["candidate"], dict(jobs.dtypes)["jobId"]
+    best = None
+    for i in range(n):
+        block = [tuple(r) for r in kinds.where(F.col("pass") == i).select("kind", "skills", "words", "modes").collect()]  # about PASS rows
+        found = rows.sortWithinPartitions("jobId").mapInArrow(_scores(block, top_k), f"kind {types[0]}, jobId {types[1]}, score int")
+        found = stored(found.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "jobId"))).where(F.col("rank") <= top_k), "matches")
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        best = spark.createDataFrame([], f"kind {types[0]}, jobId {types[1]}, score int, rank int")
+    j = best.join(kinds.select("kind", F.col("skills").alias("mine"), F.col("words").alias("my_words"), "modes").hint("merge"), "kind").join(js.hint("merge"), "jobId")
     hit = F.filter("named", lambda s: F.array_contains("mine", s))
     role, mode = F.exists("my_words", lambda w: F.contains(F.col("t"), w)), F.coalesce(F.array_contains("modes", F.col("workMode")), F.lit(False))
-    score = F.least(F.lit(99), 20 + F.least(F.lit(60), 12 * F.size(hit)) + F.when(role, 15).otherwise(0) + F.when(mode, 5).otherwise(0))
     reasons = F.concat(F.transform(F.slice(hit, 1, 4), lambda s: F.concat(F.lit("Resume evidence: "), s)), F.array_compact(F.array(F.when(role, F.lit("Target-role alignment")), F.when(mode, F.concat("workMode", F.lit(" preference"))))))
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "jobId"))
-    best = j.select("kind", "jobId", score.cast("int").alias("score"), reasons.alias("reasons")).withColumn("rank", rank).where(F.col("rank") <= top_k)
     same = people.join(kinds.hint("merge"), ["skills", "words", "modes"]).select("candidate", "kind")
-    return same.join(best.hint("merge"), "kind").select("candidate", "jobId", "score", "reasons", "rank")
+    return same.join(j.select("kind", "jobId", "score", reasons.alias("reasons"), "rank").hint("merge"), "kind").select("candidate", "jobId", "score", "reasons", "rank")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import urls
 from ..functions.variants import field, first_text, given, is_kind, items, number, record, string, texts_list
-from ..plans.stored import once
+from ..plans.stored import is_small, once
 from . import contracts, salary, titles
 
 # The flat skill vocabulary, in output order.
@@ -59,12 +59,19 @@ def skills_of(text: Column, vocabulary=SKILLS) -> Column:
 def tag_skills(df: DataFrame, vocab: DataFrame, key: str, text: str) -> DataFrame:
     """(key, skills): terms of vocab(term, rank) found in each text, by rank; texts without any are left out.
 
-    Texts and terms meet on a term's first token, then the exact boundary pattern is verified.
+    Texts and terms meet on a term's first token, then the exact boundary pattern is verified. A vocabulary that is
+    measured as small is broadcast, and nothing but hits is exchanged; with a larger one tokens travel without texts,
+    and the texts of hits are fetched.
     """
-    tokens = df.select(key, F.lower(text).alias("_t")).select(key, "_t", F.explode(F.array_distinct(F.split("_t", r"[^a-z0-9+#]+"))).alias("token")).where("token <> ''")
+    texts = df.select(key, F.lower(text).alias("_t"))
+    tokens = texts.select(key, "_t", F.explode(F.array_distinct(F.split("_t", r"[^a-z0-9+#]+"))).alias("token")).where("token <> ''")
     plain = F.regexp_replace(F.lower("term"), r"([.*+?^${}()|\[\]\\])", r"\\$1")
     v = vocab.select("term", "rank", F.get(F.filter(F.split(F.lower("term"), r"[^a-z0-9+#]+"), lambda x: x != ""), F.lit(0)).alias("token"), F.concat(F.lit("(^|[^a-z0-9+#])"), plain, F.lit("([^a-z0-9+#]|$)")).alias("pattern"))
-    hit = tokens.join(v.hint("merge"), "token").where(F.expr("_t rlike pattern"))
+    if is_small(v):
+        met = tokens.join(F.broadcast(v), "token")
+    else:
+        met = tokens.drop("_t").join(v.hint("merge"), "token").join(texts.hint("merge"), key)
+    hit = met.where(F.expr("_t rlike pattern"))
     return hit.groupBy(key).agg(F.transform(F.sort_array(F.collect_set(F.struct("rank", "term"))), lambda x: x["term"]).alias("skills"))
 
 

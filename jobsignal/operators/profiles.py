@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.stored import is_small, small_or_merge
+
 MAX_PAGES, MAX_CHARS, MIN_INK, CONTEXT = 12, 100_000, 40, 55
 
 # Skills with their aliases, and the roles that skills point to, both in order.
@@ -52,12 +54,14 @@ def gate_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def extract_skill_evidence(pages: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, skill, page, start, end, matchedText, context): per skill the earliest page with an alias, on it the
     longest alias, there the first place between characters that are no letters or digits. Offsets count from 0."""
-    tokens = pages.select("doc_id", "page", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("token"))
+    tokens = pages.select("doc_id", "page", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("token"))
     anchor = F.coalesce(F.get(F.filter(F.split("alias", r"[^\p{L}\p{N}]+"), lambda x: x != ""), F.lit(0)), F.col("alias"))
     quoted = F.regexp_replace("alias", r"([.*+?^${}()|\[\]\\#])", r"\\$1")
     a = aliases.select("skill", "alias", anchor.alias("token"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")).alias("pattern"))
-    # the text comes in only for pages with an alias's first token
-    found = tokens.join(a.hint("merge"), "token").select("doc_id", "page", "skill", "alias", "pattern").join(pages.select("doc_id", "page", "text").hint("merge"), ["doc_id", "page"])
+    if is_small(a):
+        found = tokens.join(F.broadcast(a), "token").drop("token")
+    else:  # the text comes in only for pages with an alias's first token
+        found = tokens.drop("text").join(a.hint("merge"), "token").select("doc_id", "page", "skill", "alias", "pattern").join(pages.select("doc_id", "page", "text").hint("merge"), ["doc_id", "page"])
     hit = found.withColumn("start", F.expr("regexp_instr(lower(text), pattern)") - 1).where("start >= 0")
     best = F.row_number().over(Window.partitionBy("doc_id", "skill").orderBy("page", F.desc(F.length("alias")), "start"))
     hit = hit.withColumn("_r", best).where("_r = 1").withColumn("end", F.col("start") + F.length("alias"))
@@ -67,14 +71,14 @@ def extract_skill_evidence(pages: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def infer_roles(evidence: DataFrame, signals: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, roles, evidence): the three roles with most matched skills; without any, the default role."""
-    hit = evidence.select("doc_id", "skill", "page", "start").join(signals.hint("merge"), "skill")
+    hit = evidence.select("doc_id", "skill", "page", "start").join(small_or_merge(signals), "skill")
     first = F.slice(F.sort_array(F.collect_list(F.struct("skill_order", "page", "start", "skill"))), 1, 2)
     per = hit.groupBy("doc_id", "role", "role_order").agg(F.count(F.lit(1)).alias("n"), first.alias("two"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "role_order"))
     top = per.withColumn("rank", rank).where("rank <= 3").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "role", "two"))).alias("t"))
     spans = F.array_distinct(F.transform(F.flatten(F.transform("t", lambda x: x["two"])), lambda e: F.struct(e["page"].alias("page"), e["start"].alias("start"), e["skill"].alias("skill"))))
     top = top.select("doc_id", F.transform("t", lambda x: x["role"]).alias("roles"), spans.alias("evidence"))
-    out = docs.select("doc_id").distinct().join(top, "doc_id", "left")
+    out = docs.select("doc_id").distinct().join(top.hint("merge"), "doc_id", "left")
     return out.withColumn("roles", F.coalesce("roles", F.array(F.lit("Software Engineer"))))
 
 
@@ -87,7 +91,7 @@ def extract_years_experience(pages: DataFrame) -> DataFrame:
 def build_profiles(docs: DataFrame, evidence: DataFrame, roles: DataFrame, years: DataFrame, preferences: DataFrame) -> DataFrame:
     """One profile per document; stated preferences (doc_id, targetRoles, city, region, radiusMiles, workModes) win."""
     skills = evidence.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("page", "start", "skill"))), lambda x: x["skill"]).alias("skills"))
-    j = docs.select("doc_id").distinct().join(skills, "doc_id", "left").join(roles.select("doc_id", "roles"), "doc_id", "left").join(years.select("doc_id", "years"), "doc_id", "left").join(preferences, "doc_id", "left")
+    j = docs.select("doc_id").distinct().join(skills.hint("merge"), "doc_id", "left").join(roles.select("doc_id", "roles").hint("merge"), "doc_id", "left").join(years.select("doc_id", "years").hint("merge"), "doc_id", "left").join(preferences.hint("merge"), "doc_id", "left")
     stated = F.size(F.coalesce("targetRoles", F.array().cast("array<string>"))) > 0
     j = j.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>"))).withColumn("target", F.when(stated, F.col("targetRoles")).otherwise(F.coalesce("roles", F.array(F.lit("Software Engineer")))))
     told = F.concat(F.lit(" Evidence in the resume includes "), F.array_join(F.slice("skills", 1, 6), ", "), F.lit("."))

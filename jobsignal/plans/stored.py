@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share, and columns that are computed once."""
+"""Intermediate tables in the folder that driver and executors share, columns that are computed once, measured joins."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows and bytes up to which a side that has just been measured may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -37,10 +41,39 @@ def hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def dropped(df: DataFrame) -> None:
+def dropped(df: DataFrame | None) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
-    p, fs = hadoop_path(df.sparkSession, df.stored_path)
-    fs.delete(p, True)
+    path = getattr(df, "stored_path", None)
+    if path:
+        p, fs = hadoop_path(df.sparkSession, path)
+        fs.delete(p, True)
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of their values)."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            w = F.octet_length(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            w = F.length(F.to_json(F.struct(c)))
+        else:
+            w = F.lit(16)
+        width = width + F.coalesce(w, F.lit(0)) + 16
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n, size
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether df may be broadcast: at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes, both measured just now."""
+    n, size = measured(df)
+    return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def small_or_merge(df: DataFrame) -> DataFrame:
+    """df with the hint for the smaller side of a join: a broadcast if it is small, a merge join beyond."""
+    return F.broadcast(df) if is_small(df) else df.hint("merge")
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

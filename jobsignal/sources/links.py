@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..plans.stored import once
+from ..plans.stored import once, small_or_merge
 
 _HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"
 
@@ -26,7 +26,7 @@ def discover_links(pages: DataFrame, rules: DataFrame, max_links: int = 2000, pa
     if strip_apply:
         found = found.withColumn("url", F.when(F.col("host").isin(*strip_apply), F.regexp_replace("url", r"/apply/?(\?|$)", "$1")).otherwise(F.col("url")))
     own = rules.select(F.col("host").alias("page_host"), F.col("provider").alias("page_provider"))
-    kept = found.join(rules.hint("merge"), "host").join(own.hint("merge"), "page_host").where(F.col("provider") == F.col("page_provider"))
+    kept = found.join(small_or_merge(own), "page_host").join(small_or_merge(rules), "host").where(F.col("provider") == F.col("page_provider"))
     path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+([^?#]*)", 1), "/+$", "")
     kept = kept.withColumn("path", path).where(F.expr("path rlike path_regex"))
     first = kept.groupBy("page_url", "url", "provider").agg(F.min("position").alias("position"))
@@ -47,7 +47,7 @@ def screen_urls(lists: DataFrame, allow: DataFrame, col: str = "urls", strict_ne
     one = lists.select(F.posexplode(F.split(col, r"[\n,]")).alias("pos", "raw")).select("pos", F.trim("raw").alias("raw")).where("raw <> ''")
     one = one.withColumn("url", urls.valid(F.regexp_replace("raw", "#.*$", ""))).withColumn("host", urls.host(F.col("url")))
     ok = allow.select(F.lower(F.trim("host")).alias("host"), "provider").distinct()
-    j = one.join(ok.hint("merge"), "host", "left")
+    j = one.join(small_or_merge(ok), "host", "left")
     reason = F.when(F.col("url").isNull() | F.col("host").isNull(), "invalid_url").when(~F.lower("url").startswith("https:"), "not_https").when(urls.has_credentials(F.col("url")), "has_credentials")
     if strict_network:
         p = urls.port(F.col("url"))

@@ -143,22 +143,29 @@ def test_lifecycle(spark):
     assert got == {1: "active", 2: "closed", 3: "active", 4: "closed", 5: "closed", 6: "closed"}
 
 
-def test_match_candidates(spark):
+@pytest.mark.parametrize("limits", [{}, {"PASS": 9, "BLOCK": 4, "ROWS": 16}])
+def test_match_candidates(spark, monkeypatch, limits):
     import random
 
+    for name, value in limits.items():
+        monkeypatch.setattr(lookups, name, value)
     rng = random.Random(5)
-    pool = [f"S{i}" for i in range(9)]
-    people = [(i, rng.sample(pool, rng.randrange(0, 8)), rng.sample(["Data Lead", "web dev", "Data of"], rng.randrange(0, 3)), rng.sample(["remote", "onsite"], rng.randrange(0, 3))) for i in range(40)]
-    jobs = [(i, rng.choice(["Senior database lead", "Web design", "Data of things", "Clerk"]), rng.sample([p.lower() for p in pool], rng.randrange(0, 8)), rng.choice(["remote", "hybrid", "onsite", None])) for i in range(300)]
-    got = lookups.match_candidates(spark.createDataFrame(people, "candidate long, skills array<string>, roles array<string>, workModes array<string>"), spark.createDataFrame(jobs, "jobId long, title string, skills array<string>, workMode string"), 7)
+    pool = [f"S{i}" for i in range(24)]
+    people = [(i, rng.sample(pool, rng.randrange(0, 20)), rng.sample(["Data Lead", "web dev", "Data of"], rng.randrange(0, 3)), rng.sample(["remote", "onsite"], rng.randrange(0, 3))) for i in range(40)]
+    # skills repeat, up to 20 a job
+    jobs = [(i, rng.choice(["Senior database lead", "Web design", "Data of things", "Clerk", None]), rng.choices([p.lower() for p in pool] + ["S1"], k=rng.choice([0, 1, 3, 20])), rng.choice(["remote", "hybrid", "onsite", None])) for i in range(300)]
+    jobs += [(1000 + i, "Clerk", ["go"], None) for i in range(10)] + [(2000, "Clerk", ["Go", "go"], None), (2001, None, None, None)]
+    people += [(100, ["GO"], [], []), (101, None, None, None)]
+    got = lookups.match_candidates(spark.createDataFrame(people, "candidate long, skills array<string>, roles array<string>, workModes array<string>"), spark.createDataFrame(jobs, "jobId long, title string, skills array<string>, workMode string").repartition(5), 3)
     got = {(r.candidate, r["rank"]): (r.jobId, r.score, list(r.reasons)) for r in got.collect()}
+    assert got[100, 1][:2] == (2000, 44)
     for c, skills, roles, modes in people:
-        words, mine, out = {w for x in roles for w in x.lower().split() if len(w) > 3}, {s.lower() for s in skills}, []
+        words, mine, out = {w for x in roles or () for w in x.lower().split() if len(w) > 3}, {s.lower() for s in skills or ()}, []
         for j, title, has, mode in jobs:
-            hit, role = [s for s in has if s in mine], any(w in title.lower() for w in words)
-            score = min(99, 20 + min(60, 12 * len(hit)) + 15 * role + 5 * (mode in modes))
-            out.append((-score, j, [f"Resume evidence: {s}" for s in hit[:4]] + ["Target-role alignment"] * role + [f"{mode} preference"] * (mode in modes)))
-        for n, (score, j, reasons) in enumerate(sorted(out)[:7], 1):
+            hit, role = [s.lower() for s in has or () if s.lower() in mine], any(w in (title or "").lower() for w in words)
+            score = min(99, 20 + min(60, 12 * len(hit)) + 15 * role + 5 * (mode in (modes or ())))
+            out.append((-score, j, [f"Resume evidence: {s}" for s in hit[:4]] + ["Target-role alignment"] * role + [f"{mode} preference"] * (mode in (modes or ()))))
+        for n, (score, j, reasons) in enumerate(sorted(out)[:3], 1):
             assert got[c, n] == (j, -score, reasons), (c, n)
 
 
