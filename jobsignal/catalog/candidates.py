@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import applications, lookups, outputs, profiles, reports
 from ..plans.jobs_view import ORDERS_WIDE_SQL, orders_wide, table
-from ..plans.stored import folder
-from ..streaming import apps
+from ..plans.stored import folder, small_or_merge, stored
+from ..streaming import apps, runs
 
 NOW = "2024-02-01 00:00:00"
 _SKILLS = {"Rust": ("the", "le"), "Go": ("und der", "und"), "SQL": ("de la", "de"), "React": ("that",), "AWS": ("of",), "Java": ("queue",)}
@@ -175,20 +175,28 @@ def v2_stream_applications(spark, d):
     return rows.groupBy("applicationId").agg(F.max_by("status", "seq").alias("status"), F.count_if(~F.col("accepted")).alias("n_rejected"))
 
 
+#: Files that the streamed runs are spread over.
+FILES = 3
+
 #: Columns of the canonical job, as ingestion keeps them.
 _JOB = "jobId string, title string, companyName string, location string, sourceUrl string, sourceRunId string, status string, contentHash string, searchText string"
 
 
 def _ingested(spark, d):
-    """Documents as runs of raw items, one run a source; one run's actor isn't allowed, one hasn't succeeded."""
-    docs = _stream(spark, d, "documents")
-    posting = F.struct(F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("Engineer "), F.col("doc_id") % 500)).alias("title"), F.substring("text", 1, 300).alias("description"), F.struct(F.coalesce("lang", F.lit("")).alias("name")).alias("hiringOrganization"), F.struct((F.col("doc_id") % 500).cast("string").alias("value")).alias("identifier"))
+    """Documents as runs of raw items, one run a source, in FILES files that hold a part of each run and come one a
+    batch; one run's actor isn't allowed, one hasn't succeeded."""
+    docs = table(spark, d, "documents")
+    totals = docs.groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    posting = F.struct(F.when(F.col("doc_id") % 9 != 0, F.concat(F.lit("Engineer "), F.floor(F.col("doc_id") / 2))).alias("title"), F.col("text").alias("description"), F.struct(F.coalesce("lang", F.lit("")).alias("name")).alias("hiringOrganization"), F.struct(F.floor(F.col("doc_id") / 2).cast("string").alias("value")).alias("identifier"))
     payload = F.to_json(F.struct(F.concat(F.lit("https://jobs.example.com/"), F.col("doc_id").cast("string")).alias("sourceUrl"), posting.alias("jobPosting")))
-    items = docs.select(F.col("source").alias("run_id"), F.when(F.length("source") % 4 == 3, "other").otherwise("crawler").alias("actor_id"), F.when(F.length("source") % 4 == 2, "FAILED").otherwise("SUCCEEDED").alias("run_status"), F.lit("ds").alias("dataset_id"), F.col("doc_id").alias("item"), payload.alias("payload"))
+    items = docs.join(small_or_merge(totals), "source").select(F.col("source").alias("run_id"), F.when(F.length("source") % 4 == 3, "other").otherwise("crawler").alias("actor_id"), F.when(F.length("source") % 4 == 2, "FAILED").otherwise("SUCCEEDED").alias("run_status"), F.lit("ds").alias("dataset_id"), "total", F.col("doc_id").alias("item"), payload.alias("payload"))
+    pieces = stored(items.repartition(FILES), "crawled")
+    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(pieces.stored_path)
     allowed = spark.range(1).select(F.lit("crawler").alias("actor_id"))
-    target = apps.Target(spark, _work(spark, "v3"), "jobId")
+    root = _work(spark, "v3")
+    target = runs.Target(spark, f"{root}/target", "jobId")
     schema = spark.createDataFrame([], _JOB).schema
-    apps.stream_ingest(items, target, allowed, "item_index", NOW, _work(spark, "v3-checkpoint"), schema).start().awaitTermination()
+    runs.stream_ingest(stream, root, target, allowed, "item_index", NOW, schema)
     return target, schema
 
 
@@ -199,7 +207,7 @@ def v3_stream_ingest(spark, d):
 
 def v3_ingest_ledger(spark, d):
     target, _ = _ingested(spark, d)
-    return apps.read_ledger(spark, target).select("run_id", "status", "collected", "accepted", "rejected", "indexed", "failed", "error")
+    return runs.read_ledger(spark, target).select("run_id", "status", "collected", "accepted", "rejected", "indexed", "failed", "error")
 
 
 def v4_dedupe_deliveries(spark, d):
@@ -263,7 +271,7 @@ f(app, n, st, ok, rej, action, was) AS (
   FROM (SELECT e.app, e.n, f.st, f.ok, f.rej, e.ts, e.action, CASE {_MOVES.replace('action =', 'e.action =').replace(' st IN', ' f.st IN')} END AS t FROM f JOIN e ON e.app = f.app AND e.n = f.n + 1))"""
 _LAST = "SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY app ORDER BY n DESC) = 1"
 
-_INGEST = r"""i AS (SELECT *, CASE length(source) % 4 WHEN 3 THEN 'actor' WHEN 2 THEN 'status' END AS reason, doc_id % 9 <> 0 AND trim(regexp_replace(text[1:300], '\s+', ' ', 'g')) <> '' AND trim(coalesce(lang, '')) <> '' AS fine FROM documents),
+_INGEST = r"""i AS (SELECT *, CASE length(source) % 4 WHEN 3 THEN 'actor' WHEN 2 THEN 'status' END AS reason, doc_id % 9 <> 0 AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> '' AND trim(coalesce(lang, '')) <> '' AS fine FROM documents),
 good AS (SELECT * FROM i WHERE reason IS NULL AND fine)"""
 
 SQL = {
@@ -304,7 +312,7 @@ SELECT CASE WHEN k % 11 = 0 THEN 'already_submitted' WHEN o_orderdate <= lim THE
     "v1_fold_applications": f"""WITH {_FOLD}, l AS ({_LAST}) SELECT app AS "applicationId", st AS status, rej AS n_rejected, strftime(ok, '%Y-%m-%d %H:%M:%S') AS approved FROM l""",
     "v1_rejected_actions": f"WITH {_FOLD} SELECT action, was AS status, count(*) AS rejections FROM f WHERE was IS NOT NULL GROUP BY 1, 2",
     "v2_stream_applications": f"""WITH {_FOLD}, l AS ({_LAST}) SELECT app AS "applicationId", st AS status, rej::BIGINT AS n_rejected FROM l""",
-    "v3_stream_ingest": f"WITH {_INGEST}, l AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id DESC) = 1) SELECT source AS \"sourceRunId\", count(*) AS jobs, max('Engineer ' || (doc_id % 500)) AS last FROM l GROUP BY source",
+    "v3_stream_ingest": f"WITH {_INGEST}, l AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) = 1) SELECT source AS \"sourceRunId\", count(*) AS jobs, max('Engineer ' || (doc_id // 2)) AS last FROM l GROUP BY source",
     "v3_ingest_ledger": f"""WITH {_INGEST}, r AS (SELECT source, any_value(reason) AS reason, count(*) AS n, count(*) FILTER (fine) AS a FROM i GROUP BY source)
 SELECT source AS run_id, CASE WHEN reason IS NULL THEN 'complete' ELSE 'failed' END AS status, CASE WHEN reason IS NULL THEN n ELSE 0 END AS collected, CASE WHEN reason IS NULL THEN a ELSE 0 END AS accepted, CASE WHEN reason IS NULL THEN n - a ELSE 0 END AS rejected,
   CASE WHEN reason IS NULL THEN a ELSE 0 END AS indexed, CASE WHEN reason IS NULL THEN 0 ELSE 1 END::BIGINT AS failed, CASE WHEN reason IS NOT NULL THEN 'not verified' END AS error FROM r""",

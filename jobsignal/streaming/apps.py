@@ -1,4 +1,4 @@
-"""Streaming forms: application state, ingestion of new runs, duplicate deliveries, cadence."""
+"""Streaming forms: application state, duplicate deliveries, cadence."""
 
 from __future__ import annotations
 
@@ -46,89 +46,6 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
-#: Parts of a target table by hash of the key; a batch writes those that its keys fall into.
-BUCKETS = 64
-
-
-class Target:
-    """A table of BUCKETS parts, each in the version of the batch that last changed it; a small pointer per batch names
-    the versions, so nothing reads or writes the whole table to change a part of it."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path, key
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-    def versions(self, n: int) -> dict[int, int]:
-        """Version of each bucket after batch n (at most BUCKETS rows)."""
-        p, fs = hadoop_path(self.spark, f"{self.path}-pointer/batch={n}/_SUCCESS")
-        return dict(self.spark.read.parquet(f"{self.path}-pointer/batch={n}").select("bucket", "version").collect()) if n >= 0 and fs.exists(p) else {}
-
-    def rows(self, versions: dict[int, int], schema) -> DataFrame:
-        paths = [f"{self.path}/version={v}/bucket={b}" for b, v in sorted(versions.items())]
-        paths = [p for p in paths if (lambda x: x[1].exists(x[0]))(hadoop_path(self.spark, p))]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def write(self, df: DataFrame, n: int, touched: list[int], before: dict[int, int]) -> None:
-        df.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={n}")
-        after = before | dict.fromkeys(touched, n)
-        self.spark.createDataFrame(sorted(after.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}-pointer/batch={n}")
-
-    def latest(self, schema) -> DataFrame:
-        root, fs = hadoop_path(self.spark, f"{self.path}-pointer")
-        done = [int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(root)] if fs.exists(root) else []
-        return self.rows(self.versions(max(done, default=-1)), schema)
-
-
-def stream_ingest(stream: DataFrame, target: Target, allowed: DataFrame, order: str, now: str, checkpoint: str, schema):
-    """stream(run_id, actor_id, run_status, dataset_id, item, payload): raw crawl items, a run's whole in one batch.
-
-    Each batch: runs are verified and those that the ledger has as complete are skipped; a ledger row says that the rest
-    have begun; their items are normalized; jobs are merged into the parts of the target that their keys fall into; the
-    run report goes to the ledger. A batch that is run again overwrites its own folders, so deliveries may repeat.
-    """
-    spark = stream.sparkSession
-    ledger_path = f"{target.path}-ledger"
-
-    def ledger(n: int) -> DataFrame:
-        """Rows of the batches before n."""
-        none = spark.createDataFrame([], LEDGER)
-        root, fs = hadoop_path(spark, ledger_path)
-        return spark.read.schema(LEDGER).option("basePath", ledger_path).parquet(f"{ledger_path}/batch=*").where(F.col("seq") < 2 * n) if fs.exists(root) else none
-
-    def ingest(batch: DataFrame, n: int) -> None:
-        runs = batch.select("run_id", "actor_id", F.col("run_status").alias("status"), "dataset_id").distinct()
-        judged = stored(lookups.verify_runs(runs, allowed), "runs")
-        fine = store.plan_runs(judged.where("reason IS NULL").select("run_id"), store.ledger_state(ledger(n)))
-        fine = stored(fine, "fine-runs")
-        store.started_rows(fine, 2 * n, now).write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=started")
-        raw = batch.join(fine.hint("merge"), "run_id", "left_semi").select("run_id", F.struct("run_id", "item").alias("at"), "payload")
-        jobs = stored(normalize.judge_postings(raw, "stream", now, "at").withColumn("sourceRunId", F.col("item.run_id")).withColumn(order, F.col("item.item")), "judged")
-        good = jobs.where("code IS NULL").select(*schema.names, order)
-        touched = [r.bucket for r in good.select(target.bucket()).distinct().collect()]  # at most BUCKETS
-        before = target.versions(n - 1)
-        current = target.rows({b: before[b] for b in touched if b in before}, schema)
-        target.write(store.upsert_postings(current, good, target.key, order)[0], n, touched, before)
-        of = lambda df: df.select(F.col("item.run_id").alias("run_id"), F.col("item.item").alias("index"), "code")
-        report = reports.run_report(fine, of(jobs.where("code IS NULL")), of(jobs.where("code IS NOT NULL")), of(jobs).limit(0))
-        refused = store.failed_rows(judged.where("reason IS NOT NULL"), 2 * n + 1, now, "not verified")
-        ended = store.ended_rows(report, 2 * n + 1, now).unionByName(refused)
-        ended.write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=ended")
-        for t in (judged, fine, jobs):
-            dropped(t)
-
-    return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-LEDGER = "run_id string, seq long, status string, finished_at timestamp, collected long, accepted long, rejected long, indexed long, failed long, error string"
-
-
-def read_ledger(spark: SparkSession, target: Target) -> DataFrame:
-    """The latest row of each run."""
-    return store.ledger_state(spark.read.schema(LEDGER).option("basePath", f"{target.path}-ledger").parquet(f"{target.path}-ledger/batch=*"))
-
-
 def dedupe_deliveries(stream: DataFrame, key: str, at: str, delay: str = "1 day") -> DataFrame:
     """The first delivery of each key within the watermark's delay."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
