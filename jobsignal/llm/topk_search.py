@@ -7,9 +7,9 @@ dealt into groups of about GROUP rows by a row number, so any number of equal ro
 
 For a query, the largest difference to its own pivot distances bounds each candidate's distance from below. The k-th
 score within the sample is a first threshold: cells whose range of pivot distances can't reach it are left out before the
-query is sent anywhere, the groups of the others once for every QUERY_BLOCK queries. In a group, candidates whose bound
+query is sent anywhere. Each candidate travels once; queries are sent to the groups of the others. In a group, candidates whose bound
 can't reach the threshold are left out, and the rest are evaluated in the order of their bounds until the k-th score can
-no longer be reached. A task holds one group; queries stream past it.
+no longer be reached. A task holds one group; queries stream past it, and thresholds are taken for QUERY_ROWS at a time.
 
 Defined results: null vectors and ids, and vectors with null or non-finite components, take no part; shorter vectors count
 as if ended by zeros; repeated rows are candidates each, and a query's own vec_id never is (of repeated query rows the
@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, pieces, written
 
-PIVOTS, SAMPLE, GROUP, QUERY_BLOCK, STEP = 32, 4096, 8192, 1 << 16, 64
+PIVOTS, SAMPLE, GROUP, QUERY_ROWS, STEP = 32, 4096, 8192, 256, 64
 _OUT = ("query_id", "vec_id", "score", "evaluated")
 
 
@@ -94,7 +94,7 @@ def _sent(pivots: Pivots, low: np.ndarray, high: np.ndarray, cells: np.ndarray,
     """(vec_id, v) of queries -> with distances, threshold and the cells that may reach it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, QUERY_ROWS):
             own, q = batch.column(0).to_numpy(), dense(batch.column(1), pivots.width).astype(float)
             d, qq = pivots.of_queries(q), (q**2).sum(1)
             least = pivots.thresholds(own, q, k) - pivots.slack(qq)
@@ -135,21 +135,21 @@ class Group:
 
 
 def _search(pivots: Pivots, k: int):
-    """Rows (part, grp, query, ...) in that order: the candidates of each group, then its queries."""
+    """Rows (grp, query, ...) in that order: the candidates of each group, then its queries, which stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, group = None, [], None
         for batch in batches:
-            part, grp, is_query, ids, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "grp", "query", "vec_id", "least"))
+            grp, is_query, ids, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "query", "vec_id", "least"))
             x = dense(batch.column("v"), pivots.width)
             d = np.asarray(batch.column("d").flatten()).reshape(len(x), -1)
-            cut = np.flatnonzero((part[1:] != part[:-1]) | (grp[1:] != grp[:-1]) | (is_query[1:] != is_query[:-1])) + 1
+            cut = np.flatnonzero((grp[1:] != grp[:-1]) | (is_query[1:] != is_query[:-1])) + 1
             out: list[list] = [[], [], [], []]
             for a, b in zip([0, *cut], [*cut, len(x)]):
                 if a == b:
                     continue
-                if (part[a], grp[a]) != key:
-                    key, held, group = (part[a], grp[a]), [], None
+                if grp[a] != key:
+                    key, held, group = grp[a], [], None
                 if not is_query[a]:
                     held.append((ids[a:b], x[a:b], d[a:b]))
                     continue
@@ -186,14 +186,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     cells = sorted(map(tuple, cells))
     names, low, high = np.array([c[0] for c in cells], np.int32), np.array([c[2 : 2 + len(p)] for c in cells]), np.array([c[2 + len(p) :] for c in cells])
     groups = F.create_map(*(F.lit(y) for c in cells for y in (c[0], -(-c[1] // GROUP))))
-    parts = -(-m // QUERY_BLOCK)
 
     grp = lambda cell, salt: F.shiftleft(cell.cast("long"), 32) + salt
-    c = table.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), grp(F.col("cell"), F.pmod(F.xxhash64("place"), groups[F.col("cell")])).alias("grp"), F.lit(False).alias("query"), "vec_id", "v", "d", F.lit(0.0).alias("least"))
+    c = table.select(grp(F.col("cell"), F.pmod(F.xxhash64("place"), groups[F.col("cell")])).alias("grp"), F.lit(False).alias("query"), "vec_id", "v", "d", F.lit(0.0).alias("least"))
     q = queries.mapInArrow(_sent(pivots, low, high, names, k), "vec_id long, v array<long>, d array<double>, least double, cells array<int>")
     q = q.withColumn("cell", F.explode("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), groups[F.col("cell")] - 1)))
-    q = q.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), grp(F.col("cell"), F.col("salt")).alias("grp"), F.lit(True).alias("query"), "vec_id", "v", "d", "least")
-    both = c.unionByName(q).repartition("part", "grp").sortWithinPartitions("part", "grp", "query")
+    q = q.select(grp(F.col("cell"), F.col("salt")).alias("grp"), F.lit(True).alias("query"), "vec_id", "v", "d", "least")
+    both = c.unionByName(q).repartition("grp").sortWithinPartitions("grp", "query")
     found = written(both.mapInArrow(_search(pivots, k), "query_id long, vec_id long, score long, evaluated long"), "found")
     dropped(table)
     of = Window.partitionBy("query_id")

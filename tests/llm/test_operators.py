@@ -444,10 +444,27 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(k + 1, i, -n) for k, (n, i) in enumerate(s)]
 
 
+
+def test_search_memory_of_many_queries():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-256, 256, (4096, 64))
+    pivots = topk_search.Pivots(np.arange(4096), x, float((x.astype(float) ** 2).sum(1).max()))
+    d = pivots.of_candidates(x.astype(float))
+    send = topk_search._sent(pivots, d.min(0)[None], d.max(0)[None], np.array([0], np.int32), 5)
+    q = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(rng.integers(-256, 256, (10_000, 64))), pa.list_(pa.int64()))], names=["vec_id", "v"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in send(iter([q]))) == 10_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6, peak
+
+
 def test_top_k_elimination(spark, monkeypatch):
     # many small groups, blocks of queries and equal rows; clustered vectors leave most candidates out
     monkeypatch.setattr(topk_search, "GROUP", 50)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 7)
     monkeypatch.setattr(topk_search, "SAMPLE", 300)
     monkeypatch.setattr(topk_search, "STEP", 8)
     rng = np.random.default_rng(4)
