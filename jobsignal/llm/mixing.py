@@ -36,6 +36,8 @@ BLOCK_WORDS, BUCKETS, BUCKET_ROWS, CELLS = 64, 1024, 1 << 16, 4096
 TASK_SLOTS = 1 << 19
 #: Slots of the mix that lie together, in order.
 RUN_SLOTS = 4096
+#: Words of the mix that a partition holds on average.
+PARTITION_WORDS = 4 << 20
 #: Bits of a point: slots may number up to 2 ** BITS.
 BITS = 44
 ADDED = ("_size", "_source_size", "_target", "_taken", "_start", "_slot", "_slot2")
@@ -227,5 +229,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     whole = docs.withColumns(dict(zip(own, keys))).dropDuplicates(own)
     whole = whole.select(*(F.col(a).alias(f"k{i}") for i, a in enumerate(own)), *(c.alias(n) for c, n in zip(every, x)))
     rows = turns.join(whole.hint("merge"), ["k0", "k1", "k2", "k3"]).select(*x, "n", "slot")
-    rows = rows.repartition(F.floor(F.col("slot") / RUN_SLOTS)).sortWithinPartitions("slot", *x[:1]).select(*x, "n")
+    # as many partitions as the slots' words ask for, however few partitions shuffles have
+    slots = (turns.agg(F.max("slot")).first()[0] or 0) + 1
+    rows = rows.repartition(-(-slots * BLOCK_WORDS // PARTITION_WORDS), F.floor(F.col("slot") / RUN_SLOTS)).sortWithinPartitions("slot", *x[:1]).select(*x, "n")
     return rows.mapInArrow(_first_words(docs.schema, names.index("text")), docs.schema)
