@@ -168,11 +168,19 @@ def _work(spark, name):
     return f"{folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
+def _shuffled(spark, df, end, name):
+    """df as a stream of FILES files of rows in no order, one a batch, then one file with the row that ends it."""
+    pieces = stored(df.repartition(FILES, F.xxhash64("seq")), name)
+    end.select(*(F.col(f.name).cast(f.dataType) for f in pieces.schema)).coalesce(1).write.mode("append").parquet(pieces.stored_path)
+    return spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(pieces.stored_path)
+
+
 def v2_stream_applications(spark, d):
-    action = F.element_at(F.create_map(*(F.lit(x) for kv in _ACTIONS.items() for x in kv)), F.col("event_type"))
-    events = _stream(spark, d, "events").select(F.col("user_id").alias("applicationId"), "ts", F.col("event_id").alias("seq"), action.alias("action"))
-    rows = apps.drain(apps.stream_applications(events), _work(spark, "v2-out"), _work(spark, "v2"))
-    return rows.groupBy("applicationId").agg(F.max_by("status", "seq").alias("status"), F.count_if(~F.col("accepted")).alias("n_rejected"))
+    events = _app_events(spark, d)
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(None).alias("applicationId"), "ts", F.lit(None).alias("seq"), F.lit(None).alias("action"))
+    stream = apps.stream_applications(_shuffled(spark, events, end, "v2-events"), 40 * apps.DAY, 40 * apps.DAY)
+    rows = apps.drain(stream, _work(spark, "v2-out"), _work(spark, "v2")).where("applicationId IS NOT NULL")
+    return rows.groupBy("applicationId").agg(F.max_by("status", F.struct("us", "seq")).alias("status"), F.count_if(~F.col("accepted")).alias("n_rejected"))
 
 
 #: Files that the streamed runs are spread over.

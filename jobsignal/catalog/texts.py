@@ -12,7 +12,7 @@ from ..operators import lexical, planned, search
 from ..plans import search_plan
 from ..plans.jobs_view import NOW, ORDERS_WIDE_SQL, orders_wide, table
 from ..plans.requests import SearchRequest
-from ..plans.stored import folder, hadoop_path
+from ..plans.stored import folder, hadoop_path, stored
 from ..sources import store
 from ..streaming import apps
 from .candidates import _work
@@ -180,6 +180,19 @@ def d5_funnel_metrics(spark, d):
     return planned.funnel_metrics(e.select(F.col("user_id").alias("user"), (F.col("event_id") % 7).alias("item"), kind.alias("kind"), "ts").where("kind IS NOT NULL"))
 
 
+def d5_stream_funnel(spark, d):
+    """The funnel by two stream-stream interval joins over events in no order."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "save").when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "view", "draft")
+    e = e.select(F.col("user_id").alias("user"), (F.col("event_id") % 7).alias("item"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts")).where("kind IS NOT NULL")
+    e = stored(e.repartition(3), "funnel-events")
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(None).cast("long").alias("user"), F.lit(None).cast("long").alias("item"), F.lit("end").alias("kind"), "ts")
+    end.coalesce(1).write.mode("append").parquet(e.stored_path)
+    stream = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(e.stored_path)
+    legs = [apps.drain(apps.interval_leg(stream(), kind, within, "40 days"), _work(spark, kind), _work(spark, f"{kind}-checkpoint")).where("user IS NOT NULL") for kind, within in (("undo", "24 HOURS"), ("draft", "7 DAYS"))]
+    return apps.funnel_of_legs(*legs)
+
+
 def d6_affinity_scores(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("user"), F.when(F.col("o_orderkey") % 3 == 0, "right").otherwise("left").alias("direction"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
     return planned.affinity_scores(o, ["priority", "status"])
@@ -202,7 +215,7 @@ def d8_nation_distances(spark, d):
     return n.select("n_nationkey", F.round(planned.haversine_km(F.col("lat"), F.col("lon"), F.lit(30.27), F.lit(-97.74)), 3).alias("km"))
 
 
-QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_exact_search, x2_empty_query, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, x5_search_degraded, x5_search_facets, x5_search_highlights, t2_cursor_pages, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
+QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_exact_search, x2_empty_query, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, x5_search_degraded, x5_search_facets, x5_search_highlights, t2_cursor_pages, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d5_stream_funnel, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
 
 _TOKENS = r"""
 f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS t FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'body', text FROM documents),
@@ -284,3 +297,4 @@ c AS (SELECT facet, bucket, count(*) AS n, row_number() OVER (PARTITION BY facet
 SELECT facet, CASE WHEN rn <= 5 THEN bucket ELSE '(others)' END AS bucket, sum(n)::BIGINT AS "count" FROM c GROUP BY 1, 2""",
     "d8_nation_distances": """SELECT n_nationkey, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(30.27 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(30.27)) * pow(sin(radians(-97.74 - lon) / 2), 2))), 3) AS km FROM (SELECT n_nationkey, n_nationkey * 5.0::DOUBLE - 60 AS lat, n_nationkey * 13.0::DOUBLE - 160 AS lon FROM nation)""",
 }
+SQL["d5_stream_funnel"] = SQL["d5_funnel_metrics"]

@@ -4,34 +4,92 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import lookups, normalize, reports
 from ..operators.applications import step
-from ..plans.stored import dropped, hadoop_path, stored
-from ..sources import store
-
-_OUT = "applicationId long, seq long, action string, status string, accepted boolean"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status = state.get[0] if state.exists else "saved"
-    events = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    rows = []
-    for seq, action in zip(events["seq"], events["action"]):
-        status, ok = step(status, action)
-        rows.append((key[0], seq, action, status, ok))
-    state.update((status,))
-    yield pd.DataFrame(rows, columns=["applicationId", "seq", "action", "status", "accepted"])
-
-
-def stream_applications(events: DataFrame) -> DataFrame:
-    """events(applicationId, ts, seq, action) -> every event with the status after it. Events of one batch are taken in
-    (ts, seq) order; later batches in order of arrival. Keyed state stands for the version check."""
-    return events.groupBy("applicationId").applyInPandasWithState(_advance, _OUT, "status string", "append", GroupStateTimeout.NoTimeout)
+from .runs import started
+
+_OUT = "applicationId long, us long, seq long, action string, status string, accepted boolean, late boolean"
+DAY = 86_400_000
+
+
+class InOrder(StatefulProcessor):
+    """Holds an application's events until no earlier one can come, and applies them by (ts, seq).
+
+    Events up to ``horizon``, the watermark and ``slack`` milliseconds, are settled: later arrivals of them are late."""
+
+    def __init__(self, slack: int):
+        self.slack = slack
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.status = handle.getValueState("status", "status string")
+        self.held = handle.getListState("held", "us long, seq long, action string")
+
+    def _now(self) -> str:
+        return self.status.get()[0] if self.status.exists() else "saved"
+
+    def _wait(self, held: list[tuple]) -> None:
+        """A timer for the earliest event that is held."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.handle.registerTimer(max(-(-min(held)[0] // 1000) - self.slack, 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        settled = (timerValues.getCurrentWatermarkInMs() + self.slack) * 1000 if timerValues.getCurrentWatermarkInMs() > 0 else None
+        new = []
+        for r in rows:
+            if r["us"] is None or settled is not None and r["us"] <= settled:
+                yield Row(applicationId=key[0], us=r["us"], seq=r["seq"], action=r["action"], status=self._now(), accepted=False, late=True)
+            else:
+                new.append((r["us"], r["seq"], r["action"]))
+        if new:
+            self.held.appendList(new)
+            self._wait([tuple(h) for h in self.held.get()])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        settled = (timerValues.getCurrentWatermarkInMs() + self.slack) * 1000
+        held = sorted((tuple(h) for h in self.held.get()), key=lambda h: (h[0], h[1] is not None, h[1] or 0))
+        status = self._now()
+        for us, seq, action in held:
+            if us <= settled:
+                status, ok = step(status, action)
+                yield Row(applicationId=key[0], us=us, seq=seq, action=action, status=status, accepted=ok, late=False)
+        self.status.update((status,))
+        rest = [h for h in held if h[0] > settled]
+        self.held.put(rest) if rest else self.held.clear()
+        self._wait(rest)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_applications(events: DataFrame, delay: int = DAY, keep: int = 30 * DAY) -> DataFrame:
+    """events(applicationId, ts, seq, action) -> every event with the status after it, in order of (ts, seq) whatever
+    order they arrive in, as far as they come within ``delay`` milliseconds of the latest. Later ones are listed as late
+    and not applied, those without a time too; the stream drops what comes more than ``keep`` after. Keyed state stands
+    for the version check; it holds the status and the events of the last ``delay``."""
+    e = events.select("applicationId", F.col("ts").cast("timestamp").alias("ts"), "seq", "action").withColumn("us", F.unix_micros("ts"))
+    return e.withWatermark("ts", f"{keep} milliseconds").groupBy("applicationId").transformWithState(InOrder(keep - delay), _OUT, "Append", "EventTime")
+
+
+def interval_leg(events: DataFrame, kind: str, within: str, delay: str) -> DataFrame:
+    """events(user, item, kind, ts) -> (user, item, s, o): saves with each event of ``kind`` that follows within the
+    interval, or one row with a null o if none does. Both sides' state goes when the watermark has passed the interval.
+    Events of kind ``end`` only move the watermark."""
+    saves = events.where("kind IN ('save', 'end')").select("user", "item", F.col("ts").alias("s")).withWatermark("s", delay)
+    others = events.where(F.col("kind").isin(kind, "end")).select(F.col("user").alias("_u"), F.col("item").alias("_i"), F.col("ts").alias("o")).withWatermark("o", delay)
+    return saves.join(others, F.expr(f"user = _u AND item = _i AND o >= s AND o <= s + INTERVAL {within}"), "leftOuter").select("user", "item", "s", "o")
+
+
+def funnel_of_legs(undone: DataFrame, drafted: DataFrame) -> DataFrame:
+    """The funnel of what the two legs (save with undo within a day, with draft within seven) have told so far."""
+    of = lambda leg, name: leg.groupBy("user", "item").agg(F.min("s").alias(f"s_{name}"), F.min_by("o", F.struct("s", F.col("o").isNull())).alias(name))
+    j = of(undone, "u").join(of(drafted, "d").hint("merge"), ["user", "item"]).where("s_u = s_d")
+    return j.agg(F.count(F.lit(1)).alias("saved"), F.count_if(F.col("u").isNull()).alias("useful"), F.count_if(F.col("d").isNotNull()).alias("drafted"))
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -42,7 +100,7 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else n}")
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    started(stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)).awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
