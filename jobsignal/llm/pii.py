@@ -63,9 +63,22 @@ GIVEN = {
     ("m", "Devanagari"): ("राम", "मोहन", "विजय", "अमित"),
 }
 COMMON_GIVEN = {
-    "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Margaret", "Emily", "Emma", "Jane", "Anna", "Maria", "Sophie", "Marie", "Camille", "Claire", "Isabelle", "Nathalie", "Sabine", "Ursula", "Petra", "Monika", "Carmen", "Lucía", "Isabel", "Pilar"),
-    "m": ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "George", "Peter", "Paul", "Pierre", "Jean", "Jacques", "Michel", "Philippe", "François", "Hans", "Klaus", "Jürgen", "Wolfgang", "Stefan", "José", "Carlos", "Juan", "Miguel", "Javier", "Pablo"),
-}
+    "f": (
+        "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Margaret", "Emily", "Emma", "Jane", "Anna", "Maria", "Sophie", "Marie", "Camille", "Claire", "Isabelle", "Nathalie",
+        "Sabine", "Ursula", "Petra", "Monika", "Carmen", "Lucía", "Isabel", "Pilar", "Priya", "Olga", "Ingrid", "Astrid", "Fatima", "Aisha", "Leila", "Yuki", "Natalia", "Svetlana", "Tatiana", "Ekaterina", "Anastasia", "Giulia", "Francesca",
+        "Chiara", "Alessandra", "Beatriz", "Gabriela", "Valentina", "Camila", "Sofia", "Ana", "Teresa", "Marta", "Silvia", "Paula", "Raquel", "Helen", "Deborah", "Laura", "Rachel", "Rebecca", "Samantha", "Katherine", "Nicole", "Hannah",
+        "Olivia", "Isabella", "Amelia", "Abigail", "Zofia", "Agnieszka", "Katarzyna", "Magdalena", "Katalin", "Zeynep", "Ananya", "Deepika", "Kavita", "Lakshmi", "Sunita",
+    ),
+    "m": (
+        "James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "George", "Peter", "Paul", "Pierre", "Jean", "Jacques", "Michel", "Philippe", "François", "Hans", "Klaus",
+        "Jürgen", "Wolfgang", "Stefan", "José", "Carlos", "Juan", "Miguel", "Javier", "Pablo", "Wei", "Ravi", "Rajesh", "Amit", "Sanjay", "Arjun", "Vikram", "Suresh", "Ahmed", "Mohammed", "Muhammad", "Omar", "Hassan", "Ibrahim", "Yusuf",
+        "Mehmet", "Mustafa", "Hiroshi", "Takeshi", "Kenji", "Akira", "Vladimir", "Dmitri", "Sergei", "Alexei", "Nikolai", "Mikhail", "Igor", "Andrei", "Giovanni", "Marco", "Giuseppe", "Luca", "Alessandro", "Francesco", "Antonio", "Fernando",
+        "Diego", "Luis", "Jorge", "Rafael", "Pedro", "João", "Paulo", "Lars", "Sven", "Olaf", "Anders", "Piotr", "Tomasz", "Krzysztof", "Wojciech", "Steven", "Andrew", "Kenneth", "Brian", "Kevin", "Edward", "Timothy", "Jason", "Jeffrey",
+        "Nicholas", "Eric", "Jonathan", "Stephen", "Gregory", "Benjamin", "Samuel", "Patrick", "Alexander", "Laurent", "Olivier", "Uwe", "Dieter", "Helmut", "Matthias",
+    ),
+}
+#: Words that end the name of a place or body that is called after a person.
+BODIES = frozenset("University College Institute School Academy Hospital Church Cathedral Museum Library Park Street Avenue Road Square Bridge Airport Station Prize Award Foundation Trust Inc Ltd LLC GmbH Corp Corporation Company Bank Hotel County Island River Lake Fellowship Center Centre Hall Stadium Society Press Medal".split())
 SYLLABLES = {
     "Latin": ("ba", "den", "fro", "gar", "hol", "kel", "lin", "mor", "nes", "pal", "rin", "sor", "tam", "vel", "wil", "zan"),
     "Cyrillic": ("ба", "вел", "гор", "дан", "жар", "кол", "лин", "мор", "нес", "пал", "рин", "сор", "там", "фед", "хол", "чер"),
@@ -87,6 +100,7 @@ _INITIALS = rf"(?:[{_UPPER}](?:\.[ ]?|[ ]))*"
 _PART = rf"(?!(?:{_ALL_TITLES})(?!\w))[{_UPPER}][^\W\d_]+(?![\w@])"
 _MORE = rf"(?:-|[ ](?:(?:{_PARTICLES})[ ])*{_INITIALS}){_PART}"
 _SECRETS = "token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key"
+_PHONE_WORDS = "phone|telephone|tel|mobile|fax|call|telefon|téléphone|teléfono"
 _COMMON = "|".join(n for ns in COMMON_GIVEN.values() for n in ns)
 _CUES = "|".join(map(re.escape, CUES))
 _FIRM = "|".join(t for ts in PLAIN_TITLES.values() for t in ts)
@@ -101,7 +115,7 @@ _PATTERNS = (
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
-    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9])"),
+    ("phone", rf"(?<![0-9A-Za-z.\-])(?:\+[0-9]{{1,3}}[ .\-]?)?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})[ .\-][0-9]{{3,4}}[ .\-][0-9]{{3,4}}(?![0-9]|[.\-][0-9])|(?<![0-9A-Za-z])\+[0-9]{{8,15}}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{{1,3}}(?:[ .\-][0-9]{{2,8}}){{2,5}}(?![0-9])|(?<![0-9A-Za-z.\-])0[1-9][0-9]{{1,3}}[ /\-][0-9]{{5,8}}(?![0-9]|[.\-][0-9])|(?<![0-9A-Za-z.\-])[2-9][0-9]{{2}}[2-9][0-9]{{6}}(?![0-9A-Za-z]|[.\-][0-9])|(?<!\w)(?i:{_PHONE_WORDS})[.:]*[ ](?P<dialled>\(?[0-9][0-9 .()\-]{{5,16}}[0-9])(?![0-9])"),
     ("name", rf"(?<!\w)(?P<title>{_ALL_TITLES})\.?[ ](?P<name>{_INITIALS}{_PART}(?:{_MORE})*)"),
     ("cued", rf"(?<!\w)(?:{_CUES})\s+(?P<cued>{_INITIALS}{_PART}(?:{_MORE})*)"),
     ("known", rf"(?<!\w)(?P<known>(?:{_COMMON})(?:{_MORE})+)"),
@@ -129,6 +143,34 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
+def mod97(iban: str) -> int:
+    """An IBAN's check remainder; 1 if its check digits are right."""
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def dialable(number: str) -> bool:
+    """Whether digits in groups follow a number plan: 7 to 15 digits, separators used alike, and, without a leading + or
+    brackets, an area code with a 0 before it or of three digits; years, thousands and table columns don't."""
+    digits = re.sub(r"[^0-9]", "", number)
+    if not 7 <= len(digits) <= 15:
+        return False
+    if number.startswith("+") or "(" in number or number == digits:
+        return True
+    groups, between = re.findall(r"[0-9]+", number), set(re.findall(r"[^0-9]+", number))
+    if len(between) > 1 or sum(len(g) == 4 and g[:2] in ("19", "20") for g in groups) >= 2:
+        return False
+    if groups[0][0] == "0":
+        return True
+    thousands = all(len(g) == 3 for g in groups[1:]) and (between <= {"."} or groups[-1] == "000" or groups[0][0] < "6")
+    return len(groups[0]) == 3 and groups[0][0] >= "2" and not thousands
+
+
+def guessable(secret: str, before: str) -> bool:
+    """Whether what follows a secret's name and a colon is an ordinary word: letters of one case alone."""
+    return ":" in before and secret.isalpha() and (secret[1:].islower() or secret.isupper())
+
+
 def _gender(title: str, by: dict[str, tuple[str, ...]]) -> str:
     return next(g for g, ts in by.items() if title in ts)
 
@@ -153,9 +195,19 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for t, m in _found(text):
         if t == "secret":
-            out.append((*m.span("secret"), t, m["secret"]))
+            if not guessable(m["secret"], m[0][: m.start("secret") - m.start()]):
+                out.append((*m.span("secret"), t, m["secret"]))
+        elif t == "phone":
+            told = "dialled" if m["dialled"] else 0
+            if told and 7 <= sum(c.isdigit() for c in m[told]) <= 15 or dialable(m[0]):
+                out.append((*m.span(told), t, m[told]))
+        elif t == "iban":
+            if mod97(m[0]) == 1:
+                out.append((*m.span(), t, m[0]))
         elif t in _NAMES:
             parts = [p for p in re.finditer(r"[^\W\d_]{2,}", m[t]) if p[0][0].isupper()]
+            if t == "known" and parts[-1][0] in BODIES:
+                continue
             if t == "name":
                 gender = _gender(m["title"], TITLES)
             else:

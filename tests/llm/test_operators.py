@@ -164,6 +164,21 @@ def test_pii_formats():
     assert pii.mentions("Dear reader, the names of rivers are long.") == []
 
 
+def test_detection():
+    kinds = lambda text: [k for _, _, k, _ in pii.mentions(text)]
+    for text in (
+        "2019 2020 2021", "12.345.678 Euro", "100 000 000", "10-2000-3000", "1990 1234 5678", "US20 THIS TEXT WITH CAPS HERE", "the secret: internationalization", "George Washington University", "1234567", "3.141.592", "2024-01-15",
+        "978-3-16-148410-0", "10 000 000 people", "v 1.200.300", "GB83 WEST 1234 5698 7654 32", "rows 1200 3400 5600", "1700000000",
+    ):
+        assert kinds(text) == [], text
+    for text in ("call 5551234567 now", "030 1234567", "+49 30 1234567", "(555) 123-4567", "555-123-4567", "555.123.4567", "+4915112345678", "612 345 678", "020 7946 0958", "tel: 12 34 56 78 90", "+1 (017) 555-7713"):
+        assert kinds(text) == ["phone"], text
+    for text, kind in (("GB82 WEST 1234 5698 7654 32", "iban"), ("DE89370400440532013000", "iban"), ("password=correcthorsebattery", "secret"), ("secret: aB3dE5fG7hI9jK1l", "secret")):
+        assert kinds(text) == [kind], text
+    for name in ("Priya Sharma", "Wei Zhang", "Olga Petrova", "Mehmet Yilmaz", "Piotr Kowalski"):
+        assert [v for _, _, _, v in pii.mentions(f"Then {name} said so.")] == name.split(), name
+
+
 def test_pii_brute(spark, sf01):
     # whole texts against draws made one after another
     names = [(5000 + i, f"Mr. Bob{chr(97 + i % 26)} Xy{chr(97 + i // 26)} wrote to 10.0.0.{i % 250} and {chr(97 + i % 26)}@x.com") for i in range(400)]
