@@ -31,6 +31,12 @@ def s8_upsert_postings(spark, d):
     return store.upsert_postings(current, batch, "doc_id", "item_index", _rules(), ["lang", "source"])[0]
 
 
+def s8_bucketed_upsert(spark, d):
+    """The same upsert with the current state in buckets, which no exchange reads."""
+    current, batch = _halves(spark, d)
+    return store.upsert_postings(store.bucketed(current, "current_docs", "doc_id"), batch, "doc_id", "item_index", _rules(), ["lang", "source"])[0]
+
+
 def s8_upsert_failures(spark, d):
     current, batch = _halves(spark, d)
     _, failures, counts = store.upsert_postings(current, batch, "doc_id", "item_index", _rules(), ["lang", "source"])
@@ -56,11 +62,12 @@ def s9_append_ledger(spark, d):
 
 
 def _posting_pages(spark, d):
-    """Pages with a JSON-LD script for each part of a supplier's shelf: a plain node, a graph, a broken script."""
+    """Pages with a JSON-LD script for each part: a plain node, a graph, 21 levels of nesting; and a broken script."""
     p = table(spark, d, "part")
     node = F.to_json(F.struct(F.when(F.col("p_partkey") % 2 == 0, F.lit("JobPosting")).otherwise("Thing").alias("@type"), F.col("p_name").alias("title"), F.col("p_partkey").cast("string").alias("identifier"), F.concat(F.lit("https://jobs.example.com/"), F.col("p_partkey").cast("string")).alias("url")))
     graph = F.concat(F.lit('{"@context":"x","@graph":[['), node, F.lit("],"), node, F.lit("]}"))
-    body = F.when(F.col("p_partkey") % 3 == 0, graph).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("["), node, F.lit("]"))).otherwise(node)
+    deep = F.concat(F.lit('[{"@graph":[' * 7), node, F.lit("]}]" * 7))
+    body = F.when(F.col("p_partkey") % 5 == 4, deep).when(F.col("p_partkey") % 3 == 0, graph).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("["), node, F.lit("]"))).otherwise(node)
     html = F.concat(F.lit("<html><script type='application/ld+json'>{broken</script><script type=\"application/ld+json\">"), body, F.lit("</script></html>"))
     return p.select(F.concat(F.lit("https://pages.example.com/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
 
@@ -82,6 +89,7 @@ def s6_discover_embedded_jobs(spark, d):
     p = table(spark, d, "part")
     uuid = F.concat(F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
     data = F.concat(F.lit('{"board":{"teams":[{"id":"x","jobs":[{"id":"'), uuid, F.lit('","title":"'), "p_name", F.lit('"},{"id":"'), uuid, F.lit('","name":1}]}]}}'))
+    data = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"n":[' * 7), data, F.lit("]}" * 7))).otherwise(data)  # 14 levels more
     pages = p.select(F.concat(F.lit("https://a.example.com/"), F.col("p_partkey").cast("string")).alias("url"), F.concat(F.lit("<script>window.__appData = "), data, F.lit(";</script>")).alias("html"))
     return harvest.discover_embedded_jobs(pages, "https://a.example.com/board")
 
@@ -199,7 +207,7 @@ def n9_card_view(spark, d):
     return normalize.card_view(rows, "2001-08-02 00:01:00")
 
 
-QUERIES = {f.__name__: f for f in (s1_scan_postings, s3_harvest_jsonld, s4_explode_board_payload, s5_discover_links, s6_discover_embedded_jobs, s7_screen_urls, s8_upsert_postings, s8_upsert_failures, s9_plan_runs, s9_append_ledger, n1_normalize_postings, n2_clean_html_text, n2_size_report, n3_annualize_salary, n4_extract_disclosed_salary, n5_tag_skills, n6_classify_titles, n7_assign_identity, n7_identity_collisions, n9_card_view)}
+QUERIES = {f.__name__: f for f in (s1_scan_postings, s3_harvest_jsonld, s4_explode_board_payload, s5_discover_links, s6_discover_embedded_jobs, s7_screen_urls, s8_upsert_postings, s8_bucketed_upsert, s8_upsert_failures, s9_plan_runs, s9_append_ledger, n1_normalize_postings, n2_clean_html_text, n2_size_report, n3_annualize_salary, n4_extract_disclosed_salary, n5_tag_skills, n6_classify_titles, n7_assign_identity, n7_identity_collisions, n9_card_view)}
 
 _BATCH = """batch AS (SELECT doc_id + 100 AS doc_id, upper(lang) AS lang, CASE WHEN (doc_id + 100) % 5 <> 0 THEN source END AS source FROM documents),
 judged AS (SELECT *, [CASE WHEN source IS NULL THEN 'has_source' END, CASE WHEN NOT coalesce(lang IN ('EN', 'FR', 'DE'), false) THEN 'lang' END] AS f FROM batch)"""
@@ -269,3 +277,4 @@ SELECT k AS "jobId", 'Company undisclosed' AS company, o_orderstatus AS title, o
   CASE WHEN k % 9 = 0 THEN 'as told' WHEN m = 2 THEN cur || lo || '+' WHEN m = 3 THEN 'Up to ' || cur || hi ELSE cur || lo || '–' || hi END AS pay,
   CASE WHEN mins < 2 THEN 'Just indexed' WHEN mins < 60 THEN mins || 'm ago' WHEN mins < 1440 THEN (mins // 60) || 'h ago' ELSE (mins // 1440) || 'd ago' END AS age FROM l""",
 }
+SQL["s8_bucketed_upsert"] = SQL["s8_upsert_postings"]

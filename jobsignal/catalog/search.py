@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contracts, search
 from ..plans.jobs_view import NOW, ORDERS_WIDE_SQL, orders_wide, table
-from ..plans.requests import FACETS, SearchRequest
+from ..plans.requests import FACETS, FILTER_BOUNDS, SearchRequest
 
 REQUEST = SearchRequest(filters={"workModes": ("o", "P"), "skills": ("brand#2", "BRAND#17", "brand#4"), "seniority": ("1-urgent", "2-HIGH", "3-medium")}, minimum_salary=50_000, posted_within_days=365)
 _BASE = f"""status = 'active' AND (round("annualMax", 2) >= 50000 OR "annualMax" IS NULL) AND "postedAt" >= TIMESTAMP '{NOW}' - INTERVAL 365 DAYS"""
@@ -70,6 +70,17 @@ def f2_validate_requests(spark, d):
     return bad.select("event_id", F.array_join("failed", ",").alias("failed"))
 
 
+def f2_validate_filters(spark, d):
+    """Bounds of the filter lists of requests logged as events: a value that many times, of that many characters."""
+    e = table(spark, d, "events")
+    logged = lambda n, size: F.array_repeat(F.repeat(F.col("event_type"), size.cast("int")), n.cast("int"))
+    k = F.col("event_id")
+    lists = {name: logged(k % (most + 3 + i), k % (longest // 4 + 2)) for i, (name, (most, longest)) in enumerate(FILTER_BOUNDS.items()) if name != "workModes"}
+    modes = F.slice(F.array(*map(F.lit, ("remote", "hybrid", "onsite", "remote", "unknown"))), (k % 5 + 1).cast("int"), (k % 4).cast("int"))
+    requests = e.select("event_id", modes.alias("workModes"), *(F.when(k % 11 != 0, x).alias(n) for n, x in lists.items()))
+    return contracts.validate_contract(requests, "event_id", contracts.filter_rules()).groupBy("rule").agg(F.count(F.lit(1)).alias("requests"), F.sum("event_id").alias("ids"))
+
+
 def _facet_sql():
     parts = []
     for facet, column, n in FACETS:
@@ -83,7 +94,7 @@ def _facet_sql():
 _PAGE = """SELECT "jobId", "annualMax", strftime("postedAt", '%Y-%m-%d') AS posted FROM jobs"""
 _RULES_SQL = "[CASE WHEN NOT coalesce(o_totalprice >= 1000, false) THEN 'price' END, CASE WHEN NOT coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM'), false) THEN 'priority' END, CASE WHEN NOT coalesce(year(o_orderdate) >= 1996, false) THEN 'recent' END, CASE WHEN NOT coalesce(o_orderstatus IN ('O', 'F'), false) THEN 'status' END]"
 
-QUERIES = {f.__name__: f for f in (f1_filter_jobs, a1_facet_counts, a2_freshness, t1_ranked_page, t2_next_page, a5_disclosed_pay_report, r1_dedupe_latest, n8_validate_contract, f2_validate_requests)}
+QUERIES = {f.__name__: f for f in (f1_filter_jobs, a1_facet_counts, a2_freshness, t1_ranked_page, t2_next_page, a5_disclosed_pay_report, r1_dedupe_latest, n8_validate_contract, f2_validate_requests, f2_validate_filters)}
 SQL = {
     "f1_filter_jobs": f"""WITH {ORDERS_WIDE_SQL} SELECT "jobId", "workMode", seniority, array_to_string(skills, ',') AS skills, "annualMax" FROM jobs WHERE {_ALL}""",
     "a1_facet_counts": _facet_sql(),
@@ -93,6 +104,10 @@ SQL = {
     "a5_disclosed_pay_report": f"""WITH {ORDERS_WIDE_SQL} SELECT "companyName", count(*) AS jobs, min("annualMax") AS lowest, max("annualMax") AS highest FROM jobs WHERE status = 'active' AND lower("titleFamily") = 'building' AND "annualMax" IS NOT NULL GROUP BY 1""",
     "r1_dedupe_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "n8_validate_contract": f"SELECT rule, count(*) AS violations FROM (SELECT unnest({_RULES_SQL}) AS rule FROM orders) WHERE rule IS NOT NULL GROUP BY rule",
+    "f2_validate_filters": "SELECT rule, count(*) AS requests, sum(event_id)::BIGINT AS ids FROM (" + " UNION ALL ".join(
+        ["SELECT 'workModes' AS rule, event_id FROM events WHERE len(list_filter(['remote', 'hybrid', 'onsite', 'remote', 'unknown'][(event_id % 5 + 1):(event_id % 5 + event_id % 4)], lambda x: x = 'unknown')) > 0"]
+        + [f"SELECT '{name}', event_id FROM events WHERE event_id % 11 <> 0 AND event_id % {most + 3 + i} > 0 AND (event_id % {most + 3 + i} > {most} OR length(event_type) * (event_id % {longest // 4 + 2}) NOT BETWEEN 1 AND {longest})" for i, (name, (most, longest)) in enumerate(FILTER_BOUNDS.items()) if name != "workModes"]
+    ) + ") GROUP BY rule",
     "f2_validate_requests": """
 SELECT event_id, array_to_string(f, ',') AS failed FROM (
   SELECT event_id, list_filter([

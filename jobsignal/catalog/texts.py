@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lexical, planned, search
+from ..operators import lexical, planned, search, sketches, vectors
 from ..plans import search_plan
 from ..plans.jobs_view import NOW, ORDERS_WIDE_SQL, orders_wide, table
 from ..plans.requests import SearchRequest
@@ -30,12 +30,20 @@ def _docs(spark, d):
 FIELDS = ["title", "source", "body"]
 
 
+def _saved(spark, d, tables, fields, make):
+    """The index of what ``make`` gives, made at the first search of a state of the tables and read by later ones."""
+    state = [d, *fields]
+    for name in tables:
+        path, fs = hadoop_path(spark, f"{d}/{name}.parquet")
+        facts = fs.getContentSummary(path)
+        state.append(f"{name} {facts.getLength()} {facts.getFileCount()} {fs.getFileStatus(path).getModificationTime()}")
+    where = f"{folder(spark)}/index/{hashlib.sha256(' '.join(state).encode()).hexdigest()[:24]}"
+    done, fs = hadoop_path(spark, f"{where}/deletions/_SUCCESS")  # the last of its tables
+    return lexical.Index.at(spark, where) if fs.exists(done) else make().saved(where)
+
+
 def _index(spark, d):
-    """The index of the documents, made at the first search of a state of the table and read by later ones."""
-    path, fs = hadoop_path(spark, f"{d}/documents.parquet")
-    facts = fs.getContentSummary(path)
-    state = f"{d} {facts.getLength()} {facts.getFileCount()} {fs.getFileStatus(path).getModificationTime()}"
-    return lexical.Index.of(_docs(spark, d), "doc_id", FIELDS).saved(f"{folder(spark)}/index/{hashlib.sha256(state.encode()).hexdigest()[:24]}")
+    return _saved(spark, d, ["documents"], FIELDS, lambda: lexical.Index.of(_docs(spark, d), "doc_id", FIELDS))
 
 
 def x1_corpus_stats(spark, d):
@@ -65,7 +73,7 @@ def x2_empty_query(spark, d):
 
 
 def x2_fuzzy_expansions(spark, d):
-    return lexical.expansions(_index(spark, d).terms, ["thant", "of", "rewhthat"]).select("field", "q", "term", "df", "edits")
+    return lexical.expansions(_index(spark, d).deletions, ["thant", "of", "rewhthat"]).select("field", "q", "term", "df", "edits")
 
 
 def _vector(spark, d):
@@ -77,6 +85,23 @@ def x3_hybrid_search(spark, d):
     return _rounded(lexical.hybrid_search(lex, table(spark, d, "embeddings"), _vector(spark, d), 100)[0])
 
 
+def _cells(spark, d):
+    e = table(spark, d, "embeddings")
+    return vectors.Cells.of(e, "vec_id", "embedding", 16), e.where("vec_id % 20 = 0")
+
+
+def x3_many_queries(spark, d):
+    """The ten nearest vectors of every twentieth one, out of all cells."""
+    cells, queries = _cells(spark, d)
+    return cells.search(queries, "vec_id", "embedding", 10).select("query_id", "rank", "id", F.round("similarity", 5).alias("similarity"))
+
+
+def x3_probed_queries(spark, d):
+    """The same out of three quarters of the cells: vectors that hardly cluster need that many for nine in ten."""
+    cells, queries = _cells(spark, d)
+    return cells.search(queries, "vec_id", "embedding", 10, 12).select("query_id", "rank", "id")
+
+
 def d4_fuse_rrf(spark, d):
     near = lexical.cosine(table(spark, d, "embeddings"), _vector(spark, d)).orderBy(F.desc("similarity"), "doc").limit(50)
     by = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "doc"))  # noqa: E731  at most 50 rows
@@ -94,8 +119,10 @@ def x4_highlight(spark, d):
 
 def _x5(spark, d, mode="lexical"):
     request = SearchRequest(query="promo", filters={"workModes": ("O",)}, posted_within_days=365, sort="newest", page_size=20)
-    jobs = orders_wide(spark, d).withColumn("title", F.concat("titleFamily", F.lit(" at "), "companyName")).withColumn("searchText", F.concat_ws(" ", "titleFamily", "companyName", F.array_join("industries", " "))).withColumn("description", F.col("searchText"))
-    index = lexical.Index.of(jobs, "jobId", ["titleFamily", "searchText"])
+    jobs = orders_wide(spark, d).withColumn("title", F.concat("titleFamily", F.lit(" at "), "companyName")).withColumn("searchText", F.concat_ws(" ", "titleFamily", "companyName", F.array_join("industries", " ")))
+    jobs = jobs.withColumns({"description": F.col("searchText"), "location": F.col("companyName"), "requirements": F.array_join("employmentType", " ")})
+    fields = list(lexical.BOOSTS)
+    index = _saved(spark, d, ["orders", "customer", "nation", "lineitem", "part"], fields, lambda: lexical.Index.of(jobs, "jobId", fields))
     return search_plan.run_search(jobs, index, request, NOW, mode=mode)
 
 
@@ -210,12 +237,29 @@ def d8_bucket_facets(spark, d):
     return planned.bucket_facets(orders_wide(spark, d), "annualMax", "postedAt", NOW)
 
 
+_RANGES = (("year", "1996-01-01", "1996-12-31"), ("years", "1996-06-01", "2000-02-15"), ("all", "1990-01-01", "2010-01-01"))
+_SHARES = (0.1, 0.5, 0.9)
+
+
+def d8_range_sketches(spark, d):
+    """Pay quantiles and companies of ranges of days from daily sketches, with whether each keeps its stated error."""
+    o = table(spark, d, "orders").select(F.col("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("pay"), F.col("o_custkey").cast("string").alias("company"))
+    kept = stored(sketches.daily_sketches(o, "day", "pay", "company"), "daily-sketches")
+    ranges = spark.createDataFrame(_RANGES, "range string, first string, last string").select("range", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"))
+    told = stored(sketches.range_facets(kept, ranges, list(_SHARES)), "range-facets")
+    rows = o.withColumn("day", F.col("day").cast("date")).join(F.broadcast(ranges), F.col("day").between(F.col("first"), F.col("last"))).join(F.broadcast(told.select("range", F.col("quantiles").alias("q"))), "range")
+    exact = rows.groupBy("range").agg(F.count_distinct("company").alias("exact"), *(F.avg((F.col("pay") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(len(_SHARES))))
+    j = told.join(exact.hint("merge"), "range")
+    fine = [F.abs(F.col(f"r{i}") - s) <= 0.01 for i, s in enumerate(_SHARES)]
+    return j.select("range", "jobs", "paid", (fine[0] & fine[1] & fine[2]).alias("ranks_kept"), (F.abs(F.col("companies") - F.col("exact")) <= 0.03 * F.col("exact")).alias("companies_kept"))
+
+
 def d8_nation_distances(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 5.0 - 60).alias("lat"), (F.col("n_nationkey") * 13.0 - 160).alias("lon"))
     return n.select("n_nationkey", F.round(planned.haversine_km(F.col("lat"), F.col("lon"), F.lit(30.27), F.lit(-97.74)), 3).alias("km"))
 
 
-QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_exact_search, x2_empty_query, x2_fuzzy_expansions, x3_hybrid_search, x4_highlight, x5_search, x5_search_summary, x5_search_degraded, x5_search_facets, x5_search_highlights, t2_cursor_pages, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d5_stream_funnel, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_nation_distances)}
+QUERIES = {f.__name__: f for f in (x1_corpus_stats, x1_frequent_terms, x2_lexical_search, x2_exact_search, x2_empty_query, x2_fuzzy_expansions, x3_hybrid_search, x3_many_queries, x3_probed_queries, x4_highlight, x5_search, x5_search_summary, x5_search_degraded, x5_search_facets, x5_search_highlights, t2_cursor_pages, s2_stream_postings, d1_detect_changes, d2_lifecycle, d3_resolve_duplicates, d3_similar_duplicates, d4_fuse_rrf, d5_funnel_metrics, d5_stream_funnel, d6_affinity_scores, d7_composite_score, d8_bucket_facets, d8_range_sketches, d8_nation_distances)}
 
 _TOKENS = r"""
 f AS (SELECT doc_id, 'title' AS field, split_part(text, chr(10), 1) AS t FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'body', text FROM documents),
@@ -253,6 +297,15 @@ SELECT field, q, term, df, damerau_levenshtein(term, word)::INT AS edits FROM te
     "x3_hybrid_search": f"WITH {_LEX}, {_SIM}, near AS (SELECT * FROM sim ORDER BY similarity DESC, doc LIMIT 100) SELECT coalesce(lex.doc, near.doc) AS doc, round(coalesce(score, 0) + 1.5 * coalesce(similarity, 0), 5) AS score FROM lex FULL JOIN near ON lex.doc = near.doc",
     "d4_fuse_rrf": f"""WITH {_SIM}, a AS (SELECT doc, row_number() OVER (ORDER BY similarity DESC, doc) AS rank FROM sim QUALIFY rank <= 50), b AS (SELECT doc_id AS doc, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50)
 SELECT coalesce(a.doc, b.doc) AS doc, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 5) AS score FROM a FULL JOIN b ON a.doc = b.doc""",
+    "x3_many_queries": """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS s FROM e q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INT AS rank, id, round(s, 5) AS similarity FROM p QUALIFY rank <= 10""",
+    "x4_highlight": r"""
+WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN contains(text, chr(10)) THEN text[length(split_part(text, chr(10), 1)) + 2:] ELSE '' END AS body FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, regexp_matches(title, '(?i)(^|[^\p{L}\p{N}])(the|that)([^\p{L}\p{N}]|$)')::INT
+  + least(2, len(list_filter(regexp_extract_all(body, '(?s)\S.{0,179}(?:\s|$)|\S{180,}'), lambda x: regexp_matches(x, '(?i)(^|[^\p{L}\p{N}])(the|that)([^\p{L}\p{N}]|$)')))) AS parts FROM d)
+SELECT doc_id, parts::INT AS parts, true AS marked FROM c WHERE parts > 0""",
     "x5_search": f"""WITH {_X5} SELECT "jobId", strftime("postedAt", '%Y-%m-%d') AS posted FROM hit ORDER BY "postedAt" DESC NULLS LAST, "jobId" LIMIT 20""",
     "x5_search_summary": f"""WITH {_X5} SELECT count(*) AS total, strftime(max("collectedAt"), '%Y-%m-%d %H:%M:%S') AS freshness, false AS degraded FROM hit""",
     "x5_search_degraded": f"""WITH {_X5} SELECT "jobId", true AS degraded FROM hit ORDER BY "postedAt" DESC NULLS LAST, "jobId" LIMIT 20""",
@@ -298,3 +351,4 @@ SELECT facet, CASE WHEN rn <= 5 THEN bucket ELSE '(others)' END AS bucket, sum(n
     "d8_nation_distances": """SELECT n_nationkey, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(30.27 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(30.27)) * pow(sin(radians(-97.74 - lon) / 2), 2))), 3) AS km FROM (SELECT n_nationkey, n_nationkey * 5.0::DOUBLE - 60 AS lat, n_nationkey * 13.0::DOUBLE - 160 AS lon FROM nation)""",
 }
 SQL["d5_stream_funnel"] = SQL["d5_funnel_metrics"]
+SQL["d8_range_sketches"] = "SELECT range, count(*) AS jobs, count(*) FILTER (o_orderkey % 10 <> 0) AS paid, true AS ranks_kept, true AS companies_kept FROM orders JOIN (VALUES " + ", ".join(f"('{r}', DATE '{a}', DATE '{b}')" for r, a, b in _RANGES) + ") AS t(range, a, b) ON o_orderdate::DATE BETWEEN a AND b GROUP BY range"

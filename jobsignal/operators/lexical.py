@@ -40,33 +40,36 @@ def _tag(name: str):
 
 @dataclass
 class Index:
-    """What a search reads: postings with their field's length, terms, mean lengths by field, and every document."""
+    """What a search reads: postings with their field's length, terms, mean lengths by field, every document, and the
+    text fields' terms by each string that is left of them without one or two characters."""
 
     postings: DataFrame
     terms: DataFrame
     sizes: DataFrame
     docs: DataFrame
+    deletions: DataFrame
 
     @staticmethod
     def of(docs: DataFrame, key: str, fields: list[str]) -> Index:
         postings, lengths, terms = corpus_stats(docs, key, fields)
         sizes = lengths.groupBy("field").agg(F.avg("length").alias("mean"), F.count(F.lit(1)).alias("n"))
-        return Index(postings.join(lengths.hint("merge"), ["field", "doc"]), terms, sizes, docs.select(F.col(key).alias("doc")))
+        return Index(postings.join(lengths.hint("merge"), ["field", "doc"]), terms, sizes, docs.select(F.col(key).alias("doc")), deletion_table(terms))
 
     def saved(self, folder: str) -> Index:
-        """The index as tables under ``folder``, postings and terms sorted by term, so that a search reads the row groups
-        of its terms only; tables that are there already are read as they are."""
+        """The index as tables under ``folder``, postings and terms sorted by term, deletions by what is left, so that a
+        search reads the row groups of its terms only; tables that are there already are read as they are."""
         spark = self.docs.sparkSession
         for name, df in vars(self).items():
             done, fs = hadoop_path(spark, f"{folder}/{name}/_SUCCESS")
             if not fs.exists(done):
-                df = df.repartitionByRange("term", "doc").sortWithinPartitions("term") if name == "postings" else df.repartitionByRange("term").sortWithinPartitions("term") if name == "terms" else df
+                by = {"postings": ("term", "doc"), "terms": ("term",), "deletions": ("left", "term")}.get(name)
+                df = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
                 df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return Index.at(spark, folder)
 
     @staticmethod
     def at(spark: SparkSession, folder: str) -> Index:
-        return Index(*(spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms", "sizes", "docs")))
+        return Index(*(spark.read.parquet(f"{folder}/{n}") for n in ("postings", "terms", "sizes", "docs", "deletions")))
 
 
 def swaps(word: str) -> list[str]:
@@ -85,39 +88,77 @@ def edits(term, word: str, k: int):
     return F.least(*tries) if len(tries) > 1 else tries[0]
 
 
-def expansions(terms: DataFrame, query_terms: list[str]) -> DataFrame:
-    """(field, q, term, df, edits): each query term's nearest vocabulary terms, at most EXPANSIONS a field."""
+def _most_edits(length: int) -> int:
+    return 0 if length <= 2 else 1 if length <= 5 else 2
+
+
+def deletion_table(terms: DataFrame) -> DataFrame:
+    """(left, field, term, df): each text term under itself and what is left of it without one character, or two if it has
+    four or more. Words within one or two edits of a term share one of them, so only those need be verified."""
+    less = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    one = terms.where(~F.col("field").isin(*KEYWORD_FIELDS)).withColumn("_one", F.array_distinct(less(F.col("term"))))
+    none = F.array().cast("array<string>")
+    two = F.when(F.length("term") >= 4, F.flatten(F.transform("_one", less))).otherwise(none)
+    every = F.array_distinct(F.concat(F.array("term"), F.when(F.length("term") >= 2, F.col("_one")).otherwise(none), two))
+    return one.select(F.explode(every).alias("left"), "field", "term", "df")
+
+
+def _left_of(word: str, k: int) -> list[str]:
+    """The word and what is left of it without up to k characters."""
+    found = level = {word}
+    for _ in range(k):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
+        found = found | level
+    return sorted(found)
+
+
+def expansions(deletions: DataFrame, query_terms: list[str]) -> DataFrame:
+    """(field, q, term, df, edits): each query term's nearest vocabulary terms, at most EXPANSIONS a field; the terms are
+    probed by what is left of the query's, then verified."""
     out = None
     for i, q in enumerate(query_terms):
-        k = 0 if len(q) <= 2 else 1 if len(q) <= 5 else 2
-        near = terms.where(F.length("term").between(len(q) - k, len(q) + k)).withColumn("edits", edits(F.col("term"), q, k)).where("edits is not null").withColumn("q", F.lit(i))
+        k = _most_edits(len(q))
+        probed = deletions.where(F.col("left").isin(*_left_of(q, k))).select("field", "term", "df").distinct()
+        near = probed.withColumn("edits", edits(F.col("term"), q, k)).where("edits is not null").withColumn("q", F.lit(i))
         out = near if out is None else out.unionByName(near)
     rank = F.row_number().over(Window.partitionBy("field", "q").orderBy("edits", F.desc("df"), "term"))
     return out.withColumn("_r", rank).where(F.col("_r") <= EXPANSIONS).drop("_r")
 
 
-def lexical_search(index: Index, query: str, boosts: dict[str, float] | None = None, fuzzy: bool = True) -> DataFrame:
-    """(doc, score): documents with every query term in one field, by the best field's boosted BM25, plus the title
-    phrase. A keyword field matches the whole query. An empty query is not a search: it matches every document with 0.
+def said(query: str) -> list[str]:
+    """A query's words in order."""
+    return [w for w in re.split(r"[\W_]+", query.lower()) if w]
 
-    The query's terms and their expansions (at most EXPANSIONS for each word and field) are looked up first, so that the
-    postings are read for them alone.
-    """
-    boosts = boosts or BOOSTS
-    said = [w for w in re.split(r"[\W_]+", query.lower()) if w]
-    words = list(dict.fromkeys(said))
+
+def found_terms(index: Index, query: str, fuzzy: bool = True) -> list:
+    """Rows (field, term, df, q) of the vocabulary that a query's words stand for, at most EXPANSIONS for each word and
+    field; q is -1 for keywords, which the whole query stands for."""
+    words = list(dict.fromkeys(said(query)))
     if not words:
-        return index.docs.select("doc", F.lit(0.0).alias("score"))
+        return []
     terms, text = index.terms, ~F.col("field").isin(*KEYWORD_FIELDS)
     if fuzzy:
-        found = expansions(terms.where(text), words)
+        found = expansions(index.deletions, words)
     else:
         found = terms.where(text & F.col("term").isin(*words)).withColumn("q", F.array_position(F.array(*map(F.lit, words)), F.col("term")) - 1)
     whole = terms.where(~text & (F.col("term") == query.lower().strip())).withColumn("q", F.lit(-1))
-    found = found.select("field", "term", "df", F.col("q").cast("long").alias("q")).unionByName(whole.select("field", "term", "df", F.col("q").cast("long").alias("q")))
-    rows = found.collect()
-    few = terms.sparkSession.createDataFrame([tuple(r) for r in rows], found.schema)
-    postings = index.postings.where(F.col("term").isin(*sorted({r.term for r in rows} | set(said))))
+    return found.select("field", "term", "df", F.col("q").cast("long").alias("q")).unionByName(whole.select("field", "term", "df", F.col("q").cast("long").alias("q"))).collect()
+
+
+def lexical_search(index: Index, query: str, boosts: dict[str, float] | None = None, fuzzy: bool = True, found: list | None = None) -> DataFrame:
+    """(doc, score): documents with every query term in one field, by the best field's boosted BM25, plus the title
+    phrase. A keyword field matches the whole query. An empty query is not a search: it matches every document with 0.
+
+    The query's terms and their expansions are looked up first, or given as ``found``, so that the postings are read for
+    them alone.
+    """
+    boosts, asked = boosts or BOOSTS, said(query)
+    words = list(dict.fromkeys(asked))
+    if not words:
+        return index.docs.select("doc", F.lit(0.0).alias("score"))
+    rows = found_terms(index, query, fuzzy) if found is None else found
+    few = index.terms.sparkSession.createDataFrame([tuple(r) for r in rows], "field string, term string, df long, q long")
+    postings = index.postings.where(F.col("term").isin(*sorted({r.term for r in rows} | set(asked))))
     hit = postings.join(F.broadcast(few), ["field", "term"]).join(F.broadcast(index.sizes), "field")  # both bounded: expansions, one row per field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -126,7 +167,7 @@ def lexical_search(index: Index, query: str, boosts: dict[str, float] | None = N
     boost = F.element_at(F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv)), F.col("field"))
     full = per_field.where((F.col("terms") == len(words)) | (F.col("least") == -1)).where(F.col("field").isin(*boosts))
     best = full.groupBy("doc").agg(F.max(boost * F.col("s")).alias("score"))
-    phrase = phrase_hits(postings, "title", said)
+    phrase = phrase_hits(postings, "title", asked)
     j = best.join(phrase.withColumn("_p", F.lit(PHRASE_BOOST)).hint("merge"), "doc", "full")
     return j.select("doc", (F.coalesce("score", F.lit(0.0)) + F.coalesce("_p", F.lit(0.0))).alias("score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-#: Most values of a filter, and most characters of each.
+# Most values of a filter, and most characters of each.
 FILTER_BOUNDS = {"workModes": (3, 10), "seniority": (20, 80), "titleFamilies": (20, 120), "skills": (30, 80), "companies": (50, 160), "employmentTypes": (20, 80), "industries": (20, 120)}
 #: Facets in output order: request field, column of the job table, values listed.
 FACETS = (

@@ -22,21 +22,24 @@ class SearchResult:
 
 
 def run_search(jobs: DataFrame, index: lexical.Index, request: SearchRequest, now: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, mode: str = "lexical", after: dict | None = None) -> SearchResult:
-    """``after`` is a decoded cursor. A hybrid search without vectors runs lexically from the first page, degraded."""
-    base, scope = search.filter_jobs(jobs, request, now), None
-    degraded = False
+    """``after`` is a decoded cursor. A hybrid search without vectors runs lexically from the first page, degraded.
+
+    With a query, the jobs that it finds are joined with their scores once, in a stored table that items, facets, totals
+    and highlights read. Highlights mark the terms that matched, those within some edits of the query's words too.
+    """
+    degraded, words = False, []
     query = request.query.strip()
     if query:
-        hits = lexical.lexical_search(index, query)
+        found = lexical.found_terms(index, query)
+        hits = lexical.lexical_search(index, query, found=found)
         if mode == "hybrid":
             hits, degraded = lexical.hybrid_search(hits, vectors, query_vector, request.page_size * 10)
             after = None if degraded else after
-        hits = stored(hits.withColumnRenamed("doc", "jobId"), "hits")  # items, facets and totals read it
-        scope = hits.select("jobId").hint("merge")
-        base = base.join(hits.hint("merge"), "jobId")
+        jobs = stored(jobs.join(hits.withColumnRenamed("doc", "jobId").hint("merge"), "jobId"), "found-jobs")
+        words = sorted({r.term for r in found if r.field not in lexical.KEYWORD_FIELDS} | set(lexical.said(query)))
+    base = search.filter_jobs(jobs, request, now)
     items = search.next_page(base, request.sort, after, request.page_size, bool(query))
     summary = base.agg(F.count(F.lit(1)).alias("total"), F.max("collectedAt").alias("freshness")).withColumn("degraded", F.lit(degraded))
-    words = [w for w in query.lower().split() if w]
     texts = [c for c in ("description", "requirements") if c in jobs.columns]
     marks = lexical.highlight(items, "jobId", words, "title", tuple(texts)) if "title" in jobs.columns else items.select("jobId", F.array().cast("array<string>").alias("highlights"))
-    return SearchResult(items, search.facet_counts(jobs, request, now, scope), summary, marks, degraded)
+    return SearchResult(items, search.facet_counts(jobs, request, now), summary, marks, degraded)

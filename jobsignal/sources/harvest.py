@@ -6,35 +6,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.variants import field, is_kind, items, string
+from ..plans.stored import stored
 
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
 _CANONICAL = r"(?i)<link[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*href\s*=\s*[\"']([^\"']+)[\"']"
-#: Array, graph and array again: the nesting that is followed.
-LEVELS = 3
 
 
-def _open(nodes: DataFrame, keep: list[str]) -> DataFrame:
-    """One level down: elements of arrays and of @graph, beside the node itself."""
-    node = F.col("node")
+def _walked(nodes: DataFrame, inner, keep) -> DataFrame:
+    """nodes (..., path, node) with all that lie below them, to any depth: a stored table a level, until none is left.
+
+    ``inner`` gives a node's children, and ``keep`` says which rows are wanted. (A recursive query would do the same under
+    a bound on its rows, and keep its levels in executors.)
+    """
+    names = [c for c in nodes.columns if c not in ("path", "node")]
+    found = nodes.where("false")
+    while True:
+        level = stored(nodes.withColumn("_inner", inner(F.col("node"))).withColumn("_kept", keep), "json-level")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level.where("_kept").select(*nodes.columns))
+        nodes = level.where(F.size("_inner") > 0).select(*names, "path", F.posexplode("_inner").alias("_p", "node")).select(*names, F.concat("path", F.array("_p")).alias("path"), "node")
+
+
+def _listed(node: Column) -> Column:
+    """Elements of an array, or of a record's @graph."""
     graph = field(node, "@graph")
-    inner = F.when(is_kind(node, "ARRAY"), items(node)).otherwise(F.concat(F.array(node), F.when(graph.isNotNull(), items(graph)).otherwise(F.array().cast("array<variant>"))))
-    return nodes.select(*keep, F.posexplode(inner).alias("_p", "_n")).select(*keep[:-1], F.concat("path", F.array("_p")).alias("path"), F.col("_n").alias("node"))
+    as_array = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    return F.when(is_kind(node, "ARRAY"), as_array(node)).when(is_kind(graph, "ARRAY"), as_array(graph)).otherwise(F.array().cast("array<variant>"))
 
 
 def harvest_jsonld(pages: DataFrame, page_url: str = "url", html: str = "html") -> DataFrame:
     """(page_url, canonicalUrl, script_index, jobPosting JSON): each page's JobPosting nodes, each identity once.
 
-    Scripts that do not parse are skipped. Nodes are found through arrays and @graph down to three levels.
+    Scripts that do not parse are skipped. Nodes are found through arrays and @graph to any depth.
     """
-    keep = ["page_url", "canonicalUrl", "script_index", "path"]
     canonical = F.nullif(F.regexp_extract(html, _CANONICAL, 1), F.lit(""))
     scripts = pages.where(F.col(html).contains("ld+json")).select(F.col(page_url).alias("page_url"), F.coalesce(canonical, F.col(page_url)).alias("canonicalUrl"), F.posexplode(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1))).alias("script_index", "_body"))
     nodes = scripts.select("page_url", "canonicalUrl", "script_index", F.array().cast("array<int>").alias("path"), F.try_parse_json("_body").alias("node")).where("node IS NOT NULL")
-    for _ in range(LEVELS):
-        nodes = _open(nodes, keep)
     kind = field(F.col("node"), "@type")
-    is_posting = F.exists(F.transform(items(kind), string), lambda t: F.coalesce(t == "JobPosting", F.lit(False)))
-    found = nodes.where(is_posting)
+    is_posting = F.coalesce(F.exists(F.transform(items(kind), string), lambda t: F.coalesce(t == "JobPosting", F.lit(False))), F.lit(False))
+    found = _walked(nodes, _listed, is_posting)
     part = lambda name: F.coalesce(F.to_json(F.struct(field(F.col("node"), name).alias("x"))), F.lit(""))
     identity = F.sha2(F.concat_ws("\u0001", part("url"), part("identifier"), part("title"), part("datePosted")), 256)
     first = F.row_number().over(Window.partitionBy("page_url", "_identity").orderBy("script_index", "path"))
@@ -62,14 +73,11 @@ def _children(node: Column) -> Column:
     return F.when(is_kind(node, "ARRAY"), items(node)).when(is_kind(node, "OBJECT"), F.map_values(as_map)).otherwise(F.array().cast("array<variant>"))
 
 
-def discover_embedded_jobs(pages: DataFrame, root: str, page_url: str = "url", html: str = "html", name: str = "__appData", depth: int = 6) -> DataFrame:
-    """(page_url, url): a detail URL for every object with a UUID id and a title within ``depth`` levels of the data."""
+def discover_embedded_jobs(pages: DataFrame, root: str, page_url: str = "url", html: str = "html", name: str = "__appData") -> DataFrame:
+    """(page_url, url): a detail URL for every object with a UUID id and a title, at any depth of the data."""
     body = F.regexp_extract(html, rf"(?s){name}\s*=\s*(\{{.*?\}})\s*;?\s*</script", 1)
-    level = pages.where(F.col(html).contains(name)).select(F.col(page_url).alias("page_url"), F.try_parse_json(body).alias("node")).where("node IS NOT NULL")
-    found = None
-    for _ in range(depth):
-        here = level.select("page_url", string(field(F.col("node"), "id")).alias("id"), string(field(F.col("node"), "title")).alias("title"))
-        here = here.where(F.col("id").rlike(UUID) & F.col("title").isNotNull()).select("page_url", F.concat(F.lit(root.rstrip("/") + "/"), "id").alias("url"))
-        found = here if found is None else found.unionByName(here)
-        level = level.select("page_url", F.explode(_children(F.col("node"))).alias("node"))
-    return found.distinct()
+    data = pages.where(F.col(html).contains(name)).select(F.col(page_url).alias("page_url"), F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("node")).where("node IS NOT NULL")
+    node = F.col("node")
+    job = F.coalesce(string(field(node, "id")).rlike(UUID), F.lit(False)) & string(field(node, "title")).isNotNull()
+    found = _walked(data, lambda x: F.filter(_children(x), lambda c: is_kind(c, "ARRAY") | is_kind(c, "OBJECT")), job)
+    return found.select("page_url", F.concat(F.lit(root.rstrip("/") + "/"), string(field(node, "id"))).alias("url")).distinct()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.stored import folder
+
 
 def scan_postings(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
     """A run's items without all-null rows, with the file they come from. Splitting files into tasks replaces paging."""
@@ -40,6 +43,16 @@ def upsert_postings(current: DataFrame, batch: DataFrame, key: str, order: str,
     return both.select(key, *merged), failures, counts
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """df as a table in buckets of its key, sorted by it, so that joins and groups on the key exchange and sort the other
+    side alone. As many buckets as shuffles have partitions by default: with fewer, Spark would deal the table anew."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{folder(spark)}/bucketed/{unique}").saveAsTable(unique)
+    return spark.table(unique)
+
+
 def plan_runs(runs: DataFrame, ledger: DataFrame, force: bool = False) -> DataFrame:
     """Runs that still need work: those without a complete ledger row, or all of them when forced."""
     return runs if force else runs.join(ledger.where("status = 'complete'").select("run_id").hint("merge"), "run_id", "left_anti")

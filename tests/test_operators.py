@@ -9,10 +9,10 @@ import regex
 from pyspark.sql import functions as F
 
 from jobsignal.functions import urls
-from jobsignal.operators import contracts, lexical, lookups, normalize, planned, salary, search
+from jobsignal.operators import contracts, lexical, lookups, normalize, planned, salary, search, vectors
 from jobsignal.plans import components, stored
 from jobsignal.plans.requests import SearchRequest
-from jobsignal.sources import store
+from jobsignal.sources import harvest, store
 
 NOW = "2026-07-31 00:00:00"
 
@@ -193,3 +193,39 @@ def test_latest_row(spark):
 def test_columns_computed_once(spark):
     df = stored.once(spark.range(3), a=F.col("id") + 1, b=F.upper(F.lit("x")))
     assert [tuple(r) for r in df.where("a > 1").collect()] == [(1, 2, "X"), (2, 3, "X")]
+
+
+def test_bucketed_side_is_not_exchanged(spark):
+    current = spark.range(1000).select("id", F.lit("a").alias("v"))
+    batch = spark.range(500, 1500).select("id", F.lit("b").alias("v"), F.col("id").alias("at"))
+    kept = store.bucketed(current, "kept_rows", "id")
+    out = store.upsert_postings(kept, batch, "id", "at")[0]
+    assert {r.v: r["count"] for r in out.groupBy("v").count().collect()} == {"a": 500, "b": 1000}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_harvest_to_any_depth(spark):
+    job = {"@type": "JobPosting", "title": "Deep"}
+    node = job
+    for i in range(12):
+        node = [node] if i % 2 else {"@graph": [node, {"@type": "Thing"}]}
+    page = f'<script type="application/ld+json">{json.dumps(node)}</script><script type="application/ld+json">{json.dumps([job, {"@graph": {"@type": "JobPosting"}}])}</script>'
+    got = harvest.harvest_jsonld(spark.createDataFrame([("u", page), ("v", None), ("w", "ld+json")], "url string, html string")).collect()
+    assert [(r.page_url, r.script_index, json.loads(r.jobPosting)) for r in got] == [("u", 0, job)]
+    data = {"id": "0000000a-0000-4000-8000-000000000000", "title": "T"}
+    for _ in range(15):
+        data = {"x": [1, data, None]}
+    page = f"<script>window.__appData = {json.dumps(data)};</script>"
+    got = harvest.discover_embedded_jobs(spark.createDataFrame([("u", page)], "url string, html string"), "https://a.example.com/b/").collect()
+    assert [tuple(r) for r in got] == [("u", "https://a.example.com/b/0000000a-0000-4000-8000-000000000000")]
+
+
+def test_probed_cells_recall(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cells = vectors.Cells.of(e, "vec_id", "embedding", 16)
+    found = lambda probes: {(r.query_id, r.id) for r in cells.search(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10, probes).collect()}
+    exact, some = found(None), found(12)
+    assert len(exact & some) >= 0.9 * len(exact)
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, []), (5, [float("nan"), 1.0]), (6, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vectors.unit(odd, "vec_id", "embedding").collect()] == [(6, [0.6, 0.8])]

@@ -2,7 +2,11 @@
 
 import json
 
-from jobsignal.streaming import runs
+import pytest
+from pyspark.sql import functions as F
+
+from jobsignal.operators import applications, planned
+from jobsignal.streaming import apps, runs
 
 NOW = "2026-07-31 00:00:00"
 JOB = "jobId string, title string, sourceRunId string, contentHash string, description string"
@@ -80,3 +84,108 @@ def test_expired_run(spark, tmp_path):
     feed.put(("a", 1, 3), ("a", 2, 3))
     feed.drain("2026-07-01 03:00:00")
     assert feed.ledger()["a"] == ("complete", 3, 3, None)
+
+
+# applications and funnels
+
+
+def app_events(n, seed, apps=3):
+    import datetime
+    import random
+
+    rng = random.Random(seed)
+    names = [*applications.MOVES, "unknown", None]
+    start = datetime.datetime(2024, 1, 1)
+    return [(rng.choice([None, *range(apps)]), start + datetime.timedelta(minutes=rng.randrange(5000)), i, rng.choice(names)) for i in range(n)]
+
+
+EVENTS = "applicationId long, ts timestamp, seq long, action string"
+
+
+def plain_fold(events):
+    state, rejected = {}, []
+    for a, ts, seq, action in sorted(events, key=lambda e: (e[1], e[2])):
+        status, approved, updated, bad = state.get(a, ("saved", None, None, 0))
+        after, ok = applications.step(status, action)
+        if not ok:
+            rejected.append((a, seq, action, status))
+        moved = ok and after != status
+        state[a] = (after, ts if moved and after == "approved" else approved, ts if moved else updated, bad + (not ok))
+    return state, rejected
+
+
+@pytest.mark.parametrize("limits", [(1024, 1024), (4, 2)])
+def test_fold_in_chunks(spark, monkeypatch, limits):
+    monkeypatch.setattr(applications, "CHUNK", limits[0])
+    monkeypatch.setattr(applications, "FAN", limits[1])
+    events = app_events(300, 1)
+    state, rejected = applications.fold_applications(spark.createDataFrame(events, EVENTS).repartition(3))
+    want, bad = plain_fold(events)
+    assert {r.applicationId: (r.status, r.approvedAt, r.updatedAt, r.n_rejected) for r in state.collect()} == want
+    assert sorted((tuple(r)[:4] for r in rejected.collect()), key=lambda r: r[1]) == sorted(bad, key=lambda r: r[1])
+
+
+def test_one_long_application_is_spread(spark):
+    # a hundred thousand events of one application: more than one task folds them
+    events = spark.range(100_000, numPartitions=4).select(F.lit(1).alias("applicationId"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.element_at(F.array(*map(F.lit, applications.MOVES)), (F.col("id") % len(applications.MOVES) + 1).cast("int")).alias("action"))
+    state, _ = applications.fold_applications(events)
+    r = state.first()
+    status, bad = "saved", 0
+    moves = list(applications.MOVES)
+    for i in range(100_000):
+        status, ok = applications.step(status, moves[i % len(moves)])
+        bad += not ok
+    assert (r.status, r.n_rejected) == (status, bad)
+
+
+def files(spark, folder, parts, schema):
+    """A file for each part, in order of time."""
+    import time
+
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{i}")
+        time.sleep(0.05)
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_stream_in_event_time_order(spark, tmp_path):
+    import datetime
+    import random
+
+    events = [e for e in app_events(120, 7) if e[0] is not None]
+    shuffled = random.Random(1).sample(events, len(events))
+    end = (None, datetime.datetime(2024, 3, 1), 999, None)
+    stream = files(spark, f"file://{tmp_path}/in", [shuffled[:50], shuffled[50:], [end]], EVENTS)
+    rows = apps.drain(apps.stream_applications(stream, 5 * apps.DAY, 10 * apps.DAY), f"file://{tmp_path}/out", f"file://{tmp_path}/c").where("applicationId IS NOT NULL").collect()
+    want, bad = plain_fold(events)
+    last = {}
+    for r in sorted(rows, key=lambda r: (r.us, r.seq)):
+        last[r.applicationId] = r.status
+    assert len(rows) == len(events) and last == {a: s[0] for a, s in want.items()} and sum(not r.accepted for r in rows) == len(bad) and not any(r.late for r in rows)
+
+
+def test_late_events_are_listed(spark, tmp_path):
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, n)
+    parts = [[(1, day(10), 1, "package_ready")], [(1, day(20), 2, "approve")], [(1, day(9), 3, "request_approval")], [(1, day(21), 4, "request_approval")], [(None, day(31), 9, None)]]
+    stream = files(spark, f"file://{tmp_path}/in", parts, EVENTS)
+    rows = {r.seq: (r.status, r.accepted, r.late) for r in apps.drain(apps.stream_applications(stream, apps.DAY, 25 * apps.DAY), f"file://{tmp_path}/out", f"file://{tmp_path}/c").where("applicationId IS NOT NULL").collect()}
+    assert rows == {1: ("package_ready", True, False), 2: ("package_ready", False, False), 3: (rows[3][0], False, True), 4: ("awaiting_approval", True, False)}
+
+
+def test_funnel_of_streams(spark, tmp_path):
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    at = lambda: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=rng.randrange(500))
+    rows = [(rng.randrange(12), rng.randrange(3), rng.choice(["save", "undo", "draft"]), at()) for _ in range(150)]
+    schema = "user long, item long, kind string, ts timestamp"
+    end = [(None, None, "end", datetime.datetime(2024, 6, 1))]
+    legs = []
+    for kind, within in (("undo", "24 HOURS"), ("draft", "7 DAYS")):
+        stream = files(spark, f"file://{tmp_path}/{kind}-in", [rows[:70], rows[70:], end], schema)
+        legs.append(apps.drain(apps.interval_leg(stream, kind, within, "30 days"), f"file://{tmp_path}/{kind}", f"file://{tmp_path}/{kind}-c").where("user IS NOT NULL"))
+    batch = planned.funnel_metrics(spark.createDataFrame(rows, schema))
+    assert apps.funnel_of_legs(*legs).first() == batch.first()
