@@ -49,7 +49,7 @@ def _index(spark, d):
 def x1_corpus_stats(spark, d):
     _, lengths, terms = lexical.corpus_stats(_docs(spark, d), "doc_id", ["title", "source", "body"])
     t = terms.groupBy("field").agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.max("df").alias("most"))
-    return t.join(lengths.groupBy("field").agg(F.sum("length").alias("tokens")), "field")
+    return t.join(lengths.groupBy("field").agg(F.sum("length").alias("tokens")).hint("merge"), "field")
 
 
 def x1_frequent_terms(spark, d):
@@ -191,9 +191,13 @@ def d2_lifecycle(spark, d):
 
 
 def d3_resolve_duplicates(spark, d):
+    """Documents as postings with a source's own id (its length there), an apply URL (the squeezed text) and a fingerprint
+    (the set of its words): three legs, none of which implies another."""
     squeezed = F.lower(F.regexp_replace("text", r"\s+", " "))
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.encode("text", "utf-8")).alias("whole"), F.md5(F.encode(squeezed, "utf-8")).alias("squeezed"))
-    return planned.resolve_duplicates(docs, "doc_id", [["whole"], ["squeezed"]])
+    words = F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("text"), r"\s+"))), " ")
+    md5 = lambda c: F.md5(F.encode(c, "utf-8"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", md5(squeezed).alias("applyUrl"), md5(words).alias("fingerprint"))
+    return planned.resolve_duplicates(docs, "doc_id", [["source", "n_chars"], ["applyUrl"], ["fingerprint"]])
 
 
 def d3_similar_duplicates(spark, d):
@@ -213,10 +217,10 @@ def d5_stream_funnel(spark, d):
     kind = F.when(F.col("event_type") == "signup", "save").when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "view", "draft")
     e = e.select(F.col("user_id").alias("user"), (F.col("event_id") % 7).alias("item"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts")).where("kind IS NOT NULL")
     e = stored(e.repartition(3), "funnel-events")
-    end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(None).cast("long").alias("user"), F.lit(None).cast("long").alias("item"), F.lit("end").alias("kind"), "ts")
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("user"), F.lit(-1).cast("long").alias("item"), F.lit("end").alias("kind"), "ts")
     end.coalesce(1).write.mode("append").parquet(e.stored_path)
     stream = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(e.stored_path)
-    legs = [apps.drain(apps.interval_leg(stream(), kind, within, "40 days"), _work(spark, kind), _work(spark, f"{kind}-checkpoint")).where("user IS NOT NULL") for kind, within in (("undo", "24 HOURS"), ("draft", "7 DAYS"))]
+    legs = [apps.drain(apps.interval_leg(stream(), kind, within, "40 days"), _work(spark, kind), _work(spark, f"{kind}-checkpoint")).where("user >= 0") for kind, within in (("undo", "24 HOURS"), ("draft", "7 DAYS"))]
     return apps.funnel_of_legs(*legs)
 
 
@@ -328,8 +332,11 @@ g AS (SELECT k.user_id, r.seq, CASE WHEN s.user_id IS NULL THEN 1 ELSE 0 END AS
 w AS (SELECT user_id, sum(absent) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM g)
 SELECT k.user_id AS "jobId", CASE WHEN coalesce(two >= 2, false) OR exp THEN 'closed' WHEN seen < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 48 HOURS THEN 'stale' ELSE 'active' END AS state FROM k LEFT JOIN w ON w.user_id = k.user_id AND rn = 1""",
     "d3_resolve_duplicates": r"""
-WITH RECURSIVE n AS (SELECT doc_id, md5(text) AS w, md5(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents),
-e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.w = b.w UNION SELECT a.doc_id, b.doc_id FROM n a JOIN n b ON a.h = b.h),
+WITH RECURSIVE n AS (SELECT doc_id, source || ':' || n_chars AS i, md5(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS u, md5(array_to_string(list_sort(list_distinct(string_split_regex(lower(text), '\s+'))), ' ')) AS f FROM documents),
+k AS (SELECT doc_id, 'i' || i AS k FROM n UNION ALL SELECT doc_id, 'u' || u FROM n UNION ALL SELECT doc_id, 'f' || f FROM n),
+h AS (SELECT k, min(doc_id) AS hub FROM k WHERE k IS NOT NULL GROUP BY k),
+s AS (SELECT DISTINCT doc_id, hub FROM k JOIN h USING (k)),
+e AS (SELECT doc_id AS a, hub AS b FROM s UNION SELECT hub, doc_id FROM s),
 r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""",
     "d5_funnel_metrics": """

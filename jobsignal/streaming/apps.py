@@ -79,7 +79,8 @@ def stream_applications(events: DataFrame, delay: int = DAY, keep: int = 30 * DA
 def interval_leg(events: DataFrame, kind: str, within: str, delay: str) -> DataFrame:
     """events(user, item, kind, ts) -> (user, item, s, o): saves with each event of ``kind`` that follows within the
     interval, or one row with a null o if none does. Both sides' state goes when the watermark has passed the interval.
-    Events of kind ``end`` only move the watermark."""
+    Events of kind ``end`` only move the watermark. Their keys are not null, and are filtered from what the stream wrote: a
+    filter on the stream would be pushed below the watermarks, as is that for keys of the inner side."""
     saves = events.where("kind IN ('save', 'end')").select("user", "item", F.col("ts").alias("s")).withWatermark("s", delay)
     others = events.where(F.col("kind").isin(kind, "end")).select(F.col("user").alias("_u"), F.col("item").alias("_i"), F.col("ts").alias("o")).withWatermark("o", delay)
     return saves.join(others, F.expr(f"user = _u AND item = _i AND o >= s AND o <= s + INTERVAL {within}"), "leftOuter").select("user", "item", "s", "o")
