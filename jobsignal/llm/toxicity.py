@@ -34,31 +34,41 @@ FIT_DOCS, STEM = 20_000, 7
 #: Least lower bound of a vocabulary word's ratio, and standard errors below it; weight of the counterfactual and the plain penalty.
 LEAST_RATIO, ERRORS, FAIR, SHRINK = 1.5, 1.645, 1.0, 3e-4
 
-# Identity terms by language and group, and neutral sentences for plural nouns, single nouns and adjectives.
+# Identity terms by language, kind of word and group, and neutral sentences for each kind of word.
 IDENTITY = {
-    "en": (
-        ("women", "men"), ("woman", "man"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-        ("black", "white", "asian", "latino", "arab", "african", "european"), ("gay", "lesbian", "bisexual", "transgender", "straight", "heterosexual", "homosexual", "queer"),
-        ("immigrants", "refugees", "foreigners", "natives"), ("disabled", "blind", "deaf"),
-    ),
-    "fr": (
-        ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"), ("musulman", "chrétien", "juif", "bouddhiste", "athée"),
-        ("noir", "blanc", "asiatique", "arabe", "africain", "européen"), ("gai", "lesbienne", "bisexuel", "transgenre", "hétérosexuel"), ("immigrés", "réfugiés", "étrangers"), ("handicapé", "aveugle", "sourd"),
-    ),
-    "de": (
-        ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("muslimisch", "christlich", "jüdisch", "buddhistisch", "atheistisch"),
-        ("schwarz", "weiß", "asiatisch", "arabisch", "afrikanisch", "europäisch"), ("schwul", "lesbisch", "bisexuell", "heterosexuell"), ("einwanderer", "flüchtlinge", "ausländer"), ("behindert", "gehörlos"),
-    ),
-    "es": (
-        ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "budistas", "ateos"), ("musulmán", "cristiano", "judío", "budista", "ateo"),
-        ("negro", "asiático", "árabe", "africano", "europeo"), ("gay", "lesbiana", "bisexual", "heterosexual"), ("inmigrantes", "refugiados", "extranjeros"), ("discapacitado", "ciego", "sordo"),
-    ),
+    "en": {
+        "plural": (("women", "men"), ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("immigrants", "refugees", "foreigners", "natives")),
+        "noun": (("woman", "man"),),
+        "adjective": (
+            ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"), ("black", "white", "asian", "latino", "arab", "african", "european"),
+            ("gay", "lesbian", "bisexual", "transgender", "straight", "heterosexual", "homosexual", "queer"), ("disabled", "blind", "deaf"),
+        ),
+    },
+    "fr": {
+        "plural": (("femmes", "hommes"), ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"), ("immigrés", "réfugiés", "étrangers")),
+        "noun": (("femme", "homme"),),
+        "adjective": (
+            ("musulman", "chrétien", "juif", "bouddhiste", "athée"), ("noir", "blanc", "asiatique", "arabe", "africain", "européen"), ("gai", "lesbienne", "bisexuel", "transgenre", "hétérosexuel"), ("handicapé", "aveugle", "sourd"),
+        ),
+    },
+    "de": {
+        "plural": (("frauen", "männer"), ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("einwanderer", "flüchtlinge", "ausländer")),
+        "noun": (("frau", "mann"),),
+        "adjective": (
+            ("muslimisch", "christlich", "jüdisch", "buddhistisch", "atheistisch"), ("schwarz", "weiß", "asiatisch", "arabisch", "afrikanisch", "europäisch"), ("schwul", "lesbisch", "bisexuell", "heterosexuell"), ("behindert", "gehörlos"),
+        ),
+    },
+    "es": {
+        "plural": (("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos", "budistas", "ateos"), ("inmigrantes", "refugiados", "extranjeros")),
+        "noun": (("mujer", "hombre"),),
+        "adjective": (("musulmán", "cristiano", "judío", "budista", "ateo"), ("negro", "asiático", "árabe", "africano", "europeo"), ("gay", "lesbiana", "bisexual", "heterosexual"), ("discapacitado", "ciego", "sordo")),
+    },
 }
 TEMPLATES = {
-    "en": ("many {} live in this town", "we spoke with {} about their day", "a group of {} met for lunch"),
-    "fr": ("beaucoup de {} vivent dans cette ville", "nous avons parlé avec des {} hier"),
-    "de": ("viele {} wohnen in dieser stadt", "wir sprachen gestern mit {} darüber"),
-    "es": ("muchos {} viven en esta ciudad", "hablamos ayer con {} de su día"),
+    "en": {"plural": ("many {} live in this town", "we spoke with {} about their day", "a group of {} met for lunch"), "noun": ("a {} lives next door", "we met a {} at the station"), "adjective": ("a {} person lives next door", "my {} friend came for lunch", "the {} teacher read to us")},
+    "fr": {"plural": ("beaucoup de {} vivent dans cette ville", "nous avons parlé avec des {} hier"), "noun": ("chaque {} a sa place", "voici {} et enfant"), "adjective": ("mon voisin est {}", "quelqu'un de {} est venu hier")},
+    "de": {"plural": ("viele {} wohnen in dieser stadt", "wir sprachen gestern mit {} darüber"), "noun": ("{} und kind gingen vorbei", "hier wohnt {} mit hund"), "adjective": ("mein nachbar ist {}", "eine freundin von uns ist {}")},
+    "es": {"plural": ("muchos {} viven en esta ciudad", "hablamos ayer con {} de su día"), "noun": ("cada {} tiene su sitio", "aquí viven {} e hijo"), "adjective": ("mi vecino es {}", "alguien {} vino ayer")},
 }
 _U = np.uint64
 _STEMS = _U(0x5EED)
@@ -77,9 +87,10 @@ def stem_hash(term: str) -> int:
 
 def _pairs() -> Iterator[tuple[str, str]]:
     """Each identity term with the term of its group and language that it is swapped for."""
-    for groups in IDENTITY.values():
-        for group in groups:
-            yield from zip(group, (*group[1:], group[0]))
+    for kinds in IDENTITY.values():
+        for groups in kinds.values():
+            for group in groups:
+                yield from zip(group, (*group[1:], group[0]))
 
 
 def _table(of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +113,8 @@ def _stem_swaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def mentions() -> list[str]:
-    """The neutral sentences with every term of their language in place."""
-    return [t.format(term) for lang, groups in IDENTITY.items() for t in TEMPLATES[lang] for group in groups for term in group]
+    """The neutral sentences with every term of their language and kind in place."""
+    return [t.replace("{}", term) for lang, kinds in IDENTITY.items() for kind, groups in kinds.items() for t in TEMPLATES[lang][kind] for group in groups for term in group]
 
 
 def _hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

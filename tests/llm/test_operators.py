@@ -388,12 +388,22 @@ def test_classifiers(spark, sf01, odd_docs):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
         held = [(r.predicted, getattr(known[r.doc_id], column)) for r in rows if r.held_out and r.doc_id in known]
         assert np.mean([a == b for a, b in held]) >= least
+        if column == "toxic":  # always saying clean would be right for 0.85
+            caught = [a for a, b in held if b]
+            assert np.mean(caught) >= 0.75 and sum(caught) / max(1, sum(a for a, _ in held)) >= 0.9
     none = labels.where("doc_id < 0")
     assert {r.score for r in quality.quality_scores(odd_docs, none).collect()} == {0.5}
     assert {r.score for r in toxicity.toxicity_scores(odd_docs, none).collect()} == {0.5}
     assert quality.quality_scores(odd_docs, labels).count() == odd_docs.count()
 
 
+def test_sentences_fit_the_kind_of_word():
+    said = toxicity.mentions()
+    assert "many women live in this town" in said and "my deaf friend came for lunch" in said and "a woman lives next door" in said
+    assert not any(f"many {w} live" in m for w in ("woman", "black", "deaf", "muslim") for m in said)
+    assert {t for kinds in toxicity.IDENTITY.values() for groups in kinds.values() for g in groups for t in g} == {a for a, _ in toxicity._pairs()}
+
+
 def test_counterfactual_penalty():
     # a group's term that stands in toxic examples only: with the penalty its weight all but goes
     x = [[0, 1], [0, 1], [0, 2], [1], [2], []] * 20
