@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobsignal.operators import applications, planned
+from jobsignal.sources import paged
 from jobsignal.streaming import apps, runs
 
 NOW = "2026-07-31 00:00:00"
@@ -13,6 +14,15 @@ JOB = "jobId string, title string, sourceRunId string, contentHash string, descr
 ITEMS = f"run_id string, {runs.RUN}, item long, payload string"
 
 
+@pytest.fixture(autouse=True)
+def one_partition(spark):
+    """State in one partition: these streams hold some dozen rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def payload(run, item, title="Engineer"):
     posting = {"title": title, "description": f"Text of {item}", "hiringOrganization": {"name": "Acme"}, "identifier": {"value": f"{run}-{item}"}}
     return json.dumps({"sourceUrl": f"https://jobs.example.com/{run}/{item}", "jobPosting": posting})
@@ -189,3 +199,22 @@ def test_funnel_of_streams(spark, tmp_path):
         legs.append(apps.drain(apps.interval_leg(stream, kind, within, "30 days"), f"file://{tmp_path}/{kind}", f"file://{tmp_path}/{kind}-c").where("user >= 0"))
     batch = planned.funnel_metrics(spark.createDataFrame(rows, schema))
     assert apps.funnel_of_legs(*legs).first() == batch.first()
+
+
+def test_paged_items(spark, tmp_path):
+    spark.dataSource.register(paged.PagedItems)
+    rows = [("a", f"a{i}") for i in range(25)] + [("b", f"b{i}") for i in range(7)]
+    spark.createDataFrame(rows, "run string, payload string").repartition(3).write.partitionBy("run").parquet(f"{tmp_path}/runs")
+    read = lambda **o: spark.read.format("paged_items").options(**o).load(f"{tmp_path}/runs")
+    pages = read(pageSize=4)
+    got = sorted((r.run_id, r.item, r.payload) for r in pages.collect())
+    assert pages.rdd.getNumPartitions() == 7 + 2 and got == sorted((r.run_id, r.item, r.payload) for r in read(pageSize=10_000).collect())
+    assert sorted((r, p) for r, _, p in got) == sorted(rows) and [i for r, i, _ in got if r == "a"] == list(range(25))
+    assert read(run="b", pageSize=3).count() == 7
+    with pytest.raises(Exception, match="pageSize"):
+        read(pageSize=0).count()
+    stream = spark.readStream.format("paged_items").option("pageSize", 4).load(f"{tmp_path}/runs")
+    out = lambda: apps.drain(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/c")
+    assert sorted((r.run_id, r.item, r.payload) for r in out().collect()) == got
+    spark.createDataFrame([("c", "c0")], "run string, payload string").write.mode("append").partitionBy("run").parquet(f"{tmp_path}/runs")
+    assert sorted((r.run_id, r.payload) for r in out().collect()) == sorted([*rows, ("c", "c0")])
