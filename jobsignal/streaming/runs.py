@@ -127,11 +127,13 @@ class Target:
         return F.pmod(F.xxhash64(self.key), F.lit(parts)).cast("int").alias("part")
 
     def layout(self, n: int) -> dict[int, tuple[int, int]]:
-        """(version, rows) of each part after batch n, empty parts included."""
-        path = f"{self.path}-pointer/batch={n}"
-        if n < 0 or not _exists(self.spark, f"{path}/_SUCCESS"):
-            return {}
-        return {r.part: (r.version, r.rows) for r in self.spark.read.parquet(path).collect()}  # a row a part
+        """(version, rows) of each part after batch n, empty parts included; batches that merge nothing have no pointer."""
+        root, fs = hadoop_path(self.spark, f"{self.path}-pointer")
+        done = [int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(root)] if fs.exists(root) else []
+        for b in sorted((b for b in done if b <= n), reverse=True):
+            if _exists(self.spark, f"{self.path}-pointer/batch={b}/_SUCCESS"):
+                return {r.part: (r.version, r.rows) for r in self.spark.read.parquet(f"{self.path}-pointer/batch={b}").collect()}  # a row a part
+        return {}
 
     def rows(self, layout: dict[int, tuple[int, int]], schema) -> DataFrame:
         paths = [f"{self.path}/version={v}/part={p}" for p, (v, rows) in sorted(layout.items()) if rows]
@@ -152,9 +154,7 @@ class Target:
         self.spark.createDataFrame([(p, *v) for p, v in sorted(after.items())], "part int, version int, rows long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}-pointer/batch={n}")
 
     def latest(self, schema) -> DataFrame:
-        root, fs = hadoop_path(self.spark, f"{self.path}-pointer")
-        done = [int(f.getPath().getName().removeprefix("batch=")) for f in fs.listStatus(root)] if fs.exists(root) else []
-        return self.rows(self.layout(max(done, default=-1)), schema)
+        return self.rows(self.layout(1 << 62), schema)
 
 
 LEDGER = "run_id string, seq long, status string, finished_at timestamp, collected long, accepted long, rejected long, indexed long, failed long, error string"
@@ -184,34 +184,42 @@ def ingest_runs(assembled: DataFrame, root: str, target: Target, allowed: DataFr
 
     def ingest(batch: DataFrame, n: int) -> None:
         runs = stored(batch.withColumnRenamed("run_status", "status"), "runs")
+        if runs.isEmpty():  # a batch that only moved the watermark
+            dropped(runs)
+            return
         judged = stored(lookups.verify_runs(runs, allowed), "judged-runs")
         late = judged.where("outcome = 'expired'")
         known = store.ledger_state(_ledger(spark, target).where(F.col("seq") < 3 * n))
         ready = judged.where("reason IS NULL AND outcome <> 'expired'")
         new = store.plan_runs(ready.where("outcome = 'whole'"), known)
         asked = stored(new.unionByName(ready.where("outcome = 'reopened'")).select("run_id", "total", "batches"), "asked-runs")
+        refused = store.failed_rows(judged.where("reason IS NOT NULL AND outcome <> 'expired'"), 3 * n + 1, now, "not verified")
+        refused = refused.unionByName(store.failed_rows(late, 3 * n + 1, now, "items missing"))
+        if asked.isEmpty():
+            refused.write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=ended")
+            for t in (runs, judged, asked):
+                dropped(t)
+            return
         store.started_rows(asked, 3 * n, now).write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=started")
         named = [r.b for r in asked.select(F.explode(F.split("batches", ",")).alias("b")).distinct().collect()]  # a row a staged batch
-        none = spark.createDataFrame([], "run_id string, item long, payload string, batch int")
-        staged = spark.read.schema("run_id string, item long, payload string, batch int").option("basePath", f"{root}/items").parquet(*(f"{root}/items/batch={b}" for b in named)) if named else none
+        staged = spark.read.schema("run_id string, item long, payload string, batch int").option("basePath", f"{root}/items").parquet(*(f"{root}/items/batch={b}" for b in named))
         mine = staged.join(small_or_merge(asked.select("run_id")), "run_id", "left_semi")
         items = stored(mine.groupBy("run_id", "item").agg(F.max_by("payload", "batch").alias("payload")), "items")
         found = items.groupBy("run_id").agg(F.count(F.lit(1)).alias("found"))
         sized = stored(asked.join(found.hint("merge"), "run_id", "left").select("run_id", "total", F.coalesce("found", F.lit(0)).alias("found")), "sized-runs")
         fine = sized.where("found >= total").select("run_id")
+        waiting = store.started_rows(sized.where("found < total"), 3 * n + 1, now)
+        if fine.isEmpty():
+            refused.unionByName(waiting).write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=ended")
+            for t in (runs, judged, asked, items, sized):
+                dropped(t)
+            return
         raw = items.join(small_or_merge(fine), "run_id", "left_semi").select(F.struct("run_id", "item").alias("at"), "payload")
         jobs = stored(normalize.judge_postings(raw, "stream", now, "at").withColumn("sourceRunId", F.col("item.run_id")).withColumn(order, F.col("item.item")), "judged-items")
         target.merge(jobs.where("code IS NULL").select(*schema.names, order), n, schema, order)
         of = lambda df: df.select(F.col("item.run_id").alias("run_id"), F.col("item.item").alias("index"), "code")
         report = reports.run_report(fine, of(jobs.where("code IS NULL")), of(jobs.where("code IS NOT NULL")), of(jobs).limit(0))
-        rows = [
-            store.ended_rows(report, 3 * n + 1, now),
-            store.failed_rows(judged.where("reason IS NOT NULL AND outcome <> 'expired'"), 3 * n + 1, now, "not verified"),
-            store.failed_rows(late, 3 * n + 1, now, "items missing"),
-            store.started_rows(sized.where("found < total"), 3 * n + 1, now),
-        ]
-        ended = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-        ended.write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=ended")
+        store.ended_rows(report, 3 * n + 1, now).unionByName(refused).unionByName(waiting).write.mode("overwrite").parquet(f"{ledger_path}/batch={n}/step=ended")
         for t in (runs, judged, asked, items, sized, jobs):
             dropped(t)
 
