@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .ordered import joined_sha256
 from .shared import pieces, written
 
-#: Rows of a conversation that one search takes, and bytes of their texts.
+#: Rows of a conversation that one search takes, and characters of their texts (with the last one, whatever its length).
 SEGMENT, SEGMENT_BYTES = 512, 16 << 20
 #: White space of the format, and what ends a sentence.
 SPACE, ENDS = " \t\n\x0b\x0c\r", ".!?"
@@ -140,8 +140,8 @@ def fault(text: str) -> int:
 
 
 _DONE = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
-_OPEN = "part int, idx long, turn long, role string, text string, ghost boolean"
-_TYPES = [*[pa.int64()] * 7, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+_OPEN = "part int, seg long, idx long, turn long, role string, text string, ghost boolean"
+_TYPES = [*[pa.int64()] * 7, pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
 _NAMES = [f.split()[0] for f in f"{_DONE}, {_OPEN}".split(", ")]
 
 
@@ -168,13 +168,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     out: list[tuple] = []
     held: list[tuple] = []
-    size, idx, conv, begun, first, spilt = 0, 0, None, False, True, False
+    size, idx, seg, conv, begun, first = 0, 0, 0, None, False, True
 
     def spill() -> None:
-        nonlocal held, size, idx, spilt
+        """What is held as a segment of its own."""
+        nonlocal held, size, idx, seg
         for k, (turn, role, text, ghost) in enumerate(held):
-            out.append((conv, *[None] * 8, part, idx + k, turn, role, text, ghost))
-        idx, held, size, spilt = idx + len(held), [], 0, True
+            out.append((conv, *[None] * 8, part, seg, idx + k, turn, role, text, ghost))
+        idx, seg, held, size = idx + len(held), seg + 1, [], 0
 
     def batch() -> pa.RecordBatch:
         cols = list(zip(*out)) or [()] * len(_NAMES)
@@ -184,11 +185,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches, 512):
         for c, *row in zip(*(x.to_pylist() for x in piece.columns)):
             if begun and c != conv:
-                if first or spilt:
+                if first or seg:
                     spill()
                 else:
-                    out.append((*_whole(conv, [r[:3] for r in held if not r[3]]), *[None] * 6))
-                held, size, idx, first, spilt = [], 0, 0, False, False
+                    out.append((*_whole(conv, [r[:3] for r in held if not r[3]]), *[None] * 7))
+                held, size, idx, seg, first = [], 0, 0, 0, False
             conv, begun = c, True
             held.append(tuple(row))
             size += len(row[2] or "")
@@ -273,12 +274,12 @@ def _turns(table: pa.Table) -> pa.Table:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Results of conversations whose rows (conv_id, part, idx, turn, role, text, ghost) lie in several partitions or
-    segments. Nothing but SEGMENT rows, or a conversation's segments, is taken together."""
+    """Results of conversations whose rows (conv_id, part, seg, idx, turn, role, text, ghost) lie in several partitions or
+    segments. Nothing but a segment, or a conversation's list of segments, is taken together."""
     bare = F.regexp_replace("text", r"[ \t\n\x0B\f\r]+\z", "")
     faults = F.when(F.length(bare) == 0, GONE).when(F.substring(bare, -1, 1).isin(*ENDS), CLEAN).otherwise(TRUNCATED)
     ck = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    o = rows.select(ck.alias("ck"), "part", F.floor(F.col("idx") / SEGMENT).alias("seg"), "idx", "turn", "role", "text", "ghost", F.shiftleft(F.col("part").cast("long"), 36).bitwiseOR(F.col("idx")).alias("at"), F.xxhash64("role", "text").alias("h"), F.xxhash64(F.lit(1), "text", "role").alias("h2"))
+    o = rows.select(ck.alias("ck"), "part", "seg", "idx", "turn", "role", "text", "ghost", F.shiftleft(F.col("part").cast("long"), 36).bitwiseOR(F.col("idx")).alias("at"), F.xxhash64("role", "text").alias("h"), F.xxhash64(F.lit(1), "text", "role").alias("h2"))
     firsts = o.where("not ghost").groupBy("ck", "h", "h2").agg(F.min("at").alias("first"))
     marked = o.withColumn("fault", F.coalesce(faults, F.lit(GONE))).select("ck", "part", "seg", "idx", "turn", F.coalesce(F.substring("role", 1, 1), F.lit("")).alias("who"), "fault", "at", "h", "h2", "ghost")
     marked = marked.join(firsts.hint("merge"), ["ck", "h", "h2"], "left").select("ck", "part", "seg", "idx", "turn", "who", "fault", F.coalesce(F.col("at") > F.col("first"), F.lit(False)).alias("repeated"), "ghost")
@@ -308,7 +309,7 @@ def repair(rows: DataFrame) -> DataFrame:
     s = r.repartitionByRange(*order).sortWithinPartitions("conv_id", "turn", "role", "text")
     t = written(s.mapInArrow(_runs, f"{_DONE}, {_OPEN}"), "repairs")
     done = t.where("part IS NULL").select(*[f.split()[0] for f in _DONE.split(", ")])
-    open_ = t.where("part IS NOT NULL").select("conv_id", "part", "idx", "turn", "role", "text", "ghost")
+    open_ = t.where("part IS NOT NULL").select("conv_id", "part", "seg", "idx", "turn", "role", "text", "ghost")
     return done.unionByName(_across(open_))
 
 

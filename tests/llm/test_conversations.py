@@ -116,6 +116,7 @@ def random_rows(n, seed, roles=("user", "assistant", "system", "tool")):
 def test_repair_across_partitions(spark, monkeypatch, segment):
     # most rows in two conversations, over many partitions and segments of few rows
     monkeypatch.setattr(conv_repair, "SEGMENT", segment)
+    monkeypatch.setattr(conv_repair, "SEGMENT_BYTES", 40 if segment == 512 else 1 << 24)
     rows = random_rows(160, segment)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert repairs(conv_repair.repair(conv_repair.damaged(df))) == brute_repair(rows)
