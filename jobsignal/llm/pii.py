@@ -167,8 +167,8 @@ def dialable(number: str) -> bool:
 
 
 def guessable(secret: str, before: str) -> bool:
-    """Whether what follows a secret's name and a colon is an ordinary word: letters of one case alone."""
-    return ":" in before and secret.isalpha() and (secret[1:].islower() or secret.isupper())
+    """Whether what follows ``secret:`` or ``token:``, words of prose themselves, is an ordinary word: letters of one case."""
+    return before.lower().startswith(("secret", "token")) and ":" in before and secret.isalpha() and (secret[1:].islower() or secret.isupper())
 
 
 def _gender(title: str, by: dict[str, tuple[str, ...]]) -> str:
