@@ -338,6 +338,16 @@ h AS (SELECT k, min(doc_id) AS hub FROM k WHERE k IS NOT NULL GROUP BY k),
 s AS (SELECT DISTINCT doc_id, hub FROM k JOIN h USING (k)),
 e AS (SELECT doc_id AS a, hub AS b FROM s UNION SELECT hub, doc_id FROM s),
 r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""",
+    "d3_similar_duplicates": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(w[i:i + 4]))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+  UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT a AS doc_id, min(b) AS "group" FROM r GROUP BY a""",
     "d5_funnel_metrics": """
 WITH e AS (SELECT user_id AS u, event_id % 7 AS i, event_type AS k, ts FROM events), s AS (SELECT u, i, min(ts) AS s FROM e WHERE k = 'signup' GROUP BY 1, 2),

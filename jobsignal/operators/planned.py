@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..plans.stored import once, stored
+from ..plans.stored import dropped, once, stored
 
 
 def detect_changes(history: DataFrame, key: str = "jobId", order: str = "run", content: str = "contentHash") -> DataFrame:
@@ -37,9 +37,7 @@ def resolve_duplicates(df: DataFrame, key: str, equal: list[list[str]], similar:
     """(key, group): rows joined by equality on any of the column lists (all not null), and by five-word shingles of the
     text ``similar`` at a Jaccard similarity of ``percent``; group is the smallest key.
 
-    Every value group is a star around its smallest key. The description leg is MinHash: rows whose bands meet are
-    compared with the band's smallest key on their whole shingle sets, so every link is verified; links of which no
-    band's star tells are missed, and such rows stay separate.
+    Every value group is a star around its smallest key. The leg of similar texts is exact: see ``similar_links``.
     """
     edges = df.select(F.col(key).alias("u"), F.col(key).alias("v")).limit(0)
     for cols in equal:
@@ -53,25 +51,51 @@ def resolve_duplicates(df: DataFrame, key: str, equal: list[list[str]], similar:
     return own.join(found.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("label", "node").alias("group"))
 
 
-#: MinHash bands and rows of a band: two sets of similarity 0.8 meet in one of them with a chance of 0.9998.
-BANDS, BAND_ROWS = 20, 5
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of pairs whose whole sets reach the similarity."""
+    both = pairs.join(sets.select("u", "s").hint("merge"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("t")).hint("merge"), "v")
+    both = both.withColumn("_o", F.size(F.array_intersect("s", "t")))
+    return both.where(100 * F.col("_o") >= percent * (F.size("s") + F.size("t") - F.col("_o"))).select("u", "v")
 
 
 def similar_links(df: DataFrame, key: str, text: str, percent: int = 80, words: int = 5) -> DataFrame:
-    """(u, v): verified links between each row and the smallest key of a band that they share."""
+    """(u, v): verified links whose components are those of all links between texts' shingle sets.
+
+    Equal sets are one. Shingles are ordered by frequency, and two sets that reach the similarity share one within the
+    first (100 - percent) % of each: rows meet on those only, and sets whose rare shingles fill that share meet nobody.
+    First each list's rows are compared with its smallest key, which joins groups of near copies in linear work; then
+    lists that still hold several components compare rows of different ones, within bounds that sizes and places set.
+    """
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("u"), w.alias("w")).where(F.size("w") > 0)
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("u"), w.alias("w")).where(F.size("w") > 0)
     spots = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
-    sets = stored(rows.select("u", F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.slice("w", i, words)))).alias("s")), "shingles")
-    # each hash of a signature is the least of the shingles' hashes under another seed
-    lows = F.transform(F.sequence(F.lit(1), F.lit(BANDS * BAND_ROWS)), lambda i: F.array_min(F.transform("s", lambda x: F.xxhash64(x, i))))
-    bands = once(sets.select("u", "s"), lows=lows).select("u", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("lows", b * BAND_ROWS + 1, BAND_ROWS)))).alias("h"))
-    bands = stored(bands.select("u", "h"), "bands")
-    hubs = bands.groupBy("h").agg(F.min("u").alias("v"), F.max("u").alias("_m")).where("v <> _m").select("h", "v")
-    pairs = bands.join(hubs.hint("merge"), "h").where("u <> v").select("u", "v").distinct()
-    both = pairs.join(sets.hint("merge"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("t")).hint("merge"), "v")
-    both = both.withColumn("_o", F.size(F.array_intersect("s", "t")))
-    return both.where(100 * F.col("_o") >= percent * (F.size("s") + F.size("t") - F.col("_o"))).select("u", "v")
+    s = F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.slice("w", i, words))))
+    sets = stored(once(rows, s=F.array_sort(s)).select("u", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h")), "shingles")
+    same = sets.groupBy("h", "n").agg(F.min("u").alias("v")).hint("merge")
+    copies = sets.select("u", "h", "n").join(same, ["h", "n"]).where("u <> v").select("u", "v")
+    sets = stored(sets.join(copies.select("u").distinct().hint("merge"), "u", "left_anti").select("u", "n", "s").dropDuplicates(["u"]), "distinct-shingles")
+
+    tokens = sets.select("u", "n", F.explode("s").alias("x"))
+    shared = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").hint("merge")
+    met = tokens.join(shared, "x").groupBy("u", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("t"))
+    first = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")  # so many shingles of a set are looked at
+    rare = F.col("n") - F.size("t")
+    cut = met.select("u", "n", rare.alias("rare"), F.slice("t", 1, F.greatest(first - rare, F.lit(0))).alias("t"))
+    lists = stored(cut.select("u", "n", "rare", F.posexplode("t").alias("i", "e")).select("u", "n", (F.col("rare") + F.col("i")).alias("place"), "e.x"), "prefixes")
+    hubs = lists.groupBy("x").agg(F.min("u").alias("v"), F.max("u").alias("_m")).where("v <> _m").select("x", "v")
+    links = copies.unionByName(_verified(lists.join(hubs.hint("merge"), "x").where("u <> v").select("u", "v").distinct(), sets, percent))
+    links = stored(links, "star-links")
+
+    labels = components(links).select(F.col("node").alias("u"), "label")
+    told = stored(lists.join(labels.hint("merge"), "u", "left").withColumn("label", F.coalesce("label", "u")), "labelled-prefixes")
+    dropped(lists)
+    several = told.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
+    one = stored(told.join(several.hint("merge"), "x", "left_semi"), "mixed-prefixes")
+    other = one.select("x", F.col("u").alias("v"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("other"))
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    places = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= percent * (F.col("n") + F.col("m"))
+    pairs = one.join(other.hint("merge"), "x").where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & sizes & places)
+    return links.unionByName(_verified(pairs.select("u", "v").distinct(), sets, percent))
 
 
 def funnel_metrics(events: DataFrame) -> DataFrame:
