@@ -46,7 +46,9 @@ def _quoted(term: str) -> str:
 
 
 def skill_pattern(skill: str) -> str:
-    return rf"(^|[^a-z0-9+#]){_quoted(skill.lower())}([^a-z0-9+#]|$)"
+    """The skill between characters that are part of no skill. The word comes first, so that it is what is searched for."""
+    word = _quoted(skill.lower())
+    return rf"{word}(?<![a-z0-9+#]{word})(?![a-z0-9+#])"
 
 
 def skills_of(text: Column, vocabulary=SKILLS) -> Column:
@@ -56,22 +58,35 @@ def skills_of(text: Column, vocabulary=SKILLS) -> Column:
     return F.transform(hit, lambda x: x["s"])
 
 
+#: Terms up to which each text is searched for every one.
+FEW_TERMS = 32
+
+
 def tag_skills(df: DataFrame, vocab: DataFrame, key: str, text: str) -> DataFrame:
     """(key, skills): terms of vocab(term, rank) found in each text, by rank; texts without any are left out.
 
-    Texts and terms meet on a term's first token, then the exact boundary pattern is verified. A vocabulary that is
-    measured as small is broadcast, and nothing but hits is exchanged; with a larger one tokens travel without texts,
-    and the texts of hits are fetched.
+    Few terms are looked for in each text one by one. More of them meet texts on a term's first token, then the exact
+    boundary pattern is verified: a vocabulary that is measured as small is broadcast, and nothing but hits is exchanged;
+    with a larger one tokens travel without texts, and the texts of hits are fetched.
     """
     texts = df.select(key, F.lower(text).alias("_t"))
+    some = vocab.where(F.lower("term").rlike("[a-z0-9+#]")).select("rank", "term").limit(FEW_TERMS + 1)
+    few = some.collect()
+    if 0 < len(few) <= FEW_TERMS:
+        rank = some.schema["rank"].dataType
+        each = (F.when(F.contains("_t", F.lit(r.term.lower())) & F.col("_t").rlike(skill_pattern(r.term)), F.struct(F.lit(r["rank"]).cast(rank).alias("rank"), F.lit(r.term).alias("term"))) for r in few)
+        return _by_rank(texts.select(key, F.explode(F.array_compact(F.array(*each))).alias("e")).select(key, "e.*"), key)
     tokens = texts.select(key, "_t", F.explode(F.array_distinct(F.split("_t", r"[^a-z0-9+#]+"))).alias("token")).where("token <> ''")
     plain = F.regexp_replace(F.lower("term"), r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    v = vocab.select("term", "rank", F.get(F.filter(F.split(F.lower("term"), r"[^a-z0-9+#]+"), lambda x: x != ""), F.lit(0)).alias("token"), F.concat(F.lit("(^|[^a-z0-9+#])"), plain, F.lit("([^a-z0-9+#]|$)")).alias("pattern"))
+    v = vocab.select("term", "rank", F.get(F.filter(F.split(F.lower("term"), r"[^a-z0-9+#]+"), lambda x: x != ""), F.lit(0)).alias("token"), F.concat(plain, F.lit("(?<![a-z0-9+#]"), plain, F.lit(")(?![a-z0-9+#])")).alias("pattern"))
     if is_small(v):
         met = tokens.join(F.broadcast(v), "token")
     else:
         met = tokens.drop("_t").join(v.hint("merge"), "token").join(texts.hint("merge"), key)
-    hit = met.where(F.expr("_t rlike pattern"))
+    return _by_rank(met.where(F.expr("_t rlike pattern")), key)
+
+
+def _by_rank(hit: DataFrame, key: str) -> DataFrame:
     return hit.groupBy(key).agg(F.transform(F.sort_array(F.collect_set(F.struct("rank", "term"))), lambda x: x["term"]).alias("skills"))
 
 

@@ -244,3 +244,14 @@ def test_probed_cells_recall(spark, sf_dir):
     assert len(exact & some) >= 0.9 * len(exact)
     odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [None, 1.0]), (4, []), (5, [float("nan"), 1.0]), (6, [3.0, 4.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in vectors.unit(odd, "vec_id", "embedding").collect()] == [(6, [0.6, 0.8])]
+
+
+@pytest.mark.parametrize("few", [32, 0])
+def test_tag_skills_either_way(spark, monkeypatch, few):
+    """Terms sought one by one and terms met by tokens give the same rows."""
+    monkeypatch.setattr(normalize, "FEW_TERMS", few)
+    vocab = spark.createDataFrame([(0, "C++"), (1, "Go"), (2, "Machine Learning"), (3, ".net"), (4, "--"), (5, "Go"), (6, None)], "rank int, term string")
+    rows = [(1, "C++, go"), (2, "go+ ago gob c++x"), (3, "MACHINE LEARNING. -- and\n.NET\n"), (4, None), (5, ""), (6, "a.net go"), (6, "c++"), (7, "x go\n")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: r.skills for r in normalize.tag_skills(df, vocab, "id", "text").collect()}
+    assert got == {1: ["C++", "Go", "Go"], 3: ["Machine Learning", ".net"], 6: ["C++", "Go", "Go"], 7: ["Go", "Go"]}
