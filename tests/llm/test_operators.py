@@ -241,6 +241,28 @@ def test_licenses(odd_docs, spark, sf01):
     assert not differences(spark, "op4", queries.op4_license_scan, license_scan.oracle_sql(), sf01, duck(sf01))
 
 
+def test_whole_licenses(spark):
+    """Each whole licence is found as itself, wrapped anew and with a word in thirty changed; half of one isn't; plain
+    prose of the same length isn't; Dice equals a plain count."""
+    texts = {name: text for name, text in license_scan.templates_of(notices=())}
+    assert len(texts) >= 12
+    rows, want = [], {}
+    for i, (name, text) in enumerate(texts.items()):
+        w = text.split()
+        edited = [f"changed{j}" if j % 30 == 7 else x for j, x in enumerate(w)]
+        rows += [(4 * i, " ".join(w)), (4 * i + 1, "\n".join(" ".join(edited[j : j + 9]) for j in range(0, len(w), 9))), (4 * i + 2, " ".join(w[: len(w) // 2])), (4 * i + 3, " ".join(f"w{j % 997}" for j in range(len(w))))]
+        want |= {4 * i: name, 4 * i + 1: name, 4 * i + 3: None}
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].best_license for i in want} == want
+    grams = {name: set(license_scan.bigrams_of(text)) for name, text in texts.items()}
+    for i, text in rows:
+        b = set(license_scan.bigrams_of(text))
+        best = max((round(2 * len(b & g) / (len(b) + len(g)), 6), n) for n, g in grams.items())
+        if best[0] >= license_scan.THRESHOLD and i % 4 < 2:
+            assert got[i].best_dice == best[0] and got[i].best_license == best[1], i
+    assert sum(got[4 * i + 2].best_license == name for i, name in enumerate(texts)) == 0
+
+
 # joins
 
 
