@@ -4,6 +4,7 @@ import datetime
 import json
 from dataclasses import replace
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -86,6 +87,28 @@ def test_saved_index(spark, tmp_path):
     assert a == b and index.saved(f"file://{tmp_path}/i").docs.count() == 50
 
 
+def test_vector_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    x[30:60] = x[7]  # equal vectors tie
+    rows = [(i, [float(y) for y in x[i]]) for i in range(90)] + [(90, None), (91, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cells = vectors.Cells.of(df, "vec_id", "embedding", 3)
+    out = cells.search(df.where("vec_id % 3 = 0"), "vec_id", "embedding", 4)
+    assert "CoGroup" in out._jdf.queryExecution().executedPlan().toString()  # blocks, not a row a pair
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, round(r.similarity, 9))
+    for i in range(0, 90, 3):
+        s = np.round(u @ u[i], 9)
+        want = sorted((j for j in range(90) if j != i), key=lambda j: (-s[j], j))[:4]
+        assert [got[i][n] for n in (1, 2, 3, 4)] == [(j, s[j]) for j in want], i
+    assert len(got) == 30
+
+
 def test_index_for_query(spark):
     docs = spark.createDataFrame([(i, f"data engineer {i % 7} enginere", ["Go", "engineer"] if i % 2 else None) for i in range(30)] + [(30, None, [None, "x"])], "doc long, title string, skills array<string>")
     whole = lexical.Index.of(docs, "doc", ["title", "skills"])
