@@ -28,6 +28,20 @@ def judged(spark, payloads):
     return {r["item"]: r for r in normalize.judge_postings(rows, "run", NOW).collect()}
 
 
+def test_judged_postings_are_compiled(spark):
+    """A generator that holds a lambda is interpreted as a whole; a record's fields are read together, not by their paths."""
+    rows = spark.createDataFrame([(1, item())], "item long, payload string")
+    plan = normalize.judge_postings(rows, "run", NOW)._jdf.queryExecution().optimizedPlan().toJSON()
+    nodes = json.loads(plan)
+    assert '"postedAt"' in plan or "postedAt" in plan
+    assert not any("Generate" in n["class"] and "LambdaFunction" in json.dumps(n["generator"]) for n in nodes)
+
+
+def test_judged_places(spark):
+    got = judged(spark, [item(jobLocation=[{"address": {}}, {"address": {"addressLocality": ["", "Rome"], "addressCountry": {"name": "IT"}}}]), item(jobLocation="x"), item(jobLocation={"addressRegion": "TX"})])
+    assert [got[i]["location"] for i in range(3)] == ["Rome", "Location not specified", "TX"]
+
+
 def test_contract_rejects(spark):
     told = {"baseSalary": {"currency": "USD", "value": {"minValue": 75, "maxValue": 100, "unitText": "HOUR"}}}
     text = "The annual base salary range for this role is $168,000 - $205,000 USD."
