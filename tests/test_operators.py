@@ -218,6 +218,16 @@ def test_lifecycle(spark):
     assert got == {1: "active", 2: "closed", 3: "active", 4: "closed", 5: "closed", 6: "closed"}
 
 
+def test_jobs_alike_are_scored_once(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(lookups, "stored", lambda df, name: tables.setdefault(name, stored.stored(df, name)))
+    jobs = spark.range(500).select((F.col("id") + 1).alias("jobId"), F.lit("Clerk").alias("title"), F.array(F.lit("Go")).alias("skills"), F.lit("remote").alias("workMode"))
+    people = spark.createDataFrame([(1, ["go"], ["Clerk"], None)], "candidate long, skills array<string>, roles array<string>, workModes array<string>")
+    got = lookups.match_candidates(people, jobs, 3)
+    assert sorted((r["rank"], r.jobId, r.score) for r in got.collect()) == [(1, 1, 47), (2, 2, 47), (3, 3, 47)]
+    assert tables["jobs-to-match"].count() == 3
+
+
 @pytest.mark.parametrize("limits", [{}, {"PASS": 9, "BLOCK": 4, "ROWS": 16}])
 def test_match_candidates(spark, monkeypatch, limits):
     import random
