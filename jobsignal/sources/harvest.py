@@ -5,34 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.variants import field, is_kind, items, string
-from ..plans.stored import stored
+from ..functions.variants import field, items, string
+from ..plans.stored import once, stored
 
 _SCRIPT = r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>"
 _CANONICAL = r"(?i)<link[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*href\s*=\s*[\"']([^\"']+)[\"']"
 
 
+#: Levels of nesting that one pass walks within a row.
+LEVELS = 8
+
+
 def _walked(nodes: DataFrame, inner, keep) -> DataFrame:
-    """nodes (..., path, node) with all that lie below them, to any depth: a stored table a level, until none is left.
+    """nodes (..., path, node) with all that lie below them, to any depth: a row's nodes go down LEVELS levels in place, and
+    what lies deeper goes on from a stored table, until none is left.
 
-    ``inner`` gives a node's children, and ``keep`` says which rows are wanted. (A recursive query would do the same under
+    ``inner`` gives a node's children, and ``keep`` says which nodes are wanted. (A recursive query would do the same under
     a bound on its rows, and keep its levels in executors.)
     """
     names = [c for c in nodes.columns if c not in ("path", "node")]
+    listed = "array<struct<path:array<int>,node:variant>>"
     found = nodes.where("false")
+
+    def step(acc: Column, _: Column) -> Column:
+        below = F.transform(acc["level"], lambda x: F.transform(inner(x["node"]), lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), c.alias("node"))))
+        return F.struct(F.flatten(below).cast(listed).alias("level"), F.concat(acc["found"], F.filter(acc["level"], lambda x: keep(x["node"]))).cast(listed).alias("found"))
+
     while True:
-        level = stored(nodes.withColumn("_inner", inner(F.col("node"))).withColumn("_kept", keep), "json-level")
-        if level.isEmpty():
+        start = F.struct(F.array(F.struct("path", "node")).cast(listed).alias("level"), F.array().cast(listed).alias("found"))
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step)
+        level = stored(once(nodes, _w=walk).select(*names, "_w.level", "_w.found"), "json-level")
+        found = found.unionByName(level.select(*names, F.inline("found")))
+        deeper = level.where(F.size("level") > 0)
+        if deeper.isEmpty():
             return found
-        found = found.unionByName(level.where("_kept").select(*nodes.columns))
-        nodes = level.where(F.size("_inner") > 0).select(*names, "path", F.posexplode("_inner").alias("_p", "node")).select(*names, F.concat("path", F.array("_p")).alias("path"), "node")
+        nodes = deeper.select(*names, F.inline("level"))
 
 
 def _listed(node: Column) -> Column:
     """Elements of an array, or of a record's @graph."""
-    graph = field(node, "@graph")
-    as_array = lambda x: F.try_variant_get(x, "$", "array<variant>")
-    return F.when(is_kind(node, "ARRAY"), as_array(node)).when(is_kind(graph, "ARRAY"), as_array(graph)).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(node, "$", "array<variant>"), F.try_variant_get(node, '$["@graph"]', "array<variant>"), F.array().cast("array<variant>"))
 
 
 def harvest_jsonld(pages: DataFrame, page_url: str = "url", html: str = "html") -> DataFrame:
@@ -43,8 +55,7 @@ def harvest_jsonld(pages: DataFrame, page_url: str = "url", html: str = "html")
     canonical = F.nullif(F.regexp_extract(html, _CANONICAL, 1), F.lit(""))
     scripts = pages.where(F.col(html).contains("ld+json")).select(F.col(page_url).alias("page_url"), F.coalesce(canonical, F.col(page_url)).alias("canonicalUrl"), F.posexplode(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1))).alias("script_index", "_body"))
     nodes = scripts.select("page_url", "canonicalUrl", "script_index", F.array().cast("array<int>").alias("path"), F.try_parse_json("_body").alias("node")).where("node IS NOT NULL")
-    kind = field(F.col("node"), "@type")
-    is_posting = F.coalesce(F.exists(F.transform(items(kind), string), lambda t: F.coalesce(t == "JobPosting", F.lit(False))), F.lit(False))
+    is_posting = lambda node: F.coalesce(F.exists(F.transform(items(field(node, "@type")), string), lambda t: F.coalesce(t == "JobPosting", F.lit(False))), F.lit(False))
     found = _walked(nodes, _listed, is_posting)
     part = lambda name: F.coalesce(F.to_json(F.struct(field(F.col("node"), name).alias("x"))), F.lit(""))
     identity = F.sha2(F.concat_ws("\u0001", part("url"), part("identifier"), part("title"), part("datePosted")), 256)
@@ -69,15 +80,13 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 
 
 def _children(node: Column) -> Column:
-    as_map = F.try_variant_get(node, "$", "map<string,variant>")
-    return F.when(is_kind(node, "ARRAY"), items(node)).when(is_kind(node, "OBJECT"), F.map_values(as_map)).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(node, "$", "array<variant>"), F.map_values(F.try_variant_get(node, "$", "map<string,variant>")), F.array().cast("array<variant>"))
 
 
 def discover_embedded_jobs(pages: DataFrame, root: str, page_url: str = "url", html: str = "html", name: str = "__appData") -> DataFrame:
     """(page_url, url): a detail URL for every object with a UUID id and a title, at any depth of the data."""
     body = F.regexp_extract(html, rf"(?s){name}\s*=\s*(\{{.*?\}})\s*;?\s*</script", 1)
     data = pages.where(F.col(html).contains(name)).select(F.col(page_url).alias("page_url"), F.array().cast("array<int>").alias("path"), F.try_parse_json(body).alias("node")).where("node IS NOT NULL")
-    node = F.col("node")
-    job = F.coalesce(string(field(node, "id")).rlike(UUID), F.lit(False)) & string(field(node, "title")).isNotNull()
-    found = _walked(data, lambda x: F.filter(_children(x), lambda c: is_kind(c, "ARRAY") | is_kind(c, "OBJECT")), job)
-    return found.select("page_url", F.concat(F.lit(root.rstrip("/") + "/"), string(field(node, "id"))).alias("url")).distinct()
+    job = lambda node: F.coalesce(string(field(node, "id")).rlike(UUID), F.lit(False)) & string(field(node, "title")).isNotNull()
+    found = _walked(data, _children, job)
+    return found.select("page_url", F.concat(F.lit(root.rstrip("/") + "/"), string(field(F.col("node"), "id"))).alias("url")).distinct()

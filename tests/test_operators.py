@@ -290,6 +290,17 @@ def test_bucketed_side_is_not_exchanged(spark):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_harvest_walks_several_levels_a_pass(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(harvest, "stored", lambda df, name: names.append(name) or stored.stored(df, name))
+    node = {"@type": "JobPosting", "title": "Deep"}
+    for _ in range(20):
+        node = [node]
+    page = f'<script type="application/ld+json">{json.dumps(node)}</script>'
+    assert harvest.harvest_jsonld(spark.createDataFrame([("u", page)], "url string, html string")).count() == 1
+    assert len(names) == 3  # 21 levels, 8 a pass
+
+
 def test_harvest_to_any_depth(spark):
     job = {"@type": "JobPosting", "title": "Deep"}
     node = job
