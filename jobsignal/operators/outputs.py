@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.stored import once
+
 ITEM = "array<string>"
 SCHEMA = f"struct<oneLiner:string,mission:string,highlights:{ITEM},mustHaveSkills:{ITEM},whyYouMightLoveIt:string,interviewSignals:{ITEM},evidence:array<struct<claim:string,sourceText:string>>>"
 #: Length bounds of texts; count bounds of lists with the bounds of their items.
@@ -30,7 +32,8 @@ def parse_model_profiles(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     o = outputs.select("jobId", bare.alias("t"))
     first, last = F.instr("t", "{"), F.length("t") - F.instr(F.reverse("t"), "}") + 1
     body = F.when((first > 0) & (last > first) & F.contains("t", F.lit("}")), F.substring("t", first, last - first + 1))
-    o = o.withColumn("body", body).withColumn("v", F.try_parse_json("body")).withColumn("p", F.from_json("body", SCHEMA))
+    o = once(o, body=body)
+    o = once(o, v=F.try_parse_json("body"), p=F.from_json("body", SCHEMA))  # or each use of a field would parse again
     p = F.col("p")
     allowed = (*TEXTS, *LISTS, "evidence")
     known = F.size(F.array_except(F.json_object_keys("body"), F.array(*map(F.lit, allowed)))) == 0
@@ -43,7 +46,7 @@ def parse_model_profiles(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     entry = lambda e: _long(e["claim"], *parts["claim"]) & _long(e["sourceText"], *parts["sourceText"])
     fine = fine & F.coalesce((F.size(p["evidence"]) <= most) & F.forall(p["evidence"], entry), F.lit(False))
     code = F.when(F.col("t") == "", "empty").when(F.col("body").isNull(), "no_json").when(F.col("v").isNull(), "invalid_json").when(~F.coalesce(fine, F.lit(False)), "contract")
-    o = o.withColumn("code", code)
+    o = once(o, code=code)
     return o.where("code IS NULL").select("jobId", "p.*"), o.where("code IS NOT NULL").select("jobId", "code")
 
 
