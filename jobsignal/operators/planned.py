@@ -39,15 +39,16 @@ def resolve_duplicates(df: DataFrame, key: str, equal: list[list[str]], similar:
 
     Every value group is a star around its smallest key. The leg of similar texts is exact: see ``similar_links``.
     """
-    edges = df.select(F.col(key).alias("u"), F.col(key).alias("v")).limit(0)
+    keys = stored(df.select(key, *dict.fromkeys(c for cols in equal for c in cols if c != key)), "duplicate-keys")  # each leg reads them twice
+    edges = keys.select(F.col(key).alias("u"), F.col(key).alias("v")).limit(0)
     for cols in equal:
-        full = df.dropna(subset=cols).select(key, *cols)
+        full = keys.dropna(subset=cols).select(key, *cols)
         star = full.groupBy(*cols).agg(F.min(key).alias("hub"))
         edges = edges.unionByName(full.join(star.hint("merge"), cols).select(F.col(key).alias("u"), F.col("hub").alias("v")))
     if similar:
         edges = edges.unionByName(similar_links(df, key, similar, percent))
     found = components(edges)
-    own = df.select(F.col(key).alias("node")).distinct()
+    own = keys.select(F.col(key).alias("node")).distinct()
     return own.join(found.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("label", "node").alias("group"))
 
 
