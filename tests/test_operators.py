@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from jobsignal.functions import urls
-from jobsignal.operators import contracts, lexical, lookups, normalize, planned, salary, search, vectors
+from jobsignal.operators import contracts, lexical, lookups, normalize, outputs, planned, salary, search, vectors
 from jobsignal.plans import components, stored
 from jobsignal.plans.requests import SearchRequest
 from jobsignal.sources import harvest, store
@@ -336,3 +336,23 @@ def test_tag_skills_either_way(spark, monkeypatch, few):
     df = spark.createDataFrame(rows, "id long, text string")
     got = {r.id: r.skills for r in normalize.tag_skills(df, vocab, "id", "text").collect()}
     assert got == {1: ["C++", "Go", "Go"], 3: ["Machine Learning", ".net"], 6: ["C++", "Go", "Go"], 7: ["Go", "Go"]}
+
+
+def test_answers_are_parsed_once(spark):
+    ok, _ = outputs.parse_model_profiles(spark.createDataFrame([(1, "{}")], "jobId long, raw string"))
+    assert ok._jdf.queryExecution().optimizedPlan().toJSON().count("expressions.JsonToStructs\"") == 1
+
+
+def test_keys_of_duplicates_are_stored_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(planned, "stored", lambda df, name: names.append(name) or stored.stored(df, name))
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", None)], "id long, a string, b string")
+    got = {r.id: r.group for r in planned.resolve_duplicates(df, "id", [["a"], ["b"]]).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4} and names == ["duplicate-keys"]
+
+
+def test_plain_texts_stay_out_of_python(spark):
+    df = spark.createDataFrame([(1, "a &amp;lt; b"), (2, "plain"), (3, None)], "id long, t string").withColumn("d", normalize.decoded(F.col("t")))
+    assert [r.d for r in df.orderBy("id").collect()] == ["a < b", "plain", None]
+    plan = df._jdf.queryExecution().optimizedPlan().toJSON()
+    assert "EvalPython" in plan and "expressions.Contains" in plan
