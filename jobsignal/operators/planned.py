@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..plans.stored import dropped, once, stored
+from ..plans.stored import dropped, is_small, once, stored
 
 
 def detect_changes(history: DataFrame, key: str = "jobId", order: str = "run", content: str = "contentHash") -> DataFrame:
@@ -52,50 +57,132 @@ def resolve_duplicates(df: DataFrame, key: str, equal: list[list[str]], similar:
     return own.join(found.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("label", "node").alias("group"))
 
 
+#: Different sets whose shingles are counted to order them, about, and shingles that come last for it at most.
+SAMPLE_SETS, COMMON = 8192, 200_000
+#: Bits of a set's parities.
+BITS = 2048
+
+
+def _among(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of sets whose u is one of ids. Where these are many, a bitmap of 2^25 bits, 4 MB whatever their number,
+    leaves out most other rows before the exchange."""
+    if is_small(ids):
+        return sets.join(F.broadcast(ids), "u", "left_semi")
+    spot = lambda df: df.withColumn("_p", F.pmod(F.xxhash64("u"), F.lit(1 << 25))).withColumn("_b", F.shiftright("_p", 15)).withColumn("_p", F.col("_p") % 32768)
+    bits = spot(ids).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    one = F.conv(F.hex(F.substring("_m", (F.floor(F.col("_p") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    near = spot(sets).join(F.broadcast(bits), "_b").where(F.floor(one / F.pow(F.lit(2), F.col("_p") % 8)) % 2 == 1)
+    return near.select(*sets.columns).join(ids.hint("merge"), "u", "left_semi")
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, s) -> (u, n, b): of each set the parities of its shingles' numbers in BITS classes. Two sets differ in at least
+    as many shingles as their parities in bits."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            n = pc.list_value_length(part.column(1)).to_numpy()
+            x = part.column(1).flatten().to_numpy()
+            odd = np.bincount(np.repeat(np.arange(len(n)), n) * BITS + (x & (BITS - 1)), minlength=len(n) * BITS) & 1
+            b = np.packbits(odd.astype(np.uint8).reshape(len(n), BITS), axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array([r.tobytes() for r in b], pa.binary())], names=["u", "n", "b"])
+
+
+def _close(percent: int):
+    """(u, v, n, m, b, c) -> (u, v): the pairs whose sizes n, m and parities b, c leave the similarity possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, b, c = (batch.column(i) for i in range(2, 6))
+            bits = [np.frombuffer(b"".join(a.to_pylist()), np.uint64).reshape(-1, BITS // 64) for a in (b, c)]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            keep = (100 + percent) * apart <= (100 - percent) * (n.to_numpy().astype(np.int64) + m.to_numpy())
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of pairs whose whole sets reach the similarity."""
-    both = pairs.join(sets.select("u", "s").hint("merge"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("t")).hint("merge"), "v")
+    """The (u, v) of pairs whose whole sets reach the similarity. Parities leave out most others before whole sets, of what
+    pairs are left only, are exchanged."""
+    key = sets.schema["u"].dataType.simpleString()
+    ids = lambda p: stored(p.select(F.explode(F.array("u", "v")).alias("u")).distinct(), "paired")
+    pairs = stored(pairs, "pairs")
+    told = stored(_among(sets, ids(pairs)).select("u", "s").mapInArrow(_signatures, f"u {key}, n int, b binary"), "parities")
+    both = pairs.join(told.hint("merge"), "u").join(told.toDF("v", "m", "c").hint("merge"), "v").select("u", "v", "n", "m", "b", "c")
+    pairs = stored(both.mapInArrow(_close(percent), f"u {key}, v {key}").distinct(), "close-pairs")
+    some = stored(_among(sets, ids(pairs)).select("u", "s"), "paired-shingles")
+    both = pairs.join(some.hint("merge"), "u").join(some.toDF("v", "t").hint("merge"), "v")
     both = both.withColumn("_o", F.size(F.array_intersect("s", "t")))
     return both.where(100 * F.col("_o") >= percent * (F.size("s") + F.size("t") - F.col("_o"))).select("u", "v")
 
 
+def _prefixes(common: np.ndarray, rank: np.ndarray, percent: int):
+    """(h, n, s) -> (x, h, n, place): the shingles of each set that links are looked for on, and their places in its order:
+    by rank, 0 for those that aren't common, then by hash, as s is sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                h, n, x = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).flatten().to_numpy()
+                row = np.repeat(np.arange(len(n)), n)
+                if len(common):
+                    spot = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    r = np.where(common[spot] == x, rank[spot], 0)
+                    x = x[np.lexsort((r, row))]
+                place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                first = n - (n.astype(np.int64) * percent + 99) // 100 + 1
+                keep = place < first[row]
+                row, x, place = row[keep], x[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(h[row]), pa.array(n[row], pa.int32()), pa.array(place, pa.int32())], names=["x", "h", "n", "place"])
+
+    return run
+
+
 def similar_links(df: DataFrame, key: str, text: str, percent: int = 80, words: int = 5) -> DataFrame:
     """(u, v): verified links whose components are those of all links between texts' shingle sets.
 
-    Equal sets are one. Shingles are ordered by frequency, and two sets that reach the similarity share one within the
-    first (100 - percent) % of each: rows meet on those only, and sets whose rare shingles fill that share meet nobody.
-    First each list's rows are compared with its smallest key, which joins groups of near copies in linear work; then
-    lists that still hold several components compare rows of different ones, within bounds that sizes and places set.
+    Equal sets are one, told by a 64-bit hash. Shingles are ordered by hash, those that are common among a sample of the
+    sets last; two sets that reach the similarity share one within the first (100 - percent) % of each, in any order, so
+    the sample decides how much work there is, not what is found. Rows meet on those shingles only. First each list's
+    rows are compared with one of them, which joins groups of near copies in linear work; then lists that still hold
+    several components compare rows of different ones, within bounds that sizes and places set. Whole sets are written
+    once, and exchanged only for pairs.
     """
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("u"), w.alias("w")).where(F.size("w") > 0)
     spots = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
     s = F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.slice("w", i, words))))
     sets = stored(once(rows, s=F.array_sort(s)).select("u", "s", F.size("s").alias("n"), F.xxhash64("s").alias("h")), "shingles")
-    same = sets.groupBy("h", "n").agg(F.min("u").alias("v")).hint("merge")
-    copies = sets.select("u", "h", "n").join(same, ["h", "n"]).where("u <> v").select("u", "v")
-    sets = stored(sets.join(copies.select("u").distinct().hint("merge"), "u", "left_anti").select("u", "n", "s").dropDuplicates(["u"]), "distinct-shingles")
-
-    tokens = sets.select("u", "n", F.explode("s").alias("x"))
-    shared = tokens.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").hint("merge")
-    met = tokens.join(shared, "x").groupBy("u", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("t"))
-    first = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")  # so many shingles of a set are looked at
-    rare = F.col("n") - F.size("t")
-    cut = met.select("u", "n", rare.alias("rare"), F.slice("t", 1, F.greatest(first - rare, F.lit(0))).alias("t"))
-    lists = stored(cut.select("u", "n", "rare", F.posexplode("t").alias("i", "e")).select("u", "n", (F.col("rare") + F.col("i")).alias("place"), "e.x"), "prefixes")
-    hubs = lists.groupBy("x").agg(F.min("u").alias("v"), F.max("u").alias("_m")).where("v <> _m").select("x", "v")
-    links = copies.unionByName(_verified(lists.join(hubs.hint("merge"), "x").where("u <> v").select("u", "v").distinct(), sets, percent))
-    links = stored(links, "star-links")
+    same = stored(sets.groupBy("h").agg(F.min("u").alias("v")), "distinct-shingles")
+    copies = sets.select("u", "h").join(same.hint("merge"), "h").where("u <> v").select("u", "v")
+
+    sample = same.where(F.pmod("h", F.lit(same.count() // SAMPLE_SETS + 1)) == 0).select("h", F.col("v").alias("u"))
+    often = sets.join(F.broadcast(sample), ["u", "h"], "left_semi").select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
+    common = often.orderBy(F.desc("c"), "x").limit(COMMON).toArrow().sort_by("x")
+    told = sets.select("h", "n", "s").mapInArrow(_prefixes(common["x"].to_numpy(), common["c"].to_numpy(), percent), "x long, h long, n int, place int")
+    one = told.repartition("x").groupBy("x", "h").agg(F.first("n").alias("n"), F.first("place").alias("place"))  # copies tell the same
+    of = Window.partitionBy("x")
+    met = one.withColumn("hub", F.min(F.struct("h", "n", "place")).over(of)).withColumn("_m", F.max("h").over(of)).where("hub.h <> _m")
+    lists = stored(met.drop("_m"), "prefixes")
+
+    def alike(m, at):
+        sizes = 100 * F.least("n", m) >= percent * F.greatest(F.col("n"), m)
+        return sizes & ((100 + percent) * F.least(F.col("n") - F.col("place"), m - at) >= percent * (F.col("n") + m))
+
+    pairs = lists.where((F.col("h") != F.col("hub.h")) & alike(F.col("hub.n"), F.col("hub.place"))).select("h", F.col("hub.h").alias("g")).distinct()
+    ends = pairs.join(same.withColumnRenamed("v", "u").hint("merge"), "h").join(same.withColumnRenamed("h", "g").hint("merge"), "g").select("u", "v")
+    links = stored(copies.unionByName(_verified(ends, sets, percent)), "star-links")
 
     labels = components(links).select(F.col("node").alias("u"), "label")
-    told = stored(lists.join(labels.hint("merge"), "u", "left").withColumn("label", F.coalesce("label", "u")), "labelled-prefixes")
+    keyed = lists.select("x", "h", "n", "place").join(same.withColumnRenamed("v", "u").hint("merge"), "h").drop("h")
+    told = stored(keyed.join(labels.hint("merge"), "u", "left").withColumn("label", F.coalesce("label", "u")), "labelled-prefixes")
     dropped(lists)
     several = told.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
     one = stored(told.join(several.hint("merge"), "x", "left_semi"), "mixed-prefixes")
     other = one.select("x", F.col("u").alias("v"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("label").alias("other"))
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    places = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) >= percent * (F.col("n") + F.col("m"))
-    pairs = one.join(other.hint("merge"), "x").where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & sizes & places)
+    pairs = one.join(other.hint("merge"), "x").where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & alike(F.col("m"), F.col("at")))
     return links.unionByName(_verified(pairs.select("u", "v").distinct(), sets, percent))
 
 

@@ -208,6 +208,22 @@ def test_similar_duplicates_past_the_hub(spark):
     assert got == _similar_brute(rows) and got[3] == got[2] != 1 and got[10] == 9
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_similar_duplicates_exchange_pairs_only(spark, monkeypatch, small):
+    """Texts of which all share a passage and five are near copies; also with a small sample and by merge joins."""
+    tables = {}
+    monkeypatch.setattr(planned, "stored", lambda df, name: tables.setdefault(name, []).append(stored.stored(df, name)) or tables[name][-1])
+    if not small:
+        monkeypatch.setattr(planned, "is_small", lambda df: False)
+        monkeypatch.setattr(planned, "SAMPLE_SETS", 20)
+        monkeypatch.setattr(planned, "COMMON", 5)
+    shared, own = [f"s{i}" for i in range(30)], lambda k: [f"d{k}w{i}" for i in range(40)]
+    rows = [(k, " ".join(shared + own(k))) for k in range(200)] + [(200 + k, " ".join(shared + own(7)[: 40 - k])) for k in range(4)]
+    got = {r.id: r.group for r in planned.resolve_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", [], similar="text").collect()}
+    assert got == _similar_brute(rows) and got[203] == 7
+    assert tables["shingles"][0].count() == 204 and sum(t.count() for t in tables["paired-shingles"]) <= 8
+
+
 def test_lifecycle(spark):
     at = lambda day: datetime.datetime(2024, 1, day)
     runs = [("s", f"r{i}", i, "partial" if i == 4 else "complete") for i in range(1, 7)] + [("t", "r1", 1, "complete")]
