@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +13,8 @@ from .runs import started
 
 _OUT = "applicationId long, us long, seq long, action string, status string, accepted boolean, late boolean"
 DAY = 86_400_000
+#: Rows whose state one partition holds, on disk, before there are more partitions than cores.
+STATE_ROWS = 500_000
 
 
 class InOrder(StatefulProcessor):
@@ -93,7 +95,14 @@ def funnel_of_legs(undone: DataFrame, drafted: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("saved"), F.count_if(F.col("u").isNull()).alias("useful"), F.count_if(F.col("d").isNotNull()).alias("drafted"))
 
 
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def state_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions for the state of so many rows: a store is opened and committed in every batch, however little it holds,
+    so there are as many as cores, more where each would hold over STATE_ROWS, but no more than a shuffle has."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS)))
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
     """What a stream yields for the input that is there now, written under ``out``: a folder for each batch, or the last
     state for complete output. A batch that is run again writes its own folder again."""
     spark, schema = stream.sparkSession, stream.schema
@@ -101,7 +110,7 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else n}")
 
-    started(stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)).awaitTermination()
+    started(stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True), partitions=partitions).awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 

@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from jobsignal.catalog import texts
 from jobsignal.operators import applications, planned
+from jobsignal.plans import stored
 from jobsignal.sources import paged
 from jobsignal.streaming import apps, runs
 
@@ -206,3 +208,18 @@ def test_paged_items(spark, tmp_path):
     assert sorted((r.run_id, r.item, r.payload) for r in out().collect()) == got
     spark.createDataFrame([("c", "c0")], "run string, payload string").write.mode("append").partitionBy("run").parquet(f"{tmp_path}/runs")
     assert sorted((r.run_id, r.payload) for r in out().collect()) == sorted([*rows, ("c", "c0")])
+
+
+def test_funnel_state_follows_rows(spark, sf_dir, monkeypatch):
+    """A store for each core, not for each shuffle partition, and one for both sides of the join."""
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    checkpoints, drain = [], apps.drain
+    monkeypatch.setattr(apps, "drain", lambda stream, out, checkpoint, **k: checkpoints.append(checkpoint) or drain(stream, out, checkpoint, **k))
+    texts.d5_stream_funnel(spark, sf_dir).collect()
+    for c in checkpoints:
+        path, fs = stored.hadoop_path(spark, f"{c}/state/0")
+        parts = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().isdigit()]
+        assert len(parts) == spark.sparkContext.defaultParallelism < 24
+        assert not fs.exists(stored.hadoop_path(spark, f"{parts[0]}/left-keyToNumValues")[0])
+    assert len(checkpoints) == 2 and spark.conf.get("spark.sql.shuffle.partitions") == "24"
+    assert apps.state_partitions(spark, 10_000_000) == 20 and apps.state_partitions(spark, 10**9) == 24
